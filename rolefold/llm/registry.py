@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, simhash, topk, warc
+from . import packing, simhash, topk, urlfilter, warc
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -55,12 +55,17 @@ FROM s QUALIFY rank <= 5
 """
 
 
+def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlfilter.filter_urls(table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_warc": op1_warc,
         "op2_best_fit_packing": op2_best_fit_packing,
         "op4_simhash": op4_simhash,
         "op5_exact_topk": op5_exact_topk,
+        "op10_url_filters": op10_url_filters,
     }
 
 
@@ -68,4 +73,5 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op1_warc": OP1_SQL,
         "op5_exact_topk": OP5_SQL,
+        "op10_url_filters": urlfilter.filter_sql("pages", every=", 'g'"),
     }
