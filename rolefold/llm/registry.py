@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, simhash, topk, urlfilter, warc
-from .common import table
+from . import langid, packing, simhash, topk, urlfilter, warc
+from .common import crc_mod, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -55,6 +55,13 @@ FROM s QUALIFY rank <= 5
 """
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = crc_mod("doc_id", 5) == 0
+    model = langid.fit(docs, ~held_out)
+    return langid.identify(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "rejected")
+
+
 def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.filter_urls(table(spark, sf_dir, "pages"))
 
@@ -65,6 +72,7 @@ def queries() -> dict[str, Query]:
         "op2_best_fit_packing": op2_best_fit_packing,
         "op4_simhash": op4_simhash,
         "op5_exact_topk": op5_exact_topk,
+        "op8_language_id": op8_language_id,
         "op10_url_filters": op10_url_filters,
     }
 
