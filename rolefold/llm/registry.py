@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, packing, simhash, topk, urlfilter, warc
+from . import langid, packing, simhash, topk, toxicity, urlfilter, warc
 from .common import crc_mod, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -55,6 +55,14 @@ FROM s QUALIFY rank <= 5
 """
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = crc_mod("doc_id", 5) == 0
+    lexicon, model = toxicity.fit(docs, table(spark, sf_dir, "labels"), ~held_out)
+    found = toxicity.score(docs, lexicon, model)
+    return found.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = crc_mod("doc_id", 5) == 0
@@ -72,6 +80,7 @@ def queries() -> dict[str, Query]:
         "op2_best_fit_packing": op2_best_fit_packing,
         "op4_simhash": op4_simhash,
         "op5_exact_topk": op5_exact_topk,
+        "op7_toxicity": op7_toxicity,
         "op8_language_id": op8_language_id,
         "op10_url_filters": op10_url_filters,
     }
