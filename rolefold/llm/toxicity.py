@@ -4,15 +4,14 @@ Words that look disguised (digits or symbols among letters, separators, runs of
 one character) and runs of single letters become character lattices; a Viterbi
 search under a Kneser-Ney character model, with a price for every reading that
 isn't literal, picks the likeliest words.  These join the text's own words, and
-the text is scored by a small lexicon of words and word beginnings: one minus
-the product, over its words, of one minus the share of toxic texts among those
-that hold the feature.
+the text is scored by a small lexicon of words and word beginnings: a logistic
+rule weighs the strongest one found, how many are found and in how long a text.
 
 The character model's counts cover the whole corpus.  The lexicon is fitted on a
 bounded sample of labelled texts: at most about ``sample`` of them, by a hash of
-the text, one of each set of equal texts.  Features are picked greedily, the one
-with the strongest evidence among the texts not yet explained first, so a group
-of near copies can't bring in its ordinary words.
+the text, one of each set of equal or nearly equal texts (those that share the
+least hash of their five-word shingles), so a group of copies can't bring in its
+ordinary words.
 
 Defined cases: null text is empty text and scores the base rate; null ids are
 never learned from; null labels are ignored; repeated labels of an id count once
@@ -154,13 +153,30 @@ def spaced(text: bytes) -> Iterator[str]:
 
 @dataclass
 class Lexicon:
-    """Features with the share of toxic texts among those that hold them, and the rate without any."""
+    """Features with (toxic texts, texts) that hold them, the toxic rate, and a logistic rule over what is found."""
 
-    shares: dict[str, float] = field(default_factory=dict)
-    base: float = 0.01
+    hits: dict[str, tuple[int, int]] = field(default_factory=dict)
+    rate: float = 0.01
+    rule: tuple[float, ...] | None = None
 
-    def of(self, word: str) -> float:
-        return max((self.shares.get(f, 0.0) for f in features(word)), default=0.0)
+    def of(self, word: str, seen: int | None = None) -> float:
+        """Log-odds of the word's best feature, 0.0 if it has none; seen: leave out one text with this label."""
+        best = 0.0
+        for f in features(word):
+            if f in self.hits:
+                toxic, n = self.hits[f]
+                if seen is not None:
+                    toxic, n = toxic - seen, n - 1
+                share = (toxic + self.rate) / (n + 1)
+                best = max(best, math.log(share / (1 - share)), 1e-9)
+        return best
+
+
+def summary(found: list[float], words: int) -> list[float]:
+    """What the rule weighs: the strongest word, how many there are, and in how long a text."""
+    if not found:
+        return [1.0, 0.0, 0.0, 0.0, 0.0]
+    return [1.0, 1.0, max(found), math.log(len(found)), math.log(1 + words)]
 
 
 class Scorer:
@@ -170,26 +186,32 @@ class Scorer:
         self.lexicon, self.decoder, self.most = lexicon, decoder, most
         self.known: dict[bytes, float] = {}
 
-    def word(self, word: bytes) -> float:
+    def word(self, word: bytes, seen: int | None = None) -> float:
         plain = word.decode("utf-8", "replace")
-        found = self.lexicon.of(letters(plain))
+        found = self.lexicon.of(letters(plain), seen)
         if disguised(plain):
-            found = max([found, *map(self.lexicon.of, self.decoder.decode(plain))])
+            found = max([found, *(self.lexicon.of(w, seen) for w in self.decoder.decode(plain))])
         return found
 
-    def score(self, text: bytes) -> float:
-        if len(self.known) > self.most:
-            self.known.clear()
+    def found(self, text: bytes, seen: int | None = None) -> list[float]:
         words, known = set(text.split()), self.known
-        for w in words.difference(known):
-            known[w] = self.word(w)
-        clean = 1 - self.lexicon.base
-        for share in filter(None, map(known.__getitem__, words)):
-            clean *= 1 - share
+        if seen is not None:
+            out = [self.word(w, seen) for w in words]
+        else:
+            if len(known) > self.most:
+                known.clear()
+            for w in words.difference(known):
+                known[w] = self.word(w)
+            out = list(map(known.__getitem__, words))
         for run in spaced(text):
-            for w in self.decoder.decode(run, split=True):
-                clean *= 1 - self.lexicon.of(w)
-        return 1 - clean
+            out += [self.lexicon.of(w, seen) for w in self.decoder.decode(run, split=True)]
+        return [x for x in out if x]
+
+    def score(self, text: bytes) -> float:
+        if self.lexicon.rule is None:
+            return self.lexicon.rate
+        x = summary(self.found(text), text.count(b" "))
+        return 1 / (1 + math.exp(-max(-700.0, min(700.0, sum(map(float.__mul__, self.lexicon.rule, x))))))
 
 
 # ------------------------------------------------------------------ fitting
@@ -214,7 +236,7 @@ def fit_lexicon(rows: DataFrame, decoder_model: KneserNey, sample: int = 20_000,
     if not total:
         return Lexicon()
     part = F.pmod(F.col("key"), F.lit(1 << 20)) < int(min(1.0, sample / total) * (1 << 20)) + 1
-    kept = saved(rows.where(part).select("key", "toxic", "text"), "labelled")
+    kept = saved(_apart(rows.where(part)), "labelled")
     shared = spark.sparkContext.broadcast(decoder_model)
 
     def words_of(text: bytes, decoder: Decoder) -> set[str]:
@@ -224,7 +246,7 @@ def fit_lexicon(rows: DataFrame, decoder_model: KneserNey, sample: int = 20_000,
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decoder, sides = Decoder(shared.value), (Counter(), Counter())
         for b in batches:
-            for toxic, text in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+            for toxic, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 sides[toxic].update(words_of(text, decoder))
         names = list(sides[0].keys() | sides[1].keys())
         cols = [pa.array(names, pa.string()), *(pa.array([side[n] for n in names], pa.int64()) for side in sides)]
@@ -233,52 +255,64 @@ def fit_lexicon(rows: DataFrame, decoder_model: KneserNey, sample: int = 20_000,
     sizes = {r["toxic"]: r["n"] for r in kept.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     bad, every = sizes.get(1, 0), sum(sizes.values())
     if not bad:
-        return Lexicon(base=1 / (every + 2))
+        return Lexicon(rate=1 / (every + 2))
     rate = min(bad / every, 0.5)
-    least = max(least, math.log(every))
+    least = max(least, math.log(every) + 1)
     counts = kept.mapInArrow(count, "feature string, clean long, toxic long").groupBy("feature")
-    counts = counts.agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).where("toxic >= 3 AND toxic > clean")
+    counts = counts.agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).where("toxic >= 3 AND toxic >= 4 * clean")
     table = {r["feature"]: (r["toxic"], r["clean"] + r["toxic"]) for r in counts.collect()}  # bounded by the sample
     table = {f: x for f, x in table.items() if _evidence(*x, rate) >= least}
-    names = sorted(table)
+    lexicon = Lexicon(table, rate)
+    rows = kept.mapInArrow(_summaries(lexicon, shared), "toxic int, x array<double>").collect()  # bounded by the sample
+    x, y = np.array([r["x"] for r in rows]), np.array([r["toxic"] for r in rows], float)
+    return Lexicon(table, rate, tuple(_logistic(x, y).tolist()))
 
-    def hold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        decoder, place = Decoder(shared.value), {f: i for i, f in enumerate(names)}
+
+def _summaries(lexicon: Lexicon, shared):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(lexicon, Decoder(shared.value))
         for b in batches:
-            held = [[place[f] for f in words_of(t, decoder) & place.keys()] for t in b.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(1), pa.array(held, pa.list_(pa.int32()))], names=["toxic", "held"])
-
-    held = kept.mapInArrow(hold, "toxic int, held array<int>").where(F.size("held") > 0).collect()
-    texts = [(r["toxic"], r["held"]) for r in held]
-    by: dict[int, set[int]] = {}
-    for i, (_, hs) in enumerate(texts):
-        for h in hs:
-            by.setdefault(h, set()).add(i)
-    open_ = set(range(len(texts)))
-    chosen: dict[str, float] = {}
-    left_bad, left = bad, every
-    live = set(by)
-    while live:
-        base = max(min(left_bad / max(left, 1), 0.5), 1e-4)
-        best, strength = None, least
-        for h in sorted(live):
-            now = by[h] & open_
-            hits = sum(texts[i][0] for i in now)
-            e = _evidence(hits, len(now), base)
-            if e < least:
-                live.discard(h)
-            elif e > strength or (e == strength and best is None):
-                best, strength = h, e
-        if best is None:
+            pairs = zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)
+            xs = [summary(scorer.found(text, toxic), text.count(b" ")) for toxic, text in pairs]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(xs, pa.list_(pa.float64()))], names=["toxic", "x"])
+
+    return run
+
+
+def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05, rounds: int = 30) -> np.ndarray:
+    """Newton's method with a small ridge."""
+    w = np.zeros(x.shape[1])
+    for _ in range(rounds):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        step = np.linalg.solve(x.T @ (x * (p * (1 - p))[:, None]) + ridge * np.eye(len(w)), x.T @ (y - p) - ridge * w)
+        w += step
+        if np.abs(step).max() < 1e-9:
             break
-        hits, n = table[names[best]]
-        chosen[names[best]] = (hits + rate) / (n + 1)
-        gone = by[best] & open_
-        left_bad -= sum(texts[i][0] for i in gone)
-        left -= len(gone)
-        open_ -= gone
-        live.discard(best)
-    return Lexicon(chosen, (left_bad + 0.5) / (left + 1) if left else 0.5)
+    return w
+
+
+def _sketch(text: bytes) -> tuple[int, int]:
+    """Least hashes of the five-word shingles under two seeds: near copies share one or both."""
+    import xxhash
+
+    words = text.lower().split()
+    shingles = [b" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))]
+    return tuple(min(xxhash.xxh64_intdigest(x, seed=n) for x in shingles) - 2**63 for n in (1, 2))
+
+
+def _apart(rows: DataFrame) -> DataFrame:
+    """One text of each group that shares a sketch; it is toxic if one of them is."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            both = np.array([_sketch(t) for t in b.column(1).to_pylist()], np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(both[:, 0]), pa.array(both[:, 1])], names=["toxic", "text", "one", "two"])
+
+    rows = rows.select("toxic", "text").mapInArrow(run, "toxic int, text binary, one long, two long")
+    for key, other in (("one", "two"), ("two", "one")):
+        rows = rows.groupBy(key).agg(F.max("toxic").alias("toxic"), F.min(F.struct(F.sha1("text"), "text", other)).alias("x"))
+        rows = rows.select("toxic", F.col("x.text").alias("text"), key, F.col(f"x.{other}").alias(other))
+    return rows.select("toxic", "text")
 
 
 def fit(
