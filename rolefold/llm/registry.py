@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, packing, simhash, topk, toxicity, urlfilter, warc
+from . import hmm, langid, packing, simhash, topk, toxicity, urlfilter, warc
 from .common import crc_mod, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -70,6 +70,10 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op9_hmm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hmm.score_texts(table(spark, sf_dir, "documents"), crc_mod("doc_id", 7) == 2)
+
+
 def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.filter_urls(table(spark, sf_dir, "pages"))
 
@@ -82,6 +86,7 @@ def queries() -> dict[str, Query]:
         "op5_exact_topk": op5_exact_topk,
         "op7_toxicity": op7_toxicity,
         "op8_language_id": op8_language_id,
+        "op9_hmm_scoring": op9_hmm_scoring,
         "op10_url_filters": op10_url_filters,
     }
 
