@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import hmm, langid, packing, simhash, topk, toxicity, urlfilter, warc
+from . import hmm, langid, packing, simhash, syncmers, topk, toxicity, urlfilter, warc
 from .common import crc_mod, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -35,6 +35,10 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op3_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return syncmers.with_next(table(spark, sf_dir, "documents"))
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
@@ -82,6 +86,7 @@ def queries() -> dict[str, Query]:
     return {
         "op1_warc": op1_warc,
         "op2_best_fit_packing": op2_best_fit_packing,
+        "op3_syncmers": op3_syncmers,
         "op4_simhash": op4_simhash,
         "op5_exact_topk": op5_exact_topk,
         "op7_toxicity": op7_toxicity,
