@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import hmm, langid, packing, simhash, syncmers, topk, toxicity, urlfilter, warc
+from . import hmm, langid, mixing, packing, simhash, syncmers, topk, toxicity, urlfilter, warc
 from .common import crc_mod, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -59,6 +59,11 @@ FROM s QUALIFY rank <= 5
 """
 
 
+def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = mixing.mixed(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "size", "source_size", "target", "taken", "source")
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = crc_mod("doc_id", 5) == 0
@@ -89,6 +94,7 @@ def queries() -> dict[str, Query]:
         "op3_syncmers": op3_syncmers,
         "op4_simhash": op4_simhash,
         "op5_exact_topk": op5_exact_topk,
+        "op6_source_mixing": op6_source_mixing,
         "op7_toxicity": op7_toxicity,
         "op8_language_id": op8_language_id,
         "op9_hmm_scoring": op9_hmm_scoring,

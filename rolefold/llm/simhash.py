@@ -21,7 +21,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import id_text, saved, width
@@ -257,3 +257,19 @@ def near_duplicates(
     member = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     named = member.join(member.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")
     return fps.join(named, "fp").select("doc_id", "fp", "component_id")
+
+
+def keep_one(df: DataFrame, radius: int = 3, words: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The row with each class's smallest id, with all its columns.
+
+    Of rows with that id the one with the least text digest stays; a class without
+    any id keeps its rows.
+    """
+    found = near_duplicates(df, radius, words, id_col, text_col)
+    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.count("*").alias("rows"))
+    kept = kept.select(F.col("doc_id").alias("_kept"), F.col("rows").alias("_rows"))
+    rows = df.join(kept, df[id_col].cast("long").eqNullSafe(kept["_kept"]))
+    single = rows.where("_kept IS NULL OR _rows = 1").select(*df.columns)
+    order = Window.partitionBy("_kept").orderBy(F.sha1(F.col(text_col).cast("binary")), F.to_json(F.struct(*df.columns)))
+    several = rows.where("_kept IS NOT NULL AND _rows > 1").withColumn("_place", F.row_number().over(order)).where("_place = 1")
+    return single.union(several.select(*df.columns))

@@ -339,3 +339,18 @@ def score(df: DataFrame, lexicon: Lexicon, model: KneserNey, id_col: str = "doc_
             yield pa.RecordBatch.from_arrays([b.column(0), found], names=["doc_id", "score"])
 
     return id_text(df, id_col, text_col).mapInArrow(run, "doc_id long, score double")
+
+
+def keep(df: DataFrame, lexicon: Lexicon, model: KneserNey, text_col: str = "text", limit: float = 0.5) -> DataFrame:
+    """The rows whose text scores below ``limit``, with all their columns; no shuffle."""
+    shared = df.sparkSession.sparkContext.broadcast((lexicon, model))
+    at = df.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lexicon, model = shared.value
+        scorer = Scorer(lexicon, Decoder(model))
+        for b in batches:
+            texts = b.column(at).to_pylist()
+            yield b.filter(pa.array([scorer.score((t or "").encode()) < limit for t in texts], pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)
