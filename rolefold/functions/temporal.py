@@ -6,6 +6,8 @@ day.  Open sides are sentinels, so every comparison stays an integer one.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -57,25 +59,23 @@ def window(text: Column, precision: Column, calendar: Column) -> tuple[Column, C
     Millennia (6) and centuries (7) are ordinal; decades (8) and 5 to 0 floor the astronomical year.
     """
     p = parse_time(text)
-    year, one = astronomical(p["year"]), F.lit(1).cast("long")
-    start = lambda y, m=one: julian_day(y, m, one, calendar) * DAY
+    year = astronomical(p["year"])
+    case = lambda table, other: reduce(lambda c, x: c.when(precision == x[0], x[1]), table[1:], F.when(precision == table[0][0], table[0][1])).otherwise(other)
+    size = case([(14, F.lit(1)), (13, F.lit(60)), (12, F.lit(3600))], F.lit(DAY)).cast("long")
     exact = julian_day(year, p["month"], p["day"], calendar) * DAY + p["hour"] * 3600 + p["minute"] * 60 + p["second"]
-    lo, hi = F.lit(None).cast("long"), F.lit(None).cast("long")
-    for level, size in ((14, 1), (13, 60), (12, 3600), (11, DAY)):
-        lo, hi = F.when(precision == level, exact).otherwise(lo), F.when(precision == level, exact + size).otherwise(hi)
-    last = p["month"] == 12
-    lo = F.when(precision == 10, start(year, p["month"])).otherwise(lo)
-    hi = F.when(precision == 10, start(F.when(last, year + 1).otherwise(year), F.when(last, one).otherwise(p["month"] + 1))).otherwise(hi)
-    lo, hi = F.when(precision == 9, start(year)).otherwise(lo), F.when(precision == 9, start(year + 1)).otherwise(hi)
-    for level in (8, 5, 4, 3, 2, 1, 0):
-        unit = 10 if level == 8 else 10 ** (9 - level)
-        first = floor_div(year, unit) * unit
-        lo, hi = F.when(precision == level, start(first)).otherwise(lo), F.when(precision == level, start(first + unit)).otherwise(hi)
-    for level, unit in ((7, 100), (6, 1000)):
-        nth = floor_div(F.abs(p["year"]) + unit - 1, unit)
-        first = F.when(p["year"] > 0, unit * nth - (unit - 1)).otherwise(1 - unit * nth)
-        lo, hi = F.when(precision == level, start(first)).otherwise(lo), F.when(precision == level, start(first + unit)).otherwise(hi)
-    return lo, hi
+    # longer periods: a step in years and its first year
+    unit = case([(9, F.lit(1)), (8, F.lit(10)), (7, F.lit(100)), (6, F.lit(1000)), *((n, F.lit(10 ** (9 - n))) for n in range(6))], F.lit(1)).cast("long")
+    floored = year - F.pmod(year, unit)
+    nth = F.call_function("div", F.abs(p["year"]) + unit - 1, unit)
+    ordinal = F.when(p["year"] > 0, unit * nth - unit + 1).otherwise(1 - unit * nth)
+    first = F.when(precision.isin(6, 7), ordinal).otherwise(floored)
+    month, last = precision == 10, p["month"] == 12
+    one = F.lit(1).cast("long")
+    after_year = F.when(month, F.when(last, year + 1).otherwise(year)).otherwise(first + unit)
+    after_month = F.when(month & ~last, p["month"] + 1).otherwise(one)
+    lo = julian_day(F.when(month, year).otherwise(first), F.when(month, p["month"]).otherwise(one), one, calendar) * DAY
+    hi = julian_day(after_year, after_month, one, calendar) * DAY
+    return F.when(precision >= 11, exact).otherwise(lo), F.when(precision >= 11, exact + size).otherwise(hi)
 
 
 def bounds(start_kind: Column, start: tuple[Column, Column], end_kind: Column, end: tuple[Column, Column]) -> dict[str, Column]:
