@@ -58,24 +58,37 @@ def window(text: Column, precision: Column, calendar: Column) -> tuple[Column, C
 
     Millennia (6) and centuries (7) are ordinal; decades (8) and 5 to 0 floor the astronomical year.
     """
-    p = parse_time(text)
-    year = astronomical(p["year"])
+    # The parts are bound once by a one-element array: inlined, they would outgrow a generated method.
+    parts = parse_time(text) | {"precision": precision.cast("int"), "calendar": calendar}
+    bound = F.transform(F.array(F.struct(*(c.alias(n) for n, c in parts.items()))), _period)
+    found = F.transform(bound, _window_of_period)[0]
+    return found["lo"], found["hi"]
+
+
+def _period(p: Column) -> Column:
+    """First year, its successor and the months in which they start; fixed sizes keep the exact day."""
+    year, precision = astronomical(p["year"]), p["precision"]
     case = lambda table, other: reduce(lambda c, x: c.when(precision == x[0], x[1]), table[1:], F.when(precision == table[0][0], table[0][1])).otherwise(other)
+    unit = case([(8, F.lit(10)), (7, F.lit(100)), (6, F.lit(1000)), *((n, F.lit(10 ** (9 - n))) for n in range(6))], F.lit(1)).cast("long")
     size = case([(14, F.lit(1)), (13, F.lit(60)), (12, F.lit(3600))], F.lit(DAY)).cast("long")
-    exact = julian_day(year, p["month"], p["day"], calendar) * DAY + p["hour"] * 3600 + p["minute"] * 60 + p["second"]
-    # longer periods: a step in years and its first year
-    unit = case([(9, F.lit(1)), (8, F.lit(10)), (7, F.lit(100)), (6, F.lit(1000)), *((n, F.lit(10 ** (9 - n))) for n in range(6))], F.lit(1)).cast("long")
-    floored = year - F.pmod(year, unit)
     nth = F.call_function("div", F.abs(p["year"]) + unit - 1, unit)
     ordinal = F.when(p["year"] > 0, unit * nth - unit + 1).otherwise(1 - unit * nth)
-    first = F.when(precision.isin(6, 7), ordinal).otherwise(floored)
-    month, last = precision == 10, p["month"] == 12
-    one = F.lit(1).cast("long")
-    after_year = F.when(month, F.when(last, year + 1).otherwise(year)).otherwise(first + unit)
-    after_month = F.when(month & ~last, p["month"] + 1).otherwise(one)
-    lo = julian_day(F.when(month, year).otherwise(first), F.when(month, p["month"]).otherwise(one), one, calendar) * DAY
-    hi = julian_day(after_year, after_month, one, calendar) * DAY
-    return F.when(precision >= 11, exact).otherwise(lo), F.when(precision >= 11, exact + size).otherwise(hi)
+    first = F.when(precision >= 10, year).when(precision.isin(6, 7), ordinal).otherwise(year - F.pmod(year, unit))
+    one, short = F.lit(1).cast("long"), precision >= 10
+    turn = (precision == 10) & (p["month"] == 12)
+    return F.struct(
+        precision.alias("precision"), p["calendar"].alias("calendar"), size.alias("size"),
+        first.alias("year"), F.when(short, p["month"]).otherwise(one).alias("month"), F.when(precision >= 11, p["day"]).otherwise(one).alias("day"),
+        (p["hour"] * 3600 + p["minute"] * 60 + p["second"]).alias("time"),
+        F.when(turn, first + 1).when(precision == 10, first).otherwise(first + unit).alias("next_year"),
+        F.when((precision == 10) & ~turn, p["month"] + 1).otherwise(one).alias("next_month"),
+    )
+
+
+def _window_of_period(x: Column) -> Column:
+    lo = julian_day(x["year"], x["month"], x["day"], x["calendar"]) * DAY + F.when(x["precision"] >= 11, x["time"]).otherwise(0)
+    end = julian_day(x["next_year"], x["next_month"], F.lit(1).cast("long"), x["calendar"]) * DAY
+    return F.struct(lo.alias("lo"), F.when(x["precision"] >= 11, lo + x["size"]).otherwise(end).alias("hi"))
 
 
 def bounds(start_kind: Column, start: tuple[Column, Column], end_kind: Column, end: tuple[Column, Column]) -> dict[str, Column]:

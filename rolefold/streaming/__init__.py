@@ -1,0 +1 @@
+"""Incremental twins of batch operators on Structured Streaming."""
