@@ -8,6 +8,7 @@ from urllib.parse import quote
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 
 def quoted(text: Column) -> Column:
@@ -74,13 +75,13 @@ def span(text: Column, start: Column | int, end: Column | int) -> Column:
     return F.substring(text, a + 1, b - a)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfc(text: pd.Series) -> pd.Series:
     """Normalization form C; Spark has no such function."""
     return text.map(lambda x: None if x is None else unicodedata.normalize("NFC", x))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def iri_encode(text: pd.Series) -> pd.Series:
     """Percent-encoding of everything but unreserved characters."""
     return text.map(lambda x: None if x is None else quote(x, safe=""))
