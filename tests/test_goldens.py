@@ -211,3 +211,23 @@ def test_dump(spark, tmp_path):
     assert {tuple(r) for r in dump.arity_histogram(rows).collect()} == {(3, 1), (1, 1)}
     assert {tuple(r) for r in dump.rank_histogram(rows).collect()} == {("preferred", 0), ("normal", 1), ("deprecated", 1)}
     assert not entities.select(dump.is_seed(F.col("sitelinks")["enwiki"]["title"])).first()[0]
+
+
+def test_strict_json():
+    from rolefold.functions.jsontext import Refused, canonical, strict
+
+    assert canonical(strict('{"b": 1.50, "a": ["e\\u0301", 1e21, 1E-7, -0.0, true, null]}')) == '{"a":["é",1e+21,1e-7,0,true,null],"b":1.5}'
+    for text, code in (('{"a":1,"a":2}', "J003"), ('{"a":NaN}', "J004"), ("﻿{}", "J002"), ('{"a":"\\ud800"}', "J005"), ('{"a":9007199254740992}', "J006"), ("[]", "J007"), ("{", "J001"), ("[" * 400 + "]" * 400, "J001")):
+        with pytest.raises(Refused) as e:
+            strict(text)
+        assert e.value.args[0] == code
+
+
+def test_put_is_all_or_nothing(spark):
+    from rolefold.operators import writes
+
+    store = spark.createDataFrame([("a", 1, "x"), ("a", 2, "y"), ("b", 1, "x")], "id string, version int, content_key string")
+    batch = spark.createDataFrame([("a", "y", None), ("b", "z", 1), ("c", "q", 0)], "id string, content_key string, expect int")
+    assert {(r["id"], r["version"], r["outcome"]) for r in writes.put(store, batch).collect()} == {("a", 2, "no_op"), ("b", 2, "new_version"), ("c", 1, "create")}
+    late = spark.createDataFrame([("a", "y", 1), ("c", "q", 0)], "id string, content_key string, expect int")
+    assert {r["outcome"] for r in writes.put(store, late).collect()} == {"conflict"}
