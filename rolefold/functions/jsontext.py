@@ -77,7 +77,7 @@ def _number(x: float | int) -> str:
     if not exponent:
         return digits
     n = int(exponent)
-    if -7 <= n < 0:
+    if -7 < n < 0:
         sign, plain = ("-", digits[1:]) if digits[0] == "-" else ("", digits)
         return f"{sign}0.{'0' * (-n - 1)}{plain.replace('.', '')}"
     return f"{digits.removesuffix('.0')}e{n:+d}"
