@@ -46,6 +46,9 @@ _DISGUISED = re.compile(rf"[^\W\d_][{_ODD}]|[{_ODD}][^\W\d_]|(.)\1\1|[^\W\d_][{r
 _SPACED = re.compile(rb"(?<!\S)\S{1,2}(?:[ \t\n\r\x0b\x0c]\S{1,2}){3,}(?!\S)")
 
 
+_TRIPLE = re.compile(r"(.)\1\1", re.S)
+
+
 def disguised(word: str) -> bool:
     return _DISGUISED.search(word) is not None
 
@@ -93,6 +96,17 @@ class Decoder:
             out = [[*at, *((" " + c, p + SPLIT) for c, p in at if c)] if n else at for n, at in enumerate(out)]
         return out
 
+    def starts(self, text: str, n: int = 3) -> set[str]:
+        """The first n letters of all readings."""
+        done, now = set(), {""}
+        for at in self.lattice(text, False):
+            now = {x + reading for x in now for reading, _ in at}
+            done |= {x[:n] for x in now if len(x) >= n}
+            now = {x for x in now if len(x) < n}
+            if not now:
+                break
+        return done
+
     def decode(self, text: str, split: bool = False) -> list[str]:
         """The words of the cheapest path."""
         width = self.model.order - 1
@@ -159,6 +173,9 @@ class Lexicon:
     rate: float = 0.01
     rule: tuple[float, ...] | None = None
 
+    def __post_init__(self) -> None:
+        self.heads = {f.removeprefix("=")[:3] for f in self.hits}
+
     def of(self, word: str, seen: int | None = None) -> float:
         """Log-odds of the word's best feature, 0.0 if it has none; seen: leave out one text with this label."""
         best = 0.0
@@ -187,9 +204,16 @@ class Scorer:
         self.known: dict[bytes, float] = {}
 
     def word(self, word: bytes, seen: int | None = None) -> float:
-        plain = word.decode("utf-8", "replace")
-        found = self.lexicon.of(letters(plain), seen)
-        if disguised(plain):
+        plain = word.decode("utf-8", "replace").lower()
+        core, heads = plain.strip(".,"), self.lexicon.heads
+        if core.isalpha():
+            found = self.lexicon.of(core, seen) if core[:3] in heads else 0.0
+            if not _TRIPLE.search(core):
+                return found
+        else:
+            found = self.lexicon.of(letters(plain), seen)
+        # a reading counts only if it starts like something in the lexicon
+        if disguised(plain) and not heads.isdisjoint(self.decoder.starts(plain)):
             found = max([found, *(self.lexicon.of(w, seen) for w in self.decoder.decode(plain))])
         return found
 
@@ -225,18 +249,19 @@ def _evidence(hits: int, n: int, base: float) -> float:
     return n * (p * math.log(p / base) + ((1 - p) * math.log((1 - p) / (1 - base)) if p < 1 else 0.0))
 
 
-def fit_lexicon(rows: DataFrame, decoder_model: KneserNey, sample: int = 20_000, least: float = 7.0) -> Lexicon:
-    """rows: (text binary, toxic int), labelled and allowed to learn from.
+def fit_lexicon(texts: DataFrame, marks: DataFrame, decoder_model: KneserNey, sample: int = 12_000, least: float = 7.0) -> Lexicon:
+    """texts: (doc_id, text binary); marks: (doc_id, toxic 0 or 1), one row per id, those allowed to learn from.
 
-    A feature needs ``least`` nats of evidence, or the log of the number of texts if that is more.
+    About ``sample`` labelled ids are drawn by hash and sent to the texts, which
+    don't move.  A feature needs ``least`` nats of evidence, or one more than the
+    log of the number of texts if that is more.
     """
-    spark = rows.sparkSession
-    rows = rows.groupBy(F.xxhash64("text").alias("key"), F.sha1("text").alias("sha")).agg(F.max("toxic").alias("toxic"), F.first("text").alias("text"))
-    total = rows.count()
-    if not total:
-        return Lexicon()
-    part = F.pmod(F.col("key"), F.lit(1 << 20)) < int(min(1.0, sample / total) * (1 << 20)) + 1
-    kept = saved(_apart(rows.where(part)), "labelled")
+    spark = texts.sparkSession
+    total = marks.count()
+    drawn = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(min(1.0, sample / max(total, 1)) * (1 << 20)) + 1
+    few = F.broadcast(marks.where(drawn))  # two numbers for each of at most about ``sample`` ids
+    labelled = saved(texts.join(few, "doc_id").select("toxic", "text", F.sha1("text").alias("sha")), "labelled")
+    kept = saved(labelled.join(F.broadcast(_apart(labelled)), ["sha", "toxic"], "left_semi").dropDuplicates(["sha"]).select("toxic", "text"), "kept")
     shared = spark.sparkContext.broadcast(decoder_model)
 
     def words_of(text: bytes, decoder: Decoder) -> set[str]:
@@ -301,22 +326,23 @@ def _sketch(text: bytes) -> tuple[int, int]:
 
 
 def _apart(rows: DataFrame) -> DataFrame:
-    """One text of each group that shares a sketch; it is toxic if one of them is."""
+    """(sha, toxic) of one text of each group that shares a sketch, a toxic one if there is one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             both = np.array([_sketch(t) for t in b.column(1).to_pylist()], np.int64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(both[:, 0]), pa.array(both[:, 1])], names=["toxic", "text", "one", "two"])
+            cols = [b.column(0), b.column(2), pa.array(both[:, 0]), pa.array(both[:, 1])]
+            yield pa.RecordBatch.from_arrays(cols, names=["toxic", "sha", "one", "two"])
 
-    rows = rows.select("toxic", "text").mapInArrow(run, "toxic int, text binary, one long, two long")
+    found = rows.mapInArrow(run, "toxic int, sha string, one long, two long")
     for key, other in (("one", "two"), ("two", "one")):
-        rows = rows.groupBy(key).agg(F.max("toxic").alias("toxic"), F.min(F.struct(F.sha1("text"), "text", other)).alias("x"))
-        rows = rows.select("toxic", F.col("x.text").alias("text"), key, F.col(f"x.{other}").alias(other))
-    return rows.select("toxic", "text")
+        found = found.groupBy(key).agg(F.min(F.struct((-F.col("toxic")).alias("order"), "sha", "toxic", other)).alias("x"))
+        found = found.select("x.toxic", "x.sha", key, F.col(f"x.{other}").alias(other))
+    return found.select("sha", "toxic")
 
 
 def fit(
-    df: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = 20_000
+    df: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = 12_000
 ) -> tuple[Lexicon, KneserNey]:
     """Character model from all texts; lexicon from labelled rows that satisfy ``learn`` (over doc_id)."""
     texts = id_text(df, id_col, text_col)
@@ -324,7 +350,7 @@ def fit(
     model = KneserNey((r["class"], r["gram"], r["n"]) for r in counts.toLocalIterator())
     marks = labels.select(labels[id_col].cast("long").alias("doc_id"), labels[label_col].cast("int").alias("toxic"))
     marks = marks.where("doc_id IS NOT NULL AND toxic IS NOT NULL").where(learn).groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
-    return fit_lexicon(texts.join(marks, "doc_id").select("text", "toxic"), model, sample), model
+    return fit_lexicon(texts, marks, model, sample), model
 
 
 def score(df: DataFrame, lexicon: Lexicon, model: KneserNey, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
