@@ -43,6 +43,15 @@ def key_digest_of(relation: str, values: dict[str, str]) -> str:
     return "sha256:" + hashlib.sha256(f"key\n{text}".encode()).hexdigest()
 
 
+def find_by_key(bindings: DataFrame, relation: str, values: dict[str, str]) -> DataFrame:
+    """(fact_id, key_digest) of the facts with a key; digests are formed only for facts that bind its first value."""
+    wanted = key_digest_of(relation, values)
+    role, value = sorted(values.items())[-1]
+    hit = (F.col("relation") == relation) & (F.col("role") == role) & (F.col("ident") == value)
+    near = bindings.join(bindings.where(hit).select("fact_id").distinct(), "fact_id", "left_semi")
+    return key_digests(near, relation).where(F.col("key_digest") == wanted)
+
+
 def _sides(facts: DataFrame) -> tuple[DataFrame, DataFrame]:
     columns = ["id", "key_digest", "s_lo", "s_hi", "e_lo", "e_hi"]
     return facts.select(*columns).alias("a"), facts.select(*columns).alias("b")

@@ -118,10 +118,8 @@ KEY = "'sha256:' || sha256('key' || chr(10) || '[\"supplied\",[\"line\",\"' || l
 
 @query(f"WITH {SUPPLIED} SELECT DISTINCT id, {KEY} AS key_digest FROM supplied WHERE ord = 'o:7' AND line = '1'")
 def find_by_key(spark, d):
-    t = Tables(spark, d)
-    digests = keys.key_digests(t.bindings("supplied"), "supplied")
-    wanted = keys.key_digest_of("supplied", {"order": "o:7", "line": "1"})
-    return digests.where(F.col("key_digest") == wanted).select(F.col("fact_id").alias("id"), "key_digest").distinct()
+    found = keys.find_by_key(Tables(spark, d).bindings("supplied"), "supplied", {"order": "o:7", "line": "1"})
+    return found.select(F.col("fact_id").alias("id"), "key_digest").distinct()
 
 
 VERSIONS = f"""v AS (SELECT 'h:' || o_custkey AS id, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS INTEGER) AS version,
