@@ -9,7 +9,7 @@ the file and the record's place in the frame.
 Tasks write bundles under names of their own and hand on index rows; only
 bundles that the committed index names count, so a lost executor's half-written
 files are never read.  Bundles are written with pyarrow's file systems (local,
-HDFS, S3, GCS by the folder's URI) and read back with Spark.
+HDFS, S3, GCS by the folder's URI) and read back the same way.
 
 Defined cases: a null payload is empty; payloads under ``revisit_bytes`` are
 always responses; rows with an equal payload and the largest id are all
@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import saved, shared_dir
+from .common import saved, shared_dir, width
 
 SEEK_MAGIC, SKIP_MAGIC = 0x8F92EAB1, 0x184D2A5E
 INDEX = (
@@ -237,17 +237,20 @@ def read_bundles(spark: SparkSession, folder: str, index: DataFrame, payloads: b
     """Every record of the bundles that the index names, frame by frame, digests verified."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        files, path = fs.FileSystem.from_uri(folder)
         for b in batches:
-            for content in b.column(0):
-                data = content.as_py()
+            for bundle in b.column(0).to_pylist():
+                with files.open_input_file(f"{path}/{bundle}") as f:
+                    data = f.read()
                 for at, packed, _ in seek_table(data):
                     yield _read_batch(list(_frame_rows(data[at : at + packed])), payloads)
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.zst").load(folder)
-    named = index.select("bundle").distinct()
-    files = files.withColumn("bundle", F.element_at(F.split("path", "/"), -1)).join(named, "bundle", "left_semi")
+    # names are dealt out, bundles are read where they are needed
+    named = index.select("bundle").distinct().repartition(width(spark), "bundle")
     schema = READ if payloads else READ.removesuffix(", payload binary")
-    return files.select("content").mapInArrow(run, schema)
+    return named.mapInArrow(run, schema)
 
 
 def lookup(folder: str, index: DataFrame) -> DataFrame:
