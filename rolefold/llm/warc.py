@@ -248,7 +248,7 @@ def read_bundles(spark: SparkSession, folder: str, index: DataFrame, payloads: b
                     yield _read_batch(list(_frame_rows(data[at : at + packed])), payloads)
 
     # names are dealt out, bundles are read where they are needed
-    named = index.select("bundle").distinct().repartition(width(spark), "bundle")
+    named = index.select("bundle").distinct().repartition(width(spark))  # by number: never merged into fewer tasks
     schema = READ if payloads else READ.removesuffix(", payload binary")
     return named.mapInArrow(run, schema)
 
