@@ -175,7 +175,8 @@ def mixed(
     spans = some.select("place", "start", "size", F.explode(ends).alias("block"))
     first = F.greatest(F.col("start"), F.col("block") * block) - F.col("start")
     last = F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * block) - F.col("start")
-    hit = spans.join(draws(goal, block, shard, most, seed), ["place", "block"])
+    # both sides grow with the words: estimates from compressed files must not make one a broadcast
+    hit = spans.hint("merge").join(draws(goal, block, shard, most, seed), ["place", "block"])
     hit = hit.select("place", "start", first.alias("first"), (last - first).alias("words"), "times")
     extra: list[Column] = [F.array_sort(F.collect_list(F.struct("first", "words", "times"))).alias("blocks")] if with_blocks else []
     # (place, start) names a document that has words
