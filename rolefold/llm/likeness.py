@@ -1,0 +1,204 @@
+"""Near copies by an exact join of shingle sets.
+
+Two texts are linked if their sets of lower-cased five-word shingles have a
+Jaccard coefficient of ``least`` or more.  Equal sets are one from the start.
+In any order of shingles that all sets share, two sets of that likeness have a
+shingle in common among the first n - ceil(least * n) + 1 of their n (prefix
+filter), so only sets that meet in such a shingle's bucket are compared, and in
+full.  The order puts last what a sample of the sets shows often; it steers the
+cost alone, any order gives the same links.
+
+Links make groups.  While buckets hold many pairs from different groups, each
+set is compared with one set of its bucket, drawn anew a round; a group of n near
+copies so costs about n comparisons, not n squares.  Then every pair from
+different groups that meets in a bucket is compared.
+
+Defined cases: null text is empty text; texts without words are alike; texts of
+fewer words are one shingle; equal ids stay separate rows; a null id counts as
+no id when a group's smallest id is taken.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+from functools import partial
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from .common import id_text, saved, width
+from .components import components
+from .simhash import SEED, keep_least
+
+#: Jaccard coefficient of a link, as a fraction.
+LEAST = (4, 5)
+
+
+def shingles(text: bytes, words: int = 5) -> np.ndarray:
+    """The sorted set of the shingles' XXH64."""
+    import xxhash
+
+    found = text.decode("utf-8", "replace").lower().split()
+    if len(found) < words:
+        parts = [" ".join(found)] if found else []
+    else:
+        parts = map(" ".join, zip(*(found[i:] for i in range(words)), strict=False))
+    return np.unique(np.array(list(map(partial(xxhash.xxh64_intdigest, seed=SEED), parts)), "<u8").view("<i8"))
+
+
+def _key(found: np.ndarray) -> int:
+    """A signed long; equal sets have equal keys."""
+    import xxhash
+
+    return int(np.uint64(xxhash.xxh64_intdigest(found.tobytes(), SEED)).astype(np.int64))
+
+
+def keys(texts: DataFrame, words: int = 5) -> DataFrame:
+    """(doc_id, key) of texts (doc_id, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [_key(shingles(t, words)) for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.int64())], names=["doc_id", "key"])
+
+    return texts.mapInArrow(run, "doc_id long, key long")
+
+
+def _sets(batches: Iterator[pa.RecordBatch], words: int, many: int = 1 << 18) -> Iterator[tuple[list[int], list[np.ndarray]]]:
+    """Keys and sets of a partition's texts (column text), each key once, about ``many`` shingles at a time."""
+    seen: set[int] = set()
+    names, sets, held = [], [], 0
+    for b in batches:
+        for text in b.column("text"):
+            found = shingles(text.as_py(), words)
+            if (key := _key(found)) in seen:
+                continue
+            seen.add(key)
+            names.append(key)
+            sets.append(found)
+            held += len(found)
+            if held > many:
+                yield names, sets
+                names, sets, held = [], [], 0
+    if names:
+        yield names, sets
+
+
+def shingle_sets(texts: DataFrame, wanted: np.ndarray, words: int = 5) -> DataFrame:
+    """(key, shingles) of the sets whose keys are in ``wanted`` (sorted), each once."""
+    shared = texts.sparkSession.sparkContext.broadcast(wanted)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        among = shared.value
+        for names, sets in _sets(batches, words):
+            at = np.flatnonzero(np.isin(np.array(names, np.int64), among))
+            lists = pa.array([sets[i] for i in at], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array([names[i] for i in at], pa.int64()), lists], names=["key", "shingles"])
+
+    found = texts.select("text").mapInArrow(run, "key long, shingles array<long>")
+    return found.groupBy("key").agg(F.any_value("shingles").alias("shingles"))
+
+
+def frequent(texts: DataFrame, words: int = 5, draw: int = 4000, most: int = 500_000) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that a sample of about ``draw`` texts shows more than once, sorted, and how often."""
+    drawn = texts.where(F.pmod(F.xxhash64("text"), F.lit(max(1, texts.count() // draw))) == 0)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, sets in _sets(batches, words):
+            names, n = np.unique(np.concatenate(sets), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(n)], names=["shingle", "n"])
+
+    counts = drawn.select("text").mapInArrow(run, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).where("n > 1")
+    found = counts.orderBy(F.desc("n"), "shingle").limit(most).toArrow()
+    names, n = found.column("shingle").to_numpy(), found.column("n").to_numpy()
+    order = np.argsort(names)
+    return names[order], n[order]
+
+
+def buckets(texts: DataFrame, least: tuple[int, int] = LEAST, words: int = 5) -> DataFrame:
+    """(shingle, key, size): each set's first shingles, rare ones first, where several sets have them."""
+    num, den = least
+    spark = texts.sparkSession
+    shared = spark.sparkContext.broadcast(frequent(texts, words))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, counts = shared.value
+        for names, sets in _sets(batches, words):
+            sizes, values = np.array(list(map(len, sets))), np.concatenate(sets)
+            rank = np.zeros(len(values), np.int64)
+            if len(known):
+                at = np.minimum(np.searchsorted(known, values), len(known) - 1)
+                rank = np.where(known[at] == values, counts[at], 0)
+            owner = np.repeat(np.arange(len(sizes)), sizes)
+            order = np.lexsort((values, rank, owner))
+            place = np.arange(len(values)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            kept = place < (sizes - -(-sizes * num // den) + 1)[owner]
+            whose = owner[kept]
+            cols = [pa.array(values[order][kept]), pa.array(np.array(names, np.int64)[whose]), pa.array(sizes[whose].astype(np.int32))]
+            yield pa.RecordBatch.from_arrays(cols, names=["shingle", "key", "size"])
+
+    rows = texts.select("text").mapInArrow(run, "shingle long, key long, size int").repartition(width(spark), "shingle").distinct()
+    beside = Window.partitionBy("shingle")
+    rows = rows.withColumn("low", F.min("key").over(beside)).withColumn("high", F.max("key").over(beside))
+    return rows.where("low < high").drop("low", "high")
+
+
+def alike(pairs: DataFrame, sets: DataFrame, least: tuple[int, int] = LEAST) -> DataFrame:
+    """The pairs (u, v) whose sets (key, shingles) reach ``least``."""
+    num, den = least
+    left, right = sets.select(F.col("key").alias("u"), F.col("shingles").alias("x")), sets.select(F.col("key").alias("v"), F.col("shingles").alias("y"))
+    both = F.size(F.array_intersect("x", "y"))
+    return pairs.join(left, "u").join(right, "v").where(both * den >= (F.size("x") + F.size("y") - both) * num).select("u", "v")
+
+
+def links(texts: DataFrame, least: tuple[int, int] = LEAST, words: int = 5, ahead: int = 4) -> DataFrame:
+    """(u, v): links between keys that connect all sets of a likeness of ``least`` or more."""
+    num, den = least
+    first = saved(buckets(texts, least, words), "buckets")
+    wanted = np.sort(first.select("key").distinct().toArrow().column("key").to_numpy())  # 8 bytes a set that meets another
+    held = saved(shingle_sets(texts, wanted, words), "held")
+    now, found, turn, idle = first.withColumn("root", F.col("key")), None, 0, 0
+    fits = lambda a, b: F.least(a, b) * den >= F.greatest(a, b) * num
+    while True:
+        groups = now.groupBy("shingle", "root").agg(F.count("*").alias("n"), F.min_by(F.struct("key", "size"), F.xxhash64("key", F.lit(turn))).alias("hub"))
+        order = F.xxhash64("hub.key", F.lit(turn))
+        sums = groups.groupBy("shingle").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("own"), F.min_by(F.struct("root", "hub"), order).alias("hub"))
+        sums = saved(sums.where("n * n > own").select("shingle", "n", ((F.col("n") * F.col("n") - F.col("own")) / 2).alias("pairs"), "hub"), "open")
+        pairs, rows = sums.agg(F.sum("pairs"), F.sum("n")).first()
+        last = not pairs or (turn > 0 and pairs <= ahead * rows) or idle > 1
+        if last:
+            inside = now.join(sums.select("shingle"), "shingle", "left_semi")
+            a = inside.select("shingle", F.col("key").alias("u"), F.col("size").alias("m"), F.col("root").alias("r"))
+            b = inside.select("shingle", F.col("key").alias("v"), F.col("size").alias("n"), F.col("root").alias("s"))
+            met = a.join(b, (a["shingle"] == b["shingle"]) & (F.col("u") < F.col("v")) & (F.col("r") != F.col("s")) & fits(F.col("m"), F.col("n")))
+        else:
+            met = now.join(sums.select("shingle", "hub"), "shingle").where((F.col("root") != F.col("hub.root")) & fits(F.col("size"), F.col("hub.hub.size")))
+            met = met.select(F.least("key", "hub.hub.key").alias("u"), F.greatest("key", "hub.hub.key").alias("v"))
+        new = saved(alike(saved(met.select("u", "v").distinct(), "pairs"), held, least), "links")
+        found = new if found is None else found.union(new)
+        if last:
+            return found
+        idle = idle + 1 if new.isEmpty() else 0
+        if not idle:
+            roots = components(found)
+            now = first.join(roots, first["key"] == roots["node"], "left").select("shingle", "key", "size", F.coalesce("root", "key").alias("root"))
+            now = saved(now, "grouped")
+        turn += 1
+
+
+def near_copies(df: DataFrame, least: tuple[int, int] = LEAST, words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per document: doc_id and component_id, the smallest id reachable over links."""
+    texts = id_text(df, id_col, text_col)
+    named = saved(keys(texts, words), "keys")
+    distinct = named.groupBy("key").agg(F.min("doc_id").alias("first"))
+    roots = components(links(texts, least, words))
+    member = saved(distinct.join(roots, distinct["key"] == roots["node"], "left").select("key", "first", F.coalesce("root", "key").alias("root")), "members")
+    least_ids = member.join(member.groupBy("root").agg(F.min("first").alias("component_id")), "root").select("key", "component_id")
+    return named.join(least_ids, "key").select("doc_id", "component_id")
+
+
+def keep_one(df: DataFrame, least: tuple[int, int] = LEAST, words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The row with each group's smallest id, as in ``simhash.keep_one``."""
+    return keep_least(df, near_copies(df, least, words, id_col, text_col), id_col, text_col)

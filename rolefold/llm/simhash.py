@@ -260,12 +260,16 @@ def near_duplicates(
 
 
 def keep_one(df: DataFrame, radius: int = 3, words: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The row with each class's smallest id, with all its columns.
+    """The row with each class's smallest id, with all its columns."""
+    return keep_least(df, near_duplicates(df, radius, words, id_col, text_col), id_col, text_col)
+
+
+def keep_least(df: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``df`` that ``found`` (doc_id, component_id) names by their class's smallest id.
 
     Of rows with that id the one with the least text digest stays; a class without
     any id keeps its rows.
     """
-    found = near_duplicates(df, radius, words, id_col, text_col)
     kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.count("*").alias("rows"))
     kept = kept.select(F.col("doc_id").alias("_kept"), F.col("rows").alias("_rows"))
     rows = df.join(kept, df[id_col].cast("long").eqNullSafe(kept["_kept"]))

@@ -15,7 +15,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from rolefold.llm import charlm, hmm, langid, mixing, packing, simhash, syncmers, toxicity
+from rolefold.llm import charlm, hmm, langid, likeness, mixing, packing, simhash, syncmers, toxicity
 from rolefold.llm.common import crc_mod, saved
 
 ODD = "doc_id long, text string, lang string, source string, n_chars long, fp long, task int, start string"
@@ -105,6 +105,48 @@ def vocabulary():
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def jaccard_groups(rows):
+    """Per row the smallest id of its group, by comparing all pairs."""
+    sets = []
+    for _, text, *_ in rows:
+        words = (text or "").lower().split()
+        sets.append({tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set())
+    up = list(range(len(rows)))
+    for i, j in itertools.combinations(range(len(rows)), 2):
+        both = len(sets[i] & sets[j])
+        if sets[i] == sets[j] or 5 * both >= 4 * (len(sets[i]) + len(sets[j]) - both):
+            up = [min(up[i], up[j]) if u in (up[i], up[j]) else u for u in up]
+    return [(d, min((r[0] for r, v in zip(rows, up, strict=True) if v == u and r[0] is not None), default=None)) for (d, *_), u in zip(rows, up, strict=True)]
+
+
+def test_near_copies_against_brute_force(spark):
+    rng = random.Random(8)
+    rows = corpus()
+    for n in range(40):  # some words replaced: likeness on both sides of 0.8, also between the copies
+        words = rows[[5, 12, 40][n % 3]][1].split() * 3
+        for _ in range(rng.randint(0, 5)):
+            words[rng.randrange(len(words))] = "new" + str(rng.randrange(4))
+        rows.append((300 + n, " ".join(words), "aa", "s1"))
+    line = "one line that very many of these texts have in common with all of the others "
+    rows += [(400 + n, line + " ".join(f"w{n}x{i % 50}" for i in range(n)), "aa", "s1") for n in range(20)]
+    order = lambda pairs: sorted(pairs, key=repr)
+    want = order(jaccard_groups(rows))
+    assert order(tuple(r) for r in likeness.near_copies(frame(spark, rows)).collect()) == want
+    assert len({c for d, c in want if d and 300 <= d < 400}) > 3
+
+
+def test_pipeline_drops_copies_alike_by_four_fifths(spark):
+    import corpus_pipeline
+
+    rng = random.Random(9)
+    first = [f"w{i}" for i in rng.choices(range(500), k=100)]
+    second = [*first[:20], "other", *first[21:50], "one", *first[51:]]  # 86 of 106 shingles
+    rows = [(1, " ".join(first), "aa", "s1"), (2, " ".join(second), "aa", "s1"), (3, " ".join(reversed(first)), "aa", "s1")]
+    prints = [simhash.fingerprint(t.encode()) for _, t, *_ in rows[:2]]
+    assert (prints[0] ^ prints[1]).bit_count() > 3
+    assert sorted(r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, frame(spark, rows), "").collect()) == [1, 3]
+
+
 def test_packing(spark, vocabulary):
     from tokenizers import Tokenizer
 
