@@ -40,16 +40,22 @@ def successions(orders: DataFrame) -> DataFrame:
     return orders.select(F.col("o_orderkey").alias("src"), following.alias("dst")).where("dst IS NOT NULL")
 
 
-def resolve_redirects(moved: DataFrame, rounds: int = 64) -> DataFrame:
-    """(id, target, depth) of redirects that end; the pointers double each round, cycles never end."""
+def resolve_redirects(moved: DataFrame) -> DataFrame:
+    """(id, target, depth) of redirects that end; the pointers double each round, cycles never end.
+
+    Each round ends the redirects next to those that have ended, so if it ends none, cycles alone are left.
+    """
     now = moved.select("id", F.col("redirect_to").alias("target"), F.lit(1).alias("depth"))
-    for _ in range(rounds.bit_length()):
+    on = moved.select(F.col("id").alias("target"))
+    many = None
+    while (left := now.join(on, "target", "left_semi").select("id").distinct().count()) not in (0, many):
+        many = left
         step = now.select(F.col("id").alias("at"), F.col("target").alias("further"), F.col("depth").alias("more"))
         now = now.join(step, F.col("target") == F.col("at"), "left").select(
             "id", F.coalesce("further", "target").alias("target"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth")
         )
         now = cut(now)
-    return now.join(moved.select(F.col("id").alias("target")), "target", "left_anti").select("id", "target", "depth")
+    return now.join(on, "target", "left_anti").select("id", "target", "depth")
 
 
 def cycle_members(links: DataFrame, rounds: int = 1000) -> DataFrame:

@@ -6,6 +6,7 @@ from collections import Counter
 from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
 from functools import reduce
+from itertools import count
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -128,15 +129,16 @@ def two_hop(bindings: DataFrame, node: str) -> DataFrame:
     return second.select("ident").distinct().where(F.col("ident") != node)
 
 
-def walk(links: DataFrame, starts: DataFrame, limit: int = 64) -> DataFrame:
+def walk(links: DataFrame, starts: DataFrame) -> DataFrame:
     """(start, node, depth) reached over (src, dst) links, breadth first, each node once at its least depth."""
     level = starts.select(F.col("node").alias("start"), "node", F.lit(0).alias("depth"))
     reached = level
-    for depth in range(1, limit + 1):
+    for depth in count(1):
         ahead = level.join(links, F.col("node") == F.col("src")).select("start", F.col("dst").alias("node")).distinct()
         level = ahead.join(reached.select("start", "node"), ["start", "node"], "left_anti").withColumn("depth", F.lit(depth))
         level = cut(level)
         if level.isEmpty():
-            break
+            return reached
         reached = reached.unionByName(level)
-    return reached
+        if depth % 16 == 0:
+            reached = cut(reached)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from itertools import count
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -79,15 +80,17 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(F.col("id").alias("fact_id"), "relation", "b.bid", "b.role", kind.alias("value_kind"), F.coalesce("b.value.entity", "b.value.literal").alias("ident"))
 
 
-def closed_slice(bindings: DataFrame, relations: Sequence[str], rounds: int = 32) -> DataFrame:
+def closed_slice(bindings: DataFrame, relations: Sequence[str]) -> DataFrame:
     """(kind, id): facts of some relations, facts they bind (to any depth), and all entities these bind."""
     facts = bindings.where(F.col("relation").isin(*relations)).select(F.col("fact_id").alias("id")).distinct()
     links = bindings.where("value_kind = 'fact'").select("fact_id", "ident")
     fresh = facts
-    for _ in range(rounds):
+    for depth in count(1):
         fresh = cut(links.join(fresh, F.col("fact_id") == F.col("id"), "left_semi").select(F.col("ident").alias("id")).distinct().join(facts, "id", "left_anti"))
         if fresh.isEmpty():
             break
         facts = facts.union(fresh)
+        if depth % 16 == 0:
+            facts = cut(facts)
     bound = bindings.where("value_kind = 'entity'").join(facts, F.col("fact_id") == F.col("id"), "left_semi")
     return facts.select(F.lit("fact").alias("kind"), "id").union(bound.select(F.lit("entity"), "ident").distinct())

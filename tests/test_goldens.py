@@ -149,6 +149,17 @@ def test_redirects_and_cycles(spark):
     assert {r[0] for r in lifecycle.cycle_members(links).collect()} == {1, 2, 3}
 
 
+def test_loops_go_on_to_the_end(spark):
+    links = spark.createDataFrame([(i, i + 1) for i in range(70)] + [(70, 69)], "src long, dst long").coalesce(1)
+    walked = reads.walk(links, spark.createDataFrame([(0,)], "node long"))
+    assert sorted(map(tuple, walked.collect())) == [(0, i, i) for i in range(71)]
+    moved = spark.createDataFrame([(i, i + 1) for i in range(300)] + [(1000, 1001), (1001, 1002), (1002, 1001)], "id long, redirect_to long").coalesce(1)
+    assert sorted(map(tuple, lifecycle.resolve_redirects(moved).collect())) == [(i, 300, 300 - i) for i in range(300)]
+    nested = [(f"f{i}", "a" if i == 0 else "b", "fact", f"f{i + 1}") for i in range(40)] + [("f40", "b", "entity", "e")]
+    bindings = spark.createDataFrame(nested, "fact_id string, relation string, value_kind string, ident string").coalesce(1)
+    assert {tuple(r) for r in exchange.closed_slice(bindings, ["a"]).collect()} == {("fact", f"f{i}") for i in range(41)} | {("entity", "e")}
+
+
 def test_collision_actions():
     assert keys.action("close_older", "distinct", "succession") == "close_older"
     assert keys.action("close_older", "distinct", "backfill") == "close_incoming"
