@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -24,6 +25,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share; one is set only where none is."""
     known = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if known is None:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         known = tempfile.mkdtemp(prefix="rolefold-")
         atexit.register(shutil.rmtree, known, True)
         known = f"file://{known}"
@@ -40,7 +43,17 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    found = spark.read.schema(df.schema).parquet(path)
+    found.saved_in = path
+    return found
+
+
+def forget(*tables: DataFrame | None) -> None:
+    """Delete stored tables whose readers are done."""
+    for df in tables:
+        if (path := getattr(df, "saved_in", None)) is not None:
+            where = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def id_text(df: DataFrame, id_col: str, text_col: str) -> DataFrame:

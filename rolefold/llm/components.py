@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import forget, saved
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -36,7 +36,8 @@ def components(edges: DataFrame) -> DataFrame:
         if tuple(row) == mark or not row[0]:
             break
         mark = tuple(row)
-        now = saved(_small_star(_large_star(now)), "stars")
+        before, now = now, saved(_small_star(_large_star(now)), "stars")
+        forget(before)
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(
         now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
     )

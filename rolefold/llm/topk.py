@@ -36,8 +36,12 @@ def quantised(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embeddin
     xs = F.col("xs")
     rows = df.select(df[id_col].cast("long").alias("vec_id"), df[vector_col].cast("array<double>").alias("xs"))
     usable = xs.isNotNull() & F.forall(xs, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    # floor() of a double is a long and would overflow: x - pmod(x, 1) keeps it a double
-    floor = lambda x: F.lit(float(scale)) * x - F.pmod(F.lit(float(scale)) * x, F.lit(1.0))
+
+    def floor(x: Column) -> Column:
+        # floor() of a double is a long and would overflow; from 2**52 on every double is whole
+        y = F.lit(float(scale)) * x
+        return F.when(F.abs(y) < 2.0**52, F.floor(y).cast("double")).otherwise(y)
+
     return rows.where(F.col("vec_id").isNotNull() & usable).select("vec_id", F.transform(xs, floor).alias("vec"))
 
 
@@ -169,7 +173,7 @@ def top_k(
     is_query is a condition over the column vec_id.
     """
     spark = df.sparkSession
-    rows = quantised(df, id_col, vector_col)
+    rows = saved(quantised(df, id_col, vector_col), "quantised")  # every round of every block reads it
     asked = saved(rows.where(is_query).groupBy("vec_id").agg(F.min("vec").alias("vec")).orderBy("vec_id"), "queries")
     out, after = [], LEAST
     while True:
