@@ -5,19 +5,30 @@ order the hashes of all n-grams seen in any class, with one column of
 log-probabilities per class, and the hashes of their contexts with back-off
 weights.  Words are scored on their own, padded with spaces, so a word's score
 is a constant that callers may keep.
+
+Every n-gram of every row counts: counts, continuation counts, contexts' totals
+and the numbers of n-grams seen once or twice are sums over the whole corpus,
+none is left out or cut off.  An n-gram's place is a hash of ``BITS`` bits, which
+bounds the arrays however large the corpus is (at most 2**BITS places per order,
+12 bytes a place and 4 more per class); n-grams that share a place pool their
+counts.
 """
 
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import forget, saved
+
 ORDER = 4
+BITS = 22
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -42,7 +53,7 @@ def windows(words: list[str], order: int = ORDER) -> tuple[np.ndarray, np.ndarra
     return codes[first[:, None] + np.arange(order)], owner
 
 
-def hashed(grams: np.ndarray) -> np.ndarray:
+def _mixed(grams: np.ndarray) -> np.ndarray:
     h = np.full(len(grams), grams.shape[1], np.uint64)
     for column in grams.T:
         h = (h ^ column.astype(np.uint64)) * _PRIME
@@ -50,11 +61,16 @@ def hashed(grams: np.ndarray) -> np.ndarray:
     return h
 
 
+def hashed(grams: np.ndarray) -> np.ndarray:
+    """Places of n-grams in the arrays."""
+    return _mixed(grams) >> np.uint64(64 - BITS)
+
+
 # ------------------------------------------------------------------ counting
 
 
-def gram_counts(rows: DataFrame, class_col: str, text_col: str, most: int = 200_000, order: int = ORDER) -> DataFrame:
-    """(class, gram, n): n-gram counts of all rows' words, the ``most`` frequent grams of each class.
+def gram_counts(rows: DataFrame, class_col: str, text_col: str, order: int = ORDER) -> DataFrame:
+    """(class, gram, n): n-gram counts of all rows' words.
 
     text_col is binary UTF-8.  Tasks count distinct words first and hand on
     n-grams, so frequent words and large classes cost no more than their grams.
@@ -71,12 +87,16 @@ def gram_counts(rows: DataFrame, class_col: str, text_col: str, most: int = 200_
                     words[known] += n
             grams, owner = windows(list(words), order)
             weights = np.fromiter(words.values(), np.int64, len(words))[owner]
-            keys, first, inverse = np.unique(hashed(grams), return_index=True, return_inverse=True)
-            sums = np.bincount(inverse, weights, len(keys)).astype(np.int64).tolist()
-            text = ["".join(map(chr, g)) for g in grams[first].tolist()]
             into = total.setdefault(name, Counter())
-            for g, n in zip(text, sums, strict=True):
-                into[g] += n
+            keys, first, inverse = np.unique(_mixed(grams), return_index=True, return_inverse=True)
+            sums = np.bincount(inverse, weights, len(keys)).astype(np.int64).tolist()
+            for g, n in zip(grams[first].tolist(), sums, strict=True):
+                into["".join(map(chr, g))] += n
+
+        def spill(name: str) -> pa.RecordBatch:
+            grams = total.pop(name)
+            cols = [pa.array([name] * len(grams)), pa.array(list(grams)), pa.array(list(grams.values()), pa.int64())]
+            return pa.RecordBatch.from_arrays(cols, names=["class", "gram", "n"])
 
         for b in batches:
             for name, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
@@ -84,89 +104,118 @@ def gram_counts(rows: DataFrame, class_col: str, text_col: str, most: int = 200_
                 words.update(text.split())
                 if len(words) > 200_000:
                     settle(name)
+                    if len(total[name]) > 500_000:  # hand on what was counted: sums meet in the shuffle
+                        yield spill(name)
         for name in list(held):
             settle(name)
-        for name, grams in total.items():
-            cols = [pa.array([name] * len(grams)), pa.array(list(grams)), pa.array(list(grams.values()), pa.int64())]
-            yield pa.RecordBatch.from_arrays(cols, names=["class", "gram", "n"])
+        for name in list(total):
+            yield spill(name)
 
     counted = rows.select(F.col(class_col).cast("string"), text_col).mapInArrow(run, "class string, gram string, n long")
-    counted = counted.groupBy("class", "gram").agg(F.sum("n").alias("n"))
-    rank = F.row_number().over(Window.partitionBy("class").orderBy(F.desc("n"), "gram"))
-    return counted.withColumn("place", rank).where(F.col("place") <= most).drop("place")
+    return counted.groupBy("class", "gram").agg(F.sum("n").alias("n"))
+
+
+def levels(counts: DataFrame, order: int = ORDER) -> DataFrame:
+    """(class, size, gram, n) for all orders: plain counts at the top, numbers of left neighbours below."""
+    now = saved(counts.select("class", F.lit(order).alias("size"), "gram", "n"), "grams")
+    every = now
+    for size in range(order - 1, 0, -1):
+        now = now.groupBy("class", F.expr("substring(gram, 2)").alias("gram")).agg(F.count("*").alias("n"))
+        now = now.select("class", F.lit(size).alias("size"), "gram", "n")
+        every = every.union(now)
+    return every
+
+
+def _placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds the place of each gram and of its context."""
+    for b in batches:
+        sizes = b.column(1).to_numpy()
+        grams = b.column(2).to_pylist()
+        place, context = np.zeros(len(sizes), np.int64), np.zeros(len(sizes), np.int64)
+        for size in np.unique(sizes).tolist():
+            at = np.flatnonzero(sizes == size)
+            codes = _codes([grams[i] for i in at], size)
+            place[at], context[at] = hashed(codes), hashed(codes[:, :-1])
+        cols = [*b.columns, pa.array(place), pa.array(context)]
+        yield pa.RecordBatch.from_arrays(cols, names=["class", "size", "gram", "n", "place", "context"])
+
+
+def _codes(grams: list[str], size: int) -> np.ndarray:
+    return np.frombuffer("".join(grams).encode("utf-32-le"), np.uint32).reshape(-1, size)
+
+
+def learned(counts: DataFrame, order: int = ORDER) -> KneserNey:
+    """The model of gram_counts()."""
+    every = saved(levels(counts, order).mapInArrow(_placed, "class string, size int, gram string, n long, place long, context long"), "placed")
+    by_place = every.groupBy("class", "size", "place").agg(F.sum("n").alias("n"), F.min("gram").alias("gram"))
+    by_context = every.groupBy("class", "size", "context").agg(F.sum("n").alias("n"), F.count("*").alias("kinds"))
+    ones, twos = (F.count(F.when(F.col("n") == x, 1)).alias(f"n{x}") for x in (1, 2))
+    ends = every.groupBy(F.expr("right(gram, 1)")).count().count()
+    model = KneserNey(
+        *(x.toPandas() for x in (by_place, by_context, every.groupBy("class", "size").agg(ones, twos))),  # bounded by places x classes
+        alphabet=max(2, ends + 1),
+        order=order,
+    )
+    forget(every)
+    return model
 
 
 # -------------------------------------------------------------------- model
 
 
 class KneserNey:
-    """names: the classes in code-point order; score() gives log-probabilities per class."""
-
-    def __init__(self, counts: Iterable[tuple[str, str, int]], order: int = ORDER):
-        by: dict[str, dict[str, int]] = {}
-        for name, gram, n in counts:
-            by.setdefault(name, {})[gram] = n
-        self.order, self.names = order, sorted(by)
-        self.alphabet = max(2, len({g[-1] for grams in by.values() for g in grams}) + 1)
+    """names: the classes in code-point order; grams() gives log-probabilities per class.
+
+    grams: (class, size, place, n, gram); contexts: (class, size, context, n,
+    kinds); seen: (class, size, n1, n2), how many grams were seen once and twice.
+    """
+
+    def __init__(self, grams: pd.DataFrame, contexts: pd.DataFrame, seen: pd.DataFrame, alphabet: int = 2, order: int = ORDER):
+        self.order, self.names, self.alphabet = order, sorted(set(grams["class"])), alphabet
         self.keys: dict[int, np.ndarray] = {}
         self.logp: dict[int, np.ndarray] = {}
         self.context: dict[int, np.ndarray] = {}
         self.backoff: dict[int, np.ndarray] = {}
-        own = [self._orders(by[name]) for name in self.names]
-        for n in range(1, order + 1):
-            self._add(n, [o[n] for o in own])
-        self.mean, self.spread = np.zeros(len(self.names)), np.ones(len(self.names))
-        for i, name in enumerate(self.names):
-            grams, n = self._array(by[name])
-            cost = -self.grams(grams)[:, i]
-            self.mean[i] = np.average(cost, weights=n)
-            self.spread[i] = np.sqrt(np.average((cost - self.mean[i]) ** 2, weights=n))
-
-    def _array(self, grams: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
-        codes = np.frombuffer("".join(grams).encode("utf-32-le"), np.uint32).reshape(-1, self.order)
-        return codes, np.fromiter(grams.values(), np.float64, len(grams))
-
-    def _orders(self, grams: dict[str, int]) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-        """Per order its n-grams with counts: plain ones at the top, numbers of left neighbours below."""
-        codes, n = self._array(grams)
-        out = {self.order: (codes, n)}
-        for k in range(self.order - 1, 0, -1):
-            shorter = codes[:, 1:]
-            _, first, counts = np.unique(hashed(shorter), return_index=True, return_counts=True)
-            codes = shorter[first]
-            out[k] = (codes, counts.astype(np.float64))
-        return out
-
-    def _add(self, n: int, own: list[tuple[np.ndarray, np.ndarray]]) -> None:
-        every = np.concatenate([c for c, _ in own]) if own else np.zeros((0, n), np.uint32)
-        keys, first = np.unique(hashed(every), return_index=True)
-        codes = every[first]
-        contexts, where = np.unique(hashed(codes[:, :-1]), return_index=True)
-        self.keys[n], self.context[n] = keys, contexts
-        self.logp[n] = np.zeros((len(keys), len(own)))
-        self.backoff[n] = np.zeros((len(contexts), len(own)))
-        direct = []
-        for i, (grams, counts) in enumerate(own):
-            ones, twos = (counts == 1).sum(), (counts == 2).sum()
-            discount = ones / (ones + 2 * twos) if ones and twos else 0.5
-            at = np.searchsorted(contexts, hashed(grams[:, :-1]))
-            total = np.bincount(at, counts, len(contexts))
-            kinds = np.bincount(at, minlength=len(contexts))
-            seen = total > 0
-            self.backoff[n][seen, i] = np.log(discount * kinds[seen] / total[seen])
-            direct.append((np.searchsorted(keys, hashed(grams)), (counts - discount) / total[at]))
-        lower = self.grams(codes[:, 1:], n - 1) if n > 1 else np.full((len(codes), len(own)), -np.log(self.alphabet))
-        at = np.searchsorted(contexts, hashed(codes[:, :-1]))
-        self.logp[n] = p = self.backoff[n][at] + lower
-        for i, (to, share) in enumerate(direct):
-            p[to, i] = np.log(np.exp(p[to, i]) + share)
+        number = {name: i for i, name in enumerate(self.names)}
+        discounts = {(number[c], k): n1 / (n1 + 2 * n2) for c, k, n1, n2 in seen.itertuples(index=False) if n1 and n2}
+        for size in range(1, order + 1):
+            own, around = grams[grams["size"] == size], contexts[contexts["size"] == size]
+            discount = np.array([discounts.get((i, size), 0.5) for i in range(len(self.names))])
+            self._add(size, own, around, discount, number)
+        top = grams[grams["size"] == order]
+        which = top["class"].map(number).to_numpy(np.int64)
+        cost = -self.grams(_codes(top["gram"].tolist(), order))[np.arange(len(top)), which] if len(top) else np.zeros(0)
+        n = top["n"].to_numpy(np.float64)
+        total = np.maximum(np.bincount(which, n, len(self.names)), 1)
+        #: mean and variance of an n-gram's cost under its own class, in nats
+        self.mean = np.bincount(which, n * cost, len(self.names)) / total
+        self.variance = np.bincount(which, n * (cost - self.mean[which]) ** 2, len(self.names)) / total
+
+    def _add(self, size: int, own: pd.DataFrame, around: pd.DataFrame, discount: np.ndarray, number: dict[str, int]) -> None:
+        which, held = own["class"].map(number).to_numpy(np.int64), around["class"].map(number).to_numpy(np.int64)
+        places, n = own["place"].to_numpy(np.int64), own["n"].to_numpy(np.float64)
+        keys, first, at = np.unique(places, return_index=True, return_inverse=True)
+        contexts, where = np.unique(around["context"].to_numpy(np.int64), return_inverse=True)
+        total, kinds = np.zeros((2, len(contexts), len(self.names)))
+        total[where, held], kinds[where, held] = around["n"], around["kinds"]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            self.backoff[size] = np.where(total > 0, np.log(discount * kinds / total), 0.0)
+        self.context[size], self.keys[size] = contexts, keys
+        texts = own["gram"].to_numpy()[first]
+        codes = _codes(texts.tolist(), size)
+        mine = np.searchsorted(contexts, hashed(codes[:, :-1]).astype(np.int64))
+        lower = self.grams(codes[:, 1:], size - 1) if size > 1 else np.full((len(codes), len(self.names)), -np.log(self.alphabet))
+        self.logp[size] = p = self.backoff[size][mine] + lower
+        share = np.maximum(n - discount[which], 0) / np.maximum(total[mine[at], which], n)
+        p[at, which] = np.log(np.exp(p[at, which]) + share)
+        self.logp[size], self.backoff[size] = p.astype(np.float32), self.backoff[size].astype(np.float32)
 
     def grams(self, codes: np.ndarray, n: int | None = None) -> np.ndarray:
         """log P(last character | the others) per class, for rows of n characters."""
         n = self.order if n is None else n
         if n == 0:
             return np.full((len(codes), len(self.names)), -np.log(self.alphabet))
-        keys, h = self.keys[n], hashed(codes)
+        keys, h = self.keys[n], hashed(codes).astype(np.int64)
         at = np.minimum(np.searchsorted(keys, h), max(len(keys) - 1, 0))
         known = keys[at] == h if len(keys) else np.zeros(len(h), bool)
         out = np.empty((len(codes), len(self.names)))
@@ -175,7 +224,7 @@ class KneserNey:
             rest = codes[~known]
             weight = np.zeros((len(rest), len(self.names)))
             if len(self.context[n]):
-                c = hashed(rest[:, :-1])
+                c = hashed(rest[:, :-1]).astype(np.int64)
                 at = np.minimum(np.searchsorted(self.context[n], c), len(self.context[n]) - 1)
                 hit = self.context[n][at] == c
                 weight[hit] = self.backoff[n][at[hit]]

@@ -35,14 +35,14 @@ def shared_dir(spark: SparkSession) -> str:
     return known
 
 
-def saved(df: DataFrame, name: str) -> DataFrame:
-    """Write an intermediate table to the shared folder and read it back.
+def saved(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """Write an intermediate table to the shared folder, partitioned by a column if one is named, and read it back.
 
     This cuts the lineage: a lost executor costs a reread, not a recomputation.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     found = spark.read.schema(df.schema).parquet(path)
     found.saved_in = path
     return found

@@ -1,8 +1,10 @@
 """A hidden Markov language model over whole texts, trained by Baum-Welch.
 
-A token's observation is its class, a hash of its last bytes; a latent state
-emits classes, and a class emits its tokens by add-one counts (with one place
-for unseen ones), so the model is a distribution over all texts:
+A token's observation is its class.  A word with at least one in ``own`` of all
+training tokens is a class of its own (there can't be more than ``own``); other
+words share classes by a hash of their last bytes; the end token is a class.  A
+latent state emits classes, and a class emits its tokens by add-one counts (with
+one place for unseen ones), so the model is a distribution over all texts:
 P(text) = sum over state paths of start * transitions * class emissions, times
 the product of P(token | class).
 
@@ -11,10 +13,12 @@ numbers local to a chunk of documents and hands on each chunk's distinct tokens
 (64-bit hashes) with their counts; chunks' tokens meet by hash range, and the
 sums return to their chunks.  The vocabulary is never in one place.
 
-Baum-Welch runs over every training token, in segments of ``segment`` tokens,
-after a warm start on a bounded part; its expected counts (states x classes) are
-summed across partitions.  Scoring is the scaled forward recursion over whole
-texts, exact whatever their length.
+Baum-Welch is stepwise (incremental EM): the training tokens, cut into segments of
+``segment`` tokens, are dealt into ``slices``; a round takes the expected counts
+(states x classes, summed across partitions) of one slice and moves the running
+counts towards them, by less from round to round.  Every slice is read equally
+often, so all training tokens count alike at every size of the corpus.  Scoring is
+the scaled forward recursion over whole texts, exact whatever their length.
 
 Defined cases: null text is empty text, which is one end token; null ids are in
 the training fold by the empty text's crc32; repeated rows count one by one;
@@ -31,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_text, saved, width
+from .common import forget, id_text, saved, width
 
 END = b"\n"  # no word holds white space
 SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
@@ -41,7 +45,7 @@ SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, train_toke
 
 
 def class_of(word: bytes, classes: int) -> int:
-    """Words that end alike share a class; the end token has class 0 for itself."""
+    """Words that end alike share one of ``classes`` classes; the end token has class 0 for itself."""
     import zlib
 
     return 0 if word == END else 1 + zlib.crc32(word[-4:].rstrip(b".,")) % (classes - 1)
@@ -72,6 +76,7 @@ def _index(classes: int, rows_per_chunk: int, bytes_per_chunk: int):
             pa.array([[d for d, _, _ in chunk]], pa.list_(pa.int64())),
             pa.array([[h for _, h, _ in chunk]], pa.list_(pa.bool_())),
             pa.array([sizes.tolist()], pa.list_(pa.int64())),
+            pa.array([int(counts.sum())], pa.int64()),
             *(pa.array([x], pa.binary()) for x in blobs),
         ]
         return pa.RecordBatch.from_arrays(cols, names=[x.split()[0] for x in CHUNK.split(", ")])
@@ -91,7 +96,7 @@ def _index(classes: int, rows_per_chunk: int, bytes_per_chunk: int):
     return run
 
 
-CHUNK = "chunk string, ids array<long>, held array<boolean>, sizes array<long>, tokens binary, hashes binary, kinds binary, counts binary"
+CHUNK = "chunk string, ids array<long>, held array<boolean>, sizes array<long>, trained long, tokens binary, hashes binary, kinds binary, counts binary"
 
 
 def _deal(ranges: int):
@@ -111,26 +116,48 @@ def _deal(ranges: int):
     return run
 
 
-def _sum_range(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Corpus counts of one hash range, returned to its chunks; the row without chunk has totals per class."""
-    hashes = np.concatenate([np.frombuffer(x, np.uint64) for x in pdf["hashes"]])
-    kinds = np.concatenate([np.frombuffer(x, np.int32) for x in pdf["kinds"]])
-    counts = np.concatenate([np.frombuffer(x, np.int64) for x in pdf["counts"]])
-    _, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
-    total = np.zeros(len(first), np.int64)
-    np.add.at(total, inverse, counts)
-    sums, at, out = total[inverse], 0, []
-    for chunk, x in zip(pdf["chunk"], pdf["hashes"], strict=True):
-        out.append((chunk, int(pdf["range"].iloc[0]), sums[at : at + len(x) // 8].tobytes()))
-        at += len(x) // 8
-    known = total > 0
-    by_class = np.bincount(kinds[first][known], total[known]), np.bincount(kinds[first][known])
-    size = max(map(len, by_class))
-    both = np.zeros((2, size), np.int64)
-    for i, x in enumerate(by_class):
-        both[i, : len(x)] = x
-    out.append((None, -1, both.tobytes()))
-    return pd.DataFrame(out, columns=["chunk", "range", "totals"])
+def _sum_range(own: int, trained: int):
+    """Corpus counts of one hash range, returned to its chunks; of the rows without chunk,
+    range -1 has totals per class and -2 the frequent tokens (hash, class, count)."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        hashes = np.concatenate([np.frombuffer(x, np.uint64) for x in pdf["hashes"]])
+        kinds = np.concatenate([np.frombuffer(x, np.int32) for x in pdf["kinds"]])
+        counts = np.concatenate([np.frombuffer(x, np.int64) for x in pdf["counts"]])
+        _, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
+        total = np.zeros(len(first), np.int64)
+        np.add.at(total, inverse, counts)
+        sums, at, out = total[inverse], 0, []
+        for chunk, x in zip(pdf["chunk"], pdf["hashes"], strict=True):
+            out.append((chunk, int(pdf["range"].iloc[0]), sums[at : at + len(x) // 8].tobytes()))
+            at += len(x) // 8
+        known = total > 0
+        by_class = np.bincount(kinds[first][known], total[known]), np.bincount(kinds[first][known])
+        both = np.zeros((2, max(map(len, by_class))), np.int64)
+        for i, x in enumerate(by_class):
+            both[i, : len(x)] = x
+        out.append((None, -1, both.tobytes()))
+        often = (total.astype(float) * own > trained) & (kinds[first] > 0)
+        rows = np.stack([hashes[first][often].view(np.int64), kinds[first][often], total[often]])
+        out.append((None, -2, rows.astype(np.int64).tobytes()))
+        return pd.DataFrame(out, columns=["chunk", "range", "totals"])
+
+    return run
+
+
+class Classes:
+    """Classes of tokens: shared ones first, then one for each frequent token."""
+
+    def __init__(self, shared: int, often: np.ndarray):
+        """often: frequent tokens' hashes, by rising hash."""
+        self.shared, self.often = shared, often
+
+    def of(self, hashes: bytes, kinds: bytes) -> np.ndarray:
+        h, found = np.frombuffer(hashes, np.uint64), np.frombuffer(kinds, np.int32)
+        if not len(self.often):
+            return found
+        at = np.minimum(np.searchsorted(self.often, h), len(self.often) - 1)
+        return np.where(self.often[at] == h, self.shared + at, found).astype(np.int32)
 
 
 # --------------------------------------------------------------------- model
@@ -211,30 +238,51 @@ class Hmm:
 
 # ------------------------------------------------------------------ training
 
+SLICED = "slice int, sizes array<long>, classes binary"
+
 
-def _segments(model_of, segment: int):
-    """Expected counts of a partition's training segments: rows (kind, number, values)."""
+def _slices(classes_of: Classes, slices: int, segment: int):
+    """Training segments of chunks, dealt into slices: a row per chunk and slice."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model: Hmm = model_of()
-        sums = None
         for b in batches:
-            for held, sizes, tokens, kinds in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                obs = np.frombuffer(kinds, np.int32)[np.frombuffer(tokens, np.int32)]
+            for held, sizes, tokens, hashes, kinds in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                obs = classes_of.of(hashes, kinds).astype(np.uint16)[np.frombuffer(tokens, np.int32)]
                 ends = np.cumsum(sizes)
                 cuts = [(s, min(s + segment, e)) for h, e, n in zip(held, ends.tolist(), sizes, strict=True) if not h for s in range(e - n, e, segment)]
-                cuts.sort(key=lambda c: c[1] - c[0])
-                for at in range(0, len(cuts), 512):
-                    part = cuts[at : at + 512]
-                    many = np.array([e - s for s, e in part])
-                    rows = np.zeros((len(part), int(many.max())), np.int32)
-                    for i, (s, e) in enumerate(part):
-                        rows[i, : e - s] = obs[s:e]
-                    found = model.expected(rows, many)
+                parts = [cuts[i::slices] for i in range(slices)]
+                some = [i for i in range(slices) if parts[i]]
+                cols = [
+                    pa.array(some, pa.int32()),
+                    pa.array([[e - s for s, e in parts[i]] for i in some], pa.list_(pa.int64())),
+                    pa.array([np.concatenate([obs[s:e] for s, e in parts[i]]).tobytes() for i in some], pa.binary()),
+                ]
+                yield pa.RecordBatch.from_arrays(cols, names=["slice", "sizes", "classes"])
+
+    return run
+
+
+def _expected(shared):
+    """Expected counts of a partition's segments: rows (kind, number, values)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model: Hmm = shared.value
+        sums = None
+        for b in batches:
+            for sizes, classes in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                obs, many = np.frombuffer(classes, np.uint16), np.array(sizes)
+                starts = np.cumsum(many) - many
+                order = np.argsort(many, kind="stable")
+                for at in range(0, len(order), 512):
+                    part = order[at : at + 512]
+                    rows = np.zeros((len(part), int(many[part].max())), np.int32)
+                    for i, j in enumerate(part.tolist()):
+                        rows[i, : many[j]] = obs[starts[j] : starts[j] + many[j]]
+                    found = model.expected(rows, many[part])
                     sums = found if sums is None else [x + y for x, y in zip(sums, found, strict=True)]
         if sums is not None:
             start, move, emit = sums
-            rows = [(0, 0, start), *((1, i, x) for i, x in enumerate(move)), *((2, i, x) for i, x in enumerate(emit.T))]
+            rows = [(0, 0, start), *((1, i, x) for i, x in enumerate(move)), *((2, i, x) for i, x in enumerate(emit.T) if x.any())]
             cols = [pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int32())]
             cols.append(pa.array([r[2].tolist() for r in rows], pa.list_(pa.float64())))
             yield pa.RecordBatch.from_arrays(cols, names=["kind", "number", "values"])
@@ -242,28 +290,22 @@ def _segments(model_of, segment: int):
     return run
 
 
-def train(chunks: DataFrame, model: Hmm, rounds: int, warm: int, segment: int, warm_share: float) -> Hmm:
-    """``warm`` rounds over about ``warm_share`` of the chunks, then ``rounds`` over all of them."""
-    spark = chunks.sparkSession
-    columns = chunks.select("held", "sizes", "tokens", "kinds")
-    if warm_share < 1:
-        drawn = F.conv(F.substring("chunk", 1, 8), 16, 10).cast("long") < int(warm_share * 2**32)
-        first = saved(columns.where(drawn).repartition(width(spark)), "warm")
-        first = columns if first.isEmpty() else first
-    else:
-        first = columns
-    states = len(model.start)
-    for n in range(warm + rounds):
+def train(sliced: DataFrame, model: Hmm, rounds: int, slices: int) -> Hmm:
+    """Stepwise Baum-Welch over stored slices; round n reads slice n modulo slices."""
+    spark, states, running = sliced.sparkSession, len(model.start), None
+    for n in range(rounds):
         shared = spark.sparkContext.broadcast(model)  # states x classes numbers
-        parts = (first if n < warm else columns).mapInArrow(
-            _segments(lambda s=shared: s.value, segment), "kind int, number int, values array<double>"
-        )
+        parts = sliced.where(F.col("slice") == n % slices).select("sizes", "classes")
+        parts = parts.mapInArrow(_expected(shared), "kind int, number int, values array<double>")
         sums = parts.groupBy("kind", "number").agg(*(F.sum(F.col("values")[k]).alias(f"v{k}") for k in range(states)))
         start, move, emit = np.zeros(states), np.zeros((states, states)), np.zeros_like(model.emit)
         for r in sums.collect():  # 1 + states + classes rows at most
             into = (start, move[r["number"]] if r["kind"] == 1 else None, emit[:, r["number"]] if r["kind"] == 2 else None)[r["kind"]]
             into += np.array(r[2:])
-        model.update(start, move, emit)
+        step = (n + 1) ** -0.6
+        fresh = [x * slices for x in (start, move, emit)]
+        running = fresh if running is None else [(1 - step) * old + step * new for old, new in zip(running, fresh, strict=True)]
+        model.update(*running)
         shared.unpersist()
     return model
 
@@ -273,55 +315,70 @@ def score_texts(
     held_out: Column,
     states: int = 8,
     classes: int = 4096,
-    rounds: int = 2,
-    warm: int = 10,
+    rounds: int = 12,
+    slices: int = 6,
     segment: int = 128,
-    warm_bytes: int = 24 << 20,
     id_col: str = "doc_id",
     text_col: str = "text",
     chunk_rows: int = 4000,
     chunk_bytes: int = 8 << 20,
+    range_bytes: int = 32 << 20,
 ) -> DataFrame:
     """doc_id, held_out, counts, the add-one unigram base and the model's log10 probability.
 
-    held_out is a condition over doc_id; the warm start reads about ``warm_bytes`` of text.
+    held_out is a condition over doc_id; half of the classes are for frequent words.
     """
-    spark = df.sparkSession
+    spark, own = df.sparkSession, classes // 2
     rows = id_text(df, id_col, text_col).select("doc_id", held_out.alias("held"), "text")
-    chunks = saved(rows.mapInArrow(_index(classes, chunk_rows, chunk_bytes), CHUNK), "chunks")
-    ranges = max(1, 2 * width(spark))
+    chunks = saved(rows.mapInArrow(_index(classes - own, chunk_rows, chunk_bytes), CHUNK), "chunks")
+    trained, distinct = chunks.agg(F.coalesce(F.sum("trained"), F.lit(0)), F.coalesce(F.sum(F.length("hashes")), F.lit(0))).first()
+    # a range holds about range_bytes of hashes, classes and counts
+    ranges = max(2 * width(spark), -(-distinct * 5 // (2 * range_bytes)))
     dealt = chunks.select("chunk", "hashes", "kinds", "counts").mapInArrow(
         _deal(ranges), "range int, chunk string, hashes binary, kinds binary, counts binary"
     )
-    sums = saved(dealt.groupBy("range").applyInPandas(_sum_range, "chunk string, range int, totals binary"), "counts")
-    totals = np.zeros((2, classes), np.int64)
-    for r in sums.where("chunk IS NULL").select("totals").toLocalIterator():
-        both = np.frombuffer(r["totals"], np.int64).reshape(2, -1)
-        totals[:, : both.shape[1]] += both
+    sums = saved(dealt.groupBy("range").applyInPandas(_sum_range(own, trained), "chunk string, range int, totals binary"), "counts")
+    totals, often = np.zeros((2, classes), np.int64), [np.zeros((3, 0), np.int64)]
+    for r in sums.where("chunk IS NULL").select("range", "totals").toLocalIterator():  # classes and frequent tokens, both bounded
+        found = np.frombuffer(r["totals"], np.int64)
+        if r["range"] == -1:
+            totals[:, : len(found) // 2] += found.reshape(2, -1)
+        else:
+            often.append(found.reshape(3, -1))
+    hashes, kinds, many = np.concatenate(often, axis=1)
+    order = np.argsort(hashes.view(np.uint64))
+    known = Classes(classes - own, hashes.view(np.uint64)[order])
+    # frequent words leave their shared classes
+    np.subtract.at(totals[0], kinds, many)
+    np.subtract.at(totals[1], kinds, 1)
+    frequent = slice(classes - own, classes - own + len(order))
+    totals[0, frequent], totals[1, frequent] = many[order], 1
     model = Hmm(states, classes, *totals.astype(float))
-    size = chunks.agg(F.sum(F.length("tokens"))).first()[0] or 0
-    model = train(chunks, model, rounds, warm, segment, min(1.0, warm_bytes / max(size, 1)))
+    cut = chunks.select("held", "sizes", "tokens", "hashes", "kinds").mapInArrow(_slices(known, slices, segment), SLICED)
+    sliced = saved(cut, "slices", "slice")
+    model = train(sliced, model, rounds, slices)
+    forget(sliced)
     n, v = (int(x) for x in totals.sum(axis=1))
     parts = sums.where("chunk IS NOT NULL").groupBy("chunk").agg(F.array_sort(F.collect_list(F.struct("range", "totals"))).alias("parts"))
-    joined = chunks.select("chunk", "ids", "held", "sizes", "tokens", "kinds").join(parts, "chunk")
-    shared = spark.sparkContext.broadcast(model)
+    joined = chunks.select("chunk", "ids", "held", "sizes", "tokens", "hashes", "kinds").join(parts, "chunk")
+    shared = spark.sparkContext.broadcast((model, known))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model: Hmm = shared.value
+        model, known = shared.value
         for b in batches:
-            for ids, held, sizes, tokens, kinds, found in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for ids, held, sizes, tokens, hashes, kinds, found in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 counts = np.concatenate([np.frombuffer(x["totals"], np.int64) for x in found])
-                kind, token = np.frombuffer(kinds, np.int32), np.frombuffer(tokens, np.int32)
+                kind, token = known.of(hashes, kinds), np.frombuffer(tokens, np.int32)
                 starts = np.cumsum(sizes) - sizes
                 per = np.stack([np.log10((counts + 1) / (n + v + 1)), model.token_log10(counts, kind), (counts > 0).astype(float)])
-                base, inner, known = (np.add.reduceat(x[token], starts) for x in per)
+                base, inner, seen = (np.add.reduceat(x[token], starts) for x in per)
                 seq = kind[token]
                 docs = [seq[s : s + m] for s, m in zip(starts.tolist(), sizes, strict=True)]
                 total = inner + model.log10_classes(docs)
                 cols = [
-                    pa.array(ids, pa.int64()), pa.array(held), pa.array(sizes, pa.int64()), pa.array(known.astype(np.int64)),
+                    pa.array(ids, pa.int64()), pa.array(held), pa.array(sizes, pa.int64()), pa.array(seen.astype(np.int64)),
                     pa.array(np.full(len(ids), n)), pa.array(base), pa.array(total),
                 ]
                 yield pa.RecordBatch.from_arrays(cols, names=[x.split()[0] for x in SCHEMA.split(", ")])
 
-    return joined.select("ids", "held", "sizes", "tokens", "kinds", "parts").mapInArrow(run, SCHEMA)
+    return joined.select("ids", "held", "sizes", "tokens", "hashes", "kinds", "parts").mapInArrow(run, SCHEMA)

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .charlm import KneserNey, gram_counts, letters
+from .charlm import KneserNey, gram_counts, learned, letters
 from .common import id_text, saved
 
 #: Fixed readings of look-alike characters.
@@ -234,7 +234,7 @@ class Scorer:
     def score(self, text: bytes) -> float:
         if self.lexicon.rule is None:
             return self.lexicon.rate
-        x = summary(self.found(text), text.count(b" "))
+        x = summary(self.found(text), len(text.split()))
         return 1 / (1 + math.exp(-max(-700.0, min(700.0, sum(map(float.__mul__, self.lexicon.rule, x))))))
 
 
@@ -298,7 +298,7 @@ def _summaries(lexicon: Lexicon, shared):
         scorer = Scorer(lexicon, Decoder(shared.value))
         for b in batches:
             pairs = zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)
-            xs = [summary(scorer.found(text, toxic), text.count(b" ")) for toxic, text in pairs]
+            xs = [summary(scorer.found(text, toxic), len(text.split())) for toxic, text in pairs]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(xs, pa.list_(pa.float64()))], names=["toxic", "x"])
 
     return run
@@ -346,8 +346,7 @@ def fit(
 ) -> tuple[Lexicon, KneserNey]:
     """Character model from all texts; lexicon from labelled rows that satisfy ``learn`` (over doc_id)."""
     texts = id_text(df, id_col, text_col)
-    counts = gram_counts(texts.select(F.lit("all").alias("class"), "text"), "class", "text")
-    model = KneserNey((r["class"], r["gram"], r["n"]) for r in counts.toLocalIterator())
+    model = learned(gram_counts(texts.select(F.lit("all").alias("class"), "text"), "class", "text"))
     marks = labels.select(labels[id_col].cast("long").alias("doc_id"), labels[label_col].cast("int").alias("toxic"))
     marks = marks.where("doc_id IS NOT NULL AND toxic IS NOT NULL").where(learn).groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
     return fit_lexicon(texts, marks, model, sample), model

@@ -103,7 +103,7 @@ def test_url_templates_learn_from_labels(spark):
 def test_top_k_against_brute_force(spark, block):
     rng = random.Random(4)
     rows = [(i, [rng.choice([-0.5, 0.0, 0.25, 0.3, 1.0]) for _ in range(4)], 0, 9) for i in range(120)]
-    rows += [(3, rows[3][1], 1, 9), (500, None, 0, 9), (501, [1.0, None, 0.0, 0.0], 0, 9), (502, [float("nan")] * 4, 0, 9), (503, [float("inf")] * 4, 0, 9), (None, [1.0] * 4, 0, 9), (504, [1.0], 0, 9), (505, [], 0, 9), (510, [1e30, 0.0, 0.0, 0.0], 0, 9)]
+    rows += [(3, rows[3][1], 1, 9), (500, None, 0, 9), (501, [1.0, None, 0.0, 0.0], 0, 9), (502, [float("nan")] * 4, 0, 9), (503, [float("inf")] * 4, 0, 9), (None, [1.0] * 4, 0, 9), (504, [1.0], 0, 9), (505, [], 0, 9), (510, [1e30, 0.0, 0.0, 0.0], 0, 9), (511, [-1e-20, 0.0, 1.0, -1e-300], 0, 9), (520, [-1e-20] * 4, 0, 9)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int, score int")
     got = topk.top_k(df, F.col("vec_id") % 10 == 0, k=5, block=block, bins=8)
     usable = [(i, [int(np.floor(256 * x)) for x in v]) for i, v, *_ in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]

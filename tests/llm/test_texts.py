@@ -293,18 +293,51 @@ def test_permutation_and_shards():
     assert all(np.array_equal(b, sum((c for _, c in parts[:i]), np.zeros(4, int))) for i, (b, _) in enumerate(parts))
 
 
-def test_kneser_ney_is_a_distribution():
+def plain_kneser_ney(counts, alphabet):
+    """log P(last | others) by the definition, with dictionaries."""
+    levels = {4: dict(counts)}
+    for k in (3, 2, 1):
+        levels[k] = collections.Counter(g[1:] for g in levels[k + 1])
+    discount = {}
+    for k, grams in levels.items():
+        one, two = (sum(n == x for n in grams.values()) for x in (1, 2))
+        discount[k] = one / (one + 2 * two) if one and two else 0.5
+
+    def p(gram):
+        k = len(gram)
+        if not k:
+            return 1 / alphabet
+        beside = {g: n for g, n in levels[k].items() if g[:-1] == gram[:-1]}
+        if not beside:
+            return p(gram[1:])
+        total = sum(beside.values())
+        seen = max(beside[gram] - discount[k], 0) / total if gram in beside else 0
+        return seen + discount[k] * len(beside) / total * p(gram[1:])
+
+    return p
+
+
+def test_kneser_ney_against_its_definition(spark):
     rng = random.Random(8)
     words = {"aa": ["".join(rng.choice("abc") for _ in range(rng.randint(1, 5))) for _ in range(300)], "bb": ["cab", "acb"] * 20}
-    counts = []
+    counts = {}
     for name, ws in words.items():
         grams, _ = charlm.windows(ws)
-        counts += [(name, g, n) for g, n in collections.Counter("".join(map(chr, g)) for g in grams.tolist()).items()]
-    model = charlm.KneserNey(counts)
+        counts[name] = collections.Counter("".join(map(chr, g)) for g in grams.tolist())
+    rows = [(name, g, n) for name, found in counts.items() for g, n in found.items()]
+    model = charlm.learned(spark.createDataFrame(rows, "class string, gram string, n long"))
+    assert model.names == ["aa", "bb"] and model.alphabet == 5
+    texts = spark.createDataFrame([(name, bytearray(" ".join(ws).upper().encode())) for name, ws in words.items()], "class string, text binary")
+    assert sorted(map(tuple, charlm.gram_counts(texts, "class", "text").collect())) == sorted(rows)
+    some = [g for g in {g for _, g, _ in rows}] + ["zzza", "abcz", "  zz", "bbbb"]
+    got = np.exp(model.grams(np.array([[ord(c) for c in g] for g in some], np.uint32)))
+    for i, name in enumerate(model.names):
+        p = plain_kneser_ney(counts[name], model.alphabet)
+        assert np.allclose(got[:, i], [p(g) for g in some], rtol=1e-4)
     for context in ("   ", "  a", "abc", "zzz", "bca"):
         codes = np.array([[ord(c) for c in context + x] for x in "abc ?"], np.uint32)
         p = np.exp(model.grams(codes)).sum(axis=0)
-        assert np.all(p <= 1 + 1e-9) and np.all(p > 0.95)
+        assert np.all(p <= 1 + 1e-6) and np.all(p > 0.95)
 
 
 def test_language_id(spark):
@@ -326,6 +359,19 @@ def test_language_id(spark):
     assert {r["lang_pred"] for r in langid.identify(df, nothing).collect()} == {"und"}
 
 
+def test_language_id_rejects_what_no_language_explains(spark):
+    rng = random.Random(4)
+    make = {"aa": "abe dig hol mun ter".split(), "bb": "xyz qwu vor pla sik".split()}
+    text = lambda lang, n: " ".join("".join(rng.choice(make[lang]) for _ in range(rng.randint(1, 3))) for _ in range(n))
+    rows = [(i, text(lang := ("aa", "bb")[i % 2], rng.randint(3, 80)), lang, "s") for i in range(300)]
+    odd = ["mkkw tzzp jfyy ghkc " * 5, "Съешь же ещё этих мягких французских булок", "日本語の文章です" * 4, "b7 c9 ff0 aaeeiioouu uuooii " * 5]
+    known = langid.fit(frame(spark, rows), crc_mod("doc_id", 5) != 0)
+    clean = [(1000 + i, text(("aa", "bb")[i % 2], 20), None, "s") for i in range(60)]
+    got = {r["doc_id"]: r for r in langid.identify(frame(spark, clean + [(2000 + i, t, "aa", "s") for i, t in enumerate(odd)]), known).collect()}
+    assert not any(got[d]["rejected"] for d, *_ in clean) and all(got[d]["score"] > 0.5 for d, *_ in clean)
+    assert all(got[2000 + i]["rejected"] and got[2000 + i]["score"] < 0.5 for i in range(len(odd)))
+
+
 def test_toxicity(spark):
     rng = random.Random(5)
     plain = ["".join(rng.choice(["ba", "ti", "lo", "shu", "re"]) for _ in range(rng.randint(1, 4))) for _ in range(300)]
@@ -355,7 +401,7 @@ def test_toxicity(spark):
 def test_hmm_counts_and_exact_likelihood(spark):
     rows = corpus()
     df = frame(spark, rows)
-    got = hmm.score_texts(df, crc_mod("doc_id", 7) == 2, states=2, classes=16, rounds=1, warm=1, chunk_rows=7).collect()
+    got = hmm.score_texts(df, crc_mod("doc_id", 7) == 2, states=2, classes=16, rounds=4, slices=2, segment=8, chunk_rows=7, range_bytes=1000).collect()
     tokens = [(t or "").encode().lower().split() + [b"\n"] for _, t, *_ in rows]
     fold = [zlib.crc32((str(i) if i is not None else "").encode()) % 7 == 2 for i, *_ in rows]
     c = collections.Counter(w for ws, h in zip(tokens, fold, strict=True) if not h for w in ws)
