@@ -11,7 +11,8 @@ bundles that the committed index names count, so a lost executor's half-written
 files are never read.  Bundles are written with pyarrow's file systems (local,
 HDFS, S3, GCS by the folder's URI) and read back the same way.
 
-Defined cases: a null payload is empty; payloads under ``revisit_bytes`` are
+Defined cases: an empty table has no records; payloads of any length are written
+whole; other columns stay out; a null payload is empty; payloads under ``revisit_bytes`` are
 always responses; rows with an equal payload and the largest id are all
 responses; a null id is never the largest, and a group of null ids only holds
 responses; null urls are written as ``urn:none``.
@@ -172,19 +173,22 @@ def write_bundles(
     payload = F.encode(F.coalesce(df[payload_col].cast("string"), F.lit("")), "UTF-8")
     rows = df.select(df[id_col].cast("long").alias("record_id"), df[url_col].cast("string").alias("url"), payload.alias("payload"))
     rows = rows.select("*", F.sha1("payload").alias("digest"), F.octet_length("payload").cast("long").alias("size"))
-    copies = (
-        rows.where(F.col("size") >= revisit_bytes)
-        .groupBy("digest", "size")
-        .agg(F.max("record_id").alias("kept"), F.count("*").alias("n"))
-        .where("n > 1")
-        .drop("n")
-    )
-    rows = rows.join(copies, ["digest", "size"], "left")
-    again = F.col("kept").isNotNull() & ~F.col("record_id").eqNullSafe(F.col("kept"))
-    rows = rows.select(
-        "record_id", "url", "digest", "size", F.when(again, F.lit(None)).otherwise(F.col("payload")).alias("payload"),
-        F.when(again, F.col("kept")).alias("refers_to"),
-    )
+    big = rows.where(F.col("size") >= revisit_bytes)
+    kept = big.groupBy("digest", "size").agg(F.max("record_id").alias("kept"))
+    kept = saved(kept, "kept")
+    columns = ["record_id", "url", "digest", "size", "payload", "refers_to"]
+    none = F.lit(None).cast("long").alias("refers_to")
+    small = rows.where(F.col("size") < revisit_bytes).select("*", none)
+    # payloads move by (digest, id), so copies of one page spread over tasks, and only a response's moves on;
+    # revisits need no payload and are joined without it
+    holders = kept.select("digest", "size", F.col("kept").alias("record_id"))
+    response = big.join(holders, ["digest", "size", "record_id"], "left_semi").select("*", none)
+    again = big.where("record_id IS NOT NULL").drop("payload").join(kept, ["digest", "size"]).where("record_id <> kept")
+    again = again.select("*", F.lit(None).cast("binary").alias("payload"), F.col("kept").alias("refers_to"))
+    nameless = big.where("record_id IS NULL").join(kept, ["digest", "size"])
+    nameless = nameless.select("record_id", "url", "digest", "size", F.when(F.col("kept").isNull(), F.col("payload")).alias("payload"), F.col("kept").alias("refers_to"))
+    rows = small.select(columns).union(response.select(columns)).union(again.select(columns)).union(nameless.select(columns))
+    rows = rows.select("record_id", "url", "digest", "size", "payload", "refers_to")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = BundleWriter(folder, level, frame_bytes, bundle_bytes)
