@@ -8,7 +8,9 @@ place from its rank among the pieces of its length.  Nothing that grows with
 the corpus reaches the driver.
 
 Defined cases: null text is empty text; an empty document is its end token
-alone; rows with equal ids are separate documents; a null id is carried as null.
+alone; rows with equal ids are separate documents; a null id is carried as null;
+texts of any length are tokenised whole and cut into full pieces and a last one; an
+empty table has no rows; other columns stay out.
 """
 
 from __future__ import annotations
@@ -167,24 +169,38 @@ def best_fit(counts: dict[int, int], capacity: int) -> list[Pattern]:
     return [(many, held) for groups in free.values() for many, held in groups if held]
 
 
-def lower_bound(counts: dict[int, int], capacity: int) -> int:
-    """The bound by sums, raised by the pieces that can't share a sequence."""
-    lengths = sorted(counts)
-    least = -(-sum(n * c for n, c in counts.items()) // capacity)
-    for floor in [0, *(x for x in lengths if 2 * x <= capacity)]:
-        alone = sum(counts[x] for x in lengths if x > capacity - floor)
-        half = [x for x in lengths if capacity - floor >= x > capacity / 2]
-        n_half = sum(counts[x] for x in half)
-        room = n_half * capacity - sum(x * counts[x] for x in half)
-        small = sum(x * counts[x] for x in lengths if floor <= x <= capacity / 2)
-        least = max(least, alone + n_half + max(0, -(-(small - room) // capacity)))
-        if floor and len(lengths) > 512:
-            break  # the sum bound decides for rich histograms
+def lower_bound(counts: dict[int, int], capacity: int, most: int = 64) -> int:
+    """The best of three kinds of bounds: by sums, by pieces that can't share a sequence, and by dual feasible functions.
+
+    For every floor f, pieces above capacity - f are alone, those above one half
+    take a sequence each, and what lies from f to one half must fit beside them.
+    The function u_k maps a piece x to floor((k + 1) x / capacity) / k (x itself where
+    that is whole): no sequence's pieces exceed 1 in sum, so it also sees that no
+    more than k pieces of some kind fit together.
+    """
+    lengths = np.array(sorted(counts), np.int64)
+    number = np.array([counts[x] for x in lengths.tolist()], object)  # whole numbers of any size
+    upto = lambda values: np.concatenate([[0], np.cumsum(values)])
+    many, mass = upto(number), upto(number * lengths)
+    least = -(-int(mass[-1]) // capacity)
+    middle = int(np.searchsorted(lengths, capacity / 2, "right"))  # first above one half
+    for at in range(middle + 1):
+        floor = int(lengths[at]) if at < middle else 0
+        high = int(np.searchsorted(lengths, capacity - floor, "right"))
+        alone, half = many[-1] - many[high], many[high] - many[middle]
+        room = half * capacity - (mass[high] - mass[middle])
+        small = mass[middle] - mass[at] if at < middle else mass[middle]
+        least = max(least, int(alone + half + max(0, -(-(small - room) // capacity))))
+    for k in range(1, most + 1):
+        scaled = (k + 1) * lengths
+        whole = scaled % capacity == 0
+        values = np.where(whole, k * lengths, capacity * (scaled // capacity))  # of k * capacity
+        least = max(least, -(-int((values.astype(object) * number).sum()) // (k * capacity)))
     return least
 
 
-def fillings(counts: dict[int, int], capacity: int, allowed: int, look: int, keep: int) -> list[tuple]:
-    """Undominated ways to fill a sequence around the largest piece, least waste first.
+def fillings(counts: dict[int, int], capacity: int, allowed: int, look: int) -> list[tuple]:
+    """All undominated ways to fill a sequence around the largest piece, least waste first (of those met in ``look`` steps).
 
     A filling is dropped if a larger unused piece fits where one of its pieces
     (or a pair of them) stands, or if it wastes more than ``allowed``.
@@ -222,8 +238,6 @@ def fillings(counts: dict[int, int], capacity: int, allowed: int, look: int, kee
                 full = room < smallest or all(stock[x] <= used.get(x, 0) for x in lengths if x <= room)
                 if full and room <= allowed and not dominated(held, room):
                     found.append((room, tuple(held)))
-                    if room == 0 and sum(w == 0 for w, _ in found) >= keep:
-                        break
                 continue
             many = min(stock[lengths[at]], room // lengths[at])
         if many:
@@ -232,7 +246,7 @@ def fillings(counts: dict[int, int], capacity: int, allowed: int, look: int, kee
         stack.append((at + 1, None, room - many * x, [*held, (x, many)] if many else held))
     found.sort(key=lambda f: (f[0], [-x for x, _ in f[1]]))
     out = []
-    for waste, held in found[:keep]:
+    for waste, held in found:
         whole = dict(held)
         whole[largest] = whole.get(largest, 0) + 1
         out.append((waste, tuple(sorted(whole.items(), reverse=True))))
@@ -240,12 +254,13 @@ def fillings(counts: dict[int, int], capacity: int, allowed: int, look: int, kee
 
 
 def bin_completion(
-    counts: dict[int, int], capacity: int, nodes: int = 64, look: int = 1000, keep: int = 3
+    counts: dict[int, int], capacity: int, nodes: int = 96, look: int = 2000
 ) -> list[Pattern]:
     """Branch-and-bound over patterns, from the best-fit incumbent towards the bound.
 
-    ``nodes``, ``look`` and ``keep`` bound the search effort, never the input:
-    the best complete solution met is returned.
+    The problem is hard, so ``nodes`` and ``look`` bound the search's effort, never
+    the input: the best complete solution met is returned.  It is known to be the
+    best of all if ``size`` of it is ``lower_bound`` or the search ended by itself.
     """
     counts = {n: c for n, c in counts.items() if c}
     if not counts:
@@ -268,7 +283,7 @@ def bin_completion(
         if size(chosen) + size(rest) < size(best):
             best = chosen + rest
         children = []
-        for lost, held in fillings(left, capacity, allowed, look, keep):
+        for lost, held in fillings(left, capacity, allowed, look):
             most = min(left[x] // n for x, n in held)
             if lost:
                 most = max(1, min(most, allowed // lost))
