@@ -3,22 +3,29 @@
 A k-mer of code points is an anchor if the least hash among its inner s-mers
 lies at one of its two edges: a property of the k-mer alone, so equal passages
 give equal anchors wherever they stand, and every k - s + 1 neighbouring k-mers
-hold one.  A fingerprint keeps the ``most`` anchors of least hash with their first
-positions.  Two fingerprints are compared over the least hashes of their union:
-an anchor is shared if both hold it and another shared anchor confirms its shift
-of position (within ``drift``), so that common syllables in unrelated texts don't
-count.  The likeness is Dice's coefficient.
+hold one.  A fingerprint keeps the anchors whose hash is below a fixed threshold
+(one in ``share``, so their number grows with the text), the ``floor`` least ones
+at any rate, each with its first position; its first entry holds the number of all
+distinct anchors and a digest of all of them with their positions, so a change
+anywhere in the text shows.
+
+Two fingerprints are compared over the hashes up to which both are complete: an
+anchor is shared if both hold it and another shared anchor confirms its shift of
+position (within ``drift``), so that common syllables in unrelated texts don't
+count.  The likeness is Dice's coefficient; it is 1 for equal fingerprints alone.
 
 Defined cases: null text is empty and has the empty fingerprint, which is like
 itself alone; texts shorter than k, or without an anchor, have one anchor made
 from the whole; repeated ids are ordered by their texts' digests; null ids come
-first; a table of one row is followed by itself.
+first; a table of one row is followed by itself; an empty table has no rows;
+texts of any length are read whole; other columns stay out.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -62,8 +69,8 @@ def anchors(codes: np.ndarray, k: int, s: int) -> tuple[np.ndarray, np.ndarray]:
     return at, _mix(whole + inner[at + w - 1])
 
 
-def fingerprints(texts: list[str], k: int = 10, s: int = 5, most: int = 48) -> list[np.ndarray]:
-    """The kept anchors of each text, by rising hash."""
+def fingerprints(texts: list[str], k: int = 10, s: int = 5, floor: int = 48, share: int = 16) -> list[np.ndarray]:
+    """Of each text: an entry about all anchors, then the kept ones by rising hash."""
     sizes = np.array([len(t) for t in texts], np.int64)
     codes = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32).astype(np.uint64)
     at, hashes = anchors(codes, k, s)
@@ -74,16 +81,13 @@ def fingerprints(texts: list[str], k: int = 10, s: int = 5, most: int = 48) -> l
     out = []
     for text, start, i, j in zip(texts, starts.tolist(), low.tolist(), high.tolist(), strict=True):
         if i < j:
-            key = keys[i:j]
-            if len(key) > 8 * most:
-                key = np.partition(key, 4 * most)[: 4 * most]
-            found = _first(key, start)
-            if len(found) < most and len(key) < j - i:
-                found = _first(keys[i:j], start)
-            out.append(found[:most])
+            every = _first(keys[i:j], start)
+            below = int(np.searchsorted(every["hash"], np.uint32(2**32 // share)))
+            head = np.array([(zlib.crc32(every.tobytes()), len(every))], ENTRY)
+            out.append(np.concatenate([head, every[: max(below, floor)]]))
         elif text:
-            digest = hashlib.blake2b(text.encode(), digest_size=4).digest()
-            out.append(np.array([(int.from_bytes(digest, "little"), 0)], ENTRY))
+            digest = int.from_bytes(hashlib.blake2b(text.encode(), digest_size=4).digest(), "little")
+            out.append(np.array([(digest, 1), (digest, 0)], ENTRY))
         else:
             out.append(np.zeros(0, ENTRY))
     return out
@@ -107,21 +111,26 @@ def parsed(text: str) -> np.ndarray:
     return np.frombuffer(base64.b64decode(text), ENTRY)
 
 
-def likeness(a: np.ndarray, b: np.ndarray, most: int = 48, drift: int = 32) -> float:
-    """0 to 1 from the fingerprints alone; equal ones are at 1."""
-    if len(a) == len(b) and a.tobytes() == b.tobytes():
+def _complete(kept: np.ndarray, every: int, floor: int, share: int) -> int:
+    """The hash up to which the kept anchors are all that the text has."""
+    return 2**32 - 1 if len(kept) == every else max(int(kept["hash"][-1]), 2**32 // share - 1)
+
+
+def likeness(x: np.ndarray, y: np.ndarray, floor: int = 48, share: int = 16, drift: int = 32) -> float:
+    """0 to 1 from the fingerprints alone; equal ones, and no others, are at 1."""
+    if len(x) == len(y) and x.tobytes() == y.tobytes():
         return 1.0
-    if not len(a) or not len(b):
+    if not len(x) or not len(y):
         return 0.0
-    union = np.union1d(a["hash"], b["hash"])[:most]
+    upto = min(_complete(f[1:], int(f["at"][0]), floor, share) for f in (x, y))
+    a, b = (f[1:][: np.searchsorted(f["hash"][1:], np.uint32(upto), "right")] for f in (x, y))
     both, i, j = np.intersect1d(a["hash"], b["hash"], assume_unique=True, return_indices=True)
-    inside = both <= union[-1]
-    shift = np.sort(a["at"][i[inside]].astype(np.int64) - b["at"][j[inside]])
+    shift = np.sort(a["at"][i].astype(np.int64) - b["at"][j])
     if min(len(a), len(b)) > 3 and len(shift):
         near = np.diff(shift) <= drift
         shift = shift[np.r_[near, False] | np.r_[False, near]]
-    share = len(shift) / len(union)
-    return 2 * share / (1 + share)
+    most = 1 - 1 / (2 + max(int(x["at"][0]), int(y["at"][0])))  # all that is kept may agree
+    return min(most, 2 * len(shift) / max(1, len(a) + len(b)))
 
 
 def edited(text: str, after: str) -> str:
@@ -158,21 +167,23 @@ def chained(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     return placed.withColumn("sha", F.sha1(F.col("text").cast("binary"))).sortWithinPartitions("lead", "key", "sha").select("lead", "doc_id", "text")
 
 
-def with_next(df: DataFrame, k: int = 10, s: int = 5, most: int = 48, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def with_next(
+    df: DataFrame, k: int = 10, s: int = 5, floor: int = 48, share: int = 16, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
     """Fingerprints of every text and of its edited text, and likenesses to the edited and the next one's."""
 
     def block(rows: list[tuple], after: tuple[str, np.ndarray], prints: list[np.ndarray]) -> pa.RecordBatch:
         following = [*zip((t for _, t in rows[1:]), prints[1:], strict=True), after]
         changed = [edited(t, x) for (_, t), (x, _) in zip(rows, following, strict=True)]
-        new = fingerprints(changed, k, s, most)
+        new = fingerprints(changed, k, s, floor, share)
         cols = [
             pa.array([d for d, _ in rows], pa.int64()),
             pa.array([len(t) for _, t in rows], pa.int64()),
             pa.array([hashlib.sha256(t.encode()).hexdigest() for t in changed]),
             pa.array(map(text_of, prints), pa.string()),
             pa.array(map(text_of, new), pa.string()),
-            pa.array([likeness(a, b, most) for a, b in zip(prints, new, strict=True)], pa.float64()),
-            pa.array([likeness(a, b, most) for a, (_, b) in zip(prints, following, strict=True)], pa.float64()),
+            pa.array([likeness(a, b, floor, share) for a, b in zip(prints, new, strict=True)], pa.float64()),
+            pa.array([likeness(a, b, floor, share) for a, (_, b) in zip(prints, following, strict=True)], pa.float64()),
         ]
         return pa.RecordBatch.from_arrays(cols, names=[x.split()[0] for x in SCHEMA.split(", ")])
 
@@ -180,7 +191,7 @@ def with_next(df: DataFrame, k: int = 10, s: int = 5, most: int = 48, id_col: st
         held: list[tuple] = []
         prints: list[np.ndarray] = []
         for part, is_lead in _parts(batches):
-            fresh = fingerprints([t for _, t in part], k, s, most)
+            fresh = fingerprints([t for _, t in part], k, s, floor, share)
             rows, own = held + part, prints + fresh
             if is_lead:
                 if held:
