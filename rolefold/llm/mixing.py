@@ -1,7 +1,7 @@
 """Mixing sources to target weights in fixed-length blocks.
 
-Each source's words, its documents one after another by id, are cut into blocks
-of ``block`` words.  A source's target becomes a number of slots; these are dealt
+Each source's words, its documents one after another (by a hash of id and text,
+then by id), are cut into blocks of ``block`` words.  A source's target becomes a number of slots; these are dealt
 to output shards of ``shard`` slots by multinomial draws that keep each source's
 total (multivariate hypergeometric, along a binary tree, so every shard finds its
 own counts).  Slot t of a source takes block perm(t mod blocks), with a keyed
@@ -11,13 +11,15 @@ than another; drawn blocks are joined to the documents by index.
 All draws come from the seed and the sources' names: reruns agree.
 
 Defined cases: null text has size 0 and is never taken; a null source is a source
-of its own, last in order; null ids come first; equal rows lie side by side and
-count one by one; with no words at all every target is 0.
+of its own, last in order; equal rows lie side by side and count one by one; with
+no words at all every target is 0; an empty table has no rows; texts of any length
+are cut like others; other columns, whatever their names, pass through unread.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 from collections.abc import Iterator
 
@@ -71,7 +73,7 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = 3)
 
 def positioned(sizes: DataFrame) -> DataFrame:
     """Adds ``start``, the words of the source before the document."""
-    dealt = sizes.withColumn("deal", F.pmod(F.xxhash64("doc_id"), F.lit(DEALS)))
+    dealt = sizes.withColumn("deal", F.pmod(F.xxhash64("doc_id", "sum64"), F.lit(DEALS)))
     inside = Window.partitionBy("source", "deal").orderBy("doc_id", "size", "sum64").rowsBetween(Window.unboundedPreceding, -1)
     before = Window.partitionBy("source").orderBy("deal").rowsBetween(Window.unboundedPreceding, -1)
     parts = dealt.groupBy("source", "deal").agg(F.sum("size").alias("words"))
@@ -84,15 +86,35 @@ def positioned(sizes: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------------- draws
 
 
+def hypergeometric(good: int, bad: int, n: int, rng: np.random.Generator) -> int:
+    """How many of ``n`` drawn without replacement are good, by inversion around the mode; no number is too large.
+
+    The window leaves out what lies more than 12 deviations from the mean (below 1e-30).
+    """
+    total = good + bad
+    low, high = max(0, n - bad), min(n, good)
+    u = rng.random()
+    if low == high:
+        return low
+    mean = n * good // total
+    spread = 12 * math.sqrt(n * (good / total) * (bad / total) * ((total - n) / max(total - 1, 1))) + 12
+    low, high = max(low, mean - int(spread)), min(high, mean + int(spread))
+    k = np.arange(high - low, dtype=np.float64)
+    # log of P(x + 1) / P(x) for x = low + k
+    ratio = np.log((good - low) - k) + np.log((n - low) - k) - np.log((low + 1) + k) - np.log((bad - n + low + 1) + k)
+    logs = np.concatenate([[0.0], np.cumsum(ratio)])
+    cdf = np.cumsum(np.exp(logs - logs.max()))
+    return low + int(np.searchsorted(cdf, u * cdf[-1]))
+
+
 def _split(counts: np.ndarray, part: int, key: list[int]) -> np.ndarray:
     """How many of each source's slots fall to the first ``part`` of all: a draw that keeps the totals."""
-    total = int(counts.sum())
-    even = counts * part // total
-    if total >= 500_000_000:  # beyond numpy's range; the draw's relative spread is below 1e-4 there
-        short = part - int(even.sum())
-        even[np.argsort(-(counts * part % total), kind="stable")[:short]] += 1
-        return even
-    return np.random.default_rng(key).multivariate_hypergeometric(counts, part, method="marginals")
+    rng, left, out = np.random.default_rng(key), int(counts.sum()), np.zeros_like(counts)
+    for i, n in enumerate(counts.tolist()):
+        left -= n
+        out[i] = hypergeometric(n, left, part, rng) if part else 0
+        part -= int(out[i])
+    return out
 
 
 def shard_counts(quotas: np.ndarray, shard: int, number: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
@@ -214,27 +236,26 @@ def copies(text: str, blocks: list[dict]) -> list[str]:
 def mix_documents(df: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", **options) -> DataFrame:
     """The mixture itself: rows like the documents', a row for each pass over what is taken of a document."""
     plan = mixed(df, id_col=id_col, source_col=source_col, text_col=text_col, with_blocks=True, **options)
-    key = [F.col(id_col).cast("long"), F.col(source_col).cast("string"), F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))]
     number = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy(F.lit(0)))  # noqa: E731  equal rows: any order
-    docs = df.select("*", *(k.alias(f"_k{i}") for i, k in enumerate(key)))
-    docs = docs.withColumn("_n", number("_k0", "_k1", "_k2"))
-    taken = plan.where("taken > 0").select(
-        F.col("doc_id").alias("_p0"), F.col("source").alias("_p1"), F.col("sum64").alias("_p2"), F.col("blocks").alias("_blocks")
-    )
-    taken = taken.withColumn("_m", number("_p0", "_p1", "_p2"))
-    same = [docs[f"_k{i}"].eqNullSafe(taken[f"_p{i}"]) for i in range(3)] + [docs["_n"] == taken["_m"]]
-    joined = docs.join(taken, same)
-    others = [c for c in df.columns if c != text_col]
-    schema = df.select(*others, text_col).schema
+    # the row goes through in one piece, whatever its columns are named
+    docs = df.select(
+        F.struct("*").alias("row"), df[id_col].cast("long").alias("k0"), df[source_col].cast("string").alias("k1"),
+        F.xxhash64(F.coalesce(df[text_col].cast("string"), F.lit(""))).alias("k2"),
+    )
+    docs = docs.withColumn("n", number("k0", "k1", "k2"))
+    taken = plan.where("taken > 0").select(F.col("doc_id").alias("p0"), F.col("source").alias("p1"), F.col("sum64").alias("p2"), "blocks")
+    taken = taken.withColumn("m", number("p0", "p1", "p2"))
+    same = [docs[f"k{i}"].eqNullSafe(taken[f"p{i}"]) for i in range(3)] + [docs["n"] == taken["m"]]
+    joined = docs.join(taken, same).select(F.col(f"row.`{text_col}`").cast("string").alias("text"), "blocks", "row")
+    schema = df.select(F.struct("*").alias("row")).schema.add("text", "string")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts, blocks = b.column(b.num_columns - 2).to_pylist(), b.column(b.num_columns - 1).to_pylist()
+            texts, blocks = b.column(0).to_pylist(), b.column(1).to_pylist()
             for at in range(0, len(texts), 256):
                 made = [(i, t) for i in range(at, min(at + 256, len(texts))) for t in copies(texts[i], blocks[i])]
                 rows = pa.array([i for i, _ in made], pa.int64())
-                cols = [*(b.column(i).take(rows) for i in range(len(others))), pa.array([t for _, t in made], pa.string())]
-                yield pa.RecordBatch.from_arrays(cols, names=[*others, text_col])
+                yield pa.RecordBatch.from_arrays([b.column(2).take(rows), pa.array([t for _, t in made], pa.string())], names=["row", "text"])
 
-    made = joined.select(*others, F.col(text_col).cast("string").alias(text_col), "_blocks").mapInArrow(run, schema)
-    return made.select(*df.columns)
+    made = joined.mapInArrow(run, schema)
+    return made.select(*(F.col("text").alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in df.columns))
