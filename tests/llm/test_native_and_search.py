@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import collections
 import hashlib
 import random
+import re
 
 import numpy as np
 import pytest
@@ -90,6 +92,78 @@ def test_url_rules(spark):
     assert urlfilter.filter_urls(pages(spark).limit(0)).count() == 0
 
 
+def plain_tree(pages, siblings=16, share=100, strength=4, critical=3.84):
+    """verdict and template of every url by dictionaries, however deep its path."""
+    known = dict(urlfilter.RULES)
+    rows = []
+    for url in pages:
+        host, path, rule = brute_rule(url)
+        rows.append((host, re.sub("[0-9]+", "<n>", path), known.get(rule)))
+    bad = lambda rs: sum(r[2] == "block" for r in rs)
+    labelled = lambda rs: sum(r[2] is not None for r in rs)
+    smooth = lambda rs, prior: (bad(rs) + strength * prior) / (labelled(rs) + strength)
+    p0 = (bad(rows) + 1) / (labelled(rows) + 2)
+    leaf = {}
+
+    def grow(own, node, q, p, depth):
+        for r in own:
+            if len(r[1].split("/")) == depth:
+                leaf[r[:2]] = (node, q)
+        going = [r for r in own if len(r[1].split("/")) > depth]
+        by = collections.defaultdict(list)
+        for r in going:
+            by[r[1].split("/")[depth]].append(r)
+        named = collections.defaultdict(list)
+        for seg, rs in by.items():
+            named["*" if len(by) > siblings and len(rs) * share < len(going) else seg] += rs
+        order = sorted((t for t in named if labelled(named[t])), key=lambda t: (bad(named[t]) / labelled(named[t]), t))
+        groups = []
+        for t in order:
+            if groups:
+                (x, n), (y, m) = ((bad(named[g]), labelled(named[g])) for g in (t, groups[-1][-1]))
+                mean = (x + y) / (n + m)
+                z2 = (x / n - y / m) ** 2 / (mean * (1 - mean) * (1 / n + 1 / m)) if 0 < mean < 1 else 0
+                if z2 <= critical:
+                    groups[-1].append(t)
+                    continue
+            groups.append([t])
+        pooled = {t: smooth([r for g in group for r in named[g]], p) for group in groups for t in group}
+        for t, rs in named.items():
+            prior = pooled.get(t, p)
+            grow(rs, f"{node}/{t}", prior, smooth(rs, prior), depth + 1)
+
+    for host in {r[0] for r in rows}:
+        own = [r for r in rows if r[0] == host]
+        grow(own, "", p0, smooth(own, p0), 1)
+    same, shapes = collections.defaultdict(list), collections.defaultdict(list)
+    for r in rows:
+        same[r[0], leaf[r[:2]][0]].append(r)
+        shapes[leaf[r[:2]][0]].append(r)
+    out = []
+    for r in rows:
+        node, q = leaf[r[:2]]
+        p = smooth(same[r[0], node], (q + smooth(shapes[node], p0)) / 2)
+        out.append((r[2] or ("block" if p > 0.5 else "allow"), r[0] + node))
+    return out
+
+
+def test_url_tree_of_any_depth_against_plain_python(spark):
+    rng = random.Random(11)
+    word = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
+    urls = [None, "x", "http://a.com", "http://a.com/", "http://a.com//", "http://a.com/de", "http://EXAMPLE.org/es/" + "/".join("abcdefghij" * 3)]
+    for i in range(1500):
+        host = rng.choice(["s.com", "t.com", "www.u.net", "v.org", "example.org", "w.com"])
+        lang = rng.choice(["de", "fr", "en", "es", "it"])
+        urls.append(f"http://{host}/{lang}/{word(2)}/user/{word(5)}/" + "/".join(rng.choice(["post", "x", word(1)]) for _ in range(rng.randint(0, 4))))
+    urls += [f"http://w.com/{rng.choice(['de', 'zz', 'yy'])}/{i % 7}/{'b' * (i % 3)}" for i in range(300)]
+    df = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "page_id long, url string")
+    got = {r["page_id"]: (r["verdict"], r["template"]) for r in urlfilter.filter_urls(df).collect()}
+    want = plain_tree(urls)
+    assert [got[i] for i in range(len(urls))] == want
+    assert any("/*/" in t for _, t in want) and len({v for v, _ in want}) == 2
+    assert max(t.count("/") for _, t in want) > 20
+
+
 def test_url_templates_learn_from_labels(spark):
     rows = [(i, f"http://s{i % 9}.com/de/{i}") for i in range(60)] + [(100 + i, f"http://t.net/de/{i}") for i in range(20)] + [(200 + i, f"http://t.org/en/{i}") for i in range(60)]
     got = urlfilter.filter_urls(spark.createDataFrame(rows, "page_id long, url string"))

@@ -15,7 +15,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from rolefold.llm import charlm, hmm, langid, likeness, mixing, packing, simhash, syncmers, toxicity
+from rolefold.llm import charlm, hmm, langid, mixing, packing, simhash, syncmers, toxicity
 from rolefold.llm.common import crc_mod, saved
 
 ODD = "doc_id long, text string, lang string, source string, n_chars long, fp long, task int, start string"
@@ -67,9 +67,9 @@ def test_simhash_tiles_find_all_links():
     fps = [rng.getrandbits(64) for _ in range(60)]
     fps += [f ^ sum(1 << b for b in rng.sample(range(64), rng.randint(1, 4))) for f in fps for _ in range(4)]
     fps = np.array(sorted(set(fps)), np.uint64)
-    numbers, many = np.unique(simhash.Cells.number(fps), return_counts=True)
-    plan = simhash.Cells(dict(zip(numbers.tolist(), many.tolist(), strict=True)), 3, 3)
-    dealt = [(int(t), bool(v), f) for ts, vs, fs in plan.deal(fps) for t, v, f in zip(ts, vs, fs, strict=True)]
+    numbers, many = np.unique(simhash.halves(fps), return_counts=True)
+    plan = simhash.Cells(dict(zip(numbers.tolist(), many.tolist(), strict=True)), 3, simhash.within(3))
+    dealt = [(int(t), bool(v), fps[r]) for rs, ts, vs in plan.deal(simhash.halves(fps), fps) for r, t, v in zip(rs, ts, vs, strict=True)]
     dealt.sort(key=lambda x: x[:2])
     rows = [(t, np.array([f for _, v, f in g if not v], np.uint64), np.array([f for _, v, f in g if v], np.uint64)) for t, g in ((t, list(g)) for t, g in itertools.groupby(dealt, lambda x: x[0]))]
     up = {int(f): int(f) for f in fps}
@@ -79,7 +79,7 @@ def test_simhash_tiles_find_all_links():
             x = up[x]
         return x
 
-    links = [(int(a), int(b)) for u, v in simhash.compare(iter(rows), 3) for a, b in zip(u, v, strict=True)]
+    links = [(int(a), int(b)) for u, v in simhash.compare(iter(rows), 3, plan.alone) for a, b in zip(u, v, strict=True)]
     for a, b in links:
         up[root(a)] = root(b)
     for i, a in enumerate(fps):
@@ -131,7 +131,8 @@ def test_near_copies_against_brute_force(spark):
     rows += [(400 + n, line + " ".join(f"w{n}x{i % 50}" for i in range(n)), "aa", "s1") for n in range(20)]
     order = lambda pairs: sorted(pairs, key=repr)
     want = order(jaccard_groups(rows))
-    assert order(tuple(r) for r in likeness.near_copies(frame(spark, rows)).collect()) == want
+    for tile in (7, 1 << 16):
+        assert order(tuple(r) for r in simhash.similar(frame(spark, rows), tile=tile).collect()) == want
     assert len({c for d, c in want if d and 300 <= d < 400}) > 3
 
 
@@ -213,6 +214,37 @@ def test_bin_completion_is_valid_and_often_best():
     assert same >= 55
 
 
+def plain_anchors(text, k=10, s=5):
+    """Every closed syncmer by its definition: {hash of the k-mer: first place}."""
+    found = {}
+    for i in range(len(text) - k + 1):
+        codes = np.frombuffer(text[i : i + k].encode("utf-32-le"), np.uint32).astype(np.uint64)
+        at, hashes = syncmers.anchors(codes, k, s)
+        if len(at):
+            found.setdefault(int(hashes[0] >> np.uint64(32)), i)
+    return found
+
+
+def plain_likeness(a, b, floor=48, share=16, drift=32):
+    """From the texts, by sets and dictionaries."""
+    if a == b:
+        return 1.0
+    x, y = plain_anchors(a), plain_anchors(b)
+
+    def limit(found):
+        below = sum(h < 2**32 // share for h in found)
+        if max(below, floor) >= len(found):
+            return 2**32
+        return max(sorted(found)[max(below, floor) - 1], 2**32 // share - 1)
+
+    top = min(limit(x), limit(y))
+    x, y = ({h: at for h, at in f.items() if h <= top} for f in (x, y))
+    shifts = sorted(x[h] - y[h] for h in x.keys() & y.keys())
+    if min(len(x), len(y)) > 3:
+        shifts = [s for i, s in enumerate(shifts) if any(abs(s - t) <= drift for j, t in enumerate(shifts) if i != j)]
+    return 2 * len(shifts) / max(1, len(x) + len(y))
+
+
 def test_syncmers_with_next(spark):
     rows = [r for r in corpus() if r[0] != 7] + [(7, corpus()[7][1], "aa", "s1")]
     got = {r["doc_id"]: r for r in syncmers.with_next(frame(spark, rows)).collect()}
@@ -225,7 +257,10 @@ def test_syncmers_with_next(spark):
         assert r["n_chars"] == len(text) and r["edited_sha256"] == hashlib.sha256(changed.encode()).hexdigest()
         prints = [syncmers.fingerprints([x])[0] for x in (text, changed, after)]
         assert (r["fingerprint"], r["edited_fingerprint"]) == tuple(map(syncmers.text_of, prints[:2]))
-        assert r["near_edited"] == syncmers.likeness(*prints[:2]) and r["near_next"] == syncmers.likeness(prints[0], prints[2])
+        assert (r["near_edited"] == 1.0) == (prints[0].tobytes() == prints[1].tobytes())
+        if min(map(len, (text, changed, after))) > 40:
+            for got_, other in ((r["near_edited"], changed), (r["near_next"], after)):
+                assert got_ == pytest.approx(plain_likeness(text, other), abs=0.01)
         if len(text) > 200 and after != text:
             assert r["near_edited"] > 0.4 and r["near_edited"] > r["near_next"]
     one = syncmers.with_next(frame(spark, rows[:1])).first()
@@ -233,6 +268,23 @@ def test_syncmers_with_next(spark):
     assert syncmers.with_next(frame(spark, [])).count() == 0
 
 
+def test_syncmer_fingerprints_grow_with_the_text_and_show_any_change():
+    rng = random.Random(3)
+    words = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, 8))) for _ in range(3000)]
+    sizes = []
+    for n in (50, 500, 5000):
+        found = [rng.choice(words) for _ in range(n)]
+        other = [*found[: n // 2], "qqqqq", *found[n // 2 + 1 :]]
+        a, b = syncmers.fingerprints([" ".join(found), " ".join(other)])
+        sizes.append(len(a))
+        assert text_differs(a, b) and 0.9 < syncmers.likeness(a, b) < 1
+    assert sizes[2] > 5 * sizes[1] and sizes[0] > 40
+
+
+def text_differs(a, b):
+    return syncmers.text_of(a) != syncmers.text_of(b)
+
+
 def test_syncmers_are_context_free():
     rng = random.Random(6)
     text = "".join(rng.choice("abcdefgh ") for _ in range(400))
@@ -317,6 +369,56 @@ def plain_kneser_ney(counts, alphabet):
     return p
 
 
+def test_hypergeometric_follows_the_law():
+    good, bad, n = 7, 5, 6
+    ways = [math.comb(good, x) * math.comb(bad, n - x) for x in range(n + 1)]
+    seen = collections.Counter(mixing.hypergeometric(good, bad, n, np.random.default_rng(i)) for i in range(4000))
+    assert all(abs(seen[x] / 4000 - w / sum(ways)) < 0.03 for x, w in enumerate(ways))
+    for total in (10**6, 10**13):  # one way at every size
+        got = [mixing.hypergeometric(total // 4, total - total // 4, total // 2, np.random.default_rng(i)) for i in range(3)]
+        assert all(abs(x - total / 8) < 6 * math.sqrt(total * 3 / 64) for x in got) and len(set(got)) > 1
+
+
+def test_clashing_names_pass_through(spark):
+    names = ["_k0", "_n", "_m", "_blocks", "_kept", "_rows", "_place", "row", "kept", "n", "p0", "text_", "sum", "id"]
+    rows = [(i % 5, f"a b c d e f g {i % 7}", "s", *(range(77, 77 + len(names)))) for i in range(20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, " + ", ".join(f"{n} long" for n in names))
+    for got in (mixing.mix_documents(df, block=4), simhash.keep_one(df), simhash.keep_one_similar(df)):
+        assert got.columns == df.columns
+        assert {tuple(r[n] for n in names) for r in got.collect()} == {tuple(range(77, 77 + len(names)))}
+
+
+def test_tokenizer_words_equal_the_whole_tokenizer(vocabulary):
+    from tokenizers import Tokenizer
+
+    rng, whole, words = random.Random(12), Tokenizer.from_file(vocabulary), packing.WordTokens(vocabulary)
+    blocks = [(32, 127), (160, 592), (768, 880), (880, 1280), (0x2000, 0x2070), (0x3040, 0x3100), (0x4E00, 0x4F00), (0x1F600, 0x1F640), (9, 14)]
+    for _ in range(400):
+        text = "".join(chr(rng.randrange(*rng.choice(blocks[: rng.randint(1, len(blocks))]))) for _ in range(rng.randint(0, 60)))
+        ids = np.frombuffer(packing.token_bytes(text.encode(), words, 1), "<u4").tolist()
+        assert ids == whole.encode(text, add_special_tokens=False).ids + [1], repr(text)
+
+
+def test_decoder_against_all_readings(spark):
+    texts = [("all", bytearray(b"grumwit fooldork snarkle batilo shure " * 3))]
+    model = charlm.learned(charlm.gram_counts(spark.createDataFrame(texts, "class string, text binary"), "class", "text"))
+    decoder = toxicity.Decoder(model)
+
+    def price(readings, costs):
+        total, context = sum(costs), "   "
+        for c in "".join(readings) + " ":
+            total -= decoder.logp(context, c)
+            context = "   " if c == " " else (context + c)[-3:]
+        return total
+
+    for text, split in (("grumw1t", False), ("5n4rkle", False), ("f00ld0rk", False), ("s.h.u.r.e", False), ("baaaat1lo", False), ("shure", True)):
+        lattice = decoder.lattice(text, split)
+        best = min(price([r for r, _ in path], [c for _, c in path]) for path in itertools.product(*lattice))
+        words = decoder.decode(text, split)
+        ways = [price([r for r, _ in p], [c for _, c in p]) for p in itertools.product(*lattice) if "".join(r for r, _ in p).split() == words]
+        assert min(ways) == pytest.approx(best)
+
+
 def test_kneser_ney_against_its_definition(spark):
     rng = random.Random(8)
     words = {"aa": ["".join(rng.choice("abc") for _ in range(rng.randint(1, 5))) for _ in range(300)], "bb": ["cab", "acb"] * 20}
