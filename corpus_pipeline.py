@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rolefold.llm import langid, likeness, mixing, packing, toxicity
+from rolefold.llm import langid, mixing, packing, simhash, toxicity
 from rolefold.llm.common import crc_mod, saved, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -30,7 +30,7 @@ def unknown_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies (five-word shingles alike by 0.8 or more) stays, the one with the smallest id."""
-    return likeness.keep_one(docs).select(*COLUMNS)
+    return simhash.keep_one_similar(docs).select(*COLUMNS)
 
 
 def source_mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
