@@ -20,8 +20,8 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -144,6 +144,13 @@ def _codes(grams: list[str], size: int) -> np.ndarray:
     return np.frombuffer("".join(grams).encode("utf-32-le"), np.uint32).reshape(-1, size)
 
 
+def _of_size(rows: pa.Table, size: int, number: dict[str, int]) -> dict[str, np.ndarray]:
+    """The rows of an order as columns, classes by number."""
+    some = rows.filter(pc.equal(rows["size"], size))
+    cols = {name: some[name].to_numpy() for name in some.column_names if name != "class"}
+    return cols | {"class": np.array([number[c] for c in some["class"].to_pylist()], np.int64)}
+
+
 def learned(counts: DataFrame, order: int = ORDER) -> KneserNey:
     """The model of gram_counts()."""
     every = saved(levels(counts, order).mapInArrow(_placed, "class string, size int, gram string, n long, place long, context long"), "placed")
@@ -152,7 +159,7 @@ def learned(counts: DataFrame, order: int = ORDER) -> KneserNey:
     ones, twos = (F.count(F.when(F.col("n") == x, 1)).alias(f"n{x}") for x in (1, 2))
     ends = every.groupBy(F.expr("right(gram, 1)")).count().count()
     model = KneserNey(
-        *(x.toPandas() for x in (by_place, by_context, every.groupBy("class", "size").agg(ones, twos))),  # bounded by places x classes
+        *(x.toArrow() for x in (by_place, by_context, every.groupBy("class", "size").agg(ones, twos))),  # bounded by places x classes
         alphabet=max(2, ends + 1),
         order=order,
     )
@@ -170,39 +177,36 @@ class KneserNey:
     kinds); seen: (class, size, n1, n2), how many grams were seen once and twice.
     """
 
-    def __init__(self, grams: pd.DataFrame, contexts: pd.DataFrame, seen: pd.DataFrame, alphabet: int = 2, order: int = ORDER):
-        self.order, self.names, self.alphabet = order, sorted(set(grams["class"])), alphabet
+    def __init__(self, grams: pa.Table, contexts: pa.Table, seen: pa.Table, alphabet: int = 2, order: int = ORDER):
+        self.order, self.names, self.alphabet = order, sorted(set(grams["class"].to_pylist())), alphabet
         self.keys: dict[int, np.ndarray] = {}
         self.logp: dict[int, np.ndarray] = {}
         self.context: dict[int, np.ndarray] = {}
         self.backoff: dict[int, np.ndarray] = {}
         number = {name: i for i, name in enumerate(self.names)}
-        discounts = {(number[c], k): n1 / (n1 + 2 * n2) for c, k, n1, n2 in seen.itertuples(index=False) if n1 and n2}
+        discounts = {(number[r["class"]], r["size"]): r["n1"] / (r["n1"] + 2 * r["n2"]) for r in seen.to_pylist() if r["n1"] and r["n2"]}
+        top: dict[str, np.ndarray] = {}
         for size in range(1, order + 1):
-            own, around = grams[grams["size"] == size], contexts[contexts["size"] == size]
+            top, around = _of_size(grams, size, number), _of_size(contexts, size, number)
             discount = np.array([discounts.get((i, size), 0.5) for i in range(len(self.names))])
-            self._add(size, own, around, discount, number)
-        top = grams[grams["size"] == order]
-        which = top["class"].map(number).to_numpy(np.int64)
-        cost = -self.grams(_codes(top["gram"].tolist(), order))[np.arange(len(top)), which] if len(top) else np.zeros(0)
-        n = top["n"].to_numpy(np.float64)
+            self._add(size, top, around, discount)
+        which, n = top["class"], top["n"].astype(np.float64)
+        cost = -self.grams(_codes(top["gram"].tolist(), order))[np.arange(len(n)), which] if len(n) else np.zeros(0)
         total = np.maximum(np.bincount(which, n, len(self.names)), 1)
         #: mean and variance of an n-gram's cost under its own class, in nats
         self.mean = np.bincount(which, n * cost, len(self.names)) / total
         self.variance = np.bincount(which, n * (cost - self.mean[which]) ** 2, len(self.names)) / total
 
-    def _add(self, size: int, own: pd.DataFrame, around: pd.DataFrame, discount: np.ndarray, number: dict[str, int]) -> None:
-        which, held = own["class"].map(number).to_numpy(np.int64), around["class"].map(number).to_numpy(np.int64)
-        places, n = own["place"].to_numpy(np.int64), own["n"].to_numpy(np.float64)
-        keys, first, at = np.unique(places, return_index=True, return_inverse=True)
-        contexts, where = np.unique(around["context"].to_numpy(np.int64), return_inverse=True)
+    def _add(self, size: int, own: dict[str, np.ndarray], around: dict[str, np.ndarray], discount: np.ndarray) -> None:
+        which, held, n = own["class"], around["class"], own["n"].astype(np.float64)
+        keys, first, at = np.unique(own["place"], return_index=True, return_inverse=True)
+        contexts, where = np.unique(around["context"], return_inverse=True)
         total, kinds = np.zeros((2, len(contexts), len(self.names)))
         total[where, held], kinds[where, held] = around["n"], around["kinds"]
         with np.errstate(divide="ignore", invalid="ignore"):
             self.backoff[size] = np.where(total > 0, np.log(discount * kinds / total), 0.0)
         self.context[size], self.keys[size] = contexts, keys
-        texts = own["gram"].to_numpy()[first]
-        codes = _codes(texts.tolist(), size)
+        codes = _codes(own["gram"][first].tolist(), size)
         mine = np.searchsorted(contexts, hashed(codes[:, :-1]).astype(np.int64))
         lower = self.grams(codes[:, 1:], size - 1) if size > 1 else np.full((len(codes), len(self.names)), -np.log(self.alphabet))
         self.logp[size] = p = self.backoff[size][mine] + lower

@@ -30,7 +30,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -120,16 +119,18 @@ def _sum_range(own: int, trained: int):
     """Corpus counts of one hash range, returned to its chunks; of the rows without chunk,
     range -1 has totals per class and -2 the frequent tokens (hash, class, count)."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        hashes = np.concatenate([np.frombuffer(x, np.uint64) for x in pdf["hashes"]])
-        kinds = np.concatenate([np.frombuffer(x, np.int32) for x in pdf["kinds"]])
-        counts = np.concatenate([np.frombuffer(x, np.int64) for x in pdf["counts"]])
+    def run(rows: pa.Table) -> pa.Table:
+        parts = [x.as_py() for x in rows["hashes"]]
+        number = rows["range"][0].as_py()
+        hashes = np.frombuffer(b"".join(parts), np.uint64)
+        kinds = np.frombuffer(b"".join(x.as_py() for x in rows["kinds"]), np.int32)
+        counts = np.frombuffer(b"".join(x.as_py() for x in rows["counts"]), np.int64)
         _, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
         total = np.zeros(len(first), np.int64)
         np.add.at(total, inverse, counts)
         sums, at, out = total[inverse], 0, []
-        for chunk, x in zip(pdf["chunk"], pdf["hashes"], strict=True):
-            out.append((chunk, int(pdf["range"].iloc[0]), sums[at : at + len(x) // 8].tobytes()))
+        for chunk, x in zip(rows["chunk"].to_pylist(), parts, strict=True):
+            out.append((chunk, number, sums[at : at + len(x) // 8].tobytes()))
             at += len(x) // 8
         known = total > 0
         by_class = np.bincount(kinds[first][known], total[known]), np.bincount(kinds[first][known])
@@ -138,9 +139,10 @@ def _sum_range(own: int, trained: int):
             both[i, : len(x)] = x
         out.append((None, -1, both.tobytes()))
         often = (total.astype(float) * own > trained) & (kinds[first] > 0)
-        rows = np.stack([hashes[first][often].view(np.int64), kinds[first][often], total[often]])
-        out.append((None, -2, rows.astype(np.int64).tobytes()))
-        return pd.DataFrame(out, columns=["chunk", "range", "totals"])
+        found = np.stack([hashes[first][often].view(np.int64), kinds[first][often], total[often]])
+        out.append((None, -2, found.astype(np.int64).tobytes()))
+        kinds_of = (pa.string(), pa.int32(), pa.binary())
+        return pa.table([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds_of, strict=True)], names=["chunk", "range", "totals"])
 
     return run
 
@@ -337,7 +339,7 @@ def score_texts(
     dealt = chunks.select("chunk", "hashes", "kinds", "counts").mapInArrow(
         _deal(ranges), "range int, chunk string, hashes binary, kinds binary, counts binary"
     )
-    sums = saved(dealt.groupBy("range").applyInPandas(_sum_range(own, trained), "chunk string, range int, totals binary"), "counts")
+    sums = saved(dealt.groupBy("range").applyInArrow(_sum_range(own, trained), "chunk string, range int, totals binary"), "counts")
     totals, often = np.zeros((2, classes), np.int64), [np.zeros((3, 0), np.int64)]
     for r in sums.where("chunk IS NULL").select("range", "totals").toLocalIterator():  # classes and frequent tokens, both bounded
         found = np.frombuffer(r["totals"], np.int64)
