@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import math
 import unicodedata
 
 import pandas as pd
@@ -50,13 +51,20 @@ def _check(value, depth: int = 1) -> None:
             _check(v, depth + 1)
 
 
+def _float(text: str) -> float:
+    """A number too large for a double is infinity, which JSON doesn't have."""
+    if math.isinf(value := float(text)):
+        raise Refused("J004")
+    return value
+
+
 def strict(text: str) -> dict:
     """The object in a text; Refused with J001 syntax or depth, J002 byte-order mark, J003 repeated key,
     J004 NaN or infinity, J005 lone surrogate, J006 large integer, J007 not an object."""
     if text.startswith("﻿"):
         raise Refused("J002")
     try:
-        value = json.loads(text, object_pairs_hook=_pairs, parse_constant=_constant, parse_int=_int)
+        value = json.loads(text, object_pairs_hook=_pairs, parse_constant=_constant, parse_int=_int, parse_float=_float)
     except Refused:
         raise
     except (ValueError, RecursionError):

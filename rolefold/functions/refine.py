@@ -37,9 +37,10 @@ def geo(lat: Column, lon: Column, precision: Column, globe: Column) -> Column:
 
 
 def geo_refines(a: Column, b: Column) -> Column:
-    """A finer cell of the same globe whose point lies in the other's cell."""
+    """The same point and cell, or a finer cell of the same globe whose point lies in the other's."""
     near = lambda x: F.abs(a[x] - b[x]) * 2 <= b["precision"]
-    return (a["globe"] == b["globe"]) & (a["precision"] <= b["precision"]) & near("lat") & near("lon")
+    same = (a["precision"] == b["precision"]) & (a["lat"] == b["lat"]) & (a["lon"] == b["lon"])
+    return (a["globe"] == b["globe"]) & (same | ((a["precision"] < b["precision"]) & near("lat") & near("lon")))
 
 
 def facts_refining(bindings: DataFrame, wanted: Sequence[tuple[str, str | None]], frozen: Sequence[str] = ()) -> DataFrame:

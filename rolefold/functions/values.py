@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import unicodedata
-from urllib.parse import quote
 
 import pandas as pd
 from pyspark.sql import Column
@@ -81,7 +80,13 @@ def nfc(text: pd.Series) -> pd.Series:
     return text.map(lambda x: None if x is None else unicodedata.normalize("NFC", x))
 
 
-@F.pandas_udf(StringType())
-def iri_encode(text: pd.Series) -> pd.Series:
-    """Percent-encoding of everything but unreserved characters."""
-    return text.map(lambda x: None if x is None else quote(x, safe=""))
+def iri_encode(text: Column) -> Column:
+    """Percent-encoding of everything but unreserved characters; form encoding differs in three of them."""
+    out = F.url_encode(text)
+    for form, percent in (("+", "%20"), ("*", "%2A"), ("%7E", "~")):
+        out = F.replace(out, F.lit(form), F.lit(percent))
+    return out
+
+
+def iri_decode(text: Column) -> Column:
+    return F.url_decode(F.replace(text, F.lit("+"), F.lit("%2B")))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import hashlib
 import json
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.temporal import OPEN, overlap
@@ -26,6 +26,27 @@ def content_digests(bindings: DataFrame) -> DataFrame:
     return both.select("fact_id", digest("content", text("all")).alias("content_key"), digest("core", text("core")).alias("core_key"))
 
 
+def _row_pairs(relation: str, keep) -> Column:
+    """Sorted canonical [role,value] texts of a wide row's bound roles that ``keep`` (slot, is key) accepts."""
+    cells = [F.when(F.col(role).isNotNull(), json_array(F.array(quoted(F.lit(role)), quoted(F.col(role))))) for role, slot, _, is_key in USAGE[relation] if keep(slot, is_key)]
+    return F.array_sort(F.array_compact(F.array(*cells)))
+
+
+def content_digests_of_rows(rows: DataFrame, relation: str) -> DataFrame:
+    """content_digests() of facts that are still one wide row each: no explode, no shuffle."""
+    text = lambda pairs: json_array(F.concat(F.array(quoted(F.lit(relation))), pairs))
+    whole, core = _row_pairs(relation, lambda slot, _: True), _row_pairs(relation, lambda slot, _: slot == "core")
+    return rows.select(F.col("id").alias("fact_id"), digest("content", text(whole)).alias("content_key"), digest("core", text(core)).alias("core_key"))
+
+
+def key_digest_column(relation: str) -> Column:
+    """The key digest of a wide row; null where a key role isn't bound."""
+    keys = [role for role, _, _, is_key in USAGE[relation] if is_key]
+    text = json_array(F.concat(F.array(quoted(F.lit(relation))), _row_pairs(relation, lambda _, is_key: is_key)))
+    bound = F.array_size(F.array_compact(F.array(*map(F.col, keys)))) == len(keys)
+    return F.when(bound, digest("key", text))
+
+
 def key_digests(bindings: DataFrame, relation: str) -> DataFrame:
     """(fact_id, key_digest); null where a key role isn't bound."""
     roles = sorted(r for r, *_, is_key in USAGE[relation] if is_key)
@@ -43,49 +64,83 @@ def key_digest_of(relation: str, values: dict[str, str]) -> str:
     return "sha256:" + hashlib.sha256(f"key\n{text}".encode()).hexdigest()
 
 
-def find_by_key(bindings: DataFrame, relation: str, values: dict[str, str]) -> DataFrame:
-    """(fact_id, key_digest) of the facts with a key; digests are formed only for facts that bind its first value."""
-    wanted = key_digest_of(relation, values)
-    role, value = sorted(values.items())[-1]
-    hit = (F.col("relation") == relation) & (F.col("role") == role) & (F.col("ident") == value)
-    near = bindings.join(bindings.where(hit).select("fact_id").distinct(), "fact_id", "left_semi")
-    return key_digests(near, relation).where(F.col("key_digest") == wanted)
+def find_by_key(facts: DataFrame, relation: str, values: dict[str, str]) -> DataFrame:
+    """The stored headers with a key: one comparison with a column that they are sorted by."""
+    return facts.where((F.col("relation") == relation) & (F.col("key_digest") == key_digest_of(relation, values)))
+
 
+def overlapping(rows: DataFrame, by: list[str], mode: str) -> DataFrame:
+    """(a, b): structs of all columns of every two rows (a.id < b.id) of one group whose validities meet.
 
-def _sides(facts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    columns = ["id", "key_digest", "s_lo", "s_hi", "e_lo", "e_hi"]
-    return facts.select(*columns).alias("a"), facts.select(*columns).alias("b")
+    Time is cut into cells as wide as the rows' typical validity.  A row lies in
+    the cells that it touches, those with very long validities in one common
+    cell beside them, and two rows are compared in the first cell that both
+    touch, so a group costs its pairs that are near in time, not all its pairs.
+    """
+    low, high = ("s_hi", "e_lo") if mode == "definite" else ("s_lo", "e_hi")
+    live = rows.where(F.col(low) < F.col(high))
+    span = F.col(high) - F.col(low)
+    usual = live.where(F.col(high) < OPEN).agg(F.percentile_approx(span, 0.9)).first()[0]
+    wide = max(int(usual or 0), 86400)
+    first, last = F.floor(F.col(low) / wide), F.floor((F.col(high) - 1) / wide)
+    long = (F.col(high) >= OPEN) | (F.col(low) <= -OPEN) | (last - first > 8)
+    packed = live.select(F.struct(*rows.columns).alias("r"), *by, F.col(low).alias("lo"), F.col(high).alias("hi"), first.alias("first"), last.alias("last"), long.alias("long"))
+    short = packed.where(~F.col("long")).withColumn("cell", F.explode(F.sequence("first", "last")))
+    side = lambda df, name: df.select(*(F.col(c).alias(f"{name}_{c}") for c in by), *(F.col(c).alias(f"{name}_{c}") for c in ("r", "lo", "hi", "first", "cell") if c in df.columns))
+    keys = lambda p, q: [F.col(f"{p}_{c}").eqNullSafe(F.col(f"{q}_{c}")) for c in by]
+    meets = (F.col("x_lo") < F.col("y_hi")) & (F.col("y_lo") < F.col("x_hi"))
+    x, y = side(short, "x"), side(short, "y")
+    near = x.join(y, [*keys("x", "y"), F.col("x_cell") == F.col("y_cell")])
+    near = near.where(meets & (F.col("x_r.id") < F.col("y_r.id")) & (F.col("x_cell") == F.greatest("x_first", "y_first")))
+    ends = packed.where("long")
+    both_long = side(ends, "x").join(side(ends, "y"), keys("x", "y"))
+    mixed = side(ends, "x").join(side(packed.where(~F.col("long")), "y"), keys("x", "y")).where(meets & (F.col("x_r.id") != F.col("y_r.id")))
+    one = near.select("x_r", "y_r").union(both_long.where(meets & (F.col("x_r.id") < F.col("y_r.id"))).select("x_r", "y_r")).union(mixed.select("x_r", "y_r"))
+    flip = F.col("x_r.id") < F.col("y_r.id")
+    return one.select(F.when(flip, F.col("x_r")).otherwise(F.col("y_r")).alias("a"), F.when(flip, F.col("y_r")).otherwise(F.col("x_r")).alias("b"))
+
+
+def both_ways(pairs: DataFrame) -> DataFrame:
+    """(query, known) of pairs (a, b), each side once as the query."""
+    ends = F.array(F.struct(F.col("a.id").alias("query"), F.col("b.id").alias("known")), F.struct(F.col("b.id").alias("query"), F.col("a.id").alias("known")))
+    return pairs.select(F.explode(ends).alias("p")).select("p.*")
 
 
 def overlaps(facts: DataFrame, mode: str) -> DataFrame:
-    """(left_id, right_id) of facts with one key whose validities meet."""
-    a, b = _sides(facts)
-    same = (F.col("a.key_digest") == F.col("b.key_digest")) & (F.col("a.id") < F.col("b.id"))
-    return a.join(b, same & overlap("a", "b", mode)).select(F.col("a.id").alias("left_id"), F.col("b.id").alias("right_id"))
+    """(left_id, right_id) of facts with one key whose validities meet; without a key nothing does."""
+    rows = facts.select("id", "key_digest", "s_lo", "s_hi", "e_lo", "e_hi").where("key_digest IS NOT NULL")
+    return overlapping(rows, ["key_digest"], mode).select(F.col("a.id").alias("left_id"), F.col("b.id").alias("right_id"))
 
 
 def invariant_violations(facts: DataFrame) -> DataFrame:
     """(key_digest, ids, since): sets of facts that hold together under one key without exactly one preferred.
 
-    The state can only change where a definite window starts or ends, so those
-    points are enough; each set is reported once, at its first point.
+    A sweep: the numbers of facts and of preferred ones that hold are running sums
+    over the starts and ends of a key's definite windows, and only at the points
+    where these numbers break the rule are the sets themselves formed; each set is
+    reported once, at its first point.
     """
-    points = facts.select("key_digest", F.explode(F.array("s_hi", "e_lo")).alias("since")).where(F.col("since") < OPEN).distinct()
-    held = facts.select(F.col("key_digest").alias("k"), "id", "rank", "s_hi", "e_lo")
-    live = points.join(held, (F.col("key_digest") == F.col("k")) & (F.col("s_hi") <= F.col("since")) & (F.col("since") < F.col("e_lo")))
-    sets = live.groupBy("key_digest", "since").agg(F.array_sort(F.collect_list("id")).alias("ids"), F.count_if(F.col("rank") == "preferred").alias("preferred"))
-    return sets.where((F.size("ids") > 1) & (F.col("preferred") != 1)).groupBy("key_digest", "ids").agg(F.min("since").alias("since"))
+    live = facts.where((F.col("s_hi") < F.col("e_lo")) & F.col("key_digest").isNotNull())
+    best = (F.col("rank") == "preferred").cast("int")
+    ends = F.array(F.struct(F.col("s_hi").alias("since"), F.lit(1).alias("n"), best.alias("p")), F.struct(F.col("e_lo").alias("since"), F.lit(-1).alias("n"), (-best).alias("p")))
+    steps = live.select("key_digest", F.explode(ends).alias("e")).groupBy("key_digest", F.col("e.since").alias("since")).agg(F.sum("e.n").alias("n"), F.sum("e.p").alias("p"))
+    upto = Window.partitionBy("key_digest").orderBy("since")
+    points = steps.select("key_digest", "since", F.sum("n").over(upto).alias("held"), F.sum("p").over(upto).alias("preferred"))
+    broken = points.where((F.col("held") > 1) & (F.col("preferred") != 1) & (F.col("since") < OPEN)).select("key_digest", "since")
+    held = live.select(F.col("key_digest").alias("k"), "id", "s_hi", "e_lo")
+    sets = broken.join(held, (F.col("key_digest") == F.col("k")) & (F.col("s_hi") <= F.col("since")) & (F.col("since") < F.col("e_lo")))
+    sets = sets.groupBy("key_digest", "since").agg(F.array_sort(F.collect_list("id")).alias("ids"))
+    return sets.groupBy("key_digest", "ids").agg(F.min("since").alias("since"))
 
 
 def collisions(facts: DataFrame) -> DataFrame:
     """(stored, incoming, shape): how two facts of one key meet; the smaller id counts as stored."""
-    a, b = _sides(facts)
-    same = (F.col("a.key_digest") == F.col("b.key_digest")) & (F.col("a.id") < F.col("b.id"))
+    rows = facts.select("id", "key_digest", "s_lo", "s_hi", "e_lo", "e_hi").where("key_digest IS NOT NULL")
+    met = overlapping(rows, ["key_digest"], "possible")
     first = F.when(F.col("a.e_lo") == OPEN, "succession").otherwise("overlap_after_end")
     second = F.when(F.col("b.e_lo") == OPEN, "backfill").otherwise("overlap_after_end")
-    equal = (F.col("a.s_lo") == F.col("b.s_lo")) & (F.col("a.s_hi") == F.col("b.s_hi"))
-    shape = F.when(equal, "same_start").when(F.col("a.s_hi") <= F.col("b.s_lo"), first).when(F.col("b.s_hi") <= F.col("a.s_lo"), second).otherwise("same_start")
-    met = a.join(b, same & overlap("a", "b", "possible"))
+    before, after = F.col("a.s_hi") <= F.col("b.s_lo"), F.col("b.s_hi") <= F.col("a.s_lo")
+    shape = F.when(before == after, "same_start").when(before, first).otherwise(second)
     return met.select(F.col("a.id").alias("stored"), F.col("b.id").alias("incoming"), shape.alias("shape"))
 
 
@@ -98,16 +153,44 @@ def action(policy: str, kind: str, shape: str) -> str:
     return {"succession": "close_older", "backfill": "close_incoming"}.get(shape, "dispute")
 
 
-def relate(bindings: DataFrame, relation: str) -> DataFrame:
-    """(left_id, right_id, label) of facts with one key: duplicate, same_core or key_conflict."""
-    keys = {r for r, *_, is_key in USAGE[relation] if is_key}
-    beside = bindings.where(~F.col("role").isin(*keys))
-    parts = beside.groupBy("fact_id").agg(_pairs(("core",)).alias("core"), _pairs(("core", "qualifier", "time")).alias("all"))
-    rows = parts.join(key_digests(bindings, relation), "fact_id").where(F.col("key_digest").isNotNull())
+def relate(facts: DataFrame, bindings: DataFrame, temporal: bool = True, complete: tuple[str, ...] = ()) -> DataFrame:
+    """(incoming, stored, label) for every two facts of one key; the greater id counts as incoming.
+
+    facts: (id, key_digest and bounds); bindings: (fact_id, role, slot,
+    value_kind, ident).  duplicate: the same content; refines, generalises: one
+    says all that the other says and more (roles in ``complete`` keep their size);
+    negation_conflict: they differ only in core roles that exactly one of them
+    binds to ``novalue`` and may hold together; key_timeline: the key is temporal and
+    they don't surely hold together; key_conflict: else.
+    """
+    many = Window.partitionBy("fact_id", "role", "value_kind", "ident").orderBy(F.lit(0))
+    cells = bindings.withColumn("k", F.row_number().over(many))  # equal bindings are told apart: bags become sets
+    text = lambda *c: F.concat_ws("\x01", *c)
+    cell = text("role", "value_kind", F.col("ident"), F.col("k").cast("string"))
+    core = F.when(F.col("slot") == "core", F.struct("role", text("value_kind", "ident").alias("value"), (F.col("value_kind") == "novalue").alias("no")))
+    per = cells.groupBy("fact_id").agg(
+        F.collect_set(cell).alias("all"), F.array_sort(F.collect_list(core)).alias("core"),
+        F.concat_ws(",", *(F.count_if(F.col("role") == r).cast("string") for r in sorted(complete)), F.lit("")).alias("sizes"),
+    )
+    rows = facts.select("id", "key_digest", "s_lo", "s_hi", "e_lo", "e_hi").where("key_digest IS NOT NULL").join(per.withColumnRenamed("fact_id", "id"), "id")
     a, b = rows.alias("a"), rows.alias("b")
-    met = a.join(b, (F.col("a.key_digest") == F.col("b.key_digest")) & (F.col("a.fact_id") < F.col("b.fact_id")))
-    label = F.when(F.col("a.all") == F.col("b.all"), "duplicate").when(F.col("a.core") == F.col("b.core"), "same_core").otherwise("key_conflict")
-    return met.select(F.col("a.fact_id").alias("left_id"), F.col("b.fact_id").alias("right_id"), label.alias("label"))
+    met = a.join(b, (F.col("a.key_digest") == F.col("b.key_digest")) & (F.col("a.id") > F.col("b.id")))
+    x, y, p, q = (F.col(c) for c in ("a.all", "b.all", "a.core", "b.core"))
+    of = lambda core, role: F.transform(F.filter(core, lambda c: c["role"] == role), lambda c: c["value"])
+    no = lambda core, role: F.exists(core, lambda c: (c["role"] == role) & c["no"])
+    roles = F.array_distinct(F.transform(F.concat(p, q), lambda c: c["role"]))
+    negated = F.filter(roles, lambda r: (F.size(of(p, r)) > 0) & (F.size(of(q, r)) > 0) & (no(p, r) != no(q, r)))
+    rest = F.forall(roles, lambda r: F.array_contains(negated, r) | (of(p, r) == of(q, r)))
+    within = lambda small, large: (F.size(F.array_except(small, large)) == 0) & (F.col("a.sizes") == F.col("b.sizes"))
+    label = (
+        F.when((F.size(x) == F.size(y)) & (F.size(F.array_except(x, y)) == 0), "duplicate")
+        .when(within(y, x), "refines")
+        .when(within(x, y), "generalises")
+        .when((F.size(negated) > 0) & rest & overlap("a", "b", "possible"), "negation_conflict")
+        .when(F.lit(temporal) & ~overlap("a", "b", "definite"), "key_timeline")
+        .otherwise("key_conflict")
+    )
+    return met.select(F.col("a.id").alias("incoming"), F.col("b.id").alias("stored"), label.alias("label"))
 
 
 def one_per_content(rows: DataFrame, by: list[str]) -> DataFrame:

@@ -58,11 +58,11 @@ def resolve_redirects(moved: DataFrame) -> DataFrame:
     return now.join(on, "target", "left_anti").select("id", "target", "depth")
 
 
-def cycle_members(links: DataFrame, rounds: int = 1000) -> DataFrame:
+def cycle_members(links: DataFrame) -> DataFrame:
     """(node) of the nodes on a cycle: what can't be reached or can't go on is peeled off, then reach is closed."""
     now = links.select("src", "dst").distinct()
     many = None
-    for _ in range(rounds):
+    while True:
         kept = now.join(now.select(F.col("dst").alias("src")).distinct(), "src", "left_semi")
         kept = cut(kept.join(kept.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi"))
         left = kept.count()

@@ -17,8 +17,10 @@ MOVES = {
     "flag": (("pending", "linted"), "needs_review"),
     "withdraw": (OPEN, "withdrawn"),
 }
-#: Verdicts from the worst on (fixed order).
-VERDICTS = ("incorrect", "unsupported", "partial", "unclear", "correct")
+#: Verdict labels from the worst on (fixed values and order); ``correct`` stands apart.
+SEVERITIES = (
+    "no_relation", "wrong_relation", "wrong_role", "wrong_filler", "missing_participant", "extra_participant", "span_boundary", "negated", "hypothesis", "other",
+)
 
 
 def step(state: str, action: str) -> tuple[str, bool]:
@@ -63,11 +65,29 @@ def parents(log: DataFrame) -> DataFrame:
     return log.withColumn("parent", F.lag("lid").over(Window.partitionBy("target").orderBy("lid")))
 
 
-def worst_verdict(verdicts: DataFrame) -> DataFrame:
-    """(target, verdict): the worst one given, none better than what was said last by the same judge."""
-    order = F.create_map(*(F.lit(x) for i, v in enumerate(VERDICTS) for x in (v, i)))
-    least = F.min(order[F.col("verdict")])
-    return verdicts.groupBy("target").agg(F.element_at(F.array(*map(F.lit, VERDICTS)), least + 1).alias("verdict"))
+def aggregate_verdicts(verdicts: DataFrame) -> DataFrame:
+    """(target, label): one judgement of a candidate from those of its evidence; verdicts: (target, label).
+
+    One ``correct`` is enough, unless some verdict denies the relation; else the
+    worst label counts.  Labels that aren't known say nothing.
+    """
+    order = F.create_map(*(F.lit(x) for i, v in enumerate(SEVERITIES) for x in (v, i)))
+    said = F.col("label")
+    least = F.min(F.when(said.isin(*SEVERITIES), order[said]))
+    right = F.max(said == "correct") & ~F.max(said.isin("no_relation", "wrong_relation"))
+    label = F.when(right, "correct").otherwise(F.get(F.array(*map(F.lit, SEVERITIES)), least))
+    return verdicts.where(said.isNotNull()).groupBy("target").agg(label.alias("label"))
+
+
+def complete_verdicts(verdicts: DataFrame, items: DataFrame) -> DataFrame:
+    """Verdicts whose missing core_key and event_hash are filled from the item and the evidence that they name.
+
+    verdicts: (target, evidence_id, label, core_key, event_hash); items: (target, core_key, evidence_id, event_hash).
+    """
+    keys = items.groupBy("target").agg(F.any_value("core_key").alias("_core"))
+    hashes = items.select("target", "evidence_id", F.col("event_hash").alias("_hash")).distinct()
+    rows = verdicts.join(keys, "target", "left").join(hashes, ["target", "evidence_id"], "left")
+    return rows.select("target", "evidence_id", "label", F.coalesce("core_key", "_core").alias("core_key"), F.coalesce("event_hash", "_hash").alias("event_hash"))
 
 
 def attach(items: DataFrame, verdicts: DataFrame, on: list[str]) -> DataFrame:

@@ -89,9 +89,10 @@ def incident(facts: DataFrame, bindings: DataFrame, node: str, role: str | None
 
 
 def degree(bindings: DataFrame) -> DataFrame:
-    """(ident, degree): how many facts bind each node."""
+    """(ident, degree): how many facts bind each node; stored bindings know which of a fact's is the first."""
     nodes = bindings.where(F.col("value_kind").isin("entity", "fact"))
-    return nodes.groupBy("ident").agg(F.count_distinct("fact_id").alias("degree"))
+    many = F.count_if("first") if "first" in bindings.columns else F.count_distinct("fact_id")
+    return nodes.groupBy("ident").agg(many.alias("degree"))
 
 
 def bound_by(bindings: DataFrame, relation: str, role: str, idents: Iterable[str]) -> DataFrame:
@@ -100,45 +101,64 @@ def bound_by(bindings: DataFrame, relation: str, role: str, idents: Iterable[str
     return hit.groupBy("ident").agg(F.array_sort(F.collect_set("fact_id")).alias("ids"))
 
 
-def find(bindings: DataFrame, relation: str, pattern: Sequence[tuple[str, str | None]], exact: bool = False) -> DataFrame:
+def find(bindings: DataFrame, relation: str, pattern: Sequence[tuple[str, str | None]], exact: bool = False, by_fact: DataFrame | None = None) -> DataFrame:
     """(fact_id) of facts whose bindings match the pattern injectively; a value of None matches any.
 
     A set of (role, value) requirements is met injectively when, for every
     role, each value occurs as often as asked and the wildcards still find
-    bindings left over: counts in one scan, whatever the pattern's length.
+    bindings left over: counts, whatever the pattern's length.  The asked values are
+    looked up first, so only the rows with them are read; what has them all is
+    checked for wildcards and size by its own bindings (``by_fact``, the same rows
+    in the order of facts, if there is such a table).
     """
-    rows = bindings.where(F.col("relation") == relation)
-    roles = sorted({r for r, _ in pattern})
-    valued = Counter((r, v) for r, v in pattern if v is not None)
+    rows, every = bindings.where(F.col("relation") == relation), (by_fact if by_fact is not None else bindings).where(F.col("relation") == relation)
     per_role = Counter(r for r, _ in pattern)
-    number = lambda role, value=None: F.count_if((F.col("role") == role) if value is None else (F.col("role") == role) & (F.col("ident") == value))
-    checks = [(number(r, v), n) for (r, v), n in valued.items()] + [(number(r), per_role[r]) for r in roles]
-    names = [f"n{i}" for i in range(len(checks))]
-    if not exact:
-        rows = rows.where(F.col("role").isin(*roles)) if roles else rows
-    counted = rows.groupBy("fact_id").agg(F.count("*").alias("all"), *(c.alias(n) for n, (c, _) in zip(names, checks, strict=True)))
-    met = reduce(lambda a, b: a & b, (F.col(n) >= k for n, (_, k) in zip(names, checks, strict=True)), F.lit(True))
-    return counted.where(met & (F.col("all") == len(pattern)) if exact else met).select("fact_id")
-
-
-def two_hop(bindings: DataFrame, node: str) -> DataFrame:
+    valued = Counter((r, v) for r, v in pattern if v is not None)
+    is_ = lambda role, value: (F.col("role") == role) & (F.col("ident") == value)
+    met = None
+    if valued:
+        some = rows.where(reduce(lambda a, b: a | b, (is_(r, v) for r, v in valued)))
+        asked = [(F.count_if(is_(r, v)), n) for (r, v), n in valued.items()]
+        counted = some.groupBy("fact_id").agg(*(c.alias(f"n{i}") for i, (c, _) in enumerate(asked)))
+        met = counted.where(reduce(lambda a, b: a & b, (F.col(f"n{i}") >= n for i, (_, n) in enumerate(asked)))).select("fact_id")
+        if not exact and all(v is not None for _, v in pattern):
+            return met
+    rest = every if met is None else every.join(met, "fact_id", "left_semi")
+    if not exact and per_role:
+        rest = rest.where(F.col("role").isin(*sorted(per_role)))
+    checks = [(F.count_if(F.col("role") == r), n) for r, n in sorted(per_role.items())]
+    counted = rest.groupBy("fact_id").agg(F.count("*").alias("all"), *(c.alias(f"n{i}") for i, (c, _) in enumerate(checks)))
+    fits = reduce(lambda a, b: a & b, (F.col(f"n{i}") >= n for i, (_, n) in enumerate(checks)), F.lit(True))
+    return counted.where(fits & (F.col("all") == len(pattern)) if exact else fits).select("fact_id")
+
+
+def two_hop(by_value: DataFrame, node: str, by_fact: DataFrame | None = None) -> DataFrame:
     """(ident): other nodes in a fact together with a neighbour of ``node``."""
-    nodes = bindings.where(F.col("value_kind") == "entity").select("fact_id", "ident")
-    first = nodes.join(nodes.where(F.col("ident") == node).select("fact_id").distinct(), "fact_id", "left_semi").select("ident").distinct()
-    second = nodes.join(nodes.join(first, "ident", "left_semi").select("fact_id").distinct(), "fact_id", "left_semi")
+    by_fact = by_value if by_fact is None else by_fact
+    node_rows = F.col("value_kind") == "entity"
+    values, facts = by_value.where(node_rows).select("fact_id", "ident"), by_fact.where(node_rows).select("fact_id", "ident")
+    first = facts.join(values.where(F.col("ident") == node).select("fact_id").distinct(), "fact_id", "left_semi").select("ident").distinct()
+    second = facts.join(values.join(first, "ident", "left_semi").select("fact_id").distinct(), "fact_id", "left_semi")
     return second.select("ident").distinct().where(F.col("ident") != node)
 
 
-def walk(links: DataFrame, starts: DataFrame) -> DataFrame:
-    """(start, node, depth) reached over (src, dst) links, breadth first, each node once at its least depth."""
+def walk(links: DataFrame, starts: DataFrame, hops: int = 8) -> DataFrame:
+    """(start, node, depth) reached over (src, dst) links, breadth first, each node once at its least depth.
+
+    A round takes ``hops`` steps in one plan before it looks what is new, until nothing is.
+    """
     level = starts.select(F.col("node").alias("start"), "node", F.lit(0).alias("depth"))
     reached = level
-    for depth in count(1):
-        ahead = level.join(links, F.col("node") == F.col("src")).select("start", F.col("dst").alias("node")).distinct()
-        level = ahead.join(reached.select("start", "node"), ["start", "node"], "left_anti").withColumn("depth", F.lit(depth))
-        level = cut(level)
+    for turn in count(1):
+        ahead, found = level, None
+        for _ in range(hops):
+            ahead = ahead.join(links, F.col("node") == F.col("src")).select("start", F.col("dst").alias("node"), (F.col("depth") + 1).alias("depth")).distinct()
+            found = ahead if found is None else found.union(ahead)
+        fresh = found.groupBy("start", "node").agg(F.min("depth").alias("depth")).join(reached.select("start", "node"), ["start", "node"], "left_anti")
+        fresh = cut(fresh)
+        level = fresh.where(F.col("depth") == turn * hops)
+        reached = reached.unionByName(fresh)
         if level.isEmpty():
             return reached
-        reached = reached.unionByName(level)
-        if depth % 16 == 0:
+        if turn % 4 == 0:
             reached = cut(reached)

@@ -84,7 +84,7 @@ def infer_usage(bindings: DataFrame) -> DataFrame:
     return rows.select("relation", "role", F.when(F.col("held") < F.col("facts"), 0).otherwise(F.col("lo")).cast("long").alias("least"), "most", "kinds")
 
 
-def type_closure(parents: DataFrame, rounds: int = 32) -> DataFrame:
+def type_closure(parents: DataFrame) -> DataFrame:
     """(type, above): every type with itself and all it specialises; parents: (type, parent)."""
     from ..storage import cut
 
@@ -92,7 +92,7 @@ def type_closure(parents: DataFrame, rounds: int = 32) -> DataFrame:
     own = links.select("type").union(links.select("above")).distinct()
     now = own.select("type", F.col("type").alias("above")).union(links).distinct()
     size = -1
-    for _ in range(rounds):
+    while True:
         step = now.alias("a").join(now.alias("b"), F.col("a.above") == F.col("b.type")).select(F.col("a.type"), F.col("b.above"))
         now = cut(step.union(now).distinct())
         if (n := now.count()) == size:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..sources import star
+from ..sources import star, store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -43,6 +43,15 @@ class Tables:
     def bindings(self, relation: str) -> DataFrame:
         return star.bindings(self.wide(relation), relation)
 
+    def store(self, relation: str) -> store.Store:
+        return store.stored(self.spark, self.dir, relation)
+
+
+def ingest(spark: SparkSession, sf_dir: str) -> None:
+    """Write the stores that reads use, before they are asked for."""
+    for relation in ("placed", "supplied"):
+        store.stored(spark, sf_dir, relation)
+
 
 def jdn(ts: str) -> str:
     return f"((date_diff('day', DATE '1970-01-01', CAST({ts} AS DATE)) + 2440588) * 86400)"

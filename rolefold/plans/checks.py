@@ -119,26 +119,50 @@ def queue_state_counts(spark, d):
     return queue.fold(queue_log(Tables(spark, d))).groupBy("state").agg(F.count("*").alias("items"), F.sum("illegal").alias("illegal"))
 
 
-SAID = "CASE (event_id * 7) % 5 WHEN 0 THEN 'incorrect' WHEN 1 THEN 'unsupported' WHEN 2 THEN 'partial' WHEN 3 THEN 'unclear' ELSE 'correct' END"
+LABELS = (*queue.SEVERITIES, "correct", "correct", "odd")
+SAID = f"({list(LABELS)})[1 + (event_id * 7) % {len(LABELS)}]"
 
 
 def verdicts(t: Tables):
-    said = F.element_at(F.array(*map(F.lit, queue.VERDICTS)), ((F.col("event_id") * 7) % 5 + 1).cast("int"))
-    return t.events.where("event_type = 'view'").select(F.concat(F.lit("q:"), F.col("user_id").cast("string")).alias("target"), said.alias("verdict"))
+    said = F.element_at(F.array(*map(F.lit, LABELS)), ((F.col("event_id") * 7) % len(LABELS) + 1).cast("int"))
+    target = F.concat(F.lit("q:"), F.col("user_id").cast("string"), F.lit("-"), (F.col("event_id") % 20).cast("string"))
+    return t.events.where("event_type IN ('view', 'click')").select(target.alias("target"), said.alias("label"))
 
 
-@query(f"""SELECT 'q:' || user_id AS target, CASE min((event_id * 7) % 5) WHEN 0 THEN 'incorrect' WHEN 1 THEN 'unsupported' WHEN 2 THEN 'partial' WHEN 3 THEN 'unclear' ELSE 'correct' END AS verdict
-FROM events WHERE event_type = 'view' GROUP BY user_id""")
+@query(f"""WITH v AS (SELECT 'q:' || user_id || '-' || event_id % 20 AS target, {SAID} AS label FROM events WHERE event_type IN ('view', 'click')),
+o(label, severity) AS (SELECT unnest({list(queue.SEVERITIES)}), unnest(range({len(queue.SEVERITIES)})))
+SELECT target, CASE WHEN EXISTS (SELECT 1 FROM v c WHERE c.target = t.target AND c.label = 'correct')
+  AND NOT EXISTS (SELECT 1 FROM v c WHERE c.target = t.target AND c.label IN ('no_relation', 'wrong_relation')) THEN 'correct'
+ ELSE (SELECT arg_min(o.label, o.severity) FROM v c JOIN o USING (label) WHERE c.target = t.target) END AS label
+FROM (SELECT DISTINCT target FROM v) t""")
 def verdict_aggregate(spark, d):
-    return queue.worst_verdict(verdicts(Tables(spark, d)))
+    return queue.aggregate_verdicts(verdicts(Tables(spark, d)))
 
 
-@query(f"""SELECT i.target, coalesce(array_to_string(v.said, ','), '') AS verdicts FROM (SELECT DISTINCT 'q:' || user_id AS target FROM events) i LEFT JOIN
-(SELECT 'q:' || user_id AS target, list_sort(list({SAID})) AS said FROM events WHERE event_type = 'view' GROUP BY user_id) v ON i.target = v.target""")
+@query(f"""SELECT i.target, coalesce(array_to_string(v.said, ','), '') AS verdicts FROM (SELECT DISTINCT 'q:' || user_id || '-' || event_id % 20 AS target FROM events) i LEFT JOIN
+(SELECT 'q:' || user_id || '-' || event_id % 20 AS target, list_sort(list({SAID})) AS said FROM events WHERE event_type IN ('view', 'click') GROUP BY 1) v ON i.target = v.target""")
 def verdict_attach(spark, d):
     t = Tables(spark, d)
-    items = t.events.select(F.concat(F.lit("q:"), F.col("user_id").cast("string")).alias("target")).distinct()
-    return queue.attach(items, verdicts(t), ["target"]).withColumn("verdicts", F.array_join("verdicts", ","))
+    items = t.events.select(F.concat(F.lit("q:"), F.col("user_id").cast("string"), F.lit("-"), (F.col("event_id") % 20).cast("string")).alias("target")).distinct()
+    said = verdicts(t).withColumnRenamed("label", "verdict")
+    return queue.attach(items, said, ["target"]).withColumn("verdicts", F.array_join("verdicts", ","))
+
+
+@query("""WITH i AS (SELECT 'c:' || conv_id AS target, 'core' || conv_id % 7 AS core_key, 'e' || turn AS evidence_id, md5(text) AS event_hash FROM conversations),
+v AS (SELECT 'c:' || conv_id AS target, 'e' || (turn + conv_id % 2) AS evidence_id, 'correct' AS label, CASE WHEN turn = 1 THEN 'given' END AS core_key,
+ CASE WHEN turn % 3 = 0 THEN 'kept' END AS event_hash FROM conversations)
+SELECT v.target, v.evidence_id, v.label, coalesce(v.core_key, (SELECT any_value(i.core_key) FROM i WHERE i.target = v.target)) AS core_key, coalesce(v.event_hash, h.event_hash) AS event_hash
+FROM v LEFT JOIN (SELECT DISTINCT target, evidence_id, event_hash FROM i) h ON h.target = v.target AND h.evidence_id = v.evidence_id""")
+def verdict_complete(spark, d):
+    rows = Tables(spark, d).conversations
+    target = F.concat(F.lit("c:"), F.col("conv_id").cast("string")).alias("target")
+    number = lambda c, p="e": F.concat(F.lit(p), c.cast("string"))
+    items = rows.select(target, number(F.col("conv_id") % 7, "core").alias("core_key"), number(F.col("turn")).alias("evidence_id"), F.md5(F.col("text").cast("binary")).alias("event_hash"))
+    said = rows.select(
+        target, number(F.col("turn") + F.col("conv_id") % 2).alias("evidence_id"), F.lit("correct").alias("label"),
+        F.when(F.col("turn") == 1, "given").alias("core_key"), F.when(F.col("turn") % 3 == 0, "kept").alias("event_hash"),
+    )
+    return queue.complete_verdicts(said, items)
 
 
 @query("""SELECT 'conv:' || conv_id AS id, CASE max(CASE WHEN length(text) < 20 THEN 2 WHEN length(text) < 100 THEN 1 ELSE 0 END) WHEN 2 THEN 'fail' WHEN 1 THEN 'warn' ELSE 'pass' END AS outcome

@@ -4,11 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.temporal import overlap
 from ..operators import memory
-from ..operators.scorers import assign, core
-from .base import PLACED, PLACED_B, Tables, jdn, query
-from .reads import AT
+from ..operators.scorers import core, extraction
+from .base import Tables, jdn, query
+from .reads import AT, KEPT, keyed_status
 
 # ----------------------------------------------------------------- completion
 
@@ -62,6 +61,32 @@ def completion_macro_arity(spark, d):
     return per_fact.groupBy("bin").agg(F.avg("m").alias("m")).agg(F.round(F.avg("m"), 9).alias("macro"))
 
 
+def _convention(name: str, rank: str):
+    def run(spark, d):
+        rows = core.measures(ranks(Tables(spark, d)).withColumn("model_rank", F.when(F.col("query") % 2 == 0, F.col("o"))), name)
+        return rows.agg(*(F.round(F.avg(c), 9).alias(c) for c in ("rr", "rank", "hits_1", "hits_10")))
+
+    run.__name__ = f"completion_{name}"
+    run.__doc__ = f"Means with ties ranked by the {name} convention."
+    query(f"""WITH {SCORES} SELECT round(avg(1.0::DOUBLE / r), 9) AS rr, round(avg(r::DOUBLE), 9) AS rank, round(avg((r <= 1)::INT::DOUBLE), 9) AS hits_1, round(avg((r <= 10)::INT::DOUBLE), 9) AS hits_10
+    FROM (SELECT {rank} AS r FROM ro)""")(run)
+
+
+for _name, _rank in {"optimistic": "o", "pessimistic": "p", "realistic": "(o + p) / 2.0::DOUBLE", "model": "CASE WHEN query % 2 = 0 THEN o ELSE p END"}.items():
+    _convention(_name, _rank)
+
+
+@query(f"""WITH {SCORES}, x AS (SELECT reciprocal AS rr, (o + p) / 2.0::DOUBLE AS rank, query % 10 AS fact, least(3, CAST(ceil(candidates / 5.0) AS INTEGER)) AS bin FROM rr),
+f AS (SELECT fact, bin, avg(rr) AS rr, avg(rank) AS rank FROM x GROUP BY 1, 2), b AS (SELECT bin, avg(rr) AS rr, avg(rank) AS rank FROM f GROUP BY 1)
+SELECT 'per_task' AS level, round(avg(rr), 9) AS rr, round(avg(rank), 9) AS rank FROM x UNION ALL SELECT 'per_fact', round(avg(rr), 9), round(avg(rank), 9) FROM f UNION ALL SELECT 'macro', round(avg(rr), 9), round(avg(rank), 9) FROM b""")
+def completion_averages(spark, d):
+    """Means per query, per fact and over arity bins."""
+    rows = core.measures(ranks(Tables(spark, d))).withColumn("fact", F.col("query") % 10)
+    rows = rows.withColumn("bin", F.least(F.lit(3), F.ceil(F.col("candidates") / 5)).cast("int"))
+    found = core.averages(rows, ["rr", "rank"])
+    return found.select("level", F.round("rr", 9).alias("rr"), F.round("rank", 9).alias("rank"))
+
+
 @query("SELECT 'p:' || l_partkey AS part, l_returnflag AS returnflag, array_to_string(list_sort(list(DISTINCT 's:' || l_suppkey)), ',') AS candidates FROM lineitem GROUP BY 1, 2")
 def filter_exact(spark, d):
     """All known suppliers for the same part and flag: what a ranking of suppliers leaves out."""
@@ -69,14 +94,11 @@ def filter_exact(spark, d):
     return core.known_answers(rows, ["part", "returnflag"]).withColumn("candidates", F.array_join("candidates", ","))
 
 
-@query(f"""WITH {PLACED} SELECT a.id AS query, b.id AS known FROM placed a JOIN placed b ON a.customer = b.customer AND a.priority = b.priority AND a.id <> b.id
-WHERE greatest(a.s_lo, b.s_lo) < least(a.e_hi, b.e_hi)""")
+@query(f"""WITH {KEPT} SELECT a.id AS query, b.id AS known FROM kept a JOIN kept b ON a.key_digest = b.key_digest AND a.id <> b.id
+WHERE greatest(a.s_hi, b.s_hi) < least(a.e_lo, b.e_lo)""")
 def filter_time_aware(spark, d):
-    t = Tables(spark, d)
-    rows = t.facts("placed").join(t.wide("placed").select("id", "customer", "priority"), "id")
-    a, b = rows.alias("a"), rows.alias("b")
-    same = (F.col("a.customer") == F.col("b.customer")) & (F.col("a.priority") == F.col("b.priority")) & (F.col("a.id") != F.col("b.id"))
-    return a.join(b, same & overlap("a", "b", "possible")).select(F.col("a.id").alias("query"), F.col("b.id").alias("known"))
+    """Of the answers known for the same context, those that surely hold together with the query's own fact."""
+    return core.known_at_once(keyed_status(Tables(spark, d)), "key_digest")
 
 
 @query(f"WITH {SCORES} SELECT round(1 - (avg((o + p) / 2.0::DOUBLE) - 1) / nullif(avg((candidates + 1) / 2.0::DOUBLE) - 1, 0), 9) AS amri FROM ro")
@@ -138,10 +160,86 @@ def ndcg_k(spark, d):
     return core.ndcg(ranked(t), support(t), 5).select("query", F.round("ndcg", 9).alias("ndcg"))
 
 
-@query(f"""WITH {RANKED}, u AS (SELECT *, sum(tokens) OVER (PARTITION BY query ORDER BY rank) AS used, sum(tokens) OVER (PARTITION BY query) AS total FROM rk)
-SELECT query, CAST(step AS INTEGER) AS step, CAST(count_if(used * 10 <= total * step) AS BIGINT) AS kept FROM u, (SELECT unnest(range(1, 11)) AS step) GROUP BY query, step""")
+@query("""WITH q AS (SELECT event_id AS place, event_id % 13 + 1 AS tokens, event_type <> 'error' AS answerable, (event_id % 3 = 0)::INT AS em FROM events WHERE event_type <> 'signup'),
+u AS (SELECT *, sum(tokens) OVER (ORDER BY place) AS run FROM q), n AS (SELECT sum(tokens) AS total, (SELECT count(*) FROM events WHERE event_type <> 'error') AS answerable FROM q),
+b AS (SELECT step, (total * step + 9) // 10 AS budget, n.answerable FROM n, (SELECT unnest(range(1, 11)) AS step))
+SELECT CAST(step AS INTEGER) AS step, CAST(budget AS BIGINT) AS budget, (SELECT count(*) FROM u WHERE run <= budget) AS answered,
+ (SELECT coalesce(sum(em), 0)::DOUBLE FROM u WHERE run <= budget AND u.answerable) / b.answerable AS answer_em FROM b""")
 def budget_curve(spark, d):
-    return core.budget_curve(ranked(Tables(spark, d)))
+    kind = F.col("event_type")
+    questions = Tables(spark, d).events.select(
+        F.col("event_id").alias("place"), (F.col("event_id") % 13 + 1).alias("tokens"), (kind != "error").alias("answerable"),
+        (F.col("event_id") % 3 == 0).cast("int").alias("em"), (kind == "signup").alias("missing"),
+    )
+    return core.budget_curve(questions)
+
+
+SETS = """se AS (SELECT DISTINCT user_id AS query, CAST(event_id % 3 AS INTEGER) AS "set", event_id % 40 AS unit FROM events WHERE event_type = 'purchase'),
+fu AS (SELECT query, unit, min(rank) AS rank FROM rk GROUP BY 1, 2),
+j AS (SELECT se.query, se."set", se.unit, fu.rank, count(*) OVER (PARTITION BY se.query, se."set") AS size FROM se LEFT JOIN fu USING (query, unit))"""
+
+
+def support_sets(t: Tables):
+    rows = t.events.where("event_type = 'purchase'")
+    return rows.select(F.col("user_id").alias("query"), (F.col("event_id") % 3).cast("int").alias("set"), (F.col("event_id") % 40).alias("unit")).distinct()
+
+
+def _k_sql(k: int) -> str:
+    return f"""max(CASE WHEN least_rank <= {k} THEN 1 ELSE 0 END) AS hit_{k}, CAST(max(recall_{k}) = 1 AS INTEGER) AS success_{k}, max(recall_{k}) AS recall_{k},
+ max(CASE WHEN least_rank <= {k} THEN 1.0::DOUBLE / least_rank ELSE 0.0::DOUBLE END) AS mrr_{k}"""
+
+
+@query(f"""WITH {RANKED}, {SETS}, s AS (SELECT query, "set", count_if(rank <= size)::DOUBLE / any_value(size) AS rp, min(rank) AS least_rank,
+ {", ".join(f"count_if(rank <= {k})::DOUBLE / any_value(size) AS recall_{k}" for k in (1, 5, 10))} FROM j GROUP BY 1, 2)
+SELECT query, max(rp) AS r_precision, {", ".join(map(_k_sql, (1, 5, 10)))} FROM s GROUP BY query""")
+def retrieval_ranking(spark, d):
+    """All ranking measures at once, with alternative support sets of which the best counts."""
+    t = Tables(spark, d)
+    return core.ranking(ranked(t), support_sets(t))
+
+
+@query(f"""WITH {RANKED}, g AS (SELECT query, sum(CASE WHEN rank = 1 THEN 1.0::DOUBLE ELSE 1.0::DOUBLE / log2(rank) END) AS dcg FROM (SELECT query, unit, min(rank) AS rank FROM rk WHERE rank <= 5 GROUP BY 1, 2) JOIN su USING (query, unit) GROUP BY query)
+SELECT query, round(coalesce(dcg, 0) / (SELECT sum(CASE WHEN i = 1 THEN 1.0::DOUBLE ELSE 1.0::DOUBLE / log2(i) END) FROM (SELECT unnest(range(1, least(wanted, 5) + 1)) AS i)), 9) AS ndcg FROM wa LEFT JOIN g USING (query)""")
+def ndcg_shifted(spark, d):
+    """nDCG whose first two places weigh alike."""
+    t = Tables(spark, d)
+    return core.ndcg(ranked(t), support(t), 5, "shifted").select("query", F.round("ndcg", 9).alias("ndcg"))
+
+
+@query("""WITH shown AS (SELECT DISTINCT o_custkey AS query, l_orderkey AS fact, l_linenumber AS bid FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS rank FROM orders) o
+ JOIN lineitem ON l_orderkey = o_orderkey WHERE rank <= 3 AND l_linenumber <= 2),
+gold AS (SELECT DISTINCT o_custkey AS query, o_orderpriority AS "set", o_orderkey AS fact, l_linenumber AS bid FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_orderstatus = 'F'),
+s AS (SELECT query, "set", count(shown.fact)::DOUBLE / count(*) AS share FROM gold LEFT JOIN shown USING (query, fact, bid) GROUP BY 1, 2)
+SELECT query, max(share) AS coverage FROM s GROUP BY query""")
+def binding_coverage(spark, d):
+    from pyspark.sql import Window
+
+    t = Tables(spark, d)
+    place = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey"))
+    rows = t.orders.withColumn("rank", place).join(t.lineitem, F.col("l_orderkey") == F.col("o_orderkey"))
+    rows = rows.select(F.col("o_custkey").alias("query"), F.col("o_orderpriority").alias("set"), "rank", F.col("o_orderkey").alias("fact"), F.col("l_linenumber").alias("bid"), "o_orderstatus")
+    return core.binding_coverage(rows.where("bid <= 2"), rows.where("o_orderstatus = 'F'"), 3)
+
+
+@query("""WITH c AS (SELECT DISTINCT user_id AS query, event_id % 40 AS unit FROM events WHERE event_type = 'view'),
+s AS (SELECT DISTINCT user_id AS query, CAST(event_id % 3 AS INTEGER) AS "set", event_id % 40 AS unit FROM events WHERE event_type = 'purchase'),
+n AS (SELECT s.query, s."set", count(*) AS gold, count(c.unit) AS tp, (SELECT count(*) FROM c x WHERE x.query = s.query) AS predicted FROM s LEFT JOIN c USING (query, unit) GROUP BY 1, 2),
+r AS (SELECT query, "set", tp::DOUBLE / predicted AS precision, tp::DOUBLE / gold AS recall, (2 * tp)::DOUBLE / (predicted + gold) AS f1, CAST(tp = predicted AND tp = gold AS INTEGER) AS em FROM n WHERE predicted > 0)
+SELECT query, precision, recall, f1, em FROM r QUALIFY row_number() OVER (PARTITION BY query ORDER BY f1 DESC, "set") = 1""")
+def support_claimed(spark, d):
+    t = Tables(spark, d)
+    claims = t.events.where("event_type = 'view'").select(F.col("user_id").alias("query"), (F.col("event_id") % 40).alias("unit"))
+    return core.claimed_support(claims, support_sets(t))
+
+
+@query("""WITH g AS (SELECT DISTINCT o_custkey AS query, o_orderpriority AS v FROM orders WHERE o_orderstatus = 'F'), p AS (SELECT DISTINCT o_custkey AS query, o_orderpriority AS v FROM orders WHERE o_orderstatus = 'O' AND o_custkey % 5 <> 0),
+n AS (SELECT q.query, (SELECT count(*) FROM g WHERE g.query = q.query) AS gold, (SELECT count(*) FROM p WHERE p.query = q.query) AS pred, (SELECT count(*) FROM g JOIN p USING (query, v) WHERE g.query = q.query) AS tp FROM (SELECT DISTINCT query FROM g) q)
+SELECT query, CAST(tp = gold AND tp = pred AS INTEGER) AS em, CASE WHEN pred = 0 THEN 0.0::DOUBLE ELSE tp::DOUBLE / pred END AS precision, tp::DOUBLE / gold AS recall, (2 * tp)::DOUBLE / (gold + pred) AS f1 FROM n""")
+def answer_value_sets(spark, d):
+    """Customers' priorities of finished orders as answers, those of open ones as what was said; a fifth abstains."""
+    t = Tables(spark, d)
+    pick = lambda mark: t.orders.where(F.col("o_orderstatus") == mark).select(F.col("o_custkey").alias("query"), F.col("o_orderpriority").alias("value"))
+    return core.value_answers(pick("F"), pick("O"), t.customer.where("c_custkey % 5 = 0").select(F.col("c_custkey").alias("query")))
 
 
 @query("SELECT event_type, median(event_id % 97)::DOUBLE AS median, CAST(quantile_disc(event_id % 97, 0.9) AS BIGINT) AS p90, CAST(quantile_disc(event_id % 97, 0.95) AS BIGINT) AS p95 FROM events GROUP BY event_type")
@@ -186,6 +284,20 @@ def churn(spark, d):
     return core.churn(units(Tables(spark, d)), 6)
 
 
+@query(f"""WITH {UNITS}, s AS (SELECT unit, count(DISTINCT run) AS s FROM un GROUP BY unit)
+SELECT count(*) AS units, count_if(s = 6)::DOUBLE / count(*) AS core_ratio, count_if(s < 6)::DOUBLE / count(*) AS unstable_fraction, round(avg((s * (6 - s))::DOUBLE / 15), 9) AS mean_churn FROM s""")
+def core_ratio(spark, d):
+    return core.core_ratio(units(Tables(spark, d)), 6).withColumn("mean_churn", F.round("mean_churn", 9))
+
+
+@query("""SELECT o_custkey AS customer, round(avg(v), 6) AS mean, round(stddev_samp(v), 6) AS sd, min(v) AS least, max(v) AS most, count(*) AS runs
+FROM (SELECT o_custkey, CASE WHEN o_orderstatus <> 'P' THEN (o_orderkey % 100)::DOUBLE END AS v FROM orders) WHERE v IS NOT NULL GROUP BY 1 HAVING count(*) >= 2""")
+def dispersion(spark, d):
+    value = F.when(F.col("o_orderstatus") != "P", (F.col("o_orderkey") % 100).cast("double"))
+    found = core.dispersion(Tables(spark, d).orders.select(F.col("o_custkey").alias("customer"), value.alias("value")), ["customer"])
+    return found.withColumn("mean", F.round("mean", 6)).withColumn("sd", F.round("sd", 6))
+
+
 @query(f"""WITH {JACCARD} SELECT CASE WHEN a % 2 = b % 2 THEN 'same_order_diff_run' WHEN a // 2 = b // 2 THEN 'same_run_diff_order' ELSE 'diff_diff' END AS class, round(avg(jaccard), 9) AS jaccard FROM ja GROUP BY 1""")
 def order_effect(spark, d):
     """Runs are numbered 2 * run + order."""
@@ -242,24 +354,65 @@ def arity_profile(spark, d):
     return rows.select(cut("gold"), cut("predicted")).groupBy("gold", "predicted").agg(F.count("*").alias("facts"))
 
 
+FILLED = """fi AS (SELECT l_orderkey AS fact, CAST(l_orderkey % 97 AS BIGINT) AS scope, l_linenumber <= 4 AS gold, l_linenumber >= 3 AS pred, role, ident FROM lineitem,
+ LATERAL (SELECT unnest(['part', 'supplier', 'flag']) AS role, unnest(['v' || l_partkey % 50, 'v' || l_suppkey % 50, l_returnflag]) AS ident))"""
+
+
+def filled(t: Tables):
+    """Order lines' parts, suppliers and flags as bindings of their order, which gold and prediction see in part."""
+    cells = F.array(*(F.struct(F.lit(r).alias("role"), c.alias("ident")) for r, c in (
+        ("part", F.concat(F.lit("v"), (F.col("l_partkey") % 50).cast("string"))), ("supplier", F.concat(F.lit("v"), (F.col("l_suppkey") % 50).cast("string"))), ("flag", F.col("l_returnflag")),
+    )))
+    rows = t.lineitem.select(F.col("l_orderkey").alias("fact"), (F.col("l_orderkey") % 97).alias("scope"), F.lit("line").alias("relation"), "l_linenumber", F.explode(cells).alias("c"))
+    rows = rows.select("scope", "relation", "fact", "l_linenumber", F.col("c.role").alias("role"), F.col("c.ident").alias("ident"))
+    return rows.where("l_linenumber <= 4"), rows.where("l_linenumber >= 3")
+
+
+def _extraction(name: str, of, key_sql: str):
+    def run(spark, d):
+        gold, pred = filled(Tables(spark, d))
+        return core.prf(core.matched(of(gold), of(pred), ["scope"]))
+
+    run.__name__ = f"extraction_{name}"
+    run.__doc__ = of.__doc__
+    side = lambda flag, alias: f"{alias} AS (SELECT DISTINCT scope, key FROM ({key_sql.replace('SIDE', flag)}))"
+    query(f"""WITH {FILLED}, {side("gold", "g")}, {side("pred", "p")},
+    n AS (SELECT scope, count_if(a AND b) AS tp, count_if(b) AS predicted, count_if(a) AS gold FROM (SELECT coalesce(g.scope, p.scope) AS scope, g.key IS NOT NULL AS a, p.key IS NOT NULL AS b FROM g FULL JOIN p ON g.scope = p.scope AND g.key = p.key) GROUP BY 1)
+    SELECT scope, CAST(tp AS BIGINT) AS tp, CAST(predicted AS BIGINT) AS predicted, CAST(gold AS BIGINT) AS gold, CASE WHEN predicted = 0 THEN 0.0::DOUBLE ELSE tp::DOUBLE / predicted END AS precision,
+     CASE WHEN gold = 0 THEN 0.0::DOUBLE ELSE tp::DOUBLE / gold END AS recall, (2 * tp)::DOUBLE / (predicted + gold) AS f1 FROM n""")(run)
+
+
+_extraction("core", extraction.core_keys, "SELECT scope, string_agg(role || '=' || ident, '|' ORDER BY role || '=' || ident) AS key FROM fi WHERE SIDE AND role <> 'flag' GROUP BY scope, fact")
+_extraction("pooled", extraction.pooled_keys, "SELECT scope, role || '=' || ident AS key FROM fi WHERE SIDE")
+_extraction("pairwise", extraction.pairwise_keys, "WITH x AS (SELECT scope, fact, role || '=' || ident AS c, row_number() OVER (PARTITION BY fact ORDER BY role || '=' || ident) AS i FROM fi WHERE SIDE) SELECT a.scope, a.c || '|' || b.c AS key FROM x a JOIN x b ON a.fact = b.fact AND a.i < b.i")
+_extraction("participants", extraction.participant_keys, "SELECT scope, string_agg(ident, '|' ORDER BY ident) AS key FROM fi WHERE SIDE GROUP BY scope, fact")
+
+
 @query()
 def alignment_hungarian(spark, d):
-    """Orders' parts as gold against the next order's, by the suppliers and flags that they share."""
-    rows = Tables(spark, d).lineitem.select(F.concat(F.lit("o"), (F.col("l_orderkey") % 100).cast("string")).alias("scope"), "l_linenumber", "l_suppkey", F.col("l_orderkey").cast("string").alias("id"))
-    g, p = rows.where("l_linenumber <= 2").alias("g"), rows.where("l_linenumber > 2").alias("p")
-    pairs = g.join(p, (F.col("g.scope") == F.col("p.scope")) & (F.col("g.l_suppkey") == F.col("p.l_suppkey")))
-    return assign.align(pairs.groupBy(F.col("g.scope").alias("scope"), F.col("g.id").alias("gold"), F.col("p.id").alias("predicted")).agg(F.count("*").alias("weight")))
+    """Gold and predicted facts of each scope aligned by the values, then the bindings, that they have in common."""
+    gold, pred = filled(Tables(spark, d))
+    part = lambda rows: rows.withColumn("scope", (F.col("fact") - F.col("fact") % 16).cast("string"))  # noqa: E731  sixteen orders a scope
+    return extraction.aligned(part(gold), part(pred))
+
+
+@query()
+def extraction_arguments(spark, d):
+    """Argument identification and classification over aligned facts, and how many identified ones have the right role."""
+    gold, pred = filled(Tables(spark, d))
+    part = lambda rows: rows.withColumn("scope", (F.col("fact") - F.col("fact") % 16).cast("string"))
+    return extraction.arguments(part(gold), part(pred))
 
 
 # --------------------------------------------------------------------- memory
 
 GOLDS = f"""fa AS (SELECT 'k:' || o_orderkey AS id, 'c:' || o_custkey AS key_digest, CASE WHEN o_orderpriority = '1-URGENT' THEN 'preferred' WHEN o_orderpriority = '5-LOW' THEN 'deprecated' ELSE 'normal' END AS rank,
  CASE WHEN o_orderstatus = 'P' THEN 'superseded' WHEN o_orderkey % 9 = 0 THEN 'disputed' ELSE 'asserted' END AS status, {jdn("o_orderdate")} AS s_lo, {jdn("o_orderdate")} + 86400 AS s_hi,
- {jdn("o_orderdate")} + 400 * 86400 AS e_lo, {jdn("o_orderdate")} + 401 * 86400 AS e_hi FROM orders),
+ {jdn("o_orderdate")} + 400 * 86400 AS e_lo, {jdn("o_orderdate")} + 401 * 86400 AS e_hi, o_orderkey % 5 <> 0 AS was_asserted, o_orderkey % 2 = 0 AS wrong FROM orders),
 lv AS (SELECT *, status = 'asserted' AND rank <> 'deprecated' AS live, s_hi <= {AT} AND {AT} < e_lo AS holds FROM fa),
 be AS (SELECT DISTINCT key_digest FROM lv WHERE live AND holds AND rank = 'preferred'),
 gk AS (SELECT id, key_digest, CASE WHEN live AND holds AND (rank = 'preferred' OR key_digest NOT IN (SELECT key_digest FROM be)) THEN 'current' WHEN live AND e_hi <= {AT} THEN 'expired'
- WHEN status IN ('superseded', 'retracted') OR (status = 'asserted' AND rank = 'deprecated') THEN 'revised' WHEN live AND holds THEN 'outranked' WHEN live AND s_lo > {AT} THEN 'future' WHEN status = 'disputed' THEN 'disputed' END AS kind FROM lv)"""
+ WHEN (status IN ('superseded', 'retracted') AND was_asserted) OR (rank = 'deprecated' AND wrong) THEN 'revised' WHEN live AND holds THEN 'outranked' WHEN live AND s_lo > {AT} THEN 'future' WHEN status = 'disputed' THEN 'disputed' END AS kind FROM lv)"""
 
 
 def golds(t: Tables):
@@ -272,8 +425,10 @@ def golds(t: Tables):
         F.when(how == "1-URGENT", "preferred").when(how == "5-LOW", "deprecated").otherwise("normal").alias("rank"),
         F.when(mark == "P", "superseded").when(F.col("o_orderkey") % 9 == 0, "disputed").otherwise("asserted").alias("status"),
         start.alias("s_lo"), (start + T.DAY).alias("s_hi"), (start + 400 * T.DAY).alias("e_lo"), (start + 401 * T.DAY).alias("e_hi"),
+        F.when(how == "5-LOW", F.array(F.when(F.col("o_orderkey") % 2 == 0, "incorrect").otherwise("outdated"))).alias("rank_reason"),
     )
-    return memory.gold(facts, AT)
+    versions = t.orders.select(text("k:", "o_orderkey").alias("id"), F.lit(0).alias("tx_from"), F.when(F.col("o_orderkey") % 5 != 0, "asserted").otherwise("quoted").alias("status"))
+    return memory.gold(facts.join(memory.was_asserted(versions, 1), "id"), AT)
 
 
 def _gold_query(kind: str):
@@ -312,7 +467,9 @@ def rated(t: Tables):
 
 
 WIDTH = f"WITH {RATED}, bi AS (SELECT greatest(0, least(9, CAST(ceil(confidence * 10) AS INTEGER) - 1)) AS bin, count(*) AS n, CAST(sum(correct) AS BIGINT) AS correct, sum(confidence) AS confidence FROM ra GROUP BY 1)"
-MASS = f"WITH {RATED}, ru AS (SELECT confidence, count(*) AS n, sum(correct) AS correct FROM ra GROUP BY 1), cu AS (SELECT *, sum(n) OVER (ORDER BY confidence) AS upto, sum(n) OVER () AS total FROM ru), bi AS (SELECT CAST(ceil(CAST(upto * 10 AS DOUBLE) / total) AS INTEGER) - 1 AS bin, sum(n) AS n, sum(correct) AS correct, sum(confidence * n) AS confidence FROM cu GROUP BY 1)"
+MASS = f"""WITH {RATED}, it AS (SELECT confidence, correct, row_number() OVER (ORDER BY confidence) AS r FROM ra), n AS (SELECT count(*) AS n, least(10, count(DISTINCT confidence)) AS b FROM ra),
+cu AS (SELECT DISTINCT (SELECT max(y.r) FROM it y WHERE y.confidence = x.confidence) AS e FROM it x, n, (SELECT unnest(range(1, 10)) AS i) WHERE i < b AND x.r = (i * n + b - 1) // b),
+bi AS (SELECT (SELECT count(*) FROM cu WHERE e < it.r) AS bin, count(*) AS n, sum(correct) AS correct, sum(confidence) AS confidence FROM it GROUP BY 1)"""
 ECE = "SELECT round(CAST(sum(abs(correct - confidence)) AS DOUBLE) / CAST(sum(n) AS DOUBLE), 12) AS ece FROM bi"
 
 
@@ -326,6 +483,11 @@ def ece_equal_mass(spark, d):
     return core.expected_error(core.equal_mass(rated(Tables(spark, d)), 10)).select(F.round("ece", 12).alias("ece"))
 
 
+@query(f"{MASS} SELECT CAST(bin AS INTEGER) AS bin, CAST(n AS BIGINT) AS n, CAST(correct AS BIGINT) AS correct, CAST(confidence AS DOUBLE) AS confidence FROM bi")
+def reliability_equal_mass(spark, d):
+    return core.equal_mass(rated(Tables(spark, d)), 10).withColumn("confidence", F.col("confidence").cast("double"))
+
+
 @query(f"WITH {RATED} SELECT round(CAST(sum((confidence - correct) * (confidence - correct)) AS DOUBLE) / count(*), 12) AS brier FROM ra")
 def brier(spark, d):
     return core.brier(rated(Tables(spark, d))).select(F.round("brier", 12).alias("brier"))
@@ -341,3 +503,10 @@ def bootstrap_ci(spark, d):
     """Intervals of the share of good documents per tenth of the ids."""
     rows = rated(Tables(spark, d)).select((F.col("id") % 10).alias("part"), "id", F.col("correct").cast("double").alias("value"))
     return core.bootstrap_by(rows, "part", "value", draws=200)
+
+
+@query()
+def bootstrap_paired(spark, d):
+    """Whether a document's score by its label beats one by its id, per tenth of the ids: the same draws for both."""
+    rows = rated(Tables(spark, d)).select((F.col("id") % 10).alias("part"), "id", F.col("confidence").cast("double").alias("a"), F.col("correct").cast("double").alias("b"))
+    return core.bootstrap_paired_by(rows, "part", "a", "b", draws=200)

@@ -20,17 +20,17 @@ def head(df):
 
 @query(f"WITH {PLACED} SELECT {HEAD} FROM placed WHERE {LIVE}")
 def where_axes(spark, d):
-    return head(reads.Where().apply(Tables(spark, d).facts("placed")))
+    return head(reads.Where().apply(Tables(spark, d).store("placed").facts))
 
 
 @query(f"WITH {PLACED} SELECT {HEAD} FROM placed WHERE {LIVE} AND s_hi <= {AT} AND {AT} < e_lo")
 def asof_definite(spark, d):
-    return head(reads.Where(as_of=AT).apply(Tables(spark, d).facts("placed")))
+    return head(reads.Where(as_of=AT).apply(Tables(spark, d).store("placed").facts))
 
 
 @query(f"WITH {PLACED} SELECT {HEAD} FROM placed WHERE {LIVE} AND s_lo <= {AT} AND {AT} < e_hi")
 def asof_possible(spark, d):
-    return head(reads.Where(as_of=AT, valid_mode="possible").apply(Tables(spark, d).facts("placed")))
+    return head(reads.Where(as_of=AT, valid_mode="possible").apply(Tables(spark, d).store("placed").facts))
 
 
 @query(f"""WITH {PLACED}, hit AS (SELECT id FROM placed WHERE customer = '{HUB}'),
@@ -38,60 +38,61 @@ deg AS (SELECT customer, count(DISTINCT id) AS degree FROM placed GROUP BY custo
 SELECT {HEAD}, (SELECT degree FROM deg WHERE customer = '{HUB}') AS degree FROM placed
 WHERE id IN (SELECT id FROM hit) AND {LIVE} AND s_hi <= {AT} AND {AT} < e_lo""")
 def incident(spark, d):
-    t = Tables(spark, d)
-    facts = reads.incident(reads.Where(as_of=AT).apply(t.facts("placed")), t.bindings("placed"), HUB)
-    return head(facts).crossJoin(reads.degree(t.bindings("placed")).where(F.col("ident") == HUB).select("degree"))
+    s = Tables(spark, d).store("placed")
+    facts = reads.incident(reads.Where(as_of=AT).apply(s.facts), s.by_value, HUB)
+    return head(facts).crossJoin(reads.degree(s.by_value.where(F.col("ident") == HUB)).select("degree"))
 
 
 @query(f"WITH {SUPPLIED} SELECT id, part, supplier, quantity FROM supplied WHERE part = 'p:11'")
 def incident_role(spark, d):
-    t = Tables(spark, d)
-    hit = reads.incident(t.wide("supplied"), t.bindings("supplied"), "p:11", role="part", relation="supplied")
+    s = Tables(spark, d).store("supplied")
+    hit = reads.incident(s.wide, s.by_value, "p:11", role="part", relation="supplied")
     return hit.select("id", "part", "supplier", "quantity")
 
 
 @query(f"WITH {SUPPLIED} SELECT ident, degree FROM (SELECT ident, count(DISTINCT id) AS degree FROM (SELECT id, unnest([ord, part, supplier]) AS ident FROM supplied) GROUP BY ident) ORDER BY degree DESC, ident LIMIT 20")
 def degree_topk(spark, d):
-    return reads.degree(Tables(spark, d).bindings("supplied")).orderBy(F.desc("degree"), "ident").limit(20)
+    return reads.degree(Tables(spark, d).store("supplied").by_value).orderBy(F.desc("degree"), "ident").limit(20)
 
 
 @query(f"WITH {PLACED} SELECT {HEAD} FROM placed p JOIN (SELECT DISTINCT o_orderkey FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_mktsegment = 'BUILDING') k ON p.id = 'placed:' || k.o_orderkey")
 def multi_get(spark, d):
     t = Tables(spark, d)
     ids = t.orders.join(t.customer.where("c_mktsegment = 'BUILDING'"), F.col("o_custkey") == F.col("c_custkey"), "left_semi")
-    return head(reads.get_many(t.facts("placed"), ids.select(F.concat(F.lit("placed:"), F.col("o_orderkey").cast("string")).alias("id"))))
+    return head(reads.get_many(t.store("placed").facts, ids.select(F.concat(F.lit("placed:"), F.col("o_orderkey").cast("string")).alias("id"))))
 
 
 @query(f"""WITH {SUPPLIED}, {SUPPLIED_B}, n AS (SELECT DISTINCT fact_id, ident FROM binding WHERE value_kind = 'entity'),
 a AS (SELECT DISTINCT ident FROM n WHERE fact_id IN (SELECT fact_id FROM n WHERE ident = 'o:5'))
 SELECT DISTINCT ident FROM n WHERE fact_id IN (SELECT fact_id FROM n WHERE ident IN (SELECT ident FROM a)) AND ident <> 'o:5'""")
 def two_hop(spark, d):
-    return reads.two_hop(Tables(spark, d).bindings("supplied"), "o:5")
+    s = Tables(spark, d).store("supplied")
+    return reads.two_hop(s.by_value, "o:5", s.by_fact)
 
 
 @query(f"WITH {SUPPLIED} SELECT supplier AS ident, list_sort(list(DISTINCT id)) AS ids FROM supplied WHERE supplier IN ('s:1', 's:2', 's:5') GROUP BY supplier")
 def bound_by(spark, d):
-    return reads.bound_by(Tables(spark, d).bindings("supplied"), "supplied", "supplier", ["s:1", "s:2", "s:5"])
+    return reads.bound_by(Tables(spark, d).store("supplied").by_value, "supplied", "supplier", ["s:1", "s:2", "s:5"])
 
 
 @query(f"WITH {PLACED} SELECT id, relation FROM (SELECT id, 'placed' AS relation FROM placed WHERE id > 'placed:3') ORDER BY id LIMIT 50")
 def keyset_page(spark, d):
-    return reads.page(Tables(spark, d).facts("placed").select("id", "relation"), 50, after="placed:3")
+    return reads.page(Tables(spark, d).store("placed").facts.select("id", "relation"), 50, after="placed:3")
 
 
 @query(f"WITH {SUPPLIED} SELECT id, 'supplied' AS relation, s_lo FROM supplied ORDER BY id LIMIT 100")
 def relation_scan_paged(spark, d):
-    return reads.page(Tables(spark, d).facts("supplied").select("id", "relation", "s_lo"), 100)
+    return reads.page(Tables(spark, d).store("supplied").facts.select("id", "relation", "s_lo"), 100)
 
 
 @query(f"WITH {SUPPLIED} SELECT DISTINCT id AS fact_id FROM supplied WHERE part = 'p:7'")
 def find_single(spark, d):
-    return reads.find(Tables(spark, d).bindings("supplied"), "supplied", [("part", "p:7")])
+    return reads.find(Tables(spark, d).store("supplied").by_value, "supplied", [("part", "p:7")])
 
 
 @query(f"WITH {SUPPLIED} SELECT DISTINCT id AS fact_id FROM supplied WHERE supplier = 's:3' AND returnflag = 'R'")
 def find_conjunctive(spark, d):
-    return reads.find(Tables(spark, d).bindings("supplied"), "supplied", [("supplier", "s:3"), ("returnflag", "R")])
+    return reads.find(Tables(spark, d).store("supplied").by_value, "supplied", [("supplier", "s:3"), ("returnflag", "R")])
 
 
 @query("""WITH b AS (SELECT 'co:' || l_orderkey AS fact_id, 'b' || row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS bid, l_returnflag AS ident FROM lineitem)
@@ -110,7 +111,8 @@ def find_exact(spark, d):
 
 @query(f"WITH {PLACED} SELECT id AS fact_id FROM placed WHERE end_day IS NOT NULL AND priority = '1-URGENT'")
 def find_any(spark, d):
-    return reads.find(Tables(spark, d).bindings("placed"), "placed", [("end", None), ("priority", "1-URGENT")])
+    s = Tables(spark, d).store("placed")
+    return reads.find(s.by_value, "placed", [("end", None), ("priority", "1-URGENT")], by_fact=s.by_fact)
 
 
 KEY = "'sha256:' || sha256('key' || chr(10) || '[\"supplied\",[\"line\",\"' || line || '\"],[\"order\",\"' || ord || '\"]]')"
@@ -118,8 +120,7 @@ KEY = "'sha256:' || sha256('key' || chr(10) || '[\"supplied\",[\"line\",\"' || l
 
 @query(f"WITH {SUPPLIED} SELECT DISTINCT id, {KEY} AS key_digest FROM supplied WHERE ord = 'o:7' AND line = '1'")
 def find_by_key(spark, d):
-    found = keys.find_by_key(Tables(spark, d).bindings("supplied"), "supplied", {"order": "o:7", "line": "1"})
-    return found.select(F.col("fact_id").alias("id"), "key_digest").distinct()
+    return keys.find_by_key(Tables(spark, d).store("supplied").facts, "supplied", {"order": "o:7", "line": "1"}).select("id", "key_digest")
 
 
 VERSIONS = f"""v AS (SELECT 'h:' || o_custkey AS id, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS INTEGER) AS version,
@@ -198,62 +199,94 @@ def key_invariant_violations(spark, d):
 
 
 @query(f"""WITH {KEPT} SELECT a.id AS stored, b.id AS incoming,
-CASE WHEN a.s_lo = b.s_lo AND a.s_hi = b.s_hi THEN 'same_start' WHEN a.s_hi <= b.s_lo THEN CASE WHEN a.e_lo = {OPEN} THEN 'succession' ELSE 'overlap_after_end' END
+CASE WHEN (a.s_hi <= b.s_lo) = (b.s_hi <= a.s_lo) THEN 'same_start' WHEN a.s_hi <= b.s_lo THEN CASE WHEN a.e_lo = {OPEN} THEN 'succession' ELSE 'overlap_after_end' END
  WHEN b.s_hi <= a.s_lo THEN CASE WHEN b.e_lo = {OPEN} THEN 'backfill' ELSE 'overlap_after_end' END ELSE 'same_start' END AS shape
 FROM kept a JOIN kept b ON a.key_digest = b.key_digest AND a.id < b.id WHERE greatest(a.s_lo, b.s_lo) < least(a.e_hi, b.e_hi)""")
 def key_collision_shape(spark, d):
     return keys.collisions(keyed_status(Tables(spark, d))).select("stored", "incoming", "shape")
 
 
-@query(f"""WITH {SUPPLIED} SELECT a.id AS left_id, b.id AS right_id,
-CASE WHEN a.part = b.part AND a.supplier = b.supplier AND a.quantity = b.quantity AND a.returnflag = b.returnflag AND a.shipped = b.shipped THEN 'duplicate'
- WHEN a.part = b.part AND a.supplier = b.supplier THEN 'same_core' ELSE 'key_conflict' END AS label
-FROM supplied a JOIN supplied b ON a.ord = b.ord AND a.line = b.line AND a.id < b.id""")
+QUARTER = "CAST(date_trunc('quarter', l_shipdate) AS DATE)"
+SENT = f"""sent AS (SELECT 's:' || sha256(concat_ws('|', l_orderkey, l_partkey, l_suppkey, l_linenumber, CAST(l_quantity AS DECIMAL(18,2)), CAST(l_extendedprice AS DECIMAL(18,2)),
+  CAST(l_discount AS DECIMAL(18,2)), CAST(l_tax AS DECIMAL(18,2)), l_returnflag, l_linestatus, strftime(l_shipdate, '%Y-%m-%d'))) AS id,
+  l_orderkey AS ord, CASE WHEN l_linestatus = 'O' THEN 'none' ELSE 'v' || l_suppkey % 3 END AS carrier, CASE WHEN l_returnflag <> 'N' THEN l_returnflag END AS flag,
+  strftime({QUARTER}, '%Y-%m-%d') AS quarter, {jdn(QUARTER)} AS lo, {jdn(QUARTER + " + INTERVAL 3 MONTH")} AS hi FROM lineitem)"""
+
+
+def sent(t: Tables):
+    """(facts, bindings) of order lines that share an order as key: a carrier or none (core), perhaps a flag, a quarter."""
+    from ..sources import star
+
+    start = F.trunc(F.col("l_shipdate").cast("date"), "quarter")
+    rows = t.lineitem.select(
+        F.concat(F.lit("s:"), F.sha2(F.concat_ws("|", F.col("l_orderkey").cast("string"), F.col("l_partkey").cast("string"), F.col("l_suppkey").cast("string"), *star.line_parts()), 256)).alias("id"),
+        F.col("l_orderkey").cast("string").alias("key_digest"), (F.col("l_linestatus") == "O").alias("none"), F.concat(F.lit("v"), (F.col("l_suppkey") % 3).cast("string")).alias("carrier"),
+        F.when(F.col("l_returnflag") != "N", F.col("l_returnflag")).alias("flag"), start.alias("start"),
+    )
+    low, high = T.day_instant(F.col("start")), T.day_instant(F.add_months("start", 3))
+    facts = rows.select("id", "key_digest", low.alias("s_lo"), low.alias("s_hi"), high.alias("e_lo"), high.alias("e_hi"))
+    cell = lambda role, slot, kind, ident: F.struct(F.lit(role).alias("role"), F.lit(slot).alias("slot"), kind.alias("value_kind"), ident.alias("ident"))
+    literal = F.lit("literal")
+    cells = F.array(
+        cell("order", "core", F.lit("entity"), F.col("key_digest")),
+        cell("carrier", "core", F.when(F.col("none"), "novalue").otherwise("entity"), F.when(F.col("none"), "none").otherwise(F.col("carrier"))),
+        cell("flag", "qualifier", literal, F.col("flag")), cell("quarter", "time", literal, F.date_format("start", "yyyy-MM-dd")),
+    )
+    bindings = rows.select(F.col("id").alias("fact_id"), F.explode(cells).alias("c")).select("fact_id", "c.*").where("ident IS NOT NULL")
+    return facts, bindings
+
+
+@query(f"""WITH {SENT} SELECT a.id AS incoming, b.id AS stored,
+CASE WHEN a.carrier = b.carrier AND a.quarter = b.quarter AND a.flag IS NOT DISTINCT FROM b.flag THEN 'duplicate'
+ WHEN a.carrier = b.carrier AND a.quarter = b.quarter AND b.flag IS NULL THEN 'refines' WHEN a.carrier = b.carrier AND a.quarter = b.quarter AND a.flag IS NULL THEN 'generalises'
+ WHEN (a.carrier = 'none') <> (b.carrier = 'none') AND greatest(a.lo, b.lo) < least(a.hi, b.hi) THEN 'negation_conflict'
+ WHEN NOT greatest(a.lo, b.lo) < least(a.hi, b.hi) THEN 'key_timeline' ELSE 'key_conflict' END AS label
+FROM sent a JOIN sent b ON a.ord = b.ord AND a.id > b.id""")
 def identity_relate(spark, d):
-    return keys.relate(Tables(spark, d).bindings("supplied"), "supplied")
+    facts, bindings = sent(Tables(spark, d))
+    return keys.relate(facts, bindings)
 
 
 # ----------------------------------------------------------------- recursion
 
 
-@query("""WITH RECURSIVE l AS (SELECT o_custkey, o_orderkey AS src, lead(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS dst FROM orders),
-w(start, node, depth) AS (SELECT first, first, 0 FROM (SELECT min_by(o_orderkey, (o_orderdate, o_orderkey)) AS first FROM orders WHERE o_custkey <= 40 GROUP BY o_custkey)
- UNION ALL SELECT w.start, l.dst, w.depth + 1 FROM w JOIN l ON l.src = w.node WHERE l.dst IS NOT NULL)
-SELECT CAST(start AS BIGINT) AS start, CAST(node AS BIGINT) AS node, CAST(depth AS INTEGER) AS depth FROM w""")
+@query("""WITH o AS (SELECT *, row_number() OVER w - 1 AS depth, first_value(o_orderkey) OVER w AS start FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey))
+SELECT CAST(start AS BIGINT) AS start, CAST(o_orderkey AS BIGINT) AS node, CAST(depth AS INTEGER) AS depth FROM o""")
 def supersession_walk(spark, d):
-    """Every later order supersedes the customer's one before it."""
+    """Every later order supersedes the customer's one before it; all customers' chains from their first orders."""
     t = Tables(spark, d)
-    links = lifecycle.successions(t.orders)
-    first = t.orders.where("o_custkey <= 40").groupBy("o_custkey").agg(F.min_by("o_orderkey", F.struct("o_orderdate", "o_orderkey")).alias("node"))
-    return reads.walk(links, first.select("node"))
+    first = t.orders.groupBy("o_custkey").agg(F.min_by("o_orderkey", F.struct("o_orderdate", "o_orderkey")).alias("node"))
+    return reads.walk(lifecycle.successions(t.orders), first.select("node"))
 
 
-@query("""WITH RECURSIVE e AS (SELECT DISTINCT 'p:' || l_partkey AS id, 'p:' || (l_partkey * 7 + 3) % 60 AS redirect_to FROM lineitem WHERE l_partkey < 60 AND l_partkey % 4 <> 0),
-r(id, node, depth) AS (SELECT id, redirect_to, 1 FROM e UNION ALL SELECT r.id, e.redirect_to, r.depth + 1 FROM r JOIN e ON r.node = e.id WHERE r.depth < 64)
+@query("""WITH RECURSIVE p AS (SELECT DISTINCT l_partkey AS p FROM lineitem), e AS (SELECT 'p:' || p AS id, 'p:' || p // 2 AS redirect_to FROM p WHERE p % 4 <> 0),
+r(id, node, depth) AS (SELECT id, redirect_to, 1 FROM e UNION ALL SELECT r.id, e.redirect_to, r.depth + 1 FROM r JOIN e ON r.node = e.id)
 SELECT id, node AS target, CAST(depth AS INTEGER) AS depth FROM r WHERE node NOT IN (SELECT id FROM e)""")
 def redirect_resolve(spark, d):
+    """Parts that were merged into the one with half their number, unless it is a multiple of four."""
     part = F.col("l_partkey")
-    moved = Tables(spark, d).lineitem.where("l_partkey < 60 AND l_partkey % 4 <> 0").select(
-        F.concat(F.lit("p:"), part.cast("string")).alias("id"), F.concat(F.lit("p:"), ((part * 7 + 3) % 60).cast("string")).alias("redirect_to")
-    )
-    return lifecycle.resolve_redirects(moved.distinct())
+    moved = Tables(spark, d).lineitem.select("l_partkey").distinct().where(part % 4 != 0)
+    name = lambda c: F.concat(F.lit("p:"), c.cast("string"))
+    return lifecycle.resolve_redirects(moved.select(name(part).alias("id"), name(F.shiftright(part, 1)).alias("redirect_to")))
 
 
-CYCLE = """WITH RECURSIVE e AS (SELECT DISTINCT l_partkey % 50 AS src, (l_partkey * 7 + 3) % 50 AS dst FROM lineitem WHERE l_partkey % 3 <> 0),
-r(src, dst, depth) AS (SELECT src, dst, 1 FROM e UNION SELECT r.src, e.dst, r.depth + 1 FROM r JOIN e ON r.dst = e.src WHERE r.depth < 60)
+def _cycle_sql(key: str, table: str, where: str, size: int, by: int) -> str:
+    """Cycles inside blocks of ``size`` ids; each node has one way out, so a cycle closes within a block's size."""
+    return f"""WITH RECURSIVE e AS (SELECT DISTINCT {key} AS src, {key} - {key} % {size} + ({key} % {size} * {by} + 3) % {size} AS dst FROM {table} WHERE {where}),
+r(src, dst, depth) AS (SELECT src, dst, 1 FROM e UNION SELECT r.src, e.dst, r.depth + 1 FROM r JOIN e ON r.dst = e.src WHERE r.depth < {size})
 SELECT DISTINCT CAST(src AS BIGINT) AS node FROM r WHERE src = dst"""
 
 
-def part_links(t: Tables):
-    part = F.col("l_partkey")
-    return t.lineitem.where("l_partkey % 3 <> 0").select((part % 50).alias("src"), ((part * 7 + 3) % 50).alias("dst")).distinct()
+def _block_links(rows, key: str, where: str, size: int, by: int):
+    k = F.col(key)
+    return rows.where(where).select(k.alias("src"), (k - k % size + (k % size * by + 3) % size).alias("dst")).distinct()
 
 
-@query(CYCLE)
+@query(_cycle_sql("l_partkey", "lineitem", "l_partkey % 3 <> 0", 10, 7))
 def supersession_cycle(spark, d):
-    return lifecycle.cycle_members(part_links(Tables(spark, d)))
+    return lifecycle.cycle_members(_block_links(Tables(spark, d).lineitem, "l_partkey", "l_partkey % 3 <> 0", 10, 7))
 
 
-@query(CYCLE)
+@query(_cycle_sql("o_orderkey", "orders", "o_orderstatus <> 'P'", 6, 5))
 def nesting_cycle(spark, d):
-    return lifecycle.cycle_members(part_links(Tables(spark, d)))
+    return lifecycle.cycle_members(_block_links(Tables(spark, d).orders, "o_orderkey", "o_orderstatus <> 'P'", 6, 5))

@@ -16,17 +16,18 @@ CONTENT = f"""ck AS (SELECT fact_id, 'sha256:' || sha256('content' || chr(10) ||
 
 @query(f"WITH {SUPPLIED}, {SUPPLIED_B}, {CONTENT} SELECT fact_id, content_key FROM ck")
 def content_key(spark, d):
-    return keys.content_digests(Tables(spark, d).bindings("supplied")).select("fact_id", "content_key")
+    return keys.content_digests_of_rows(Tables(spark, d).wide("supplied"), "supplied").select("fact_id", "content_key")
 
 
 @query(f"WITH {SUPPLIED}, {SUPPLIED_B}, {CONTENT} SELECT fact_id, core_key FROM ck")
 def core_key(spark, d):
+    """The same from a binding table, whose rows are grouped again."""
     return keys.content_digests(Tables(spark, d).bindings("supplied")).select("fact_id", "core_key")
 
 
 @query(f"""WITH {SUPPLIED} SELECT id AS fact_id, 'sha256:' || sha256('key' || chr(10) || '["supplied",["line","' || line || '"],["order","' || ord || '"]]') AS key_digest FROM supplied""")
 def key_digest(spark, d):
-    return keys.key_digests(Tables(spark, d).bindings("supplied"), "supplied")
+    return Tables(spark, d).wide("supplied").select(F.col("id").alias("fact_id"), keys.key_digest_column("supplied").alias("key_digest"))
 
 
 @query(f"WITH {SUPPLIED}, {SUPPLIED_B} SELECT DISTINCT ident, '_:lit:' || substr(sha256('literal' || chr(10) || '\"' || ident || '\"'), 1, 32) AS node FROM binding WHERE value_kind = 'literal'")
@@ -108,9 +109,16 @@ def span_select(spark, d):
     return docs.select("doc_id", exact.alias("exact"), (F.call_function("instr", F.col("text"), exact) - 1).cast("long").alias("first_at"))
 
 
-@query()
+@query("SELECT doc_id, sha256(url_encode(text)) AS iri FROM documents")
 def iri_encode(spark, d):
-    return Tables(spark, d).documents.select("doc_id", values.iri_encode(F.substring("text", 1, 60)).alias("iri"))
+    """Whole texts, percent-encoded; their digests, as the escapes are long."""
+    return Tables(spark, d).documents.select("doc_id", values.text_sha256(values.iri_encode(F.col("text"))).alias("iri"))
+
+
+@query("SELECT doc_id, sha256(text) AS back FROM documents")
+def iri_decode(spark, d):
+    """The way back."""
+    return Tables(spark, d).documents.select("doc_id", values.text_sha256(values.iri_decode(values.iri_encode(F.col("text")))).alias("back"))
 
 
 @query("SELECT doc_id, sha256(nfc_normalize(text)) AS sha256 FROM documents")
@@ -146,7 +154,7 @@ def value_refines_quantity(spark, d):
     return t.part.join(F.broadcast(bands), refine.quantity_refines(point, band)).select("p_partkey", "size_band")
 
 
-@query()
+@query(f"WITH {PLACED} SELECT id AS fact_id FROM placed WHERE customer = 'c:7' AND priority IS NOT NULL")
 def fact_refines(spark, d):
     """Orders' facts against patterns with one role left open."""
     t = Tables(spark, d)
@@ -167,8 +175,8 @@ def from_incidence_rows(spark, d):
     return project.by_role(Tables(spark, d).bindings("supplied"), "supplied")
 
 
-@query(f"""WITH {PLACED}, {PLACED_B} SELECT 'urn:' || fact_id AS s, 'rdf:type' AS p, 'urn:placed' AS o FROM (SELECT DISTINCT fact_id FROM binding)
-UNION ALL SELECT 'urn:' || fact_id, 'urn:placed/' || role, CASE WHEN value_kind = 'entity' THEN 'urn:' || ident ELSE '"' || ident || '"' END FROM binding""")
+@query(f"""WITH {PLACED}, {PLACED_B} SELECT 'urn:' || url_encode(fact_id) AS s, 'rdf:type' AS p, 'urn:placed' AS o FROM (SELECT DISTINCT fact_id FROM binding)
+UNION ALL SELECT 'urn:' || url_encode(fact_id), 'urn:placed/' || role, CASE WHEN value_kind = 'entity' THEN 'urn:' || url_encode(ident) ELSE to_json(ident)::VARCHAR END FROM binding""")
 def rdf_triples(spark, d):
     return exchange.triples(Tables(spark, d).bindings("placed"))
 

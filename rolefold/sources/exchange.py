@@ -8,7 +8,7 @@ from itertools import count
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.values import quoted
+from ..functions.values import iri_decode, iri_encode, quoted
 from ..storage import cut
 
 
@@ -39,20 +39,22 @@ def from_incidences(rows: DataFrame, edge_relation: DataFrame) -> DataFrame:
 
 
 def triples(bindings: DataFrame) -> DataFrame:
-    """A type triple per fact and one triple per binding."""
-    iri = lambda x: F.concat(F.lit("urn:"), x)
-    value = F.when(F.col("value_kind") == "literal", F.concat(F.lit('"'), "ident", F.lit('"'))).otherwise(iri(F.col("ident")))
+    """A type triple per fact and one triple per binding; names are percent-encoded, literals quoted as in JSON."""
+    iri = lambda x: F.concat(F.lit("urn:"), iri_encode(x))
+    value = F.when(F.col("value_kind") == "literal", quoted(F.col("ident"))).otherwise(iri(F.col("ident")))
     typed = bindings.select(iri(F.col("fact_id")).alias("s"), F.lit("rdf:type").alias("p"), iri(F.col("relation")).alias("o")).distinct()
-    return typed.union(bindings.select(iri(F.col("fact_id")), F.concat(F.lit("urn:"), "relation", F.lit("/"), "role"), value))
+    return typed.union(bindings.select(iri(F.col("fact_id")), F.concat(iri(F.col("relation")), F.lit("/"), iri_encode(F.col("role"))), value))
 
 
 def from_triples(rows: DataFrame) -> DataFrame:
     """(fact_id, relation, role, value_kind, ident): the inverse of triples()."""
     literal = F.col("o").startswith('"')
-    path = F.split(F.col("p").substr(5, 1000), "/")
+    name = lambda c: iri_decode(F.expr(f"substr({c}, 5)"))
+    path = F.split(F.expr("substr(p, 5)"), "/")
+    plain = F.get_json_object(F.concat(F.lit("["), "o", F.lit("]")), "$[0]")
     return rows.where("p <> 'rdf:type'").select(
-        F.expr("substr(s, 5)").alias("fact_id"), path[0].alias("relation"), path[1].alias("role"), F.when(literal, "literal").otherwise("entity").alias("value_kind"),
-        F.when(literal, F.expr("substr(o, 2, length(o) - 2)")).otherwise(F.expr("substr(o, 5)")).alias("ident"),
+        name("s").alias("fact_id"), iri_decode(path[0]).alias("relation"), iri_decode(path[1]).alias("role"), F.when(literal, "literal").otherwise("entity").alias("value_kind"),
+        F.when(literal, plain).otherwise(name("o")).alias("ident"),
     )
 
 

@@ -42,6 +42,12 @@ def decimal(x: Column | str) -> Column:
     return (F.col(x) if isinstance(x, str) else x).cast("decimal(18,2)").cast("string")
 
 
+def line_parts() -> list[Column]:
+    """What tells order lines apart beside order, part and supplier, as text."""
+    return [F.col("l_linenumber").cast("string"), decimal("l_quantity"), decimal("l_extendedprice"), decimal("l_discount"), decimal("l_tax"),
+            F.col("l_returnflag"), F.col("l_linestatus"), day("l_shipdate")]
+
+
 def wide(spark: SparkSession, sf_dir: str, relation: str) -> DataFrame:
     """One row per fact with a column per role: what headers and bindings are cut from."""
     t = lambda n: read(spark, sf_dir, n)
@@ -79,8 +85,8 @@ def wide(spark: SparkSession, sf_dir: str, relation: str) -> DataFrame:
     )
 
 
-def facts(rows: DataFrame, relation: str) -> DataFrame:
-    """Headers.  Order and line states stand for belief and editorial rank: O is disputed, P deprecated."""
+def facts(rows: DataFrame, relation: str, more: tuple[str, ...] = ()) -> DataFrame:
+    """Headers, with ``more`` columns of the wide rows.  Order and line states stand for belief and editorial rank: O is disputed, P deprecated."""
     roles = [r for r, *_ in USAGE[relation]]
     held = reduce(lambda a, b: a + b, (F.col(r).isNotNull().cast("int") for r in roles))
     known = F.when(F.col("start_at").isNotNull(), "literal")
@@ -91,7 +97,7 @@ def facts(rows: DataFrame, relation: str) -> DataFrame:
         "id", F.lit(relation).alias("relation"), F.lit(1).alias("version"), tx.cast("long").alias("tx_from"),
         F.when(F.col("mark") == "O", "disputed").otherwise("asserted").alias("status"),
         F.when(F.col("mark") == "P", "deprecated").otherwise("normal").alias("rank"), F.lit("visible").alias("visibility"),
-        *(c.cast("long").alias(n) for n, c in both.items()), held.alias("n_bindings"),
+        *(c.cast("long").alias(n) for n, c in both.items()), held.alias("n_bindings"), *more,
     )
 
 
