@@ -2,6 +2,12 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes
 each stage's result to the shared folder and reads it back as the next one's docs.
+
+Defined cases: a null text is an empty one; texts without a letter are of no known
+language, so they go in the second stage; rows without an id are no copies of each
+other; equal rows stay or go together, but near-dedup keeps one of them; texts of
+any length are read whole; empty tables pass through; columns beside those of
+documents are left behind, whatever their names.
 """
 
 from __future__ import annotations
