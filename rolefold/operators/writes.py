@@ -30,22 +30,29 @@ def put(store: DataFrame, batch: DataFrame, content: str = "content_key") -> Dat
     return rows.select("id", version.cast("int").alias("version"), "outcome", *(c for c in batch.columns if c not in ("id", "version")))
 
 
-def supersede(facts: DataFrame, pairs: DataFrame, tx: int) -> DataFrame:
-    """New rows for (old, new, reason): old facts' superseded versions and the records that bind both."""
-    now = latest(facts)
-    old = now.join(pairs.select(F.col("old").alias("id"), F.concat(F.lit("m:"), "old").alias("record")), "id").where(F.col("status").isin("asserted", "disputed"))
-    changed = old.select("id", (F.col("version") + 1).cast("int").alias("version"), F.lit(tx).alias("tx_from"), F.lit("superseded").alias("status"), F.col("record").alias("status_ref"))
-    records = pairs.join(now.select(F.col("id").alias("old")), "old", "left_semi").select(
-        F.concat(F.lit("m:"), "old").alias("id"), F.lit(1).alias("version"), F.lit(tx).alias("tx_from"), F.lit("asserted").alias("status"), F.lit(None).cast("string").alias("status_ref")
+def end_problems(facts: DataFrame, ends: DataFrame) -> DataFrame:
+    """(id, code) of ends (id, e_lo, e_hi) that are refused: D013 where the fact is frozen or the end isn't narrower
+    than the one held, D014 where the fact's state takes none, missing where nothing is stored."""
+    rows = ends.select("id", F.col("e_lo").alias("_lo"), F.col("e_hi").alias("_hi")).join(latest(facts), "id", "left")
+    code = (
+        F.when(F.col("version").isNull(), "missing")
+        .when(F.col("status").isin("superseded", "retracted"), "D013")
+        .when(~F.col("status").isin("asserted", "disputed"), "D014")
+        .when(~_narrower(), "D013")
     )
-    return changed.unionByName(records)
+    return rows.select("id", code.alias("code")).where("code IS NOT NULL")
+
+
+def _narrower():
+    """Whether the new end (_lo, _hi) lies after the start and inside the end that is held, if one is."""
+    return (F.col("_lo") >= F.col("s_lo")) & (F.col("e_hi") >= F.col("_hi")) & ((F.col("e_lo") <= F.col("_lo")) | (F.col("e_lo") == F.col("e_hi")))
 
 
 def end_validity(facts: DataFrame, ends: DataFrame, tx: int) -> DataFrame:
-    """New versions for (id, e_lo, e_hi): an end that is added, or made narrower; other ends are refused silently."""
-    rows = latest(facts).join(ends.select("id", F.col("e_lo").alias("_lo"), F.col("e_hi").alias("_hi")), "id")
-    narrower = (F.col("_lo") >= F.col("s_lo")) & ((F.col("e_hi") >= F.col("_hi")) & ((F.col("e_lo") <= F.col("_lo")) | (F.col("e_lo") == F.col("e_hi"))))
-    kept = rows.where(narrower & ((F.col("_lo") != F.col("e_lo")) | (F.col("_hi") != F.col("e_hi"))))
+    """New versions for (id, e_lo, e_hi): an end that is added, or made narrower; ``end_problems`` says which are refused."""
+    refused = end_problems(facts, ends)
+    rows = latest(facts).join(ends.select("id", F.col("e_lo").alias("_lo"), F.col("e_hi").alias("_hi")), "id").join(refused.select("id"), "id", "left_anti")
+    kept = rows.where((F.col("_lo") != F.col("e_lo")) | (F.col("_hi") != F.col("e_hi")))
     return kept.select("id", (F.col("version") + 1).cast("int").alias("version"), F.lit(tx).alias("tx_from"), "status", "s_lo", "s_hi", F.col("_lo").alias("e_lo"), F.col("_hi").alias("e_hi"))
 
 

@@ -38,15 +38,6 @@ def container_diff(spark, d):
     return writes.compare(store(t), incoming(t).where("content_key <> 'P'"))
 
 
-@query(f"""WITH {PLACED}, ol AS (SELECT id, status FROM placed WHERE priority = '5-LOW')
-SELECT id, CAST(2 AS INTEGER) AS version, CAST(7 AS BIGINT) AS tx_from, 'superseded' AS status, 'm:' || id AS status_ref FROM ol
-UNION ALL SELECT 'm:' || id, 1, 7, 'asserted', NULL FROM ol""")
-def apply_supersede(spark, d):
-    t = Tables(spark, d)
-    pairs = t.wide("placed").where("priority = '5-LOW'").select(F.col("id").alias("old"), F.lit("next").alias("new"), F.lit("correction").alias("reason"))
-    return writes.supersede(t.facts("placed"), pairs, 7).withColumn("tx_from", F.col("tx_from").cast("long"))
-
-
 @query(f"""WITH {PLACED} SELECT id, CAST(2 AS INTEGER) AS version, CAST(9 AS BIGINT) AS tx_from, status, s_lo, s_hi, s_lo + 864000 AS e_lo, s_lo + 950400 AS e_hi
 FROM placed WHERE e_lo = {OPEN} AND e_hi = {OPEN}""")
 def apply_end_validity(spark, d):
@@ -55,6 +46,15 @@ def apply_end_validity(spark, d):
     return writes.end_validity(facts, ends, 9).withColumn("tx_from", F.col("tx_from").cast("long"))
 
 
+@query(f"""WITH {PLACED}, en AS (SELECT id, status, s_lo, e_lo, e_hi, s_lo + 86400 * (1 + s_lo // 86400 % 700) AS lo FROM placed)
+SELECT id, CASE WHEN NOT (e_hi >= lo + 86400 AND (e_lo <= lo OR e_lo = e_hi)) THEN 'D013' END AS code FROM en WHERE NOT (e_hi >= lo + 86400 AND (e_lo <= lo OR e_lo = e_hi))""")
+def end_findings(spark, d):
+    """Ends some days after the start that the end already held contradicts."""
+    facts = Tables(spark, d).facts("placed")
+    low = F.col("s_lo") + 86400 * (1 + F.floor(F.col("s_lo") / 86400) % 700)
+    return writes.end_problems(facts, facts.select("id", low.alias("e_lo"), (low + 86400).alias("e_hi")))
+
+
 @query(f"""WITH {PLACED}, {PLACED_B}, af AS (SELECT fact_id, bid, role, CASE WHEN role = 'priority' AND fact_id LIKE '%7' THEN 'other' ELSE ident END AS ident FROM binding WHERE NOT (role = 'end' AND fact_id LIKE '%3'))
 SELECT b.fact_id, b.bid, CASE WHEN af.fact_id IS NULL THEN 'removed' ELSE 'value_changed' END AS code FROM binding b LEFT JOIN af ON b.fact_id = af.fact_id AND b.bid = af.bid
 WHERE af.fact_id IS NULL OR af.ident <> b.ident""")
