@@ -94,3 +94,62 @@ def attach(items: DataFrame, verdicts: DataFrame, on: list[str]) -> DataFrame:
     """Items with their verdicts as a sorted array; none is an empty one."""
     held = verdicts.groupBy(*on).agg(F.array_sort(F.collect_list("verdict")).alias("verdicts"))
     return items.join(held, on, "left").withColumn("verdicts", F.coalesce("verdicts", F.array().cast("array<string>")))
+
+
+#: Where each action may lead from each state (fixed values).
+STEPS = {
+    "lint": {"pending": ("linted", "needs_review", "rejected")},
+    "accept": {"linted": ("accepted",), "needs_review": ("accepted",)},
+    "reject": {s: ("rejected",) for s in OPEN},
+    "flag": {"pending": ("needs_review",), "linted": ("needs_review",)},
+    "verdict": {s: (s,) for s in (*OPEN, "accepted", "rejected")},
+    "withdraw": {s: ("withdrawn",) for s in OPEN},
+}
+JUDGED = "target string, line long, lid string, how string, code string, state string"
+
+
+def judge(log: DataFrame, items: DataFrame) -> DataFrame:
+    """(target, line, lid, how, code, state): each entry as the fold takes it, and the item's state after it.
+
+    log: (target, line, lid, parent, action, before, after, error), items: (target).
+    An entry is skipped if its item is unknown or its parent isn't the item's last
+    folded entry (Q007); it is held, changing nothing, if it doesn't follow the state
+    or accepts what was linted with an error (Q005); else it moves the state.
+    Entries stream through a task in log order, so an item of any length keeps one state.
+    """
+    import pyarrow as pa
+
+    known = log.join(items.select("target", F.lit(True).alias("known")).distinct(), "target", "left")
+    parts = int(log.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = known.select("target", "line", "lid", "parent", "action", "before", "after", "error", F.coalesce("known", F.lit(False)).alias("known"))
+
+    def run(batches):
+        at, state, last, error = None, "pending", None, False
+        for b in batches:
+            out = []
+            for target, line, lid, parent, action, before, after, flawed, here in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if target != at:
+                    at, state, last, error = target, "pending", None, False
+                if action not in STEPS:
+                    out.append((target, line, lid, "skip", None, state))
+                    continue
+                if not here or parent != last:
+                    out.append((target, line, lid, "skip", "Q007", state))
+                    continue
+                last = lid
+                if before != state or after not in STEPS[action].get(state, ()) or (action == "accept" and error):
+                    out.append((target, line, lid, "hold", "Q005", state))
+                    continue
+                state = after
+                error = bool(flawed) if action == "lint" else error
+                out.append((target, line, lid, "move", None, state))
+            kinds = (pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.string())
+            cols = list(zip(*out, strict=True)) if out else [()] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=[c.split()[0] for c in JUDGED.split(", ")])
+
+    return rows.repartition(parts, "target").sortWithinPartitions("target", "line").mapInArrow(run, JUDGED)
+
+
+def states(judged: DataFrame) -> DataFrame:
+    """(target, state) after the whole log."""
+    return judged.groupBy("target").agg(F.max_by("state", "line").alias("state"))

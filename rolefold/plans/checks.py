@@ -119,6 +119,45 @@ def queue_state_counts(spark, d):
     return queue.fold(queue_log(Tables(spark, d))).groupBy("state").agg(F.count("*").alias("items"), F.sum("illegal").alias("illegal"))
 
 
+JUDGE = """RECURSIVE e AS (SELECT 'q:' || user_id || '-' || event_id % 3 AS target, event_id AS line, CASE event_type WHEN 'signup' THEN 'lint' WHEN 'view' THEN 'lint' WHEN 'click' THEN 'flag' WHEN 'purchase' THEN 'accept' ELSE 'verdict' END AS action,
+  CASE event_type WHEN 'signup' THEN 'linted' WHEN 'view' THEN 'needs_review' WHEN 'click' THEN 'needs_review' WHEN 'purchase' THEN 'accepted' ELSE ['pending', 'linted', 'needs_review', 'linted'][1 + event_id % 4] END AS after,
+  ['pending', 'linted', 'needs_review', 'linted'][1 + event_id % 4] AS before, event_id % 5 = 0 AS error, user_id % 20 <> 0 AS known, event_id % 13 = 0 AS odd FROM events),
+l AS (SELECT *, CASE WHEN NOT odd THEN lag(line) OVER (PARTITION BY target, odd ORDER BY line) END AS parent, row_number() OVER (PARTITION BY target ORDER BY line) AS i FROM e),
+s(target, i, line, how, code, state, last, flawed) AS (SELECT target, CAST(0 AS BIGINT), CAST(NULL AS BIGINT), '', NULL::VARCHAR, 'pending', CAST(NULL AS BIGINT), false FROM (SELECT DISTINCT target FROM l)
+ UNION ALL SELECT l.target, l.i, l.line, CASE WHEN skip THEN 'skip' WHEN hold THEN 'hold' ELSE 'move' END, CASE WHEN skip THEN 'Q007' WHEN hold THEN 'Q005' END,
+  CASE WHEN skip OR hold THEN s.state ELSE l.after END, CASE WHEN skip THEN s.last ELSE l.line END, CASE WHEN NOT skip AND NOT hold AND l.action = 'lint' THEN l.error ELSE s.flawed END
+ FROM s JOIN l ON l.target = s.target AND l.i = s.i + 1, LATERAL (SELECT NOT l.known OR l.parent IS DISTINCT FROM s.last AS skip, l.before <> s.state OR NOT (CASE l.action WHEN 'lint' THEN s.state = 'pending'
+   WHEN 'flag' THEN s.state IN ('pending', 'linted') WHEN 'accept' THEN s.state IN ('linted', 'needs_review') AND NOT s.flawed ELSE l.after = s.state END) AS hold))"""
+
+
+def full_log(t: Tables):
+    """(log, items): events as log entries with parents and states, of which many don't fit."""
+    from pyspark.sql import Window
+
+    kind, number = F.col("event_type"), F.col("event_id")
+    guess = F.element_at(F.array(*map(F.lit, ("pending", "linted", "needs_review", "linted"))), (number % 4 + 1).cast("int"))
+    rows = t.events.select(
+        F.concat(F.lit("q:"), F.col("user_id").cast("string"), F.lit("-"), (number % 3).cast("string")).alias("target"), number.alias("line"), number.cast("string").alias("lid"),
+        F.when(kind.isin("signup", "view"), "lint").when(kind == "click", "flag").when(kind == "purchase", "accept").otherwise("verdict").alias("action"), guess.alias("before"),
+        F.when(kind == "signup", "linted").when(kind.isin("view", "click"), "needs_review").when(kind == "purchase", "accepted").otherwise(guess).alias("after"), (number % 5 == 0).alias("error"),
+        (number % 13 == 0).alias("odd"), (F.col("user_id") % 20 != 0).alias("item"),
+    )
+    parent = F.lag("lid").over(Window.partitionBy("target", "odd").orderBy("line"))
+    log = rows.withColumn("parent", F.when(~F.col("odd"), parent))
+    return log, rows.where("item").select("target").distinct()
+
+
+@query(f"WITH {JUDGE} SELECT target, line, how, code, state FROM s WHERE i > 0")
+def queue_judged(spark, d):
+    """Every log entry as the fold takes it."""
+    return queue.judge(*full_log(Tables(spark, d))).select("target", "line", "how", "code", "state")
+
+
+@query(f"WITH {JUDGE} SELECT target, arg_max(state, line) AS state FROM s WHERE i > 0 GROUP BY target")
+def queue_states(spark, d):
+    return queue.states(queue.judge(*full_log(Tables(spark, d))))
+
+
 LABELS = (*queue.SEVERITIES, "correct", "correct", "odd")
 SAID = f"({list(LABELS)})[1 + (event_id * 7) % {len(LABELS)}]"
 
