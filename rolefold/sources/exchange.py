@@ -50,7 +50,8 @@ def from_triples(rows: DataFrame) -> DataFrame:
     """(fact_id, relation, role, value_kind, ident): the inverse of triples()."""
     literal = F.col("o").startswith('"')
     name = lambda c: iri_decode(F.expr(f"substr({c}, 5)"))
-    path = F.split(F.expr("substr(p, 5)"), "/")
+    parts = F.split(F.expr("substr(p, 5)"), "/")
+    path = [F.get(parts, F.lit(i)) for i in (0, 1)]
     plain = F.get_json_object(F.concat(F.lit("["), "o", F.lit("]")), "$[0]")
     return rows.where("p <> 'rdf:type'").select(
         name("s").alias("fact_id"), iri_decode(path[0]).alias("relation"), iri_decode(path[1]).alias("role"), F.when(literal, "literal").otherwise("entity").alias("value_kind"),
