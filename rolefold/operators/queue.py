@@ -42,22 +42,33 @@ def fold_group(pdf: pd.DataFrame) -> pd.DataFrame:
 def fold(log: DataFrame) -> DataFrame:
     """(target, state, illegal, entries) from (target, lid, action), in log order.
 
-    The state is a fold in the JVM over each item's sorted actions; an item's log
-    is short, unlike the whole log, which is partially sorted by target only.
+    Entries stream through a task sorted by item and place, so an item of any
+    length costs one state, not its log.
     """
-    actions = log.groupBy("target").agg(F.array_sort(F.collect_list(F.struct("lid", "action"))).alias("log"))
-
-    def move(acc, entry):
-        state, action = acc["state"], entry["action"]
-        target = F.lit(None).cast("string")
-        for name, (sources, to) in MOVES.items():
-            target = F.when((action == name) & state.isin(*sources), F.lit(to)).otherwise(target)
-        legal = target.isNotNull() | (action == "verdict")
-        return F.struct(F.coalesce(target, state).alias("state"), (acc["illegal"] + (~legal).cast("int")).alias("illegal"))
-
-    start = F.struct(F.lit("pending").alias("state"), F.lit(0).alias("illegal"))
-    done = actions.select("target", F.size("log").alias("entries"), F.aggregate("log", start, move).alias("end"))
-    return done.select("target", "end.state", "end.illegal", "entries")
+    import pyarrow as pa
+
+    names = ["target", "state", "illegal", "entries"]
+    kinds = (pa.string(), pa.string(), pa.int32(), pa.int32())
+
+    def run(batches):
+        at, state, illegal, many, started = None, "pending", 0, 0, False
+        for b in batches:
+            out = []
+            for target, action in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                if not started or target != at:
+                    if started:
+                        out.append((at, state, illegal, many))
+                    at, state, illegal, many, started = target, "pending", 0, 0, True
+                state, legal = step(state, action)
+                illegal, many = illegal + (not legal), many + 1
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
+        if started:
+            yield pa.RecordBatch.from_arrays([pa.array([c], k) for c, k in zip((at, state, illegal, many), kinds, strict=True)], names=names)
+
+    parts = int(log.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = log.select("target", "lid", "action").repartition(parts, "target").sortWithinPartitions("target", "lid").select("target", "action")
+    return rows.mapInArrow(run, "target string, state string, illegal int, entries int")
 
 
 def parents(log: DataFrame) -> DataFrame:

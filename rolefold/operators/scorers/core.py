@@ -167,6 +167,22 @@ def value_answers(gold: DataFrame, given: DataFrame, abstained: DataFrame | None
     return prf(rows).select("query", em, "precision", "recall", "f1")
 
 
+def joint(answers: DataFrame, supports: DataFrame, ranks: DataFrame) -> DataFrame:
+    """(query, joint_p, joint_r, joint_f1, joint_em, gated_em): an answer counts as far as its support does.
+
+    Joint precision and recall are products of the answer's and the claimed
+    support's; gated_em counts an answer only where the ranking finds a whole
+    support set first (r_precision 1).  answers, supports: (query, em, precision,
+    recall); ranks: (query, r_precision).
+    """
+    s = supports.select("query", F.col("precision").alias("sp"), F.col("recall").alias("sr"), F.col("em").alias("se"))
+    rows = answers.join(s, "query", "left").join(ranks.select("query", "r_precision"), "query", "left")
+    p, r = F.col("precision") * F.col("sp"), F.col("recall") * F.col("sr")
+    f1 = F.when(p + r > 0, 2 * p * r / (p + r)).when(p.isNotNull(), 0.0)
+    gated = F.when(F.col("r_precision").isNotNull(), F.col("em") * (F.col("r_precision") == 1).cast("int"))
+    return rows.select("query", p.alias("joint_p"), r.alias("joint_r"), f1.alias("joint_f1"), (F.col("em") * F.col("se")).alias("joint_em"), gated.alias("gated_em"))
+
+
 def budget_curve(questions: DataFrame, steps: int = 10) -> DataFrame:
     """(step, budget, answered, answer_em): what is answered rightly within each tenth of all tokens spent.
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import memory
 from ..operators.scorers import core, extraction
-from .base import Tables, jdn, query
+from .base import ORACLES, Tables, jdn, query
 from .reads import AT, KEPT, keyed_status
 
 # ----------------------------------------------------------------- completion
@@ -242,6 +242,21 @@ def answer_value_sets(spark, d):
     return core.value_answers(pick("F"), pick("O"), t.customer.where("c_custkey % 5 = 0").select(F.col("c_custkey").alias("query")))
 
 
+@query(f"""WITH g AS (SELECT DISTINCT user_id AS query, event_id % 3 AS v FROM events WHERE event_type = 'click'), p AS (SELECT DISTINCT user_id AS query, event_id % 3 AS v FROM events WHERE event_type = 'view'),
+n AS (SELECT q.query, (SELECT count(*) FROM g WHERE g.query = q.query) AS gold, (SELECT count(*) FROM p WHERE p.query = q.query) AS pred, (SELECT count(*) FROM g JOIN p USING (query, v) WHERE g.query = q.query) AS tp FROM (SELECT DISTINCT query FROM g) q),
+a AS (SELECT query, CAST(tp = gold AND tp = pred AS INTEGER) AS em, CASE WHEN pred = 0 THEN 0.0::DOUBLE ELSE tp::DOUBLE / pred END AS precision, tp::DOUBLE / gold AS recall FROM n),
+s AS ({ORACLES["support_claimed"]}), r AS ({ORACLES["retrieval_ranking"]}),
+j AS (SELECT a.query, a.precision * s.precision AS joint_p, a.recall * s.recall AS joint_r, a.em * s.em AS joint_em, CASE WHEN r_precision IS NOT NULL THEN a.em * (r_precision = 1)::INT END AS gated_em FROM a LEFT JOIN s USING (query) LEFT JOIN r USING (query))
+SELECT query, joint_p, joint_r, CASE WHEN joint_p + joint_r > 0 THEN 2 * joint_p * joint_r / (joint_p + joint_r) WHEN joint_p IS NOT NULL THEN 0.0 END AS joint_f1, joint_em, gated_em FROM j""")
+def answers_joint(spark, d):
+    """Answers weighed by their claimed support, and counted only where the support is found first."""
+    t = Tables(spark, d)
+    pick = lambda kind: t.events.where(F.col("event_type") == kind).select(F.col("user_id").alias("query"), (F.col("event_id") % 3).alias("value"))
+    claims = t.events.where("event_type = 'view'").select(F.col("user_id").alias("query"), (F.col("event_id") % 40).alias("unit"))
+    sets = support_sets(t)
+    return core.joint(core.value_answers(pick("click"), pick("view")), core.claimed_support(claims, sets), core.ranking(ranked(t), sets))
+
+
 @query("SELECT event_type, median(event_id % 97)::DOUBLE AS median, CAST(quantile_disc(event_id % 97, 0.9) AS BIGINT) AS p90, CAST(quantile_disc(event_id % 97, 0.95) AS BIGINT) AS p95 FROM events GROUP BY event_type")
 def cost_quantiles(spark, d):
     disc = lambda q: F.expr(f"percentile_disc({q}) WITHIN GROUP (ORDER BY event_id % 97)").cast("long").alias(f"p{int(q * 100)}")

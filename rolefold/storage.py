@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 
@@ -14,6 +15,8 @@ def shared_dir(spark: SparkSession) -> str:
     context = spark.sparkContext
     known = spark.conf.get("spark.checkpoint.dir", None) or context._jsc.sc().getCheckpointDir().getOrElse(None)
     if known is None:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = tempfile.mkdtemp(prefix="rolefold-")
         atexit.register(shutil.rmtree, folder, True)
         known = f"file://{folder}"
