@@ -14,6 +14,8 @@ from itertools import combinations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import cut
+
 Edges = dict[str, frozenset[str]]
 
 
@@ -36,6 +38,25 @@ def statistics(usage: DataFrame) -> DataFrame:
     return rank.crossJoin(degree).crossJoin(shared.agg(F.coalesce(F.max("n"), F.lit(0)).alias("intersection")))
 
 
+def components(usage: DataFrame) -> DataFrame:
+    """(role, component): roles that relations connect share the least of their names.
+
+    A round passes each role's least known name through its relations, and then
+    the name of that name, so long chains close in few rounds.
+    """
+    rows = usage.select("relation", "role").distinct()
+    now, many = rows.select("role", F.col("role").alias("component")).distinct(), None
+    while True:
+        least = rows.join(now, "role").groupBy("relation").agg(F.min("component").alias("component"))
+        step = rows.join(least, "relation").groupBy("role").agg(F.min("component").alias("component"))
+        named = step.select(F.col("role").alias("component"), F.col("component").alias("further"))
+        now = cut(step.join(named, "component").select("role", F.col("further").alias("component")))
+        left = now.select("component").distinct().count(), now.agg(F.sum(F.crc32(F.col("component")))).first()[0]
+        if left == many:
+            return now
+        many = left
+
+
 def gyo(edges: Edges) -> Edges:
     """What is left after removing roles of one relation and relations inside others; nothing if alpha-acyclic."""
     left = dict(edges)

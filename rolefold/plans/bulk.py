@@ -138,6 +138,15 @@ def schema_degree_rank(spark, d):
     return width.statistics(usage(spark))
 
 
+@query("""WITH RECURSIVE u AS (SELECT DISTINCT l_orderkey // 4 AS relation, l_partkey AS role FROM lineitem WHERE l_suppkey % 40 = 0),
+r(role, other) AS (SELECT DISTINCT role, role FROM u UNION SELECT r.role, b.role FROM r JOIN u a ON a.role = r.other JOIN u b ON a.relation = b.relation)
+SELECT CAST(role AS VARCHAR) AS role, min(CAST(other AS VARCHAR)) AS component FROM r GROUP BY role""")
+def schema_components(spark, d):
+    """Parts as roles that the orders of four numbers connect."""
+    rows = Tables(spark, d).lineitem.where("l_suppkey % 40 = 0")
+    return width.components(rows.select(F.floor(F.col("l_orderkey") / 4).alias("relation"), F.col("l_partkey").cast("string").alias("role")))
+
+
 def table_edges(t: Tables) -> width.Edges:
     """Tables as relations over their key columns."""
     names = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem")
