@@ -13,10 +13,11 @@ join two of its groups, so a group of n mutual copies yields n - 1 rows.
 ``least`` or more.  Equal sets are one from the start.  Each set has ``PARTS``
 fingerprints of 64 bits; sets are dealt into cells by size (sizes of linked sets
 differ by at most the factor ``least``), compared tile by tile in the same way, and
-pairs within the (wide) radius are candidates, which are linked only if the sets
-themselves, intersected in full, reach ``least``.  Tasks first hand on forests of
-candidates; what they join is settled, so only candidates between different
-groups are intersected one by one.
+pairs within the (wide) radius are candidates.  Tasks hand on forests of candidates
+alone; inside each group that these join, the sets themselves are compared, all with
+all, through the postings of their shingles, and linked where they reach ``least``.
+Groups beyond ``TILE`` shingles are cut into slices of which each pair meets once, and
+again only forests of links leave a task: no list of pairs is ever made.
 
 Defined cases: null text is empty text; texts without words have fingerprint
 zero and link like any other; equal ids stay separate rows; a null id counts as
@@ -121,15 +122,12 @@ class Forest:
             self.up[at] = self.up[up]
             at = up
 
-    def join(self, a: np.ndarray, b: np.ndarray) -> list[int]:
-        """Join pairs; the places of those that joined two groups."""
+    def join(self, a: np.ndarray, b: np.ndarray) -> None:
         a, b = self.roots(a), self.roots(b)
-        differ = np.flatnonzero(a != b)
-        if not len(differ):
-            return []
-        pairs, first = np.unique(np.stack([a[differ], b[differ]], 1), axis=0, return_index=True)
-        joined = []
-        for (x, y), at in zip(pairs.tolist(), differ[first].tolist(), strict=True):
+        differ = a != b
+        if not differ.any():
+            return
+        for x, y in np.unique(np.stack([a[differ], b[differ]], 1), axis=0).tolist():
             while self.up[x] != x:
                 x = int(self.up[x])
             while self.up[y] != y:
@@ -137,8 +135,6 @@ class Forest:
             if x != y:
                 self.up[max(x, y)] = min(x, y)
                 self.grown.append((x, y))
-                joined.append(at)
-        return joined
 
 
 class Tiles:
@@ -356,18 +352,18 @@ def sets_of(texts: DataFrame, words: int = 5) -> DataFrame:
 
 
 class SetTiles:
-    """Sets sorted by size: keys, sizes, groups, fingerprints, and population counts of all bits."""
+    """Sets sorted by size: keys, sizes, fingerprints, and population counts of all bits."""
 
     def __init__(self, columns: list[np.ndarray]):
-        key, n, root, *bits = columns
+        key, n, *bits = columns
         order = np.argsort(n, kind="stable")
-        self.key, self.n, self.root = key[order], n[order], root[order]
+        self.key, self.n = key[order], n[order]
         self.bits = [x[order].view(np.uint64) for x in bits]
         self.ones = sum(np.bitwise_count(x).astype(np.int32) for x in self.bits)
 
 
 def candidates(a: SetTiles, b: SetTiles, least: tuple[int, int], side: int = 512) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Places of pairs from different groups that sizes and fingerprints allow."""
+    """Places of pairs that sizes and fingerprints allow."""
     num, den = least
     same = a is b
     for x in range(0, len(a.key), side):
@@ -384,20 +380,20 @@ def candidates(a: SetTiles, b: SetTiles, least: tuple[int, int], side: int = 512
             if same:
                 ahead = i < j
                 i, j = i[ahead], j[ahead]
-            fits = (a.root[i] != b.root[j]) & (np.minimum(a.n[i], b.n[j]) * den >= np.maximum(a.n[i], b.n[j]) * num)
+            fits = np.minimum(a.n[i], b.n[j]) * den >= np.maximum(a.n[i], b.n[j]) * num
             i, j = i[fits], j[fits]
             near = sum(np.bitwise_count(u[i] ^ v[j]).astype(np.int32) for u, v in zip(a.bits, b.bits, strict=True)) <= RADIUS
             if near.any():
                 yield i[near], j[near]
 
 
-def candidate_pairs(sets: DataFrame, least: tuple[int, int], turn: int | None, tile: int = 1 << 16) -> DataFrame:
-    """(u, v): keys of candidates among sets (key, n, root, f0...); with a turn only a forest per task, drawn anew a turn."""
+def candidate_links(sets: DataFrame, least: tuple[int, int], tile: int = 1 << 16) -> DataFrame:
+    """(u, v): keys of candidates among sets (key, n, f0...), a forest per task."""
     num, den = least
     size = F.floor(F.log(F.col("n")) / F.log(F.lit(den / num)) + 1e-9).cast("int")
     counts = {r["cell"]: r["m"] for r in sets.groupBy(size.alias("cell")).agg(F.count("*").alias("m")).collect()}  # a row per order of size
     plan = Cells(counts, tile, lambda c, d: abs(c - d) <= 1)
-    names = ["key", "n", "root", *(f"f{i}" for i in range(PARTS))]
+    names = ["key", "n", *(f"f{i}" for i in range(PARTS))]
     schema = "task long, visitor boolean, " + ", ".join(f"{n} long" for n in names)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -406,90 +402,117 @@ def candidate_pairs(sets: DataFrame, least: tuple[int, int], turn: int | None, t
                 cols = [pa.array(task), pa.array(visitor), *(b.column(i).take(pa.array(rows)) for i in range(len(names)))]
                 yield pa.RecordBatch.from_arrays(cols, names=["task", "visitor", *names])
 
-    def found(a: SetTiles, b: SetTiles) -> Iterator[pa.RecordBatch]:
-        rng = np.random.default_rng(turn)
-        _, groups = np.unique(np.concatenate([a.root, b.root]), return_inverse=True)
-        forest = Forest(int(groups.max()) + 1 if len(groups) else 0)
+    def found(a: SetTiles, b: SetTiles) -> pa.RecordBatch:
+        shift = 0 if a is b else len(a.key)
+        forest = Forest(shift + len(b.key))
         for i, j in candidates(a, b, least):
-            if turn is not None:
-                mixed = rng.permutation(len(i))
-                i, j = i[mixed], j[mixed]
-                kept = forest.join(groups[i], groups[len(a.root) + j])
-                i, j = i[kept], j[kept]
-            if len(i):
-                u, v = a.key[i], b.key[j]
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], names=["u", "v"])
+            forest.join(i, shift + j)
+        return _grown(forest, a.key if a is b else np.concatenate([a.key, b.key]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task, home, guests = None, [], []
-
-        def settle() -> Iterator[pa.RecordBatch]:
-            if task is None or not home:
-                return
-            a = SetTiles([np.concatenate(c) for c in zip(*home, strict=True)])
-            if plan.alone(task):
-                yield from found(a, a)
-            elif guests:
-                yield from found(a, SetTiles([np.concatenate(c) for c in zip(*guests, strict=True)]))
-
-        for number, visitor, columns in _by_task(batches):  # a task's rows are two slices at most
-            if number != task:
-                yield from settle()
-                task, home, guests = number, [], []
-            for side, mine in ((home, ~visitor), (guests, visitor)):
-                if mine.any():
-                    side.append([c[mine] for c in columns])
-        yield from settle()
+        for number, home, guests in _both_sides(_by_task(batches)):  # two slices at most
+            if home:
+                a = SetTiles([np.concatenate(c) for c in zip(*home, strict=True)])
+                if plan.alone(number):
+                    yield found(a, a)
+                elif guests:
+                    yield found(a, SetTiles([np.concatenate(c) for c in zip(*guests, strict=True)]))
 
     dealt = sets.select(*names, size.alias("cell")).mapInArrow(deal, schema)
     dealt = dealt.repartition(width(sets.sparkSession), "task").sortWithinPartitions("task", "visitor")
-    return dealt.mapInArrow(run, "u long, v long").distinct()
+    return dealt.mapInArrow(run, "u long, v long")
+
+
+def _both_sides(runs: Iterator[tuple]) -> Iterator[tuple]:
+    """(task, parts of its home rows, parts of its visitors) from runs of equal tasks."""
+    task, home, guests = None, [], []
+    for number, visitor, columns in runs:
+        if number != task:
+            if task is not None:
+                yield task, home, guests
+            task, home, guests = number, [], []
+        for side, mine in ((home, ~visitor), (guests, visitor)):
+            if mine.any():
+                side.append([c[mine] for c in columns])
+    if task is not None:
+        yield task, home, guests
+
 
+def _grown(forest: Forest, keys: np.ndarray) -> pa.RecordBatch:
+    """A forest's links as rows."""
+    pairs = np.array(forest.grown, np.int64).reshape(-1, 2)
+    return pa.RecordBatch.from_arrays([pa.array(keys[pairs[:, 0]]), pa.array(keys[pairs[:, 1]])], names=["u", "v"])
 
-def _reaching(pairs: DataFrame, sets: DataFrame, least: tuple[int, int]) -> DataFrame:
-    """The pairs (u, v) whose sets (key, shingles) reach ``least``."""
+
+#: Shingles per slice of a group whose sets are compared in full.
+TILE = 1 << 22
+
+
+def set_links(sets: DataFrame, least: tuple[int, int], tile: int = TILE) -> DataFrame:
+    """(u, v): links between sets (key, n, shingles) of one group that reach ``least``, a forest per pair of slices."""
     num, den = least
-    left, right = sets.select(F.col("key").alias("u"), F.col("shingles").alias("x")), sets.select(F.col("key").alias("v"), F.col("shingles").alias("y"))
-    both = F.size(F.array_intersect("x", "y"))
-    return pairs.join(left, "u").join(right, "v").where(both * den >= (F.size("x") + F.size("y") - both) * num).select("u", "v")
+    large = sets.groupBy("group").agg((F.floor(F.sum("n") / tile) + 1).cast("int").alias("slices")).where("slices > 1")
+    large = saved(large, "large")  # at most one per tile of all shingles
+    rows = sets.join(large, "group", "left").withColumn("slices", F.coalesce("slices", F.lit(1)))
+    rows = rows.withColumn("home", F.pmod(F.xxhash64("key"), F.col("slices")).cast("int")).withColumn("other", F.explode(F.expr("sequence(0, slices - 1)")))
+    low, high = F.least("home", "other"), F.greatest("home", "other")
+    rows = rows.select("group", low.alias("a"), high.alias("b"), (F.col("home") > F.col("other")).alias("visitor"), "key", "shingles")
+    rows = rows.repartition(width(sets.sparkSession), "group", "a", "b").sortWithinPartitions("group", "a", "b", "visitor")
+
+    def found(home: list, guests: list, alone: bool) -> Iterator[pa.RecordBatch]:
+        keys, own = [k for k, _ in home], [s for _, s in home]
+        if not own or (alone and len(own) < 2):
+            return
+        sizes = np.array([len(s) for s in own])
+        values, owner = np.concatenate(own), np.repeat(np.arange(len(own)), sizes)
+        order = np.argsort(values, kind="stable")
+        values, owner = values[order], owner[order]
+        visitors = home if alone else guests
+        forest = Forest(len(own) + (0 if alone else len(guests)))
+        for i, (_, mine) in enumerate(visitors):
+            at, end = np.searchsorted(values, mine, "left"), np.searchsorted(values, mine, "right")
+            many = end - at
+            places = np.repeat(at - (np.cumsum(many) - many), many) + np.arange(many.sum())
+            both = np.bincount(owner[places], minlength=len(own))
+            near = np.flatnonzero(both * den >= (len(mine) + sizes - both) * num)
+            near = near[near > i] if alone else near
+            if len(near):
+                forest.join(np.full(len(near), i if alone else len(own) + i), near)
+        yield _grown(forest, np.array(keys if alone else keys + [k for k, _ in guests], np.int64))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, sides = None, ([], [])
+        for batch in batches:
+            group, a, b, key = (batch.column(i).to_pylist() for i in (0, 1, 2, 4))
+            guest, sets_ = batch.column(3).to_pylist(), batch.column(5)
+            for i in range(batch.num_rows):
+                if (group[i], a[i], b[i]) != task:
+                    if task is not None:
+                        yield from found(*sides, task[1] == task[2])
+                    task, sides = (group[i], a[i], b[i]), ([], [])
+                sides[guest[i]].append((key[i], sets_[i].values.to_numpy().copy()))
+        if task is not None:
+            yield from found(*sides, task[1] == task[2])
+
+    return rows.mapInArrow(run, "u long, v long")
 
 
 def similar(
-    df: DataFrame, least: tuple[int, int] = LEAST, words: int = 5, id_col: str = "doc_id", text_col: str = "text", forests: int = 3, tile: int = 1 << 16
+    df: DataFrame, least: tuple[int, int] = LEAST, words: int = 5, id_col: str = "doc_id", text_col: str = "text", tile: int = 1 << 16, set_tile: int = TILE
 ) -> DataFrame:
-    """One row per document: doc_id and component_id, the smallest id reachable over links.
-
-    ``forests``: how often candidates are thinned to forests before all that are left
-    are intersected; it changes the cost, not the links.
-    """
+    """One row per document: doc_id and component_id, the smallest id reachable over links."""
     whole = saved(sets_of(id_text(df, id_col, text_col), words), "sets")
     bits = [f"f{i}" for i in range(PARTS)]
     distinct = whole.where("n > 0").groupBy("key").agg(F.any_value("n").alias("n"), *(F.any_value(f).alias(f) for f in bits))
-    distinct = saved(distinct.withColumn("root", F.col("key")), "distinct")
-    met = saved(candidate_pairs(distinct, least, 0, tile), "candidates")
-    some = met.select(F.explode(F.array("u", "v")).alias("key")).distinct()
-    now = first = saved(distinct.join(some, "key"), "some")  # the sets that have any candidate
-    held = whole.select("key", "shingles").join(some, "key", "left_semi").groupBy("key").agg(F.any_value("shingles").alias("shingles"))
+    distinct = saved(distinct, "distinct")
+    groups = saved(components(candidate_links(distinct, least, tile)).select(F.col("node").alias("key"), F.col("root").alias("group")), "groups")
+    held = whole.select("key", "n", "shingles").join(groups, "key").groupBy("key").agg(F.any_value("group").alias("group"), F.any_value("n").alias("n"), F.any_value("shingles").alias("shingles"))
     held = saved(held, "held")
-    links, turn = saved(_reaching(met, held, least), "links"), 0
-    while True:
-        roots = components(links)
-        before, now = now, saved(first.drop("root").join(roots, first["key"] == roots["node"], "left").select("key", "n", *bits, F.coalesce("root", "key").alias("root")), "grouped")
-        if turn:
-            forget(before)
-        turn += 1
-        last = turn >= forests
-        forget(met)
-        met = saved(candidate_pairs(now, least, None if last else turn, tile), "candidates")
-        before, links = links, saved(links.union(_reaching(met, held, least)), "links")
-        forget(before)
-        if last:
-            break
-    roots = components(links)
+    roots = components(set_links(held, least, set_tile))
     named = whole.groupBy("key").agg(F.min("doc_id").alias("least"))
     member = saved(named.join(roots, named["key"] == roots["node"], "left").select("key", "least", F.coalesce("root", "key").alias("root")), "members")
     least_ids = member.join(member.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("key", "component_id")
-    forget(first, now, held, met, links)
+    forget(distinct, groups, held)
     return whole.select("doc_id", "key").join(least_ids, "key").select("doc_id", "component_id")
 
 

@@ -131,8 +131,8 @@ def test_near_copies_against_brute_force(spark):
     rows += [(400 + n, line + " ".join(f"w{n}x{i % 50}" for i in range(n)), "aa", "s1") for n in range(20)]
     order = lambda pairs: sorted(pairs, key=repr)
     want = order(jaccard_groups(rows))
-    for tile in (7, 1 << 16):
-        assert order(tuple(r) for r in simhash.similar(frame(spark, rows), tile=tile).collect()) == want
+    for tile, set_tile in ((7, 500), (1 << 16, simhash.TILE)):
+        assert order(tuple(r) for r in simhash.similar(frame(spark, rows), tile=tile, set_tile=set_tile).collect()) == want
     assert len({c for d, c in want if d and 300 <= d < 400}) > 3
 
 
