@@ -300,7 +300,7 @@ LEAST = (4, 5)
 #: Fingerprints per set, and how many of all their bits, and of the first one's, a candidate pair may differ in.
 #: At a Jaccard coefficient of 0.8 bits differ with a chance of 0.15: 39 of 256 on average, with a deviation of 6.
 PARTS, RADIUS, FIRST = 4, 76, 25
-SETS = "doc_id long, key long, n long, " + ", ".join(f"f{i} long" for i in range(PARTS)) + ", shingles array<long>"
+SETS = "doc_id long, sum64 long, key long, n long, " + ", ".join(f"f{i} long" for i in range(PARTS))
 
 
 def shingle_set(text: bytes, words: int = 5) -> np.ndarray:
@@ -332,23 +332,30 @@ def set_bits(hashes: np.ndarray, parts: int = PARTS) -> list[int]:
     return out
 
 
-def sets_of(texts: DataFrame, words: int = 5) -> DataFrame:
-    """Per text its set's key (equal sets have equal keys), size, fingerprints and shingles."""
+def sets_of(texts: DataFrame, words: int = 5, with_shingles: bool = False) -> DataFrame:
+    """Per text (doc_id, text, sum64) its set's key (equal sets have equal keys), size and fingerprints; or key, size and shingles."""
+    schema = "key long, n long, shingles array<long>" if with_shingles else SETS
+    names = [c.split()[0] for c in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
         for b in batches:
             for at in range(0, b.num_rows, 500):
-                ids, rows, sets = b.column(0).slice(at, 500), [], []
+                rows, sets = [], []
                 for text in b.column(1).slice(at, 500):
                     found = shingle_set(text.as_py(), words)
-                    sets.append(found.view(np.int64))
-                    rows.append((int(np.uint64(xxhash.xxh64_intdigest(found.tobytes(), SEED)).astype(np.int64)), len(found), *set_bits(found)))
+                    key = int(np.uint64(xxhash.xxh64_intdigest(found.tobytes(), SEED)).astype(np.int64))
+                    if with_shingles:
+                        sets.append(found.view(np.int64))
+                        rows.append((key, len(found)))
+                    else:
+                        rows.append((key, len(found), *set_bits(found)))
                 cols = [pa.array(c, pa.int64()) for c in zip(*rows, strict=True)]
-                yield pa.RecordBatch.from_arrays([ids, *cols, pa.array(sets, pa.list_(pa.int64()))], names=[c.split()[0] for c in SETS.split(", ")])
+                cols = [*cols, pa.array(sets, pa.list_(pa.int64()))] if with_shingles else [b.column(0).slice(at, 500), b.column(2).slice(at, 500), *cols]
+                yield pa.RecordBatch.from_arrays(cols, names=names)
 
-    return texts.mapInArrow(run, SETS)
+    return texts.mapInArrow(run, schema)
 
 
 class SetTiles:
@@ -501,12 +508,16 @@ def similar(
     df: DataFrame, least: tuple[int, int] = LEAST, words: int = 5, id_col: str = "doc_id", text_col: str = "text", tile: int = 1 << 16, set_tile: int = TILE
 ) -> DataFrame:
     """One row per document: doc_id and component_id, the smallest id reachable over links."""
-    whole = saved(sets_of(id_text(df, id_col, text_col), words), "sets")
+    texts = id_text(df, id_col, text_col).withColumn("sum64", F.xxhash64("text"))
+    whole = saved(sets_of(texts, words), "sets")
     bits = [f"f{i}" for i in range(PARTS)]
     distinct = whole.where("n > 0").groupBy("key").agg(F.any_value("n").alias("n"), *(F.any_value(f).alias(f) for f in bits))
     distinct = saved(distinct, "distinct")
     groups = saved(components(candidate_links(distinct, least, tile)).select(F.col("node").alias("key"), F.col("root").alias("group")), "groups")
-    held = whole.select("key", "n", "shingles").join(groups, "key").groupBy("key").agg(F.any_value("group").alias("group"), F.any_value("n").alias("n"), F.any_value("shingles").alias("shingles"))
+    # only texts whose set is in a group are cut into shingles again; a text that shares their hash alone has another key
+    wanted = whole.join(groups, "key", "left_semi").groupBy("key").agg(F.min("sum64").alias("sum64")).select("sum64").distinct()
+    again = sets_of(texts.join(wanted, "sum64", "left_semi").select("doc_id", "text", "sum64"), words, True)
+    held = again.join(groups, "key").groupBy("key").agg(F.any_value("group").alias("group"), F.any_value("n").alias("n"), F.any_value("shingles").alias("shingles"))
     held = saved(held, "held")
     roots = components(set_links(held, least, set_tile))
     named = whole.groupBy("key").agg(F.min("doc_id").alias("least"))
