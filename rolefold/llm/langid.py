@@ -25,8 +25,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .charlm import KneserNey, gram_counts, learned, letters
-from .common import id_text
+from .charlm import KneserNey, gram_counts, learned, letters, plain
+from .common import forget, id_text, saved
+from .ranks import quantiles
 
 SCHEMA = "doc_id long, lang_pred string, score double, cross_entropy double, rejected boolean"
 UNKNOWN = "und"
@@ -41,26 +42,9 @@ class Band:
     within: float  # variance of one character
     limit: float  # in standard deviations
 
-    def above(self, cost: float, chars: float) -> float:
+    def above(self, cost: float | np.ndarray, chars: float | np.ndarray) -> float | np.ndarray:
         return (cost - self.mean) / np.sqrt(self.between + self.within / chars)
 
-    @classmethod
-    def fitted(cls, costs: np.ndarray, chars: np.ndarray, mean: float, variance: float, least: float, room: float, share: float) -> Band:
-        """From texts' costs and lengths; the middle ones decide, so odd texts among them don't widen the band."""
-        within = 2 * variance  # neighbouring n-grams overlap
-        if len(costs) >= 30:
-            long = chars >= np.median(chars)
-            mean = float(np.median(costs[long]))
-            low, high = np.quantile(costs[long], [0.16, 0.84])
-            between = max(((high - low) / 2) ** 2 - within / np.median(chars[long]), 1e-4)
-        else:
-            between = 0.01
-        band = cls(mean, float(between), within, least)
-        z = band.above(costs, chars)
-        regular = z[z < 4 * least]
-        band.limit = max(least, room * float(np.quantile(regular, 1 - share))) if len(regular) else least
-        return band
-
 
 @dataclass
 class Identifier:
@@ -79,33 +63,47 @@ class WordScores(dict):
     def _fresh(self) -> None:
         self.clear()
         self.table = np.zeros((1024, 1 + len(self.model.names)))
+        self.new: list[bytes] = []
+
+    def __missing__(self, word: bytes) -> int:
+        self.new.append(word)
+        row = self[word] = len(self)
+        return row
 
-    def learn(self, words: set[bytes]) -> None:
+    def rows(self, words: list[bytes]) -> np.ndarray:
+        """The words' rows of the table; new words are learned first."""
         if len(self) > self.most:
             self._fresh()
-        new = [w for w in words if w not in self]
-        if not new:
-            return
-        plain = [letters(w.decode("utf-8", "replace")) for w in new]
         start = len(self)
-        need = start + len(new)
-        while len(self.table) < need:
+        found = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        while len(self.table) < len(self):
             self.table = np.concatenate([self.table, np.zeros_like(self.table)])
-        sizes = np.fromiter(map(len, plain), np.int64, len(plain))
-        for at in range(0, len(plain), 50_000):
-            part = slice(at, at + 50_000)
-            rows = self.table[start + at : start + at + len(plain[part])]
-            some = sizes[part] > 0
-            rows[:, 0] = np.where(some, sizes[part] + 1, 0)
-            rows[:, 1:] = np.where(some[:, None], self.model.words(plain[part]), 0)
-        self.update(zip(new, range(start, need), strict=True))
-
-
-def _totals(text: bytes, scores: WordScores) -> np.ndarray:
-    """Characters and log-probabilities of a whole text."""
-    words = text.split()
-    scores.learn(set(words))
-    return scores.table[np.fromiter(map(scores.__getitem__, words), np.int64, len(words))].sum(axis=0)
+        for at in range(0, len(self.new), 50_000):
+            known = [letters(w) for w in b" ".join(self.new[at : at + 50_000]).decode("utf-8", "replace").split(" ")]
+            sizes = np.fromiter(map(len, known), np.int64, len(known))
+            rows, some = self.table[start + at : start + at + len(known)], sizes > 0
+            rows[:, 0] = np.where(some, sizes + 1, 0)
+            rows[:, 1:] = np.where(some[:, None], self.model.words(known), 0)
+        self.new = []
+        return self.table[found]
+
+
+def totals(texts: list[bytes], scores: WordScores, most: int = 1 << 20) -> np.ndarray:
+    """Characters and log-probabilities of whole texts; about ``most`` bytes of texts are looked up at once."""
+    out = np.zeros((len(texts), scores.table.shape[1]))
+    words: list[bytes] = []
+    ends, size, first = [], 0, 0
+    for n, text in enumerate(texts, 1):
+        words += plain(text).split()
+        ends.append(len(words))
+        size += len(text)
+        if size >= most or n == len(texts):
+            # a last row of zeros, so that empty texts at the end have a place to start
+            rows = np.concatenate([scores.rows(words), np.zeros((1, out.shape[1]))])
+            starts = np.array([0, *ends[:-1]])
+            out[first:n] = np.where((np.diff(ends, prepend=0) > 0)[:, None], np.add.reduceat(rows, starts), 0)
+            words, ends, size, first = [], [], 0, n
+    return out
 
 
 def identify(df: DataFrame, known: Identifier, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -117,8 +115,8 @@ def identify(df: DataFrame, known: Identifier, id_col: str = "doc_id", text_col:
         scores = WordScores(known.model)
         for b in batches:
             out: tuple[list, ...] = ([], [], [], [])
-            for text in b.column(1).to_pylist():
-                for into, x in zip(out, judged(known, _totals(text, scores)), strict=True):
+            for total in totals(b.column(1).to_pylist(), scores):
+                for into, x in zip(out, judged(known, total), strict=True):
                     into.append(x)
             kinds = (pa.string(), pa.float64(), pa.float64(), pa.bool_())
             cols = [b.column(0), *(pa.array(x, k) for x, k in zip(out, kinds, strict=True))]
@@ -142,13 +140,13 @@ def judged(known: Identifier, total: np.ndarray) -> tuple[str, float, float | No
 
 def fit(
     df: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
-    sample: int = 20_000, least: float = 5.0, room: float = 2.0, share: float = 0.001,
+    least: float = 5.0, room: float = 2.0, share: float = 0.001,
 ) -> Identifier:
     """Learn from all rows that satisfy ``learn`` (a condition over doc_id) and name a language.
 
-    Counts are of all these rows.  The limits of rejection are set on about
-    ``sample`` of them: ``room`` times what all but ``share`` of a language's
-    regular texts keep to, and ``least`` standard deviations at least.
+    Counts and the limits of rejection are of all these rows: ``room`` times what
+    all but ``share`` of a language's regular texts keep to, and ``least`` standard
+    deviations at least.
     """
     rows = df.select(
         df[id_col].cast("long").alias("doc_id"),
@@ -156,29 +154,54 @@ def fit(
         F.encode(F.coalesce(df[text_col].cast("string"), F.lit("")), "UTF-8").alias("text"),
     ).where(learn & F.col("lang").isNotNull())
     model = learned(gram_counts(rows, "lang", "text"))
-    wanted = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1 << 20)) < int(min(1.0, sample / max(rows.count(), 1)) * (1 << 20)) + 1
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scores, number = WordScores(shared.value), {n: i for i, n in enumerate(shared.value.names)}
         for b in batches:
             found = []
-            for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                total = _totals(text, scores)
+            for lang, total in zip(b.column(0).to_pylist(), totals(b.column(1).to_pylist(), scores), strict=True):
                 if lang in number and total[0]:
                     found.append((number[lang], total[0], -total[1 + number[lang]] / total[0]))
             cols = list(zip(*found, strict=True)) if found else [(), (), ()]
             kinds = (pa.int64(), pa.float64(), pa.float64())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["lang", "chars", "cost"])
 
-    seen = rows.where(wanted).select("lang", "text").mapInArrow(run, "lang long, chars double, cost double").toArrow()  # bounded by the sample
-    langs, chars, costs = (seen[c].to_numpy() for c in ("lang", "chars", "cost"))
-    bands = []
-    for i in range(len(model.names)):
-        bands.append(Band.fitted(costs[langs == i], chars[langs == i], model.mean[i], model.variance[i], least, room, share))
+    costs = saved(rows.select("lang", "text").mapInArrow(run, "lang long, chars double, cost double"), "costs")
+    bands = fitted(costs, model, least, room, share)
+    forget(costs)
     return Identifier(model, bands)
 
 
+def fitted(costs: DataFrame, model: KneserNey, least: float, room: float, share: float) -> list[Band]:
+    """Bands from all texts' (lang, chars, cost); the middle ones decide, so odd texts among them don't widen a band."""
+    bands = [Band(float(m), 0.01, 2 * float(v), least) for m, v in zip(model.mean, model.variance, strict=True)]  # neighbouring n-grams overlap
+    columns = lambda b: [c.to_numpy(zero_copy_only=False) for c in b.columns]
+    middle = {i: at for i, (n, [at]) in quantiles(costs, lambda b: columns(b)[:2], [0.5]).items() if n >= 30}
+    least_chars = np.array([middle.get(i, np.inf) for i in range(len(bands))])
+
+    def long(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        """Two groups a language: costs and lengths of its longer texts."""
+        lang, chars, cost = columns(b)
+        some = chars >= least_chars[lang]
+        return np.concatenate([2 * lang[some], 2 * lang[some] + 1]), np.concatenate([cost[some], chars[some]])
+
+    found = quantiles(costs, long, [0.16, 0.5, 0.84]) if middle else {}
+    for i in middle:
+        (_, (low, at, high)), (_, (_, chars, _)) = found[2 * i], found[2 * i + 1]
+        bands[i].mean, bands[i].between = at, max(((high - low) / 2) ** 2 - bands[i].within / chars, 1e-4)
+    mean, between, within = np.array([(x.mean, x.between, x.within) for x in bands]).reshape(-1, 3).T
+
+    def regular(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        lang, chars, cost = columns(b)
+        z = Band(mean[lang], between[lang], within[lang], least).above(cost, chars)
+        return lang[z < 4 * least], z[z < 4 * least]
+
+    for i, (_, [at]) in quantiles(costs, regular, [1 - share]).items():
+        bands[i].limit = max(least, room * at)
+    return bands
+
+
 def keep(df: DataFrame, known: Identifier, text_col: str = "text") -> DataFrame:
     """The rows whose text isn't rejected, with all their columns; no shuffle."""
     shared = df.sparkSession.sparkContext.broadcast(known)
@@ -188,7 +211,8 @@ def keep(df: DataFrame, known: Identifier, text_col: str = "text") -> DataFrame:
         known = shared.value
         scores = WordScores(known.model)
         for b in batches:
-            held = [not judged(known, _totals((text or "").encode(), scores))[3] for text in b.column(at).to_pylist()]
+            texts = [(text or "").encode() for text in b.column(at).to_pylist()]
+            held = [not judged(known, total)[3] for total in totals(texts, scores)]
             yield b.filter(pa.array(held, pa.bool_()))
 
     return df.mapInArrow(run, df.schema)

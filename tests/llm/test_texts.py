@@ -15,7 +15,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from rolefold.llm import charlm, hmm, langid, mixing, packing, simhash, syncmers, toxicity
+from rolefold.llm import charlm, hmm, langid, mixing, packing, ranks, simhash, syncmers, toxicity
 from rolefold.llm.common import crc_mod, saved
 
 ODD = "doc_id long, text string, lang string, source string, n_chars long, fp long, task int, start string"
@@ -474,6 +474,46 @@ def test_language_id_rejects_what_no_language_explains(spark):
     assert all(got[2000 + i]["rejected"] and got[2000 + i]["score"] < 0.5 for i in range(len(odd)))
 
 
+def test_quantiles_are_those_of_all_rows(spark):
+    rng = np.random.default_rng(2)
+    groups = {0: rng.normal(size=5000), 1: np.array([3.5]), 2: np.repeat([-1e-300, 0.0, 2.0], 7), 3: rng.normal(size=50) * 1e200}
+    rows = [(g, float(x)) for g, xs in groups.items() for x in xs]
+    keyed = lambda b: (b.column(0).to_numpy(), b.column(1).to_numpy())
+    got = ranks.quantiles(spark.createDataFrame(rows, "g long, x double").repartition(5), keyed, [0.0, 0.16, 0.5, 0.999, 1.0])
+    assert {g: n for g, (n, _) in got.items()} == {g: len(xs) for g, xs in groups.items()}
+    for g, xs in groups.items():
+        assert np.allclose(got[g][1], np.quantile(xs, [0.0, 0.16, 0.5, 0.999, 1.0]), rtol=1e-12, atol=0)
+    assert ranks.quantiles(spark.createDataFrame([], "g long, x double"), keyed, [0.5]) == {}
+
+
+def test_plain_texts_have_the_same_letters():
+    rng = random.Random(13)
+    blocks = [(32, 127), (0, 160), (160, 592), (768, 1040), (0x3A3, 0x3A4), (0x2000, 0x2070), (0x3040, 0x3100), (9, 14)]
+    texts = ["".join(chr(rng.randrange(*rng.choice(blocks[: rng.randint(1, len(blocks))]))) for _ in range(rng.randint(0, 60))) for _ in range(2000)]
+    for text in [*texts, "AΣ1B ΣΑΣ. x"]:
+        found = [[w for w in (charlm.letters(w.decode()) for w in t.split()) if w] for t in (text.encode(), charlm.plain(text.encode()))]
+        assert found[0] == found[1], repr(text)
+
+
+def test_language_limits_are_those_of_all_texts(spark):
+    rng = random.Random(6)
+    make = {"aa": "abe dig hol mun ter".split(), "bb": "xyz qwu vor pla sik".split()}
+    text = lambda lang: " ".join("".join(rng.choice(make[lang]) for _ in range(rng.randint(1, 3))) for _ in range(rng.randint(1, 6)))
+    rows = [(i, text(lang := ("aa", "bb")[i % 2]), lang) for i in range(24000)] + [(30000 + i, "mun", "cc") for i in range(5)]
+    known = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), F.lit(True))
+    scores = langid.WordScores(known.model)
+    for i, name in enumerate(known.model.names):
+        total = langid.totals([t.encode() for _, t, lang in rows if lang == name], scores)
+        chars, costs, band = total[:, 0], -total[:, 1 + i] / total[:, 0], known.bands[i]
+        if len(chars) >= 30:
+            long = chars >= np.median(chars)
+            low, middle, high = np.quantile(costs[long], [0.16, 0.5, 0.84])
+            between = max(((high - low) / 2) ** 2 - band.within / np.median(chars[long]), 1e-4)
+            assert (band.mean, band.between) == pytest.approx((middle, between), rel=1e-9)
+        z = band.above(costs, chars)
+        assert band.limit == pytest.approx(max(5.0, 2.0 * np.quantile(z[z < 20], 0.999)), rel=1e-9)
+
+
 def test_toxicity(spark):
     rng = random.Random(5)
     plain = ["".join(rng.choice(["ba", "ti", "lo", "shu", "re"]) for _ in range(rng.randint(1, 4))) for _ in range(300)]
