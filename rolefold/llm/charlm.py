@@ -16,6 +16,7 @@ counts.
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from collections.abc import Iterator
 
@@ -77,6 +78,15 @@ def hashed(grams: np.ndarray) -> np.ndarray:
     return _mixed(grams) >> np.uint64(64 - BITS)
 
 
+def place(gram: str) -> int:
+    """hashed() of a single n-gram."""
+    h, prime = len(gram), int(_PRIME)
+    for c in gram:
+        h = ((h ^ ord(c)) * prime) & ((1 << 64) - 1)
+        h ^= h >> 29
+    return h >> (64 - BITS)
+
+
 # ------------------------------------------------------------------ counting
 
 
@@ -246,6 +256,20 @@ class KneserNey:
             out[~known] = weight + self.grams(rest[:, 1:], n - 1)
         return out
 
+    def one(self, gram: str) -> float:
+        """grams() of a single n-gram under the first class."""
+        n = len(gram)
+        if n == 0:
+            return -math.log(self.alphabet)
+        keys, h = self.keys[n], place(gram)
+        at = int(keys.searchsorted(h))
+        if at < len(keys) and keys[at] == h:
+            return float(self.logp[n][at, 0])
+        contexts, h = self.context[n], place(gram[:-1])
+        at = int(contexts.searchsorted(h))
+        weight = float(self.backoff[n][at, 0]) if at < len(contexts) and contexts[at] == h else 0.0
+        return weight + self.one(gram[1:])
+
     def words(self, words: list[str]) -> np.ndarray:
         """Sum of log-probabilities of each word (letters only) and its end, per class."""
         codes, owner = windows(words, self.order)

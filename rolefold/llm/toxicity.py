@@ -7,11 +7,10 @@ isn't literal, picks the likeliest words.  These join the text's own words, and
 the text is scored by a small lexicon of words and word beginnings: a logistic
 rule weighs the strongest one found, how many are found and in how long a text.
 
-The character model's counts cover the whole corpus.  The lexicon is fitted on a
-bounded sample of labelled texts: at most about ``sample`` of them, by a hash of
-the text, one of each set of equal or nearly equal texts (those that share the
-least hash of their five-word shingles), so a group of copies can't bring in its
-ordinary words.
+The character model's counts cover the whole corpus.  The lexicon and its rule are
+fitted on all labelled texts, one of each set of equal or nearly equal texts (those
+that share the least hash of their five-word shingles), so a group of copies can't
+bring in its ordinary words.
 
 Defined cases: null text is empty text and scores the base rate; null ids are
 never learned from; null labels are ignored; repeated labels of an id count once
@@ -32,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .charlm import KneserNey, gram_counts, learned, letters
-from .common import id_text, saved
+from .common import forget, id_text, saved
 
 #: Fixed readings of look-alike characters.
 LOOKALIKES = {
@@ -69,12 +68,7 @@ class Decoder:
         if found is None:
             if len(self.memo) > 500_000:
                 self.memo.clear()
-            if self.model.names:
-                codes = np.frombuffer(key.encode("utf-32-le"), np.uint32).reshape(1, -1)
-                found = float(self.model.grams(codes)[0, 0])
-            else:
-                found = -1.0
-            self.memo[key] = found
+            found = self.memo[key] = self.model.one(key) if self.model.names else -1.0
         return found
 
     def lattice(self, text: str, split: bool) -> list[list[tuple[str, float]]]:
@@ -139,18 +133,6 @@ def features(word: str) -> list[str]:
     return [f"={word}", *(f"{word[:n]}" for n in (4, 5, 6) if len(word) > n)] if len(word) > 2 else []
 
 
-def restored(text: bytes, decoder: Decoder) -> set[str]:
-    """All readings that only the decoder finds in a text."""
-    out: set[str] = set()
-    for word in set(text.split()):
-        plain = word.decode("utf-8", "replace")
-        if disguised(plain):
-            out.update(decoder.decode(plain))
-    for run in spaced(text):
-        out.update(decoder.decode(run, split=True))
-    return out
-
-
 def spaced(text: bytes) -> Iterator[str]:
     """Runs of at least four single characters between spaces."""
     for m in _SPACED.finditer(text):
@@ -219,13 +201,13 @@ class Scorer:
 
     def found(self, text: bytes, seen: int | None = None) -> list[float]:
         words, known = set(text.split()), self.known
-        if seen is not None:
-            out = [self.word(w, seen) for w in words]
+        if len(known) > self.most:
+            known.clear()
+        for w in words.difference(known):
+            known[w] = self.word(w)
+        if seen is not None:  # a word without a feature has none whatever is left out
+            out = [self.word(w, seen) for w in words if known[w]]
         else:
-            if len(known) > self.most:
-                known.clear()
-            for w in words.difference(known):
-                known[w] = self.word(w)
             out = list(map(known.__getitem__, words))
         for run in spaced(text):
             out += [self.lexicon.of(w, seen) for w in self.decoder.decode(run, split=True)]
@@ -249,48 +231,130 @@ def _evidence(hits: int, n: int, base: float) -> float:
     return n * (p * math.log(p / base) + ((1 - p) * math.log((1 - p) / (1 - base)) if p < 1 else 0.0))
 
 
-def fit_lexicon(texts: DataFrame, marks: DataFrame, decoder_model: KneserNey, sample: int = 12_000, least: float = 7.0) -> Lexicon:
+_WORDS, _BITS = 1 << 20, 64
+
+
+def _sieve(rows: DataFrame, key: str) -> np.ndarray:
+    """Bits at the hashes of the keys: a bounded filter for rows to be joined, which may let others through."""
+    h = F.xxhash64(key)
+    bits = rows.select(h.bitwiseAND(F.lit(_WORDS - 1)).alias("word"), F.pmod(F.shiftright(h, 20), F.lit(_BITS)).cast("int").alias("bit"))
+    found = bits.groupBy("word").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("bits")).toArrow()  # at most _WORDS rows
+    out = np.zeros(_WORDS, np.int64)
+    out[found["word"].to_numpy()] = found["bits"].to_numpy()
+    return out
+
+
+def _passes(sieve: np.ndarray, hashes: pa.Array) -> np.ndarray:
+    h = hashes.to_numpy()
+    return (sieve[h & (_WORDS - 1)] >> ((h >> 20) % _BITS)) & 1 == 1
+
+
+def _labelled(texts: DataFrame, marks: DataFrame) -> DataFrame:
+    """(toxic, sha, one, two) of the texts with a mark; only texts' digests and sketches move to their marks."""
+    shared = texts.sparkSession.sparkContext.broadcast(_sieve(marks, "doc_id"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = WordHashes()
+        for b in batches:
+            b = b.filter(pa.array(_passes(shared.value, b.column(1))))
+            both = np.array([_sketch(t, words) for t in b.column(3).to_pylist()], np.int64).reshape(-1, 2)
+            cols = [b.column(0), b.column(2), pa.array(both[:, 0]), pa.array(both[:, 1])]
+            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "sha", "one", "two"])
+
+    rows = texts.where("doc_id IS NOT NULL").select("doc_id", F.xxhash64("doc_id"), F.sha1("text"), "text")
+    return rows.mapInArrow(run, "doc_id long, sha string, one long, two long").join(marks, "doc_id").select("toxic", "sha", "one", "two")
+
+
+def _texts_of(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(toxic, text) of each sha in ``wanted`` (sha, toxic); a task hands on equal texts once."""
+    shared = texts.sparkSession.sparkContext.broadcast(_sieve(wanted, "sha"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[str] = set()
+        for b in batches:
+            b = b.filter(pa.array(_passes(shared.value, b.column(0))))
+            fresh = []
+            for sha in b.column(1).to_pylist():
+                fresh.append(sha not in seen)
+                seen.add(sha)
+            b = b.filter(pa.array(fresh, pa.bool_()))
+            yield pa.RecordBatch.from_arrays(b.columns[1:], names=["sha", "text"])
+
+    rows = texts.select(F.sha1("text").alias("sha"), "text").select(F.xxhash64("sha"), "sha", "text")
+    found = rows.mapInArrow(run, "sha string, text binary").join(wanted, "sha")
+    return found.groupBy("sha").agg(F.first("toxic").alias("toxic"), F.first("text").alias("text")).select("toxic", "text")
+
+
+def fit_lexicon(texts: DataFrame, marks: DataFrame, decoder_model: KneserNey, least: float = 7.0) -> Lexicon:
     """texts: (doc_id, text binary); marks: (doc_id, toxic 0 or 1), one row per id, those allowed to learn from.
 
-    About ``sample`` labelled ids are drawn by hash and sent to the texts, which
-    don't move.  A feature needs ``least`` nats of evidence, or one more than the
-    log of the number of texts if that is more.
+    A feature needs ``least`` nats of evidence, or one more than the log of the
+    number of texts if that is more.
     """
     spark = texts.sparkSession
-    total = marks.count()
-    drawn = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(min(1.0, sample / max(total, 1)) * (1 << 20)) + 1
-    few = F.broadcast(marks.where(drawn))  # two numbers for each of at most about ``sample`` ids
-    labelled = saved(texts.join(few, "doc_id").select("toxic", "text", F.sha1("text").alias("sha")), "labelled")
-    kept = saved(labelled.join(F.broadcast(_apart(labelled)), ["sha", "toxic"], "left_semi").dropDuplicates(["sha"]).select("toxic", "text"), "kept")
+    wanted = saved(_apart(_labelled(texts, marks)), "wanted")
+    kept = saved(_texts_of(texts, wanted), "kept")
     shared = spark.sparkContext.broadcast(decoder_model)
 
-    def words_of(text: bytes, decoder: Decoder) -> set[str]:
-        found = {f for w in set(text.split()) for f in features(letters(w.decode("utf-8", "replace")))}
-        return found.union(*(features(w) for w in restored(text, decoder)))
-
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decoder, sides = Decoder(shared.value), (Counter(), Counter())
+        words = WordFeatures(decoder)
+
+        def settled() -> pa.RecordBatch:
+            names = list(sides[0].keys() | sides[1].keys())
+            cols = [pa.array(names, pa.string()), *(pa.array([side[n] for n in names], pa.int64()) for side in sides)]
+            for side in sides:
+                side.clear()
+            return pa.RecordBatch.from_arrays(cols, names=["feature", "clean", "toxic"])
+
         for b in batches:
             for toxic, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                sides[toxic].update(words_of(text, decoder))
-        names = list(sides[0].keys() | sides[1].keys())
-        cols = [pa.array(names, pa.string()), *(pa.array([side[n] for n in names], pa.int64()) for side in sides)]
-        yield pa.RecordBatch.from_arrays(cols, names=["feature", "clean", "toxic"])
+                found = set().union(*map(words.__getitem__, set(text.split())))
+                for run in spaced(text):
+                    found.update(*map(features, decoder.decode(run, split=True)))
+                sides[toxic].update(found)
+                if len(sides[0]) + len(sides[1]) > 500_000:  # sums meet in the shuffle
+                    yield settled()
+        yield settled()
 
     sizes = {r["toxic"]: r["n"] for r in kept.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     bad, every = sizes.get(1, 0), sum(sizes.values())
     if not bad:
+        forget(wanted, kept)
         return Lexicon(rate=1 / (every + 2))
     rate = min(bad / every, 0.5)
     least = max(least, math.log(every) + 1)
     counts = kept.mapInArrow(count, "feature string, clean long, toxic long").groupBy("feature")
     counts = counts.agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).where("toxic >= 3 AND toxic >= 4 * clean")
-    table = {r["feature"]: (r["toxic"], r["clean"] + r["toxic"]) for r in counts.collect()}  # bounded by the sample
+    n, p = F.col("toxic") + F.col("clean"), F.col("toxic") / (F.col("toxic") + F.col("clean"))
+    rest = F.when(p < 1, (1 - p) * F.log((1 - p) / (1 - rate))).otherwise(0.0)
+    counts = counts.where(n * (p * F.log(p / rate) + rest) >= least - 1e-6)  # _evidence() decides
+    table = {r["feature"]: (r["toxic"], r["clean"] + r["toxic"]) for r in counts.collect()}  # the lexicon
     table = {f: x for f, x in table.items() if _evidence(*x, rate) >= least}
     lexicon = Lexicon(table, rate)
-    rows = kept.mapInArrow(_summaries(lexicon, shared), "toxic int, x array<double>").collect()  # bounded by the sample
-    x, y = np.array([r["x"] for r in rows]), np.array([r["toxic"] for r in rows], float)
-    return Lexicon(table, rate, tuple(_logistic(x, y).tolist()))
+    rows = saved(kept.mapInArrow(_summaries(lexicon, shared), "toxic int, x array<double>"), "summaries")
+    rule = _logistic(rows, len(summary([], 0)))
+    forget(wanted, kept, rows)
+    return Lexicon(table, rate, tuple(rule.tolist()))
+
+
+class WordFeatures(dict):
+    """Word (UTF-8) -> its features and those that only the decoder finds; emptied once it holds ``most`` words."""
+
+    def __init__(self, decoder: Decoder, most: int = 200_000):
+        super().__init__()
+        self.decoder, self.most = decoder, most
+
+    def __missing__(self, word: bytes) -> list[str]:
+        if len(self) >= self.most:
+            self.clear()
+        plain = word.decode("utf-8", "replace")
+        found = features(letters(plain))
+        if not plain.isalpha() or _TRIPLE.search(plain):
+            if disguised(plain):
+                found += [f for w in self.decoder.decode(plain) for f in features(w)]
+        self[word] = found
+        return found
 
 
 def _summaries(lexicon: Lexicon, shared):
@@ -304,37 +368,59 @@ def _summaries(lexicon: Lexicon, shared):
     return run
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05, rounds: int = 30) -> np.ndarray:
-    """Newton's method with a small ridge."""
-    w = np.zeros(x.shape[1])
+def _logistic(rows: DataFrame, size: int, ridge: float = 0.05, rounds: int = 30) -> np.ndarray:
+    """Newton's method with a small ridge on stored (toxic, x); a round sums the slopes of all rows."""
+    w = np.zeros(size)
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve(x.T @ (x * (p * (1 - p))[:, None]) + ridge * np.eye(len(w)), x.T @ (y - p) - ridge * w)
-        w += step
+
+        def run(batches: Iterator[pa.RecordBatch], w: np.ndarray = w) -> Iterator[pa.RecordBatch]:
+            up, bend = np.zeros(size), np.zeros((size, size))
+            for b in batches:
+                y, x = b.column(0).to_numpy(), b.column(1).flatten().to_numpy().reshape(-1, size)
+                p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+                up += x.T @ (y - p)
+                bend += x.T @ (x * (p * (1 - p))[:, None])
+            yield pa.RecordBatch.from_arrays([pa.array([[*up, *bend.ravel()]], pa.list_(pa.float64()))], names=["sums"])
+
+        sums = np.sum([r["sums"] for r in rows.mapInArrow(run, "sums array<double>").collect()], axis=0)  # a row a task
+        step = np.linalg.solve(sums[size:].reshape(size, size) + ridge * np.eye(size), sums[:size] - ridge * w)
+        w = w + step
         if np.abs(step).max() < 1e-9:
             break
     return w
 
 
-def _sketch(text: bytes) -> tuple[int, int]:
-    """Least hashes of the five-word shingles under two seeds: near copies share one or both."""
-    import xxhash
+class WordHashes(dict):
+    """Word -> 64-bit hash; emptied once it holds ``most`` words."""
 
-    words = text.lower().split()
-    shingles = [b" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))]
-    return tuple(min(xxhash.xxh64_intdigest(x, seed=n) for x in shingles) - 2**63 for n in (1, 2))
+    def __init__(self, most: int = 300_000):
+        import xxhash
 
+        super().__init__()
+        self.most, self.hash = most, xxhash.xxh64_intdigest
 
-def _apart(rows: DataFrame) -> DataFrame:
-    """(sha, toxic) of one text of each group that shares a sketch, a toxic one if there is one."""
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= self.most:
+            self.clear()
+        found = self[word] = self.hash(word)
+        return found
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            both = np.array([_sketch(t) for t in b.column(1).to_pylist()], np.int64).reshape(-1, 2)
-            cols = [b.column(0), b.column(2), pa.array(both[:, 0]), pa.array(both[:, 1])]
-            yield pa.RecordBatch.from_arrays(cols, names=["toxic", "sha", "one", "two"])
 
-    found = rows.mapInArrow(run, "toxic int, sha string, one long, two long")
+def _sketch(text: bytes, known: WordHashes) -> tuple[int, int]:
+    """Least hashes of the five-word shingles under two mixers: near copies share one or both."""
+    words = text.lower().split()
+    h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+    many = max(1, len(h) - 4)
+    shingles = np.zeros(many, np.uint64)
+    for i in range(min(5, len(h))):
+        shingles = (shingles ^ h[i : i + many]) * np.uint64(0x9E3779B97F4A7C15)
+        shingles ^= shingles >> np.uint64(29)
+    mixed = ((shingles ^ np.uint64(n)) * np.uint64(n) for n in (0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
+    return tuple(int((x ^ x >> np.uint64(32)).min().view(np.int64)) for x in mixed)
+
+
+def _apart(found: DataFrame) -> DataFrame:
+    """(sha, toxic) of one text of each group that shares a sketch, a toxic one if there is one."""
     for key, other in (("one", "two"), ("two", "one")):
         found = found.groupBy(key).agg(F.min(F.struct((-F.col("toxic")).alias("order"), "sha", "toxic", other)).alias("x"))
         found = found.select("x.toxic", "x.sha", key, F.col(f"x.{other}").alias(other))
@@ -342,14 +428,14 @@ def _apart(rows: DataFrame) -> DataFrame:
 
 
 def fit(
-    df: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = 12_000
+    df: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic"
 ) -> tuple[Lexicon, KneserNey]:
     """Character model from all texts; lexicon from labelled rows that satisfy ``learn`` (over doc_id)."""
     texts = id_text(df, id_col, text_col)
     model = learned(gram_counts(texts.select(F.lit("all").alias("class"), "text"), "class", "text"))
     marks = labels.select(labels[id_col].cast("long").alias("doc_id"), labels[label_col].cast("int").alias("toxic"))
     marks = marks.where("doc_id IS NOT NULL AND toxic IS NOT NULL").where(learn).groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
-    return fit_lexicon(texts, marks, model, sample), model
+    return fit_lexicon(texts, marks, model), model
 
 
 def score(df: DataFrame, lexicon: Lexicon, model: KneserNey, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

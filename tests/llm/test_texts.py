@@ -403,6 +403,9 @@ def test_decoder_against_all_readings(spark):
     texts = [("all", bytearray(b"grumwit fooldork snarkle batilo shure " * 3))]
     model = charlm.learned(charlm.gram_counts(spark.createDataFrame(texts, "class string, text binary"), "class", "text"))
     decoder = toxicity.Decoder(model)
+    for gram in ("   g", "grum", "umwi", " gru", "zzzz", "éé g", "atil"):
+        codes = np.frombuffer(gram.encode("utf-32-le"), np.uint32).reshape(1, -1)
+        assert decoder.logp(gram[:-1], gram[-1]) == pytest.approx(float(model.grams(codes)[0, 0]), rel=1e-12)
 
     def price(readings, costs):
         total, context = sum(costs), "   "
@@ -540,6 +543,21 @@ def test_toxicity(spark):
     assert all(0 <= r["score"] <= 1 for r in toxicity.score(df, empty, model).collect())
 
 
+def test_toxicity_learns_from_all_labelled_texts(spark):
+    rng = random.Random(7)
+    plain = ["".join(rng.choice(["ba", "ti", "lo", "shu", "re"]) for _ in range(rng.randint(4, 7))) for _ in range(3000)]
+    toxic = [i % 20 == 0 for i in range(15000)]
+    texts = [" ".join([rng.choice(plain) for _ in range(12)] + ["grumwit"] * t) for t in toxic]
+    docs = [*enumerate(texts), (20000, texts[0]), (20001, texts[0].upper()), (0, texts[0]), (None, texts[0])]  # copies count once
+    labels = [(i, int(t)) for i, t in enumerate(toxic)] + [(20000, 1), (20001, 1)]
+    lexicon, model = toxicity.fit(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int"), F.lit(True))
+    assert lexicon.hits["=grumwit"] == (750, 750) and lexicon.rate == 750 / 15000
+    scorer = toxicity.Scorer(lexicon, toxicity.Decoder(model))
+    x = np.array([toxicity.summary(scorer.found(t.encode(), int(k)), len(t.split())) for t, k in zip(texts, toxic, strict=True)])
+    w = np.array(lexicon.rule)  # where the penalised likelihood of all of them is flat
+    assert np.abs(x.T @ (toxic - 1 / (1 + np.exp(-x @ w))) - 0.05 * w).max() < 1e-6
+
+
 def test_hmm_counts_and_exact_likelihood(spark):
     rows = corpus()
     df = frame(spark, rows)
