@@ -18,8 +18,9 @@ from __future__ import annotations
 import bisect
 import functools
 import json
+import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -39,41 +40,71 @@ class WordTokens(dict):
     """UTF-8 word -> its token ids as little-endian 32-bit integers.
 
     The tokenizer drops white space and never joins over it, so a text's ids
-    are those of its words.  The memo is emptied once it holds ``most`` words.
+    are those of its words, and a word's are those of its pieces.  Two generations
+    of at most ``most`` / 2 words are kept: once the younger is full the older is
+    forgotten, but for words that were asked for since.
     """
 
-    def __init__(self, path: str, most: int = 300_000):
+    def __init__(self, path: str, most: int = 400_000):
         import regex
         from tokenizers import Tokenizer
 
         super().__init__()
         self.most = most
+        self.older: dict[bytes, bytes] = {}
         self.tokenizer = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         split = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
         self.pieces = regex.compile(split).findall
-        self.tokenize = self.tokenizer.model.tokenize
-        self.visible = _visible_bytes()
+        self.tokens = PieceTokens(self.tokenizer.model.tokenize, most)
 
     def __missing__(self, word: bytes) -> bytes:
-        if len(self) >= self.most:
+        if 2 * len(self) >= self.most:
+            self.older = dict(self)
             self.clear()
+        found = self.older.get(word)
+        if found is None:
+            found = self._ids(word)
+        self[word] = found
+        return found
+
+    def _ids(self, word: bytes) -> bytes:
+        if word.isalpha():  # ASCII letters
+            return self.tokens[word.lower()]
         text = word.decode("utf-8", "replace")
-        if max(text) > "ɏ" or "<|" in text:
+        if (not word.isascii() and max(text) > "ɏ") or "<|" in text:
             # composition, special tokens, other scripts: the whole tokenizer
-            ids = self.tokenizer.encode(text, add_special_tokens=False).ids
-        else:
-            low = text.lower()
-            parts = (low,) if low.isascii() and low.isalpha() else self.pieces(low)
-            ids = [t.id for p in parts for t in self.tokenize(self._shown(p))]
-        found = self[word] = np.array(ids, "<u4").tobytes()
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return b"".join(map(self.tokens.__getitem__, self.pieces(text.lower())))
+
+
+class PieceTokens(dict):
+    """Piece between the tokenizer's own cuts -> its token ids; two generations like those of words."""
+
+    def __init__(self, tokenize: Callable, most: int):
+        super().__init__()
+        self.tokenize, self.most = tokenize, most
+        self.older: dict = {}
+        self.visible = _visible_bytes()
+
+    def __missing__(self, piece: str | bytes) -> bytes:
+        """ASCII pieces may be asked for as bytes."""
+        if 2 * len(self) >= self.most:
+            self.older = dict(self)
+            self.clear()
+        found = self.older.get(piece)
+        if found is None:
+            text = piece.decode() if isinstance(piece, bytes) else piece
+            shown = text if text.isascii() and text.isprintable() else text.encode().decode("latin-1").translate(self.visible)
+            found = b"".join([t.id.to_bytes(4, "little") for t in self.tokenize(shown)])
+        self[piece] = found
         return found
 
-    def _shown(self, piece: str) -> str:
-        if piece.isascii() and piece.isprintable():
-            return piece
-        return piece.encode().decode("latin-1").translate(self.visible)
+
+#: The tokenizer's cuts in lower-case ASCII without control characters and special tokens.
+_ASCII_PIECES = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^ \t\n\r\x0b\x0ca-z0-9]+").findall
+_UNUSUAL = re.compile(rb"[\x00-\x08\x0e-\x1f\x7f]|<\|").search
 
 
 def _visible_bytes() -> dict[int, str]:
@@ -88,7 +119,11 @@ def _words(path: str) -> WordTokens:
 
 
 def token_bytes(text: bytes, words: WordTokens, end_id: int) -> bytes:
-    return b"".join(map(words.__getitem__, text.split())) + end_id.to_bytes(4, "little")
+    if text.isascii() and not _UNUSUAL(text):
+        found = map(words.tokens.__getitem__, _ASCII_PIECES(text.lower()))
+    else:
+        found = map(words.__getitem__, text.split())
+    return b"".join(found) + end_id.to_bytes(4, "little")
 
 
 def tokenize_pieces(

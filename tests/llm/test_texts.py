@@ -399,6 +399,23 @@ def test_tokenizer_words_equal_the_whole_tokenizer(vocabulary):
         assert ids == whole.encode(text, add_special_tokens=False).ids + [1], repr(text)
 
 
+def test_tokenizer_asks_once_for_frequent_words_and_shared_pieces(vocabulary):
+    words, asked = packing.WordTokens(vocabulary, most=200), []
+    model = words.tokenizer.model.tokenize
+    words.tokens.tokenize = lambda piece: asked.append(piece) or model(piece)
+    rng, odd = random.Random(14), "ab YZ09'stmdrevl,.-<|>&\t\n\x0b\x0c\r\x00\x1c\x7f"
+    for _ in range(500):  # ASCII of all kinds
+        text = "".join(rng.choice(odd) for _ in range(rng.randint(0, 40)))
+        ids = np.frombuffer(packing.token_bytes(text.encode(), words, 1), "<u4").tolist()
+        assert ids == words.tokenizer.encode(text, add_special_tokens=False).ids + [1], repr(text)
+    asked.clear()
+    for i in range(90):
+        text = f"often often, Often. rare{'abcdefghij'[i % 10]}{'klmnopqrs'[i // 10]}x!"
+        ids = np.frombuffer(packing.token_bytes(text.encode(), words, 1), "<u4").tolist()
+        assert ids == words.tokenizer.encode(text, add_special_tokens=False).ids + [1]
+    assert asked.count("often") <= 3 and len(asked) <= 90 + 9 and len(words.tokens) + len(words.tokens.older) <= 200
+
+
 def test_decoder_against_all_readings(spark):
     texts = [("all", bytearray(b"grumwit fooldork snarkle batilo shure " * 3))]
     model = charlm.learned(charlm.gram_counts(spark.createDataFrame(texts, "class string, text binary"), "class", "text"))
