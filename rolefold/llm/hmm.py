@@ -50,6 +50,30 @@ def class_of(word: bytes, classes: int) -> int:
     return 0 if word == END else 1 + zlib.crc32(word[-4:].rstrip(b".,")) % (classes - 1)
 
 
+def _rows(batch: pa.RecordBatch) -> Iterator[list]:
+    """A batch's rows one by one: its binary values as views of the batch, not copies."""
+    columns = [_views(c) if pa.types.is_binary(c.type) or pa.types.is_large_binary(c.type) else (x.as_py() for x in c) for c in batch.columns]
+    return map(list, zip(*columns, strict=True))
+
+
+def _views(column: pa.Array) -> Iterator[pa.Buffer]:
+    _, ends, data = column.buffers()
+    wide = np.int64 if pa.types.is_large_binary(column.type) else np.int32
+    at = np.frombuffer(ends, wide)[column.offset : column.offset + len(column) + 1].tolist() if len(column) else []
+    data = pa.py_buffer(b"") if data is None else data
+    return (data.slice(s, e - s) for s, e in zip(at, at[1:], strict=False))
+
+
+def _release() -> None:
+    """Give freed memory back to the system where its allocator keeps it, between large chunks."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def _index(classes: int, rows_per_chunk: int, bytes_per_chunk: int):
     """Chunks of documents: ids, folds and token numbers; the distinct tokens with hashes, classes and counts."""
     import uuid
@@ -83,12 +107,13 @@ def _index(classes: int, rows_per_chunk: int, bytes_per_chunk: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunk, size = [], 0
         for b in batches:
-            for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for row in zip(*((x.as_py() for x in c) for c in b.columns), strict=True):
                 chunk.append(row)
                 size += len(row[2])
                 if len(chunk) >= rows_per_chunk or size >= bytes_per_chunk:
                     yield emit(chunk)
                     chunk, size = [], 0
+                    _release()
         if chunk:
             yield emit(chunk)
 
@@ -104,7 +129,8 @@ def _deal(ranges: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for chunk, h, k, n in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for chunk, *blobs in _rows(b):
+                h, k, n = map(memoryview, blobs)
                 hashes = np.frombuffer(h, np.uint64)
                 cuts = [0, *np.searchsorted(hashes, edges).tolist(), len(hashes)]
                 some = [i for i in range(ranges) if cuts[i] < cuts[i + 1]]
@@ -120,18 +146,18 @@ def _sum_range(own: int, trained: int):
     range -1 has totals per class and -2 the frequent tokens (hash, class, count)."""
 
     def run(rows: pa.Table) -> pa.Table:
-        parts = [x.as_py() for x in rows["hashes"]]
+        parts = [x.as_buffer() for x in rows["hashes"]]
         number = rows["range"][0].as_py()
         hashes = np.frombuffer(b"".join(parts), np.uint64)
-        kinds = np.frombuffer(b"".join(x.as_py() for x in rows["kinds"]), np.int32)
-        counts = np.frombuffer(b"".join(x.as_py() for x in rows["counts"]), np.int64)
+        kinds = np.frombuffer(b"".join(x.as_buffer() for x in rows["kinds"]), np.int32)
+        counts = np.frombuffer(b"".join(x.as_buffer() for x in rows["counts"]), np.int64)
         _, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
         total = np.zeros(len(first), np.int64)
         np.add.at(total, inverse, counts)
         sums, at, out = total[inverse], 0, []
         for chunk, x in zip(rows["chunk"].to_pylist(), parts, strict=True):
-            out.append((chunk, number, sums[at : at + len(x) // 8].tobytes()))
-            at += len(x) // 8
+            out.append((chunk, number, sums[at : at + x.size // 8].tobytes()))
+            at += x.size // 8
         known = total > 0
         by_class = np.bincount(kinds[first][known], total[known]), np.bincount(kinds[first][known])
         both = np.zeros((2, max(map(len, by_class))), np.int64)
@@ -248,7 +274,7 @@ def _slices(classes_of: Classes, slices: int, segment: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for held, sizes, tokens, hashes, kinds in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for held, sizes, tokens, hashes, kinds in _rows(b):
                 obs = classes_of.of(hashes, kinds).astype(np.uint16)[np.frombuffer(tokens, np.int32)]
                 ends = np.cumsum(sizes)
                 cuts = [(s, min(s + segment, e)) for h, e, n in zip(held, ends.tolist(), sizes, strict=True) if not h for s in range(e - n, e, segment)]
@@ -260,6 +286,8 @@ def _slices(classes_of: Classes, slices: int, segment: int):
                     pa.array([np.concatenate([obs[s:e] for s, e in parts[i]]).tobytes() for i in some], pa.binary()),
                 ]
                 yield pa.RecordBatch.from_arrays(cols, names=["slice", "sizes", "classes"])
+                del obs, parts, cols
+            _release()
 
     return run
 
@@ -271,7 +299,7 @@ def _expected(shared):
         model: Hmm = shared.value
         sums = None
         for b in batches:
-            for sizes, classes in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for sizes, classes in _rows(b):
                 obs, many = np.frombuffer(classes, np.uint16), np.array(sizes)
                 starts = np.cumsum(many) - many
                 order = np.argsort(many, kind="stable")
@@ -368,7 +396,7 @@ def score_texts(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, known = shared.value
         for b in batches:
-            for ids, held, sizes, tokens, hashes, kinds, found in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for ids, held, sizes, tokens, hashes, kinds, found in _rows(b):
                 counts = np.concatenate([np.frombuffer(x["totals"], np.int64) for x in found])
                 kind, token = known.of(hashes, kinds), np.frombuffer(tokens, np.int32)
                 starts = np.cumsum(sizes) - sizes
@@ -382,5 +410,6 @@ def score_texts(
                     pa.array(np.full(len(ids), n)), pa.array(base), pa.array(total),
                 ]
                 yield pa.RecordBatch.from_arrays(cols, names=[x.split()[0] for x in SCHEMA.split(", ")])
+            _release()
 
     return joined.select("ids", "held", "sizes", "tokens", "hashes", "kinds", "parts").mapInArrow(run, SCHEMA)

@@ -589,6 +589,16 @@ def test_hmm_counts_and_exact_likelihood(spark):
     assert hmm.score_texts(frame(spark, []), crc_mod("doc_id", 7) == 2).count() == 0
 
 
+def test_hmm_reads_stored_chunks_without_copies():
+    import pyarrow as pa
+
+    blobs = [b"abcdefgh" * 1000, b"", b"12345678"]
+    batch = pa.RecordBatch.from_arrays([pa.array([1, None, 3]), pa.array([[1], [], [2, 3]]), pa.array(blobs, pa.binary())], names=["a", "b", "c"])
+    whole = batch.column(2).buffers()[2]
+    for (a, b, c), row in zip(hmm._rows(batch), zip([1, None, 3], [[1], [], [2, 3]], blobs, strict=True), strict=True):
+        assert (a, b, c.to_pybytes()) == row and (not c.size or whole.address <= c.address < whole.address + whole.size)
+
+
 def test_hmm_recursions_against_all_paths():
     rng = np.random.default_rng(1)
     model = hmm.Hmm(3, 5, np.arange(1.0, 6.0), np.ones(5))
