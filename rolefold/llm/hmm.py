@@ -168,6 +168,8 @@ def _sum_range(own: int, trained: int):
         found = np.stack([hashes[first][often].view(np.int64), kinds[first][often], total[often]])
         out.append((None, -2, found.astype(np.int64).tobytes()))
         kinds_of = (pa.string(), pa.int32(), pa.binary())
+        del parts, hashes, kinds, counts, first, inverse, total, sums
+        _release()
         return pa.table([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds_of, strict=True)], names=["chunk", "range", "totals"])
 
     return run
