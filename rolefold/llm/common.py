@@ -56,8 +56,24 @@ def forget(*tables: DataFrame | None) -> None:
             where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
 
 
+#: Bytes of a batch of rows on its way to Python; a larger row goes alone.
+BATCH = 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """From now on this session hands rows to Python in batches of ``BATCH`` bytes at most; a lower bound stays.
+
+    Spark's own bound is 64 MB, and each task holds a batch several times outside of the
+    heap: in a buffer that doubles as it grows, and in Python next to what is made of it.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if (now := spark.conf.get(key, None)) and spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(now) > BATCH:
+        spark.conf.set(key, str(BATCH))
+
+
 def id_text(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(doc_id long, text binary): other columns, whatever their names, stay out."""
+    small_batches(df.sparkSession)
     return df.select(
         df[id_col].cast("long").alias("doc_id"),
         F.encode(F.coalesce(df[text_col].cast("string"), F.lit("")), "UTF-8").alias("text"),

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .charlm import KneserNey, gram_counts, learned, letters, plain
-from .common import forget, id_text, saved
+from .common import forget, id_text, saved, small_batches
 from .ranks import quantiles
 
 SCHEMA = "doc_id long, lang_pred string, score double, cross_entropy double, rejected boolean"
@@ -204,6 +204,7 @@ def fitted(costs: DataFrame, model: KneserNey, least: float, room: float, share:
 
 def keep(df: DataFrame, known: Identifier, text_col: str = "text") -> DataFrame:
     """The rows whose text isn't rejected, with all their columns; no shuffle."""
+    small_batches(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(known)
     at = df.columns.index(text_col)
 

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import saved, small_batches
 
 WEIGHTS = (5, 2, 1)
 WORD = r"[^\x20\x09-\x0D]+"
@@ -235,6 +235,7 @@ def copies(text: str, blocks: list[dict]) -> list[str]:
 
 def mix_documents(df: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", **options) -> DataFrame:
     """The mixture itself: rows like the documents', a row for each pass over what is taken of a document."""
+    small_batches(df.sparkSession)
     plan = mixed(df, id_col=id_col, source_col=source_col, text_col=text_col, with_blocks=True, **options)
     number = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy(F.lit(0)))  # noqa: E731  equal rows: any order
     # the row goes through in one piece, whatever its columns are named

@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .charlm import KneserNey, gram_counts, learned, letters
-from .common import forget, id_text, saved
+from .common import forget, id_text, saved, small_batches
 
 #: Fixed readings of look-alike characters.
 LOOKALIKES = {
@@ -454,6 +454,7 @@ def score(df: DataFrame, lexicon: Lexicon, model: KneserNey, id_col: str = "doc_
 
 def keep(df: DataFrame, lexicon: Lexicon, model: KneserNey, text_col: str = "text", limit: float = 0.5) -> DataFrame:
     """The rows whose text scores below ``limit``, with all their columns; no shuffle."""
+    small_batches(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast((lexicon, model))
     at = df.columns.index(text_col)
 

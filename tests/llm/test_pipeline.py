@@ -135,3 +135,33 @@ def test_empty_tables_pass_through(spark, tables):
     folder, docs, _ = tables
     for _, stage in pipeline.STAGES:
         assert stage(spark, docs.limit(0), folder).count() == 0
+
+
+def test_texts_reach_python_in_small_batches(spark, tables):
+    import pyarrow as pa
+
+    from rolefold.llm import common
+
+    folder, docs, _ = tables
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    bound = lambda: spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(key))
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows]), pa.array([b.nbytes])], names=["rows", "bytes"])
+
+    before = spark.conf.get(key)
+    try:
+        large = spark.range(0, 300, 1, 1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("word "), 20_000).alias("text"))
+        spark.conf.set(key, "64m")
+        found = common.id_text(large, "doc_id", "text").mapInArrow(sizes, "rows long, bytes long").collect()
+        assert sum(r["rows"] for r in found) == 300 and max(r["bytes"] for r in found) < common.BATCH + 200_000
+        for _, stage in pipeline.STAGES:
+            spark.conf.set(key, "64m")
+            stage(spark, docs, folder)
+            assert bound() == common.BATCH, "what a stage leaves to its writer is bounded, too"
+        spark.conf.set(key, "1m")
+        common.small_batches(spark)
+        assert bound() == 1 << 20
+    finally:
+        spark.conf.set(key, before)
