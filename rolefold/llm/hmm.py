@@ -116,6 +116,8 @@ def _index(classes: int, rows_per_chunk: int, bytes_per_chunk: int):
                     _release()
         if chunk:
             yield emit(chunk)
+        chunk = None
+        _release()
 
     return run
 
@@ -123,6 +125,60 @@ def _index(classes: int, rows_per_chunk: int, bytes_per_chunk: int):
 CHUNK = "chunk string, ids array<long>, held array<boolean>, sizes array<long>, trained long, tokens binary, hashes binary, kinds binary, counts binary"
 
 
+#: Bytes of a stored value that travel in one row; a chunk's rows follow each other.
+PIECE = 1 << 20
+PIECES = "chunk", "what", "part", "ids", "held", "sizes", "blob"
+
+
+def _pieces(chunks: DataFrame, *columns: str) -> DataFrame:
+    """Rows PIECES of stored chunks: their lists (what 0), then pieces of each column (what 1 and on); no shuffle."""
+    kept = [F.struct(F.lit(0).alias("what"), "ids", "held", "sizes", F.lit(b"").alias("blob"))]
+    empty = [F.lit(None).cast(chunks.schema[c].dataType).alias(c) for c in PIECES[3:6]]
+    kept += [F.struct(F.lit(i).alias("what"), *empty, F.col(c).alias("blob")) for i, c in enumerate(columns, 1)]
+    rows = chunks.select("chunk", F.explode(F.array(*kept)).alias("x")).select("chunk", "x.*")
+    last = F.greatest(F.length("blob") - 1, F.lit(0))
+    rows = rows.withColumn("part", F.explode(F.sequence(F.lit(0), F.floor(last / PIECE).cast("int"))))
+    return rows.select(*PIECES[:-1], F.substring(F.col("blob"), F.col("part") * PIECE + 1, F.lit(PIECE)).alias("blob"))
+
+
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[list]:
+    """Chunks of their pieces: ids, held, sizes, then each column's bytes."""
+    name, lists, blobs = None, None, {}
+
+    def whole() -> list:
+        return [*lists, *(b"".join(blobs[i]) for i in sorted(blobs))]
+
+    for b in batches:
+        for chunk, what, _, ids, held, sizes, blob in _rows(b):
+            if chunk != name:
+                if name is not None:
+                    yield whole()
+                name, blobs = chunk, {}
+            if what:
+                blobs.setdefault(what, []).append(blob)
+            else:
+                lists = ids, held, sizes
+    if name is not None:
+        yield whole()
+
+
+def _each(make):
+    """A batch out of each chunk; what it took is given back before the next is read."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in _joined(batches):
+            made = make(*x)
+            x = None  # noqa: PLW2901
+            _release()
+            yield made
+            del made
+
+    return run
+
+
+BLOBS = ("hashes", "kinds", "counts")
+
+
 def _deal(ranges: int):
     """A chunk's distinct tokens by hash range, still sorted."""
     edges = np.array([(i << 64) // ranges for i in range(1, ranges)], np.uint64)
@@ -137,6 +193,8 @@ def _deal(ranges: int):
                 part = lambda raw, size: pa.array([raw[cuts[i] * size : cuts[i + 1] * size] for i in some], pa.binary())  # noqa: B023, E731
                 cols = [pa.array(some, pa.int32()), pa.array([chunk] * len(some)), part(h, 8), part(k, 4), part(n, 8)]
                 yield pa.RecordBatch.from_arrays(cols, names=["range", "chunk", "hashes", "kinds", "counts"])
+            b = chunk = blobs = h = k = n = hashes = cols = None  # noqa: PLW2901
+            _release()
 
     return run
 
@@ -146,31 +204,33 @@ def _sum_range(own: int, trained: int):
     range -1 has totals per class and -2 the frequent tokens (hash, class, count)."""
 
     def run(rows: pa.Table) -> pa.Table:
-        parts = [x.as_buffer() for x in rows["hashes"]]
         number = rows["range"][0].as_py()
-        hashes = np.frombuffer(b"".join(parts), np.uint64)
-        kinds = np.frombuffer(b"".join(x.as_buffer() for x in rows["kinds"]), np.int32)
-        counts = np.frombuffer(b"".join(x.as_buffer() for x in rows["counts"]), np.int64)
-        _, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
-        total = np.zeros(len(first), np.int64)
-        np.add.at(total, inverse, counts)
-        sums, at, out = total[inverse], 0, []
-        for chunk, x in zip(rows["chunk"].to_pylist(), parts, strict=True):
-            out.append((chunk, number, sums[at : at + x.size // 8].tobytes()))
-            at += x.size // 8
+        parts = [tuple(np.frombuffer(x.as_buffer(), t) for x, t in zip(row, (np.uint64, np.int32, np.int64), strict=True)) for row in zip(*(rows[c] for c in BLOBS), strict=True)]
+        # a chunk's tokens are distinct and sorted, so each chunk finds its places by itself
+        hashes = np.concatenate([h for h, _, _ in parts])
+        hashes.sort()
+        hashes = hashes[np.r_[True, hashes[1:] != hashes[:-1]]] if len(hashes) else hashes
+        total, kinds = np.zeros(len(hashes), np.int64), np.zeros(len(hashes), np.int32)
+        for h, k, n in parts:
+            at = np.searchsorted(hashes, h)
+            total[at] += n
+            kinds[at] = k
+        out = [(chunk, number, total[np.searchsorted(hashes, h)].tobytes()) for chunk, (h, _, _) in zip(rows["chunk"].to_pylist(), parts, strict=True)]
         known = total > 0
-        by_class = np.bincount(kinds[first][known], total[known]), np.bincount(kinds[first][known])
+        by_class = np.bincount(kinds[known], total[known]), np.bincount(kinds[known])
         both = np.zeros((2, max(map(len, by_class))), np.int64)
         for i, x in enumerate(by_class):
             both[i, : len(x)] = x
         out.append((None, -1, both.tobytes()))
-        often = (total.astype(float) * own > trained) & (kinds[first] > 0)
-        found = np.stack([hashes[first][often].view(np.int64), kinds[first][often], total[often]])
+        often = (total.astype(float) * own > trained) & (kinds > 0)
+        found = np.stack([hashes[often].view(np.int64), kinds[often], total[often]])
         out.append((None, -2, found.astype(np.int64).tobytes()))
         kinds_of = (pa.string(), pa.int32(), pa.binary())
-        del parts, hashes, kinds, counts, first, inverse, total, sums
+        del parts, hashes, kinds, total, known, often
+        made = pa.table([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds_of, strict=True)], names=["chunk", "range", "totals"])
+        del out
         _release()
-        return pa.table([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds_of, strict=True)], names=["chunk", "range", "totals"])
+        return made
 
     return run
 
@@ -274,24 +334,20 @@ SLICED = "slice int, sizes array<long>, classes binary"
 def _slices(classes_of: Classes, slices: int, segment: int):
     """Training segments of chunks, dealt into slices: a row per chunk and slice."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for held, sizes, tokens, hashes, kinds in _rows(b):
-                obs = classes_of.of(hashes, kinds).astype(np.uint16)[np.frombuffer(tokens, np.int32)]
-                ends = np.cumsum(sizes)
-                cuts = [(s, min(s + segment, e)) for h, e, n in zip(held, ends.tolist(), sizes, strict=True) if not h for s in range(e - n, e, segment)]
-                parts = [cuts[i::slices] for i in range(slices)]
-                some = [i for i in range(slices) if parts[i]]
-                cols = [
-                    pa.array(some, pa.int32()),
-                    pa.array([[e - s for s, e in parts[i]] for i in some], pa.list_(pa.int64())),
-                    pa.array([np.concatenate([obs[s:e] for s, e in parts[i]]).tobytes() for i in some], pa.binary()),
-                ]
-                yield pa.RecordBatch.from_arrays(cols, names=["slice", "sizes", "classes"])
-                del obs, parts, cols
-            _release()
+    def of(_: list, held: list, sizes: list, tokens: bytes, hashes: bytes, kinds: bytes) -> pa.RecordBatch:
+        obs = classes_of.of(hashes, kinds).astype(np.uint16)[np.frombuffer(tokens, np.int32)]
+        ends = np.cumsum(sizes)
+        cuts = [(s, min(s + segment, e)) for h, e, n in zip(held, ends.tolist(), sizes, strict=True) if not h for s in range(e - n, e, segment)]
+        parts = [cuts[i::slices] for i in range(slices)]
+        some = [i for i in range(slices) if parts[i]]
+        cols = [
+            pa.array(some, pa.int32()),
+            pa.array([[e - s for s, e in parts[i]] for i in some], pa.list_(pa.int64())),
+            pa.array([np.concatenate([obs[s:e] for s, e in parts[i]]).tobytes() for i in some], pa.binary()),
+        ]
+        return pa.RecordBatch.from_arrays(cols, names=["slice", "sizes", "classes"])
 
-    return run
+    return _each(of)
 
 
 def _expected(shared):
@@ -312,6 +368,7 @@ def _expected(shared):
                         rows[i, : many[j]] = obs[starts[j] : starts[j] + many[j]]
                     found = model.expected(rows, many[part])
                     sums = found if sums is None else [x + y for x, y in zip(sums, found, strict=True)]
+        _release()
         if sums is not None:
             start, move, emit = sums
             rows = [(0, 0, start), *((1, i, x) for i, x in enumerate(move)), *((2, i, x) for i, x in enumerate(emit.T) if x.any())]
@@ -386,32 +443,32 @@ def score_texts(
     frequent = slice(classes - own, classes - own + len(order))
     totals[0, frequent], totals[1, frequent] = many[order], 1
     model = Hmm(states, classes, *totals.astype(float))
-    cut = chunks.select("held", "sizes", "tokens", "hashes", "kinds").mapInArrow(_slices(known, slices, segment), SLICED)
+    stored = _pieces(chunks, "tokens", "hashes", "kinds")
+    cut = stored.mapInArrow(_slices(known, slices, segment), SLICED)
     sliced = saved(cut, "slices", "slice")
     model = train(sliced, model, rounds, slices)
     forget(sliced)
     n, v = (int(x) for x in totals.sum(axis=1))
-    parts = sums.where("chunk IS NOT NULL").groupBy("chunk").agg(F.array_sort(F.collect_list(F.struct("range", "totals"))).alias("parts"))
-    joined = chunks.select("chunk", "ids", "held", "sizes", "tokens", "hashes", "kinds").join(parts, "chunk")
+    # totals come after a chunk's own pieces; nothing travels in rows longer than a piece or a range's part
+    empty = [F.lit(None).cast(chunks.schema[c].dataType).alias(c) for c in PIECES[3:6]]
+    returned = sums.where("chunk IS NOT NULL").select("chunk", F.lit(4).alias("what"), F.col("range").alias("part"), *empty, F.col("totals").alias("blob"))
+    met = stored.union(returned).repartition(width(spark), "chunk").sortWithinPartitions("chunk", "what", "part")
     shared = spark.sparkContext.broadcast((model, known))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def score(ids: list, held: list, sizes: list, tokens: bytes, hashes: bytes, kinds: bytes, totals: bytes) -> pa.RecordBatch:
         model, known = shared.value
-        for b in batches:
-            for ids, held, sizes, tokens, hashes, kinds, found in _rows(b):
-                counts = np.concatenate([np.frombuffer(x["totals"], np.int64) for x in found])
-                kind, token = known.of(hashes, kinds), np.frombuffer(tokens, np.int32)
-                starts = np.cumsum(sizes) - sizes
-                per = np.stack([np.log10((counts + 1) / (n + v + 1)), model.token_log10(counts, kind), (counts > 0).astype(float)])
-                base, inner, seen = (np.add.reduceat(x[token], starts) for x in per)
-                seq = kind[token]
-                docs = [seq[s : s + m] for s, m in zip(starts.tolist(), sizes, strict=True)]
-                total = inner + model.log10_classes(docs)
-                cols = [
-                    pa.array(ids, pa.int64()), pa.array(held), pa.array(sizes, pa.int64()), pa.array(seen.astype(np.int64)),
-                    pa.array(np.full(len(ids), n)), pa.array(base), pa.array(total),
-                ]
-                yield pa.RecordBatch.from_arrays(cols, names=[x.split()[0] for x in SCHEMA.split(", ")])
-            _release()
+        counts = np.frombuffer(totals, np.int64)
+        kind, token = known.of(hashes, kinds), np.frombuffer(tokens, np.int32)
+        starts = np.cumsum(sizes) - sizes
+        of = (np.log10((counts + 1) / (n + v + 1)), model.token_log10(counts, kind), (counts > 0).astype(float))
+        base, inner, seen = (np.add.reduceat(x[token], starts) for x in of)
+        seq = kind[token]
+        docs = [seq[s : s + m] for s, m in zip(starts.tolist(), sizes, strict=True)]
+        total = inner + model.log10_classes(docs)
+        cols = [
+            pa.array(ids, pa.int64()), pa.array(held), pa.array(sizes, pa.int64()), pa.array(seen.astype(np.int64)),
+            pa.array(np.full(len(ids), n)), pa.array(base), pa.array(total),
+        ]
+        return pa.RecordBatch.from_arrays(cols, names=[x.split()[0] for x in SCHEMA.split(", ")])
 
-    return joined.select("ids", "held", "sizes", "tokens", "hashes", "kinds", "parts").mapInArrow(run, SCHEMA)
+    return met.mapInArrow(_each(score), SCHEMA)

@@ -599,6 +599,49 @@ def test_hmm_reads_stored_chunks_without_copies():
         assert (a, b, c.to_pybytes()) == row and (not c.size or whole.address <= c.address < whole.address + whole.size)
 
 
+def test_hmm_chunks_travel_in_short_rows_and_come_whole(spark, monkeypatch):
+    monkeypatch.setattr(hmm, "PIECE", 1000)
+    blobs = {"a": (b"", b"x" * 8, b""), "b": (bytes(range(250)) * 13, b"y" * 1000, b"z" * 1001)}
+    rows = [(name, [1, None], [True, False], [3, 4], *found) for name, found in blobs.items()]
+    chunks = spark.createDataFrame(rows, "chunk string, ids array<long>, held array<boolean>, sizes array<long>, tokens binary, hashes binary, kinds binary").coalesce(1)
+    pieces = hmm._pieces(chunks, "tokens", "hashes", "kinds")
+    table = pieces.toArrow()
+    assert pieces.selectExpr("max(length(blob))").first()[0] == 1000
+    batches = [b.slice(at, 2) for b in table.to_batches() for at in range(0, b.num_rows, 2)]
+    assert [list(x) for x in hmm._joined(iter(batches))] == [[[1, None], [True, False], [3, 4], *found] for found in blobs.values()]
+
+
+def test_hmm_range_sums_are_right_and_take_less_than_twice_their_input():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    rng = np.random.default_rng(5)
+    pool = np.unique(rng.integers(0, 1 << 63, 60_000).astype(np.uint64))
+    parts = [np.sort(rng.choice(pool, 30_000, replace=False)) for _ in range(8)]
+    counts = [rng.integers(0, 9, len(h)) for h in parts]
+    kinds = [(h % 5).astype(np.int32) for h in parts]
+    blob = lambda xs: pa.array([x.tobytes() for x in xs], pa.binary())
+    cols = [pa.array([3] * 8, pa.int32()), pa.array(list("abcdefgh")), blob(parts), blob(kinds), blob(counts)]
+    rows = pa.table(cols, names=["range", "chunk", "hashes", "kinds", "counts"])
+    sums = collections.Counter()
+    for h, c in zip(parts, counts, strict=True):
+        for x, y in zip(h.tolist(), c.tolist(), strict=True):
+            sums[x] += y
+    trained = sum(sums.values())
+    tracemalloc.start()
+    got = hmm._sum_range(40_000, trained)(rows)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    found = {(r["chunk"], r["range"]): np.frombuffer(r["totals"], np.int64).tolist() for r in got.to_pylist()}
+    assert all(found[name, 3] == [sums[x] for x in h.tolist()] for name, h in zip("abcdefgh", parts, strict=True))
+    want = [[sum(n for x, n in sums.items() if x % 5 == k) for k in range(5)], [sum(n > 0 for x, n in sums.items() if x % 5 == k) for k in range(5)]]
+    assert found[None, -1] == want[0] + want[1]
+    often = sorted((x, x % 5, n) for x, n in sums.items() if n * 40_000 > trained and x % 5)
+    assert list(zip(*np.array(found[None, -2]).reshape(3, -1).tolist(), strict=True)) == often and often
+    assert most < 2 * 20 * sum(map(len, parts)), "20 bytes a token come in"
+
+
 def test_hmm_recursions_against_all_paths():
     rng = np.random.default_rng(1)
     model = hmm.Hmm(3, 5, np.arange(1.0, 6.0), np.ones(5))
