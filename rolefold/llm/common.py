@@ -35,14 +35,20 @@ def shared_dir(spark: SparkSession) -> str:
     return known
 
 
-def saved(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+#: Else a page ends only after 100 values, whatever their size, and codecs keep native buffers of the largest page.
+LARGE = {f"parquet.{x}.size.row.check.min": "1" for x in ("page", "block")}
+
+
+def saved(df: DataFrame, name: str, by: str | None = None, large: bool = False) -> DataFrame:
     """Write an intermediate table to the shared folder, partitioned by a column if one is named, and read it back.
 
-    This cuts the lineage: a lost executor costs a reread, not a recomputation.
+    This cuts the lineage: a lost executor costs a reread, not a recomputation.  ``large``:
+    values take megabytes, so pages and row groups are measured after each row.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    (df.write.partitionBy(by) if by else df.write).parquet(path)
+    write = df.write.options(**(LARGE if large else {}))
+    (write.partitionBy(by) if by else write).parquet(path)
     found = spark.read.schema(df.schema).parquet(path)
     found.saved_in = path
     return found

@@ -419,14 +419,14 @@ def score_texts(
     """
     spark, own = df.sparkSession, classes // 2
     rows = id_text(df, id_col, text_col).select("doc_id", held_out.alias("held"), "text")
-    chunks = saved(rows.mapInArrow(_index(classes - own, chunk_rows, chunk_bytes), CHUNK), "chunks")
+    chunks = saved(rows.mapInArrow(_index(classes - own, chunk_rows, chunk_bytes), CHUNK), "chunks", large=True)
     trained, distinct = chunks.agg(F.coalesce(F.sum("trained"), F.lit(0)), F.coalesce(F.sum(F.length("hashes")), F.lit(0))).first()
     # a range holds about range_bytes of hashes, classes and counts
     ranges = max(2 * width(spark), -(-distinct * 5 // (2 * range_bytes)))
     dealt = chunks.select("chunk", "hashes", "kinds", "counts").mapInArrow(
         _deal(ranges), "range int, chunk string, hashes binary, kinds binary, counts binary"
     )
-    sums = saved(dealt.groupBy("range").applyInArrow(_sum_range(own, trained), "chunk string, range int, totals binary"), "counts")
+    sums = saved(dealt.groupBy("range").applyInArrow(_sum_range(own, trained), "chunk string, range int, totals binary"), "counts", large=True)
     totals, often = np.zeros((2, classes), np.int64), [np.zeros((3, 0), np.int64)]
     for r in sums.where("chunk IS NULL").select("range", "totals").toLocalIterator():  # classes and frequent tokens, both bounded
         found = np.frombuffer(r["totals"], np.int64)
@@ -445,7 +445,7 @@ def score_texts(
     model = Hmm(states, classes, *totals.astype(float))
     stored = _pieces(chunks, "tokens", "hashes", "kinds")
     cut = stored.mapInArrow(_slices(known, slices, segment), SLICED)
-    sliced = saved(cut, "slices", "slice")
+    sliced = saved(cut, "slices", "slice", large=True)
     model = train(sliced, model, rounds, slices)
     forget(sliced)
     n, v = (int(x) for x in totals.sum(axis=1))

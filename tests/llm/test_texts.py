@@ -611,6 +611,21 @@ def test_hmm_chunks_travel_in_short_rows_and_come_whole(spark, monkeypatch):
     assert [list(x) for x in hmm._joined(iter(batches))] == [[[1, None], [True, False], [3, 4], *found] for found in blobs.values()]
 
 
+def test_tables_of_large_values_are_stored_in_pages_of_few(spark):
+    import glob
+
+    blob = F.expr("cast(repeat(sha2(cast(id as string), 512), 16384) as binary)")  # 2 MB
+    table = saved(spark.range(0, 12, 1, 1).select(blob.alias("x")), "large", large=True)
+    jvm = spark._jvm.org.apache
+    path = jvm.hadoop.fs.Path(glob.glob(re.sub("^file:/*", "/", table.saved_in) + "/*.parquet")[0])
+    reader = jvm.parquet.hadoop.ParquetFileReader.open(jvm.parquet.hadoop.util.HadoopInputFile.fromPath(path, spark._jsc.hadoopConfiguration()))
+    blocks = [b.getColumns().get(0) for b in reader.getFooter().getBlocks()]
+    pages = sum(reader.readOffsetIndex(c).getPageCount() for c in blocks)
+    reader.close()
+    assert pages == 12, "a page for each value"
+    assert table.where("length(x) = 2097152").count() == 12
+
+
 def test_hmm_range_sums_are_right_and_take_less_than_twice_their_input():
     import tracemalloc
 
