@@ -19,6 +19,7 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import forget, saved
+from .common import forget, lean, saved
 
 ORDER = 4
 BITS = 22
@@ -90,6 +91,10 @@ def place(gram: str) -> int:
 # ------------------------------------------------------------------ counting
 
 
+#: Distinct words whose n-grams are listed at once: each takes a hundred bytes and more.
+SLICE = 20_000
+
+
 def gram_counts(rows: DataFrame, class_col: str, text_col: str, order: int = ORDER) -> DataFrame:
     """(class, gram, n): n-gram counts of all rows' words.
 
@@ -106,13 +111,14 @@ def gram_counts(rows: DataFrame, class_col: str, text_col: str, order: int = ORD
             for word, n in held.pop(name).items():
                 if known := letters(word.decode("utf-8", "replace")):
                     words[known] += n
-            grams, owner = windows(list(words), order)
-            weights = np.fromiter(words.values(), np.int64, len(words))[owner]
-            into = total.setdefault(name, Counter())
-            keys, first, inverse = np.unique(_mixed(grams), return_index=True, return_inverse=True)
-            sums = np.bincount(inverse, weights, len(keys)).astype(np.int64).tolist()
-            for g, n in zip(grams[first].tolist(), sums, strict=True):
-                into["".join(map(chr, g))] += n
+            into, left = total.setdefault(name, Counter()), iter(words.items())
+            while some := list(islice(left, SLICE)):
+                grams, owner = windows([w for w, _ in some], order)
+                weights = np.array([n for _, n in some], np.int64)[owner]
+                keys, first, inverse = np.unique(_mixed(grams), return_index=True, return_inverse=True)
+                sums = np.bincount(inverse, weights, len(keys)).astype(np.int64).tolist()
+                for g, n in zip(grams[first].tolist(), sums, strict=True):
+                    into["".join(map(chr, g))] += n
 
         def spill(name: str) -> pa.RecordBatch:
             grams = total.pop(name)
@@ -132,7 +138,7 @@ def gram_counts(rows: DataFrame, class_col: str, text_col: str, order: int = ORD
         for name in list(total):
             yield spill(name)
 
-    counted = rows.select(F.col(class_col).cast("string"), text_col).mapInArrow(run, "class string, gram string, n long")
+    counted = rows.select(F.col(class_col).cast("string"), text_col).mapInArrow(lean(run), "class string, gram string, n long")
     return counted.groupBy("class", "gram").agg(F.sum("n").alias("n"))
 
 
@@ -174,7 +180,7 @@ def _of_size(rows: pa.Table, size: int, number: dict[str, int]) -> dict[str, np.
 
 def learned(counts: DataFrame, order: int = ORDER) -> KneserNey:
     """The model of gram_counts()."""
-    every = saved(levels(counts, order).mapInArrow(_placed, "class string, size int, gram string, n long, place long, context long"), "placed")
+    every = saved(levels(counts, order).mapInArrow(lean(_placed), "class string, size int, gram string, n long, place long, context long"), "placed")
     by_place = every.groupBy("class", "size", "place").agg(F.sum("n").alias("n"), F.min("gram").alias("gram"))
     by_context = every.groupBy("class", "size", "context").agg(F.sum("n").alias("n"), F.count("*").alias("kinds"))
     ones, twos = (F.count(F.when(F.col("n") == x, 1)).alias(f"n{x}") for x in (1, 2))

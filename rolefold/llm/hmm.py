@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import forget, id_text, saved, width
+from .common import forget, id_text, release, saved, width
 
 END = b"\n"  # no word holds white space
 SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
@@ -64,16 +64,6 @@ def _views(column: pa.Array) -> Iterator[pa.Buffer]:
     return (data.slice(s, e - s) for s, e in zip(at, at[1:], strict=False))
 
 
-def _release() -> None:
-    """Give freed memory back to the system where its allocator keeps it, between large chunks."""
-    import ctypes
-
-    pa.default_memory_pool().release_unused()
-    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-    if trim is not None:
-        trim(0)
-
-
 def _index(classes: int, rows_per_chunk: int, bytes_per_chunk: int):
     """Chunks of documents: ids, folds and token numbers; the distinct tokens with hashes, classes and counts."""
     import uuid
@@ -113,11 +103,11 @@ def _index(classes: int, rows_per_chunk: int, bytes_per_chunk: int):
                 if len(chunk) >= rows_per_chunk or size >= bytes_per_chunk:
                     yield emit(chunk)
                     chunk, size = [], 0
-                    _release()
+                    release()
         if chunk:
             yield emit(chunk)
         chunk = None
-        _release()
+        release()
 
     return run
 
@@ -169,7 +159,7 @@ def _each(make):
         for x in _joined(batches):
             made = make(*x)
             x = None  # noqa: PLW2901
-            _release()
+            release()
             yield made
             del made
 
@@ -194,7 +184,7 @@ def _deal(ranges: int):
                 cols = [pa.array(some, pa.int32()), pa.array([chunk] * len(some)), part(h, 8), part(k, 4), part(n, 8)]
                 yield pa.RecordBatch.from_arrays(cols, names=["range", "chunk", "hashes", "kinds", "counts"])
             b = chunk = blobs = h = k = n = hashes = cols = None  # noqa: PLW2901
-            _release()
+            release()
 
     return run
 
@@ -229,7 +219,7 @@ def _sum_range(own: int, trained: int):
         del parts, hashes, kinds, total, known, often
         made = pa.table([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds_of, strict=True)], names=["chunk", "range", "totals"])
         del out
-        _release()
+        release()
         return made
 
     return run
@@ -368,7 +358,7 @@ def _expected(shared):
                         rows[i, : many[j]] = obs[starts[j] : starts[j] + many[j]]
                     found = model.expected(rows, many[part])
                     sums = found if sums is None else [x + y for x, y in zip(sums, found, strict=True)]
-        _release()
+        release()
         if sums is not None:
             start, move, emit = sums
             rows = [(0, 0, start), *((1, i, x) for i, x in enumerate(move)), *((2, i, x) for i, x in enumerate(emit.T) if x.any())]

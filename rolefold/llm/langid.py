@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .charlm import KneserNey, gram_counts, learned, letters, plain
-from .common import forget, id_text, saved, small_batches
+from .common import forget, id_text, lean, saved, small_batches
 from .ranks import quantiles
 
 SCHEMA = "doc_id long, lang_pred string, score double, cross_entropy double, rejected boolean"
@@ -122,7 +122,7 @@ def identify(df: DataFrame, known: Identifier, id_col: str = "doc_id", text_col:
             cols = [b.column(0), *(pa.array(x, k) for x, k in zip(out, kinds, strict=True))]
             yield pa.RecordBatch.from_arrays(cols, names=[x.split()[0] for x in SCHEMA.split(", ")])
 
-    return id_text(df, id_col, text_col).mapInArrow(run, SCHEMA)
+    return id_text(df, id_col, text_col).mapInArrow(lean(run), SCHEMA)
 
 
 def judged(known: Identifier, total: np.ndarray) -> tuple[str, float, float | None, bool]:
@@ -167,7 +167,7 @@ def fit(
             kinds = (pa.int64(), pa.float64(), pa.float64())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["lang", "chars", "cost"])
 
-    costs = saved(rows.select("lang", "text").mapInArrow(run, "lang long, chars double, cost double"), "costs")
+    costs = saved(rows.select("lang", "text").mapInArrow(lean(run), "lang long, chars double, cost double"), "costs")
     bands = fitted(costs, model, least, room, share)
     forget(costs)
     return Identifier(model, bands)
@@ -216,4 +216,4 @@ def keep(df: DataFrame, known: Identifier, text_col: str = "text") -> DataFrame:
             held = [not judged(known, total)[3] for total in totals(texts, scores)]
             yield b.filter(pa.array(held, pa.bool_()))
 
-    return df.mapInArrow(run, df.schema)
+    return df.mapInArrow(lean(run), df.schema)

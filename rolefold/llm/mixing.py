@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import saved, small_batches
+from .common import lean, saved, small_batches
 
 WEIGHTS = (5, 2, 1)
 WORD = r"[^\x20\x09-\x0D]+"
@@ -176,7 +176,7 @@ def draws(target_rows: DataFrame, block: int, shard: int, most: int, seed: int)
                         cols = [pa.array(np.full(len(taken), places[i])), pa.array(taken)]
                         yield pa.RecordBatch.from_arrays(cols, names=["place", "block"])
 
-    slots = spark.range(0, shards, 1, max(1, min(shards, 4096))).mapInArrow(run, "place long, block long")
+    slots = spark.range(0, shards, 1, max(1, min(shards, 4096))).mapInArrow(lean(run), "place long, block long")
     return slots.groupBy("place", "block").agg(F.count("*").alias("times"))
 
 
@@ -258,5 +258,5 @@ def mix_documents(df: DataFrame, id_col: str = "doc_id", source_col: str = "sour
                 rows = pa.array([i for i, _ in made], pa.int64())
                 yield pa.RecordBatch.from_arrays([b.column(2).take(rows), pa.array([t for _, t in made], pa.string())], names=["row", "text"])
 
-    made = joined.mapInArrow(run, schema)
+    made = joined.mapInArrow(lean(run), schema)
     return made.select(*(F.col("text").alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in df.columns))

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import id_text, saved, width
+from .common import id_text, lean, saved, width
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PLACED = PIECES + ", sequence_id long, offset long"
@@ -160,7 +160,7 @@ def tokenize_pieces(
             yield pa.RecordBatch.from_arrays(cols, names=names)
 
     schema = PIECES + (", ids array<int>" if with_ids else "")
-    return id_text(df, id_col, text_col).mapInArrow(run, schema)
+    return id_text(df, id_col, text_col).mapInArrow(lean(run), schema)
 
 
 # ------------------------------------------------------------------- packing
@@ -375,7 +375,7 @@ def pack_pieces(pieces: DataFrame, capacity: int = 4096, **effort: int) -> DataF
             cols = [*b.columns[:5], pa.array(where, pa.int64()), pa.array(at, pa.int64())]
             yield pa.RecordBatch.from_arrays(cols, names=[c.split()[0] for c in PLACED.split(", ")])
 
-    return ranked.mapInArrow(run, PLACED)
+    return ranked.mapInArrow(lean(run), PLACED)
 
 
 def pack_documents(

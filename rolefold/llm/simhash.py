@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import forget, id_text, saved, width
+from .common import forget, id_text, lean, saved, width
 from .components import components
 
 SEED = 42
@@ -68,7 +68,7 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             fps = np.array([fingerprint(t, words) for t in b.column(1).to_pylist()], np.uint64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
 
-    return id_text(df, id_col, text_col).mapInArrow(run, "doc_id long, fp long")
+    return id_text(df, id_col, text_col).mapInArrow(lean(run), "doc_id long, fp long")
 
 
 # ---------------------------------------------------------------- tiles
@@ -254,9 +254,9 @@ def links(distinct: DataFrame, radius: int = 3, tile: int = 1 << 17) -> DataFram
             cols = [pa.array(u.view(np.int64)), pa.array(v.view(np.int64))]
             yield pa.RecordBatch.from_arrays(cols, names=["u", "v"])
 
-    dealt = distinct.select("fp").mapInArrow(deal, "task long, visitor boolean, fp long")
+    dealt = distinct.select("fp").mapInArrow(lean(deal), "task long, visitor boolean, fp long")
     dealt = dealt.repartition(width(distinct.sparkSession), "task").sortWithinPartitions("task", "visitor")
-    return dealt.mapInArrow(run, "u long, v long")
+    return dealt.mapInArrow(lean(run), "u long, v long")
 
 
 def near_duplicates(
@@ -355,7 +355,7 @@ def sets_of(texts: DataFrame, words: int = 5, with_shingles: bool = False) -> Da
                 cols = [*cols, pa.array(sets, pa.list_(pa.int64()))] if with_shingles else [b.column(0).slice(at, 500), b.column(2).slice(at, 500), *cols]
                 yield pa.RecordBatch.from_arrays(cols, names=names)
 
-    return texts.mapInArrow(run, schema)
+    return texts.mapInArrow(lean(run), schema)
 
 
 class SetTiles:
@@ -425,9 +425,9 @@ def candidate_links(sets: DataFrame, least: tuple[int, int], tile: int = 1 << 16
                 elif guests:
                     yield found(a, SetTiles([np.concatenate(c) for c in zip(*guests, strict=True)]))
 
-    dealt = sets.select(*names, size.alias("cell")).mapInArrow(deal, schema)
+    dealt = sets.select(*names, size.alias("cell")).mapInArrow(lean(deal), schema)
     dealt = dealt.repartition(width(sets.sparkSession), "task").sortWithinPartitions("task", "visitor")
-    return dealt.mapInArrow(run, "u long, v long")
+    return dealt.mapInArrow(lean(run), "u long, v long")
 
 
 def _both_sides(runs: Iterator[tuple]) -> Iterator[tuple]:
@@ -501,7 +501,7 @@ def set_links(sets: DataFrame, least: tuple[int, int], tile: int = TILE) -> Data
         if task is not None:
             yield from found(*sides, task[1] == task[2])
 
-    return rows.mapInArrow(run, "u long, v long")
+    return rows.mapInArrow(lean(run), "u long, v long")
 
 
 def similar(

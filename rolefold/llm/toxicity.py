@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .charlm import KneserNey, gram_counts, learned, letters
-from .common import forget, id_text, saved, small_batches
+from .common import forget, id_text, lean, saved, small_batches
 
 #: Fixed readings of look-alike characters.
 LOOKALIKES = {
@@ -262,7 +262,7 @@ def _labelled(texts: DataFrame, marks: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "sha", "one", "two"])
 
     rows = texts.where("doc_id IS NOT NULL").select("doc_id", F.xxhash64("doc_id"), F.sha1("text"), "text")
-    return rows.mapInArrow(run, "doc_id long, sha string, one long, two long").join(marks, "doc_id").select("toxic", "sha", "one", "two")
+    return rows.mapInArrow(lean(run), "doc_id long, sha string, one long, two long").join(marks, "doc_id").select("toxic", "sha", "one", "two")
 
 
 def _texts_of(texts: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -281,7 +281,7 @@ def _texts_of(texts: DataFrame, wanted: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays(b.columns[1:], names=["sha", "text"])
 
     rows = texts.select(F.sha1("text").alias("sha"), "text").select(F.xxhash64("sha"), "sha", "text")
-    found = rows.mapInArrow(run, "sha string, text binary").join(wanted, "sha")
+    found = rows.mapInArrow(lean(run), "sha string, text binary").join(wanted, "sha")
     return found.groupBy("sha").agg(F.first("toxic").alias("toxic"), F.first("text").alias("text")).select("toxic", "text")
 
 
@@ -324,7 +324,7 @@ def fit_lexicon(texts: DataFrame, marks: DataFrame, decoder_model: KneserNey, le
         return Lexicon(rate=1 / (every + 2))
     rate = min(bad / every, 0.5)
     least = max(least, math.log(every) + 1)
-    counts = kept.mapInArrow(count, "feature string, clean long, toxic long").groupBy("feature")
+    counts = kept.mapInArrow(lean(count), "feature string, clean long, toxic long").groupBy("feature")
     counts = counts.agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).where("toxic >= 3 AND toxic >= 4 * clean")
     n, p = F.col("toxic") + F.col("clean"), F.col("toxic") / (F.col("toxic") + F.col("clean"))
     rest = F.when(p < 1, (1 - p) * F.log((1 - p) / (1 - rate))).otherwise(0.0)
@@ -332,7 +332,7 @@ def fit_lexicon(texts: DataFrame, marks: DataFrame, decoder_model: KneserNey, le
     table = {r["feature"]: (r["toxic"], r["clean"] + r["toxic"]) for r in counts.collect()}  # the lexicon
     table = {f: x for f, x in table.items() if _evidence(*x, rate) >= least}
     lexicon = Lexicon(table, rate)
-    rows = saved(kept.mapInArrow(_summaries(lexicon, shared), "toxic int, x array<double>"), "summaries")
+    rows = saved(kept.mapInArrow(lean(_summaries(lexicon, shared)), "toxic int, x array<double>"), "summaries")
     rule = _logistic(rows, len(summary([], 0)))
     forget(wanted, kept, rows)
     return Lexicon(table, rate, tuple(rule.tolist()))
@@ -449,7 +449,7 @@ def score(df: DataFrame, lexicon: Lexicon, model: KneserNey, id_col: str = "doc_
             found = pa.array([scorer.score(t) for t in b.column(1).to_pylist()], pa.float64())
             yield pa.RecordBatch.from_arrays([b.column(0), found], names=["doc_id", "score"])
 
-    return id_text(df, id_col, text_col).mapInArrow(run, "doc_id long, score double")
+    return id_text(df, id_col, text_col).mapInArrow(lean(run), "doc_id long, score double")
 
 
 def keep(df: DataFrame, lexicon: Lexicon, model: KneserNey, text_col: str = "text", limit: float = 0.5) -> DataFrame:
@@ -465,4 +465,4 @@ def keep(df: DataFrame, lexicon: Lexicon, model: KneserNey, text_col: str = "tex
             texts = b.column(at).to_pylist()
             yield b.filter(pa.array([scorer.score((t or "").encode()) < limit for t in texts], pa.bool_()))
 
-    return df.mapInArrow(run, df.schema)
+    return df.mapInArrow(lean(run), df.schema)

@@ -6,10 +6,12 @@ import collections
 import random
 import re
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline as pipeline
+from rolefold.llm import charlm, common
 
 BAD = ["grumwit", "fooldork", "snarkle"]
 SYLLABLES = {"aa": ["ba", "ti", "lo", "shu", "re"], "bb": ["kra", "vek", "mon", "pli", "dus"]}
@@ -165,3 +167,51 @@ def test_texts_reach_python_in_small_batches(spark, tables):
         assert bound() == 1 << 20
     finally:
         spark.conf.set(key, before)
+
+
+class Recorded:
+    """Stands in for a table: remembers the task that mapInArrow gets."""
+
+    def select(self, *_):
+        return self
+
+    groupBy = agg = select
+
+    def mapInArrow(self, task, _):
+        self.task = task
+        return self
+
+
+def test_ngrams_are_listed_for_few_words_at_once_and_all_counted(spark, monkeypatch):
+    rows, listed, released = Recorded(), [], []
+    monkeypatch.setattr(charlm, "windows", lambda words, order, f=charlm.windows: listed.append(len(words)) or f(words, order))
+    monkeypatch.setattr(common, "release", lambda: released.append(1))
+    charlm.gram_counts(rows, "lang", "text")
+    words = ["".join("abcdefghij"[int(d)] for d in str(n)) for n in range(50_000)]
+    batches = pa.table({"class": ["aa", "aa"], "text": pa.array([" ".join(words).encode(), " ".join(words[:9]).encode()])}).to_batches()
+    found = collections.Counter()
+    for b in rows.task(iter(batches)):
+        for r in b.to_pylist():
+            found[r["gram"]] += r["n"]
+    padded = [f"   {w}   " for w in [*words, *words[:9]]]
+    assert found == collections.Counter(w[i : i + 4] for w in padded for i in range(len(w) - 5))
+    assert sum(listed) == 50_000 and max(listed) <= 20_000, "n-grams of a whole vocabulary are never listed at once"
+    assert released == [1], "a task gives its memory back when its rows are out"
+
+
+def test_a_task_gives_memory_back_to_the_system():
+    def held():
+        with open("/proc/self/smaps_rollup") as f:
+            return sum(int(line.split()[1]) for line in f if line.startswith("Pss_Anon"))
+
+    pins = []
+
+    def task(batches):
+        yield from batches
+        blocks = [bytes(1000) for _ in range(200_000)]
+        pins.append(bytes(1000))  # what outlives the task stands above what it used
+        del blocks
+
+    before = held()
+    list(common.lean(task)(iter([])))
+    assert held() - before < 60_000, "200 MB were used"
