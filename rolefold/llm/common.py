@@ -38,15 +38,18 @@ def shared_dir(spark: SparkSession) -> str:
     return known
 
 
-#: Else a page ends only after 100 values, whatever their size, and codecs keep native buffers of the largest page.
+#: Else pages end only after 100 values and row groups at 128 MB, whatever a value's size: writers and the codecs'
+#: native buffers hold the largest page, and a reader puts a whole row group into one vector.  A row of more than
+#: ``parquet.block.size`` bytes is a row group of its own; values that seldom repeat need no dictionary.
 LARGE = {f"parquet.{x}.size.row.check.min": "1" for x in ("page", "block")}
+LARGE |= {"parquet.block.size": str(1 << 20), "parquet.enable.dictionary": "false", "compression": "zstd"}
 
 
 def saved(df: DataFrame, name: str, by: str | None = None, large: bool = False) -> DataFrame:
     """Write an intermediate table to the shared folder, partitioned by a column if one is named, and read it back.
 
     This cuts the lineage: a lost executor costs a reread, not a recomputation.  ``large``:
-    values take megabytes, so pages and row groups are measured after each row.
+    values take megabytes, so pages and row groups are measured after each row and kept small.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import forget, id_text, release, saved, width
+from .common import BATCH, forget, id_text, release, saved, width
 
 END = b"\n"  # no word holds white space
 SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
@@ -115,8 +115,9 @@ def _index(classes: int, rows_per_chunk: int, bytes_per_chunk: int):
 CHUNK = "chunk string, ids array<long>, held array<boolean>, sizes array<long>, trained long, tokens binary, hashes binary, kinds binary, counts binary"
 
 
-#: Bytes of a stored value that travel in one row; a chunk's rows follow each other.
-PIECE = 1 << 20
+#: Bytes of a stored value that travel in one row; a chunk's rows follow each other.  The JVM gives arrays from half
+#: a MB up regions of their own (G1, heaps below 4 GB), and its heap grows with each that finds none.
+PIECE = 1 << 18
 PIECES = "chunk", "what", "part", "ids", "held", "sizes", "blob"
 
 
@@ -225,6 +226,18 @@ def _sum_range(own: int, trained: int):
     return run
 
 
+def _in_turn(make):
+    """A group's table made of its table, both in batches of a few MB."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made = make(pa.Table.from_batches(batches))
+        yield from made.to_batches(max_chunksize=max(1, made.num_rows * BATCH // max(made.nbytes, 1)))
+        del made
+        release()
+
+    return run
+
+
 class Classes:
     """Classes of tokens: shared ones first, then one for each frequent token."""
 
@@ -416,7 +429,7 @@ def score_texts(
     dealt = chunks.select("chunk", "hashes", "kinds", "counts").mapInArrow(
         _deal(ranges), "range int, chunk string, hashes binary, kinds binary, counts binary"
     )
-    sums = saved(dealt.groupBy("range").applyInArrow(_sum_range(own, trained), "chunk string, range int, totals binary"), "counts", large=True)
+    sums = saved(dealt.groupBy("range").applyInArrow(_in_turn(_sum_range(own, trained)), "chunk string, range int, totals binary"), "counts", large=True)
     totals, often = np.zeros((2, classes), np.int64), [np.zeros((3, 0), np.int64)]
     for r in sums.where("chunk IS NULL").select("range", "totals").toLocalIterator():  # classes and frequent tokens, both bounded
         found = np.frombuffer(r["totals"], np.int64)

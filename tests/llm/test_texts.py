@@ -626,6 +626,36 @@ def test_tables_of_large_values_are_stored_in_pages_of_few(spark):
     assert table.where("length(x) = 2097152").count() == 12
 
 
+def test_tables_of_large_values_are_read_a_value_at_a_time(spark):
+    import glob
+
+    import pyarrow.parquet as pq
+
+    blob = F.expr("cast(repeat(sha2(cast(id as string), 512), 16384) as binary)")  # 2 MB
+    seeds = F.expr("unhex(concat_ws('', transform(sequence(1, 16384), i -> sha2(concat(id, '-', i), 512))))")  # 1 MB, won't shrink
+    table = saved(spark.range(0, 12, 1, 1).select("id", blob.alias("x"), seeds.alias("y")), "large", large=True)
+    found = pq.ParquetFile(glob.glob(re.sub("^file:/*", "/", table.saved_in) + "/*.parquet")[0]).metadata
+    groups = [found.row_group(i) for i in range(found.num_row_groups)]
+    assert [g.num_rows for g in groups] == [1] * 12, "a vector holds a row group"
+    assert not any("DICTIONARY" in str(g.column(i).encodings) for g in groups for i in range(3))
+    assert table.where("length(x) = 2097152 and length(y) = 1048576").count() == 12
+    assert hmm.PIECE <= 1 << 18, "short of what the JVM keeps in regions of its own"
+
+
+def test_hmm_range_sums_come_in_turn(spark, monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(hmm, "BATCH", 4000)
+    table = pa.table({"chunk": [str(i) for i in range(40)], "totals": pa.array([b"x" * 1000] * 40, pa.binary())})
+    batches = list(hmm._in_turn(lambda rows: rows.slice(0, 30))(iter(table.to_batches(max_chunksize=7))))
+    assert pa.Table.from_batches(batches).equals(table.slice(0, 30).combine_chunks())
+    assert max(b.get_total_buffer_size() and b.num_rows for b in batches) <= 4
+    rows = spark.range(100).select((F.col("id") % 3).alias("k"), "id")
+    twice = lambda t: t.set_column(1, "id", pa.array([2 * x for x in t["id"].to_pylist()], pa.int64()))
+    got = rows.groupBy("k").applyInArrow(hmm._in_turn(twice), "k long, id long").collect()
+    assert sorted((r["k"], r["id"]) for r in got) == sorted((i % 3, 2 * i) for i in range(100))
+
+
 def test_hmm_range_sums_are_right_and_take_less_than_twice_their_input():
     import tracemalloc
 
