@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .assign import align
+from .assign import best
 
 
 def _cell():
@@ -41,31 +41,69 @@ def participant_keys(rows: DataFrame) -> DataFrame:
     return rows.groupBy("scope", "fact").agg(F.array_join(F.array_sort(F.collect_list("ident")), "|").alias("key"))
 
 
-def _common(gold: DataFrame, pred: DataFrame, by: list[str], name: str) -> DataFrame:
-    """(scope, gold, predicted, name): how many equal items two facts have, each counted once."""
-    counts = lambda rows, side: rows.groupBy("scope", "relation", F.col("fact").alias(side), *by).agg(F.count("*").alias(f"n_{side}"))
-    met = counts(gold, "gold").join(counts(pred, "predicted"), ["scope", "relation", *by])
-    return met.groupBy("scope", "gold", "predicted").agg(F.sum(F.least("n_gold", "n_predicted")).alias(name))
+def _common(gold: dict, pred: dict) -> dict[tuple[str, str], int]:
+    """(gold, predicted) -> how many equal items two facts have, each counted once; both sides: item -> fact -> times."""
+    met: dict[tuple[str, str], int] = {}
+    for item, held in gold.items():
+        for g, n in held.items():
+            for p, m in pred.get(item, {}).items():
+                met[g, p] = met.get((g, p), 0) + min(n, m)
+    return met
 
 
-def overlaps(gold: DataFrame, pred: DataFrame) -> DataFrame:
-    """(scope, gold, predicted, values, cells, weight): pairs with any value in common.
+def _align_scope(scope: str, sides: tuple[list, list]):
+    """(scope, gold, predicted, values, cells) of a scope; sides: lists of (relation, fact, role, ident).
 
     A value in common outweighs all bindings that an alignment of the scope could have in common.
     """
-    values = _common(gold, pred, ["ident"], "values")
-    cells = _common(gold, pred, ["role", "ident"], "cells")
-    size = lambda rows, name: rows.groupBy("scope").agg(F.count("*").alias(name))
-    big = size(gold, "g").join(size(pred, "p"), "scope").select("scope", (F.least("g", "p") + 1).alias("big"))
-    rows = values.join(cells, ["scope", "gold", "predicted"], "left").fillna(0, ["cells"]).join(big, "scope")
-    return rows.select("scope", F.col("gold").cast("string").alias("gold"), F.col("predicted").cast("string").alias("predicted"), "values", "cells", (F.col("big") * F.col("values") + F.col("cells")).alias("weight"))
+    by_value, by_cell = ({}, {}), ({}, {})
+    for side, rows in enumerate(sides):
+        for relation, fact, role, ident in rows:
+            if relation is None or fact is None or ident is None:
+                continue
+            held = by_value[side].setdefault((relation, ident), {})
+            held[fact] = held.get(fact, 0) + 1
+            if role is not None:
+                held = by_cell[side].setdefault((relation, role, ident), {})
+                held[fact] = held.get(fact, 0) + 1
+    values, cells = _common(*by_value), _common(*by_cell)
+    big = min(map(len, sides)) + 1
+    for g, p in best({pair: big * n + cells.get(pair, 0) for pair, n in values.items()}):
+        yield scope, g, p, values[g, p], cells.get((g, p), 0)
 
 
 def aligned(gold: DataFrame, pred: DataFrame) -> DataFrame:
-    """(scope, gold, predicted, values, cells): each scope's heaviest alignment."""
-    pairs = overlaps(gold, pred)
-    found = align(pairs.select("scope", "gold", "predicted", "weight")).drop("weight")
-    return found.join(pairs.drop("weight"), ["scope", "gold", "predicted"])
+    """(scope, gold, predicted, values, cells): each scope's heaviest alignment.
+
+    Bindings move once, to their scope, whose pairs are weighed where they are solved
+    and never stored; scopes stream through a task one after another.
+    """
+    import pyarrow as pa
+
+    names = ["scope", "gold", "predicted", "values", "cells"]
+    kinds = (pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64())
+    text = lambda c: F.col(c).cast("string").alias(c)
+    side = lambda rows, n: rows.select(text("scope"), F.lit(n).alias("side"), text("relation"), text("fact"), text("role"), text("ident"))
+    rows = side(gold, 0).union(side(pred, 1)).where("scope IS NOT NULL")
+
+    def run(batches):
+        at, sides = None, ([], [])
+        for b in batches:
+            out = []
+            for scope, n, *cell in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if scope != at:
+                    if at is not None:
+                        out += _align_scope(at, sides)
+                    at, sides = scope, ([], [])
+                sides[n].append(cell)
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
+        out = list(_align_scope(at, sides)) if at is not None else []
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
+
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(parts, "scope").sortWithinPartitions("scope").mapInArrow(run, "scope string, gold string, predicted string, values long, cells long")
 
 
 def arguments(gold: DataFrame, pred: DataFrame) -> DataFrame:
