@@ -22,15 +22,19 @@ def rank_bounds(scores: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """(query, candidates, greater, equal, o, p): place of the target among candidates that aren't known answers.
 
     scores: (query, candidate, score, is_target); known: (query, candidate), the target excepted.
+    A row with ``n`` stands for so many candidates with one score.  Candidates are
+    counted by score where they are before any is moved.
     """
     if known is not None:
         hidden = known.select("query", "candidate").distinct().withColumn("hide", F.lit(True))
         scores = scores.join(hidden, ["query", "candidate"], "left").where(F.col("is_target") | F.col("hide").isNull()).drop("hide")
-    target = scores.where("is_target").select("query", F.col("score").alias("t"))
-    rows = scores.join(target, "query")
-    counted = rows.groupBy("query").agg(
-        F.count("*").alias("candidates"), F.count_if(F.col("score") > F.col("t")).alias("greater"),
-        F.count_if((F.col("score") == F.col("t")) & ~F.col("is_target")).alias("equal"),
+    is_target = F.coalesce("is_target", F.lit(False)).alias("is_target")
+    each = scores.groupBy("query", "score", is_target).agg((F.sum("n") if "n" in scores.columns else F.count("*")).alias("n"))
+    target = each.where("is_target").select("query", F.col("score").alias("t"), F.col("n").alias("times"))
+    n = F.col("n") * F.col("times")
+    total = lambda test: F.coalesce(F.sum(F.when(test, n)), F.lit(0))
+    counted = each.join(target, "query").groupBy("query").agg(
+        F.sum(n).alias("candidates"), total(F.col("score") > F.col("t")).alias("greater"), total((F.col("score") == F.col("t")) & ~F.col("is_target")).alias("equal"),
     )
     o = (F.col("greater") + 1).alias("o")
     return counted.select("*", o, (F.col("greater") + 1 + F.col("equal")).alias("p"))
