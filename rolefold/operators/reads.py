@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.temporal import holds
-from ..storage import cut
+from ..storage import cut, sized
 
 AXES = {
     "status": {"candidate", "asserted", "disputed", "superseded", "retracted", "quoted", "goal"},
@@ -85,7 +85,7 @@ def incident(facts: DataFrame, bindings: DataFrame, node: str, role: str | None
         hit &= F.col("role") == role
     if relation is not None:
         hit &= F.col("relation") == relation
-    return facts.join(bindings.where(hit).select(F.col("fact_id").alias("id")), "id", "left_semi")
+    return facts.join(sized(bindings.where(hit).select(F.col("fact_id").alias("id")).distinct()), "id", "left_semi")
 
 
 def degree(bindings: DataFrame) -> DataFrame:
@@ -142,6 +142,14 @@ def two_hop(by_value: DataFrame, node: str, by_fact: DataFrame | None = None) ->
     return second.select("ident").distinct().where(F.col("ident") != node)
 
 
+def two_hop_of_rows(rows: DataFrame, roles: Sequence[str], node: str) -> DataFrame:
+    """two_hop() of facts that are still one wide row each, with a column for each of their roles: only the first neighbours are stored."""
+    held = rows.select(F.array_compact(F.array(*map(F.col, roles))).alias("held"))
+    first = sized(held.where(F.array_contains("held", node)).select(F.explode("held").alias("ident")).distinct())
+    met = held.select("held", F.explode(F.array_distinct("held")).alias("ident")).join(first, "ident", "left_semi")
+    return met.select(F.explode("held").alias("ident")).distinct().where(F.col("ident") != node)
+
+
 def walk(links: DataFrame, starts: DataFrame, hops: int = 8) -> DataFrame:
     """(start, node, depth) reached over (src, dst) links, breadth first, each node once at its least depth.
 

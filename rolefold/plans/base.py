@@ -50,7 +50,7 @@ class Tables:
 def ingest(spark: SparkSession, sf_dir: str) -> None:
     """Write the stores that reads use, before they are asked for."""
     for relation in ("placed", "supplied"):
-        store.stored(spark, sf_dir, relation)
+        store.stored(spark, sf_dir, relation).write()
 
 
 def jdn(ts: str) -> str:

@@ -24,6 +24,9 @@ USAGE = {
     "in_region": (("nation", "core", "entity", True), ("region", "core", "entity", False)),
 }
 
+#: relations whose ids are a prefix and 64 hexadecimal digits
+HASHED = {"supplied": "supplied:"}
+
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

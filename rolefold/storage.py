@@ -6,6 +6,7 @@ import atexit
 import re
 import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,3 +30,10 @@ def cut(df: DataFrame) -> DataFrame:
     """A reliable checkpoint, for loops whose plan would otherwise grow."""
     shared_dir(df.sparkSession)
     return df.checkpoint()
+
+
+def sized(df: DataFrame) -> DataFrame:
+    """The rows written to the shared folder and read again: few or many, Spark knows their size before it plans a join with them."""
+    path = f"{shared_dir(df.sparkSession)}/sized-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

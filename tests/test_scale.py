@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import random
 
 from pyspark.sql import functions as F
@@ -73,3 +74,31 @@ def test_alignment_moves_bindings_once(spark):
         for a, b in assign.best({k: big * v + c for k, (v, c) in pairs.items()}):
             want.add((scope, a, b, *pairs[a, b]))
     assert {tuple(r) for r in found.collect()} == want
+
+
+def test_stores_write_what_is_read(spark, tmp_path):
+    """A layout is written when it is asked for, and facts that come twice are stored once, also where only their texts agree."""
+    from rolefold.operators import keys, reads
+    from rolefold.sources import star
+    from rolefold.sources.store import Store, once
+
+    rows = [(k, k % 3, k % 2, 1, 5.0, price, 0.0, 0.0, "R", "F", "1998-01-02") for k in range(6) for price in ((7.001, 7.002) if k == 2 else (7.0, 8.0) if k == 3 else (7.0,))]
+    columns = "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, l_shipdate string"
+    table = spark.createDataFrame(rows, columns).withColumn("l_shipdate", F.col("l_shipdate").cast("timestamp_ntz"))
+    table.union(table.where("l_orderkey = 1")).write.parquet(f"{tmp_path}/lineitem.parquet")
+    wide = star.wide(spark, str(tmp_path), "supplied")
+    store = Store(spark, f"{tmp_path}/store", once(wide), "supplied")
+    assert store.rows.count() == store.rows.select("id").distinct().count() == 7
+    part = reads.find(store.values("part"), "supplied", [("part", "p:2")])
+    assert os.listdir(f"{tmp_path}/store") == ["by_value"] and os.listdir(f"{tmp_path}/store/by_value") == ["role=part"]
+    ids = lambda where: sorted(r["id"] for r in wide.where(where).select("id").distinct().collect())
+    assert sorted(r["fact_id"] for r in part.collect()) == ids("part = 'p:2'")
+    assert sorted(r["id"] for r in keys.find_by_key(store.facts, "supplied", {"order": "o:3", "line": "1"}).collect()) == ids("`order` = 'o:3'")
+    everything = lambda df: sorted(map(tuple, df.select("fact_id", "relation", "bid", "role", "slot", "value_kind", "ident", "first").collect()))
+    assert everything(store.by_value) == everything(store.by_fact) == everything(store.bindings())
+    heads = star.facts(store.rows.withColumn("key_digest", keys.key_digest_column("supplied")), "supplied", ("key_digest",))
+    assert store.facts.columns == heads.columns and sorted(map(tuple, store.facts.collect())) == sorted(map(tuple, heads.collect()))
+    degrees = {r["ident"]: r["degree"] for r in reads.degree(store.bindings("order", "supplier")).collect()}
+    assert degrees == {"o:0": 1, "o:1": 1, "o:2": 1, "o:3": 2, "o:4": 1, "o:5": 1, "s:0": 3, "s:1": 4}
+    two = reads.two_hop(store.by_value, "o:2", store.by_fact)
+    assert sorted(map(tuple, reads.two_hop_of_rows(wide, ["order", "part", "supplier"], "o:2").collect())) == sorted(map(tuple, two.collect()))
