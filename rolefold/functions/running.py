@@ -1,4 +1,4 @@
-"""Prefix sums over a global order without a global sort in one task."""
+"""Prefix sums over a global order without a global sort in one task, and groups that stream through tasks."""
 
 from __future__ import annotations
 
@@ -25,3 +25,14 @@ def running_sums(rows: DataFrame, order: str, sums: dict[str, Column], ties: tup
     rows = dealt.select("*", *(F.sum(c).over(inside).alias(n) for n, c in sums.items())).join(F.broadcast(per), "_range")
     out = [c for c in dealt.columns if c != "_range"]
     return rows.select(*out, *((F.col(n) + F.col(f"_{n}")).alias(n) for n in sums))
+
+
+def grouped(rows: DataFrame, key: str, *order: str) -> DataFrame:
+    """The rows of each key side by side in one task, in order, for functions over a task's rows.
+
+    They are dealt by a hash of the key: a plain repartition by the key is left out of
+    the plan where a join has dealt by it already, and the join may then be made
+    without dealing while the query runs.
+    """
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(parts, F.xxhash64(key)).sortWithinPartitions(key, *order)

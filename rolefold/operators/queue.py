@@ -6,6 +6,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.running import grouped
+
 OPEN = ("pending", "linted", "needs_review")
 #: Moves (fixed values): action -> (states it may leave, state it leads to; lint's target is its outcome).
 MOVES = {
@@ -66,8 +68,7 @@ def fold(log: DataFrame) -> DataFrame:
         if started:
             yield pa.RecordBatch.from_arrays([pa.array([c], k) for c, k in zip((at, state, illegal, many), kinds, strict=True)], names=names)
 
-    parts = int(log.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = log.select("target", "lid", "action").repartition(parts, "target").sortWithinPartitions("target", "lid").select("target", "action")
+    rows = grouped(log.select("target", "lid", "action"), "target", "lid").select("target", "action")
     return rows.mapInArrow(run, "target string, state string, illegal int, entries int")
 
 
@@ -131,7 +132,6 @@ def judge(log: DataFrame, items: DataFrame) -> DataFrame:
     import pyarrow as pa
 
     known = log.join(items.select("target", F.lit(True).alias("known")).distinct(), "target", "left")
-    parts = int(log.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = known.select("target", "line", "lid", "parent", "action", "before", "after", "error", F.coalesce("known", F.lit(False)).alias("known"))
 
     def run(batches):
@@ -158,7 +158,7 @@ def judge(log: DataFrame, items: DataFrame) -> DataFrame:
             cols = list(zip(*out, strict=True)) if out else [()] * 6
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=[c.split()[0] for c in JUDGED.split(", ")])
 
-    return rows.repartition(parts, "target").sortWithinPartitions("target", "line").mapInArrow(run, JUDGED)
+    return grouped(rows, "target", "line").mapInArrow(run, JUDGED)
 
 
 def states(judged: DataFrame) -> DataFrame:

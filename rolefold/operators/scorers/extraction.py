@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ...functions.running import grouped
 from .assign import best
 
 
@@ -102,8 +103,7 @@ def aligned(gold: DataFrame, pred: DataFrame) -> DataFrame:
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
 
-    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartition(parts, "scope").sortWithinPartitions("scope").mapInArrow(run, "scope string, gold string, predicted string, values long, cells long")
+    return grouped(rows, "scope").mapInArrow(run, "scope string, gold string, predicted string, values long, cells long")
 
 
 def arguments(gold: DataFrame, pred: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from rolefold.operators.scorers import assign, core, extraction
@@ -102,3 +103,24 @@ def test_stores_write_what_is_read(spark, tmp_path):
     assert degrees == {"o:0": 1, "o:1": 1, "o:2": 1, "o:3": 2, "o:4": 1, "o:5": 1, "s:0": 3, "s:1": 4}
     two = reads.two_hop(store.by_value, "o:2", store.by_fact)
     assert sorted(map(tuple, reads.two_hop_of_rows(wide, ["order", "part", "supplier"], "o:2").collect())) == sorted(map(tuple, two.collect()))
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test tables here")
+def test_an_items_log_stays_together_when_joins_change_while_running(spark):
+    """At size the join with items is planned as a sort-merge join and becomes a broadcast join later, whose rows lie as they did before it."""
+    from rolefold.operators import queue
+    from rolefold.plans import checks
+    from rolefold.plans.base import Tables
+
+    judged = lambda: {(r["target"], r["line"]): (r["how"], r["code"], r["state"]) for r in queue.judge(*checks.full_log(Tables(spark, "/root/testdata/sf0.001"))).collect()}
+    want = judged()
+    names = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold", "spark.sql.adaptive.coalescePartitions.enabled")
+    before = {n: spark.conf.get(n, None) for n in names}
+    try:
+        spark.conf.set(names[0], "-1")
+        spark.conf.set(names[1], "10485760")
+        spark.conf.set(names[2], "false")
+        assert judged() == want
+    finally:
+        for n, v in before.items():
+            spark.conf.unset(n) if v is None else spark.conf.set(n, v)
