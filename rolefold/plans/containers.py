@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.values import quoted
 from ..sources import container
-from ..storage import shared_dir
+from ..storage import shared_dir, sized
 from .base import Tables, query
 
 
@@ -29,13 +29,12 @@ def lines_of(t: Tables):
 
 
 def stored_lines(spark, d):
-    """The container's file, written once and read as lines."""
+    """The container, written in parts that are one text and parsed once; queries read its stored lines several times."""
     path = f"{shared_dir(spark)}/container-{uuid.uuid4().hex}"
     rows = lines_of(Tables(spark, d))
     head = spark.createDataFrame([('{"kind": "header", "format": "records/1.0", "content": "snapshot"}', 0)], "line string, n int")
-    whole = head.unionByName(rows.withColumn("n", F.lit(1))).repartition(1).sortWithinPartitions("n", "line").select("line")  # one file, so that lines have numbers
-    whole.write.text(path)
-    return container.read_lines(spark, path)
+    head.unionByName(rows.withColumn("n", F.lit(1))).orderBy("n", "line").select("line").write.text(path)
+    return sized(container.read_lines(spark, path))
 
 
 GOOD = """ok AS (SELECT o_orderkey AS k, o_custkey AS c, o_orderpriority AS p FROM orders WHERE o_orderkey % 97 NOT IN (5, 6, 7)), pe AS (SELECT c_custkey AS c FROM customer WHERE c_custkey % 10 <> 0)"""

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.jsontext import strict_parse
-from ..storage import cut
+from ..storage import cut, sized
 
 VALUE = "struct<entity:string,fact:string,literal:string,special:string,unbound:string>"
 RECORD = (
@@ -25,12 +25,15 @@ HEADER = "kind string, format string, document_id string, content string, comple
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(n, canonical, code) of a JSON-lines container: n counts the lines that aren't blank, 0 is the header; code says why a line is refused."""
+    """(n, canonical, code) of a JSON-lines container: n counts the lines that aren't blank, 0 is the header; code says why a line is refused.
+
+    The parts of a folder, in the order of their names, are one text.
+    """
     meta = F.col("_metadata")
     rows = spark.read.text(path, lineSep="\n").select("value", meta["file_path"].alias("file"), meta["file_block_start"].alias("block"))
     rows = rows.withColumn("at", F.monotonically_increasing_id()).where(F.trim(F.regexp_replace("value", r"\r$", "")) != "")
     sizes = rows.groupBy("file", "block").agg(F.count("*").alias("size"))
-    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)  # one row a block
+    before = Window.orderBy("file", "block").rowsBetween(Window.unboundedPreceding, -1)  # one row a block
     starts = sizes.select("file", "block", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("start"))
     inside = F.row_number().over(Window.partitionBy("file", "block").orderBy("at")) - 1
     placed = rows.withColumn("i", inside).join(starts, ["file", "block"])
@@ -115,6 +118,7 @@ def unloadable(rows: DataFrame) -> DataFrame:
     there = rows.select(F.col("kind"), F.col("id").alias("ref")).distinct()
     needs = bound.where("value_kind IN ('entity', 'fact')").select(F.col("fact_id").alias("id"), F.when(F.col("value_kind") == "fact", "hyperedge").otherwise("entity").alias("kind"), F.col("ident").alias("ref"))
     needs = needs.union(rows.where("kind = 'hyperedge' AND status_ref IS NOT NULL").select("id", F.lit("hyperedge"), "status_ref")).distinct()
+    there, needs = sized(there), sized(needs)  # every round reads them
     gone = cut(needs.join(there, ["kind", "ref"], "left_anti").select("id").distinct())
     fresh = gone
     while not fresh.isEmpty():

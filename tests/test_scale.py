@@ -124,3 +124,34 @@ def test_an_items_log_stays_together_when_joins_change_while_running(spark):
     finally:
         for n, v in before.items():
             spark.conf.unset(n) if v is None else spark.conf.set(n, v)
+
+
+def test_a_containers_parts_are_one_text(spark, tmp_path):
+    """A folder of several parts is numbered over all of them, so that a large container needs no single file."""
+    from rolefold.sources import container
+
+    folder = tmp_path / "c"
+    folder.mkdir()
+    lines = ['{"format": "records/1.0"}', *(f'{{"kind": "entity", "id": "e{i}"}}' for i in range(7))]
+    for part, some in enumerate((lines[:3], [], lines[3:5], ["", *lines[5:]])):
+        (folder / f"part-0000{part}.txt").write_text("".join(f"{x}\n" for x in some))
+    rows = container.read_lines(spark, f"file://{folder}")
+    assert sorted(r["n"] for r in rows.collect()) == list(range(8))
+    assert sorted(r["id"] for r in container.records(rows).collect()) == [f"e{i}" for i in range(7)]
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test tables here")
+def test_documents_are_read_by_line_and_others_whole(spark, tmp_path):
+    from rolefold.sources import hif, star
+
+    wide = star.wide(spark, "/root/testdata/sf0.001", "placed").limit(40)
+    facts, bindings = star.facts(wide, "placed"), star.bindings(wide, "placed")
+    hif.write(facts, bindings, f"file://{tmp_path}/doc")
+    read = hif.Read(spark, f"file://{tmp_path}/doc")
+    assert "collect_list" not in plan(read.bindings())
+    text = "".join(line for (line,) in hif.document(facts, bindings).collect())
+    (tmp_path / "one.json").write_text(text.replace('"nodes":[', '"nodes": [\n'))
+    whole = hif.Read(spark, f"file://{tmp_path}/one.json")
+    assert "collect_list" in plan(whole.bindings())
+    everything = lambda r: [sorted(map(repr, t.collect())) for t in (r.nodes, r.edges, r.incidences, r.bindings(), r.facts())]
+    assert everything(read) == everything(whole) and all(everything(read))
