@@ -14,7 +14,9 @@ def by_role(bindings: DataFrame, relation: str) -> DataFrame:
     """One row per fact with a column per role; one aggregation, no pivot pass."""
     roles = [r for r, *_ in USAGE[relation]]
     cells = [F.max(F.when(F.col("role") == r, F.col("ident"))).alias(r) for r in roles]
-    return bindings.where(F.col("relation") == relation).groupBy(F.col("fact_id").alias("id")).agg(*cells)
+    # moved as they are: aggregated first they would be sorted, and spilled, once more
+    rows = bindings.where(F.col("relation") == relation).select(F.col("fact_id").alias("id"), "role", "ident").repartition("id")
+    return rows.groupBy("id").agg(*cells)
 
 
 def positional(bindings: DataFrame, widths: dict[str, int]) -> DataFrame:
@@ -45,9 +47,10 @@ def role_values(bindings: DataFrame) -> DataFrame:
 def arity(bindings: DataFrame) -> DataFrame:
     """arity, core_arity, statement_arity, distinct_fillers and the arity's bin."""
     slot = F.col("slot")
-    found = bindings.groupBy("fact_id").agg(
+    filler = F.when(F.col("value_kind").isNotNull() & F.col("ident").isNotNull(), F.struct("value_kind", "ident"))
+    found = bindings.select("fact_id", "slot", "value_kind", "ident").repartition("fact_id").groupBy("fact_id").agg(
         F.count("*").alias("arity"), F.count_if(slot == "core").alias("core_arity"),
-        F.count_if(slot.isin("core", "qualifier")).alias("statement_arity"), F.count_distinct("value_kind", "ident").alias("distinct_fillers"),
+        F.count_if(slot.isin("core", "qualifier")).alias("statement_arity"), F.size(F.collect_set(filler)).cast("long").alias("distinct_fillers"),
     )
     n = F.col("arity")
     return found.withColumn("bin", F.when(n <= 1, "0-1").when(n >= 5, "5+").otherwise(n.cast("string")))
