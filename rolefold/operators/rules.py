@@ -15,6 +15,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import sized
+
 SPECIAL = ("novalue", "somevalue", "unbound")
 
 
@@ -23,6 +25,13 @@ def _found(rows: DataFrame, code: str, detail: Column | str | None = None, id_co
     return rows.select(F.col(id_col).alias("id"), F.lit(code).alias("code"), what.alias("detail"))
 
 
+def _flags(rows: DataFrame, flags: list[tuple[Column, str, str | None]], id_col: str = "fact_id") -> DataFrame:
+    """Findings of several rules (condition, code, detail) in one pass over rows."""
+    none = F.lit(None).cast("string")
+    each = F.array(*(F.when(c, F.struct(F.lit(code).alias("code"), (none if d is None else F.col(d).cast("string")).alias("detail"))) for c, code, d in flags))
+    return rows.select(F.col(id_col).alias("id"), F.explode(F.array_compact(each)).alias("x")).select("id", "x.code", "x.detail")
+
+
 def _all(parts: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
@@ -32,7 +41,7 @@ def declared(facts: DataFrame, bindings: DataFrame, usage: DataFrame) -> tuple[D
     known = F.broadcast(usage.select("relation").distinct())
     unknown = facts.join(known, "relation", "left_anti")
     here = facts.join(known, "relation", "left_semi")
-    bound = bindings.select(F.col("fact_id").alias("id")).distinct()
+    bound = sized(bindings.select(F.col("fact_id").alias("id")).distinct())
     empty = here.join(bound, "id", "left_anti")
     return _all([_found(unknown, "S001", "relation", "id"), _found(empty, "S007", None, "id")]), here.join(bound, "id", "left_semi")
 
@@ -45,15 +54,14 @@ def binding_rules(bindings: DataFrame, usage: DataFrame) -> DataFrame:
     """
     table = F.broadcast(usage.select("relation", "role", "kinds", F.col("types").alias("wanted"), "datatypes", "ordered"))
     rows = bindings.join(table, ["relation", "role"], "left")
-    odd = rows.where("kinds IS NULL")
-    fine = rows.where("kinds IS NOT NULL")
+    fine = F.col("kinds").isNotNull()
     kind = ~F.array_contains("kinds", F.col("value_kind")) & (F.col("value_kind") != "unbound")
     typed = (F.col("value_kind") == "entity") & (F.size("wanted") > 0) & (F.size("types") > 0) & ~F.arrays_overlap("wanted", "types")
     datum = (F.col("value_kind") == "literal") & (F.size("datatypes") > 0) & ~F.coalesce(F.array_contains("datatypes", F.col("datatype")), F.lit(False))
     twice = bindings.groupBy("fact_id", "bid").agg(F.count("*").alias("n")).where("n > 1")
     return _all([
-        _found(odd, "S002", "bid"), _found(fine.where(F.coalesce(kind | typed | datum, F.lit(False))), "S005", "bid"),
-        _found(fine.where("NOT ordered AND position IS NOT NULL"), "S015", "bid"), _found(twice, "S025", "bid"),
+        _flags(rows, [(~fine, "S002", "bid"), (fine & (kind | typed | datum), "S005", "bid"), (fine & ~F.col("ordered") & F.col("position").isNotNull(), "S015", "bid")]),
+        _found(twice, "S025", "bid"),
     ])
 
 
@@ -67,22 +75,21 @@ def role_rules(facts: DataFrame, bindings: DataFrame, usage: DataFrame) -> DataF
     )
     every = facts.select(F.col("id").alias("fact_id"), "relation", "status").join(F.broadcast(usage.select("relation", "role", "least", "most", "ordered")), "relation")
     rows = every.join(counted, ["fact_id", "role"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    few = rows.where(F.col("n") < F.col("least"))
-    wrong = F.col("ordered") & (F.col("n") > 0) & (F.coalesce("places", F.array().cast("array<int>")) != F.sequence(F.lit(1), F.greatest(F.col("n"), F.lit(1)).cast("int")))
-    repeated = F.col("fillers") > F.col("kinds_of")
-    return _all([
-        _found(few.where("status <> 'goal'"), "S003", "role"), _found(few.where("status = 'goal'"), "S018", "role"),
-        _found(rows.where("n > most"), "S004", "role"), _found(rows.where("none > 0 AND n > 1"), "S013", "role"),
-        _found(rows.where(repeated & ~F.col("ordered")), "S014", "role"), _found(rows.where(wrong), "S015", "role"),
+    n, goal = F.col("n"), F.col("status") == "goal"
+    few = n < F.col("least")
+    wrong = F.col("ordered") & (n > 0) & (F.coalesce("places", F.array().cast("array<int>")) != F.sequence(F.lit(1), F.greatest(n, F.lit(1)).cast("int")))
+    repeated = (F.col("fillers") > F.col("kinds_of")) & ~F.col("ordered")
+    return _flags(rows, [
+        (few & ~goal, "S003", "role"), (few & goal, "S018", "role"), (n > F.col("most"), "S004", "role"), ((F.col("none") > 0) & (n > 1), "S013", "role"),
+        (repeated, "S014", "role"), (wrong, "S015", "role"),
     ])
 
 
 def fact_rules(facts: DataFrame, bindings: DataFrame) -> DataFrame:
     """S009 a validity that can't be, S011 an assertion without evidence, S019 a variable bound twice."""
     v = bindings.where("value_kind = 'unbound'").groupBy("fact_id", "ident").agg(F.count("*").alias("n")).where("n > 1").select("fact_id").distinct()
-    return _all([
-        _found(facts.where("s_lo >= e_hi"), "S009", None, "id"), _found(facts.where("status = 'asserted' AND n_evidence = 0"), "S011", None, "id"), _found(v, "S019"),
-    ])
+    own = [(F.col("s_lo") >= F.col("e_hi"), "S009", None), ((F.col("status") == "asserted") & (F.col("n_evidence") == 0), "S011", None)]
+    return _all([_flags(facts, own, "id"), _found(v, "S019")])
 
 
 def support_rules(evidence: DataFrame, bindings: DataFrame) -> DataFrame:
@@ -121,8 +128,9 @@ def relation_constraints(bindings: DataFrame, constraints: DataFrame) -> DataFra
 def record_findings(facts: DataFrame, bindings: DataFrame, usage: DataFrame) -> DataFrame:
     """(id, code, detail): all rules of single records."""
     first, fine = declared(facts, bindings, usage)
+    fine = sized(fine)  # every rule reads the facts and bindings that are looked at
     held = bindings.drop("relation") if "relation" in bindings.columns else bindings
-    held = held.join(fine.select(F.col("id").alias("fact_id"), "relation"), "fact_id")
+    held = sized(held.join(fine.select(F.col("id").alias("fact_id"), "relation"), "fact_id"))
     return _all([first, binding_rules(held, usage), role_rules(fine, held, usage), fact_rules(fine, held)])
 
 

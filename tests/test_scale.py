@@ -193,3 +193,14 @@ def test_gathered_bindings_are_moved_as_they_are(spark):
     for made in (project.by_role(bound, "supplied"), project.arity(bound), completion.build_queries(bound), keys.content_digests(bound)):
         text = plan(made)
         assert moves(made) == 1 and "REPARTITION_BY_COL" in text and "Aggregate" not in text[text.index("REPARTITION_BY_COL"):]
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test tables here")
+def test_record_rules_read_bindings_once(spark):
+    """What the rules look at is stored, so no rule numbers the order lines again; new evidence meets itself without a join."""
+    from rolefold.plans import events, rules
+
+    found = rules.record_findings(spark, "/root/testdata/sf0.001")
+    assert "Window" not in plan(found) and found.where("code = 'S002'").count()
+    evidence = plan(events._evidence(spark, "/root/testdata/sf0.001")[1])
+    assert evidence.count("Join") == 5
