@@ -155,8 +155,7 @@ def add_evidence(facts: DataFrame, bindings: DataFrame, held: DataFrame, new: Da
     the fact has now.
     """
     now = latest(facts).select("id", "version", "status", "status_ref")
-    twice = new.groupBy("event", "id", "eid").agg(F.count("*").alias("times"))
-    rows = new.dropDuplicates(["event", "id", "eid"]).join(twice, ["event", "id", "eid"]).join(now, "id", "left")
+    rows = new.groupBy("event", "id", "eid").agg(F.count("*").alias("times")).join(now, "id", "left")
     rows = rows.join(held.select(F.col("fact_id").alias("id"), "eid", F.lit(True).alias("here")).distinct(), ["id", "eid"], "left")
     kept, refused = _split(rows.withColumn("code", F.when(F.col("version").isNull(), "missing").when(F.col("here") | (F.col("times") > 1), "D013")))
     changed = kept.dropDuplicates(["id"]).select("id", (F.col("version") + 1).cast("int").alias("version"), "status", "status_ref", F.lit(tx).cast("long").alias("tx_from"))
